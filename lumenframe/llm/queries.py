@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, rules
+from . import bpe, chat, html, lines, mixing, ogg, rules
 from .common import documents
 
 #: The contract's extra conversation.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+#: Where the public tokenizers' files are; a parameter of the operators.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op2_ogg_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.unpack(ogg.pack(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +56,13 @@ def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_chat_parts, op6_line_runs, op8_rule_cascade)}
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    done = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op6_line_runs, op8_rule_cascade, op9_bpe_tree)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
