@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html, lines, mixing, ogg, rules
+from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, rules
 from .common import documents
 
 #: The contract's extra conversation.
@@ -70,7 +70,11 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op8_rule_cascade, op9_bpe_tree)}
+def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op8_rule_cascade, op9_bpe_tree, op10_token_groups)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
