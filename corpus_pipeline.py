@@ -1,15 +1,62 @@
-"""A corpus pipeline of five stages over `documents`; filled in with its operators."""
+"""A corpus pipeline of five stages over `documents`: quality rules, line dedup, near duplicates, mixing, BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and makes its decisions: rejected
+documents go, dropped lines are gone from the text, one document of each group of near duplicates stays, the mix repeats
+and cuts documents to its weights. All stages but the last return the columns of documents; n_chars follows the text.
+A document whose lines are all dropped stays with an empty text; the mix then takes nothing of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import bpe, jaccard, lines, mixing, rules
+from lumenframe.llm.common import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return rules.cascade(docs, rules.plan(docs)).filter("rejected_by IS NULL").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(lines.dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that gives its group the name stays; of rows that repeat its doc_id, all stay."""
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(mixing.mixed_rows(docs.select(*COLUMNS)))
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the ids read back)."""
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER), TOKENIZER)
+    return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("bpe_tokens", bpe_tokens)]
 
-STAGES: list = []
+#: SQL expresses neither the near-duplicate components nor BPE; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = cut(docs) if k + 1 < len(STAGES) else docs  # each stage reads its input more than once
     return docs

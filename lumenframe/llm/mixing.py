@@ -68,11 +68,11 @@ def shard_quotas(table: DataFrame, shards: int, block_words: int) -> DataFrame:
     return each.withColumn("blocks", quota(F.col("shard"), shards, block_words) - quota(F.col("shard") - 1, shards, block_words))
 
 
-def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tuple[int, ...], shards: int) -> DataFrame:
-    """The rows with size, source_size, target, first (place of the first word in the source's stream), passes (whole
+def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tuple[int, ...], shards: int, texts: bool = False) -> DataFrame:
+    """The rows (texts: with their text, which is then read twice rather than kept) with size, source_size, target, first (place of the first word in the source's stream), passes (whole
     passes of the source), rest (blocks beyond them), blocks (of the source), step and shift (of the permutation)."""
     sized = df.withColumn("size", sizes(df))
-    sized = cut(sized.drop("text") if "text" in df.columns else sized)
+    sized = sized if texts else cut(sized.drop("text"))
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
     n_sources, n_rows = sources.agg(F.count("*"), F.sum("_rows")).first()
     table, b = targets(sources.drop("_rows"), weights, repeats), block_words
@@ -121,9 +121,7 @@ def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tu
     """The mix itself: df's columns and `shard`, one row for each pass over a document and, for the last pass, one with
     the words of the blocks that it takes, joined by single spaces. Rows with nothing taken go."""
     b = block_words
-    keys = df.withColumn("_row", F.monotonically_increasing_id())
-    keys = cut(keys)
-    rows = placed(keys.select("_row", "doc_id", "source", "text"), b, seed, repeats, weights, shards)
+    rows = placed(df, b, seed, repeats, weights, shards, texts=True)
     last = F.col("first") + F.col("size")
     span = F.sequence(F.floor(F.col("first") / b), F.floor((last - 1) / b))
     kept = F.filter(span, lambda i: _seat(i) < F.col("rest"))
@@ -135,8 +133,7 @@ def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tu
     shard = F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil((seat - 0.5) * b * shards / F.col("target")))).cast("int")
     takes = rows.filter("size > 0").withColumn("_pieces", pieces).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
     takes = takes.filter((F.col("_pass") < F.col("passes")) | (F.size("_pieces") > 0)).withColumn("shard", shard)
-    takes = takes.select("_row", "shard", F.when(F.col("_pass") == F.col("passes"), F.col("_pieces")).alias("_pieces"))
+    takes = takes.withColumn("_pieces", F.when(F.col("_pass") == F.col("passes"), F.col("_pieces")))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1)
     text = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, p["at"] + 1, p["n"]))), " ")
-    out = keys.join(takes, "_row").withColumn("text", F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(text))
-    return out.drop("_row", "_pieces")
+    return takes.withColumn("text", F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(text)).select(*df.columns, "shard")
