@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.shared import shared_dir
+
 ISO = 0.5
 
 
@@ -126,8 +128,7 @@ def smooth(points: DataFrame, tris: DataFrame, iterations: int = 20, pass_band:
     n = max(0, int(iterations))
     if n == 0:
         return points
-    if not points.sparkSession.sparkContext.getCheckpointDir():
-        raise ValueError("set a checkpoint folder that all executors share")
+    shared_dir(points.sparkSession)
     theta = math.acos(1 - pass_band / 2)
     weight = [theta / math.pi] + [2 * math.sin(q * theta) / (q * math.pi) for q in range(1, n + 1)]
     weight = [w * (0.54 + 0.46 * math.cos(q * math.pi / (n + 1))) for q, w in enumerate(weight)]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.text import basename
+from lumenframe.functions.shared import shared_dir
 from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
 from lumenframe.plans.contracts import with_duck
@@ -590,12 +591,7 @@ def gesture_rois(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_LOG} SELECT session_id, roi_id, roi_type FROM life WHERE ends IS NULL")
 def roi_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream, to its end; then the table that the feed amounts to."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{base}/roi-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/roi-stream-{uuid.uuid4().hex}"
     log = table(spark, d, "roi_log").select("session_id", "seq", "op", "roi_id", "roi_type")
     log.write.parquet(f"{root}/log")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
