@@ -11,12 +11,12 @@ are that of theirs, so a window of the run whose first and last token are the ol
 grows until it is the whole of both sides. Special tokens in a text are split off first, as the tokenizer does.
 
 Null or empty texts have no tokens. Texts with equal columns are encoded once each; repeated rows stay repeated. Empty
-tables give empty results. Other columns pass through, but for the name ids; they must be groupable (no maps).
+tables give empty results. Other columns pass through, but for the name ids and names of the leaves' columns (_text, _segment, _leaf,
+_piece, _ids); they must be groupable (no maps).
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,14 +24,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import partitions
 
 LONG_CHARS, LEAF_CHARS, WINDOW = 16384, 8192, 16
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = regex.compile(rb"[\t\n\x0b\x0c\r ]")
 _RUN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
@@ -57,12 +59,13 @@ class Bpe:
             self.pieces[i] = bytes(map(by_char.__getitem__, token))
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
-        self.tokenizer, self.raw = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for t in (self.tokenizer, self.raw):
-            t.no_truncation()
-            t.no_padding()
-            t.encode_special_tokens = True
+        merges = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError(f"{path}: ids that don't follow the order of the merges are not supported")
+        ranks = {x: i for i, x in enumerate(self.pieces) if x and i not in self.special.values()}
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.raw = tiktoken.Encoding("run", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def segments(self, text: str) -> list[str]:
@@ -71,7 +74,7 @@ class Bpe:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Of ordinary texts."""
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(self.fast.encode_ordinary(x), dtype="<u4") for x in texts]
 
     def bytes_of(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -110,7 +113,7 @@ class Bpe:
         j = next((k for k in range(len(right) // 2, 0, -1) if starts(right, k)), None)
         if i is None or j is None or i < 4:
             return None
-        ids = np.array(self.raw.encode(self.bytes_of(np.concatenate([left[i:], right[:j]])).decode("utf-8"), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.raw.encode_ordinary(self.bytes_of(np.concatenate([left[i:], right[:j]])).decode("utf-8")), dtype="<u4")
         if len(ids) < 2 or ids[0] != left[i] or ids[-1] != right[j - 1]:
             return None
         return np.concatenate([left[:i], ids, right[j:]])
@@ -122,7 +125,7 @@ class Bpe:
         return leaves[0] if leaves else np.array([], dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.bytes_of(ids).decode("utf-8", "replace")
+        return self.fast.decode(ids.tolist(), errors="replace")
 
 
 def _breaks(x: bytes) -> Iterator[int]:
@@ -156,7 +159,8 @@ def halves(text: str, leaf_chars: int) -> list[str]:
 
 def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """df with the text column replaced by ids (little-endian unsigned 32-bit integers)."""
-    rest = df.drop(text, "ids")
+    df = df.drop("ids", "_text", "_segment", "_leaf", "_piece", "_ids")
+    rest = df.drop(text)
     fields = rest.schema.fields
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType())])
     cols = rest.columns
@@ -213,7 +217,3 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
             yield pdf.assign(**{into: [t.decode(np.frombuffer(x or b"", dtype="<u4")) for x in pdf[ids]]})
 
     return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(into, T.StringType())]))
-
-
-def digest(ids: np.ndarray) -> str:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
