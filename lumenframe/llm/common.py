@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.shared import shared_dir
+
 #: Characters that separate words in every contract of this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,19 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    here = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not here:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        here = tempfile.mkdtemp(prefix="lumenframe-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(here)
-    return here.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that no executor's loss repeats what came before."""
     shared_dir(df.sparkSession)
@@ -63,3 +53,17 @@ def partitions(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, mb: int) -> Iterator[None]:
+    """Jobs started inside hand rows to Python in batches of at most so many rows and megabytes."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{mb}m"}
+    before = {k: spark.conf.get(k) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -8,7 +8,8 @@ are merged into one of the next level. Since batches ascend, the run's doc_id is
 
 Lines of other documents with that key go; every other line stays. Null or empty texts are one empty line. Rows without
 doc_id stay as they are. Rows that repeat a doc_id are one document: its lines stay or go together. Empty tables give
-empty results; other columns pass through, but for the names lines, n_lines, n_dropped and kept.
+empty results; other columns pass through, but for the names lines, drop, n_lines, n_dropped
+and kept.
 """
 
 from __future__ import annotations
@@ -105,6 +106,7 @@ def drops(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int =
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
     """docs with n_lines, n_dropped and kept, the text of the lines that stay."""
+    docs = docs.drop("lines", "drop", "n_lines", "n_dropped", "kept")
     gone = drops(docs, min_chars, batches, fanout)
     rows = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("lines", lines_of(F.col("text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, partitions, small
 
-RESERVED = ("size", "source_size", "target", "taken")
+RESERVED = ("size", "source_size", "target", "taken", "rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first", "shard")
 #: Primes that step through the blocks of a source; no block count below 2**60 is divisible by all three.
 STEPS = (8388593, 8388587, 8388571)
 
@@ -71,6 +71,7 @@ def shard_quotas(table: DataFrame, shards: int, block_words: int) -> DataFrame:
 def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tuple[int, ...], shards: int, texts: bool = False) -> DataFrame:
     """The rows (texts: with their text, which is then read twice rather than kept) with size, source_size, target, first (place of the first word in the source's stream), passes (whole
     passes of the source), rest (blocks beyond them), blocks (of the source), step and shift (of the permutation)."""
+    df = df.drop(*RESERVED)
     sized = df.withColumn("size", sizes(df))
     sized = sized if texts else cut(sized.drop("text"))
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
@@ -136,4 +137,4 @@ def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tu
     takes = takes.withColumn("_pieces", F.when(F.col("_pass") == F.col("passes"), F.col("_pieces")))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1)
     text = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, p["at"] + 1, p["n"]))), " ")
-    return takes.withColumn("text", F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(text)).select(*df.columns, "shard")
+    return takes.withColumn("text", F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(text)).select(*(c for c in df.columns if c not in RESERVED), "shard")
