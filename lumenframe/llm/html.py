@@ -4,8 +4,9 @@ For every DOM node: C characters, LC of them in links, T tags, LT of them links,
     C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LCb / Cb * C + e),
 with LCb / Cb the link share of the body, so that text in many tags or in links weighs little. A node's density sum adds
 up the densities of its block children; the node with the largest sum holds the content. The smallest density on its path to the
-body is the page's threshold: other nodes under the same <article> or <main> (else: next to the path) whose density
-reaches it, such as a heading beside the text, contribute their own largest-sum subtree too.
+body is the page's threshold: other nodes of the body, or of the <main> around the text, whose density reaches it, such as
+a long heading beside the text, contribute their own largest-sum subtree too. If an <article> is around the text, it is
+the content as a whole.
 
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles.
@@ -191,8 +192,11 @@ def contents(root: Node) -> list[Node]:
     best = body.best
     path = [n for n in _up(best)]
     path = path[: path.index(body) + 1]
+    article = next((n for n in reversed(path) if n.tag == "article"), None)
+    if article is not None:  # what is not content in it is dropped already
+        return [article]
     threshold = min(n.density for n in path)
-    scope = next((n for n in path if n.tag in ("article", "main")), body)
+    scope = next((n for n in path if n.tag == "main"), body)
     marked: set[int] = set()
     stack = [scope]
     while stack:
@@ -201,6 +205,8 @@ def contents(root: Node) -> list[Node]:
             continue
         if n.density >= threshold:
             marked.add(id(n.best))
+        elif scope is not body and n.tag in ("h1", "h2") and not n.link_tags:
+            marked.add(id(n))
         stack.extend(x for x in n.items if isinstance(x, Node))
     out, stack = [], [scope]
     while stack:
@@ -256,7 +262,7 @@ def main_text(source: str | None) -> str:
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """df with its html column replaced by text and n_chars."""
-    rest = df.drop("text", "n_chars")
+    rest = df.drop(*({"text", "n_chars"} - {html}))
     keep = [f for f in rest.schema.fields if f.name != html]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
