@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, rules
-from .common import documents
+from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, rules, shards
+from .common import cut, documents, shared_dir
 
 #: The contract's extra conversation.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -58,6 +60,26 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ARRIVALS, SHARD_BYTES = 6, 16 << 20
+
+
+def op7_shard_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, arriving in parts by doc_id, sharded, compacted as they come, and read back by the manifest."""
+    docs = documents(spark, sf_dir)
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=SHARD_BYTES)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 1000)).first()[0] or []
+    part = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    for i in range(len(set(cuts)) + 1):
+        store.append(docs.filter(F.coalesce(part, F.lit(0)) == i))
+        store.compact()
+        store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    back = store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source")
+    out = cut(back)
+    store.drop()
+    return out
+
+
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     done = rules.cascade(docs, rules.plan(docs), counts=True)
@@ -74,7 +96,7 @@ def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op8_rule_cascade, op9_bpe_tree, op10_token_groups)}
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
@@ -94,6 +116,7 @@ o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY k
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (o.owner < k.doc_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (o.owner IS NULL OR o.owner >= k.doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN o USING (key) GROUP BY k.doc_id""",
+    "op7_shard_tiers": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, lang, source FROM documents",
     "op8_rule_cascade": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
