@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +55,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_job(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_job(spark: SparkSession) -> None:
+    """Session settings of a job that hands whole texts to Python: batches of at most 8 MB, so that a worker's memory and
+    the executor's buffers don't depend on how long the texts are. Called by the jobs, not by the operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int, mb: int) -> Iterator[None]:
     """Jobs started inside hand rows to Python in batches of at most so many rows and megabytes."""
@@ -67,3 +78,24 @@ def arrow_batches(spark: SparkSession, rows: int, mb: int) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of at most so many rows, so that what a task makes of them stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
+def slim(run: Callable) -> Callable:
+    """run for mapInPandas, after which the worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: nothing to give back by this way
+
+    return inner

@@ -10,8 +10,8 @@ exact: the method only saves comparisons.
    thousand comparisons. Every other class is a group of its own.
 3. Matrix: a row for each token among the first ones and group, with the smallest and the largest set size and the
    largest possible overlap from that token on. Two groups qualify if a token's bounds allow a link.
-4. Opening: members of a qualifying group are first held against the other group's token counts by hash slice, whose
-   minima bound the overlap, then against its members' counts, and what is left is compared in full.
+4. Opening: members of qualifying groups are first held against each other by their token counts in 64 slices of the hash
+   space, whose minima bound the overlap, then by counts in as many slices as half their size, then in full.
 5. Components of the links by large-star and small-star rounds.
 
 Broadcasts: at most HOT_TOKENS tokens; group labels and class lists only within BROADCAST_ROWS, else joins do it.
@@ -32,10 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Stage, cut, partitions, small
+from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim, small
 
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
-HOT_TOKENS, HOT_FROM, KEYS, SLICES = 500_000, 30, 4, 256
+HOT_TOKENS, HOT_FROM, KEYS, COARSE = 500_000, 30, 4, 64
+BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
 _CHUNK = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20)
@@ -96,10 +97,25 @@ def _set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint64)
 
 
-def _counts(s: np.ndarray) -> bytes | None:
-    """How many tokens each slice of the hash space has; None where a byte doesn't hold it."""
-    c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SLICES)
-    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else None
+def _counts(s: np.ndarray, slices: int) -> bytes:
+    """How many tokens each of 2 ** k slices of the hash space has, at most 255: there it may have more."""
+    shift = np.uint64(64 - slices.bit_length() + 1)
+    return np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=slices), 255).astype(np.uint8).tobytes()
+
+
+def _fine(n: int) -> int:
+    """Slices for a set of n tokens: one for about two tokens."""
+    return min(1 << 16, max(COARSE, 1 << (n // 2).bit_length()))
+
+
+def _most(x: bytes, y: bytes) -> int:
+    """No overlap is above: the sum over slices of the smaller count, the finer counts added up to the coarser's slices.
+    Where both counts are full, nothing is known, and every overlap is possible."""
+    a, b = np.frombuffer(x, dtype=np.uint8).astype(np.int64), np.frombuffer(y, dtype=np.uint8).astype(np.int64)
+    if (a == 255).any() or (b == 255).any():
+        return 1 << 60
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(k, -1).sum(axis=1), b.reshape(k, -1).sum(axis=1)).sum())
 
 
 def need(n: int, m: int, threshold: int = THRESHOLD) -> int:
@@ -112,8 +128,9 @@ def prefix(n: int, threshold: int = THRESHOLD) -> int:
 
 
 def token_sets(df: DataFrame) -> DataFrame:
-    """doc_id, n, class, slices, tokens; of equal sets within a task only the first carries slices and tokens."""
+    """doc_id, n, class, coarse, slices, tokens; of equal sets within a task only the first carries counts and tokens."""
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
@@ -124,19 +141,21 @@ def token_sets(df: DataFrame) -> DataFrame:
                 c = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) if len(s) else None
                 first = c is not None and c not in seen
                 seen.add(c)
-                out.append((i, len(s), c, _counts(s) if first else None, raw if first else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "class", "slices", "tokens"]).astype({"doc_id": "Int64", "class": "Int64"})
+                out.append((i, len(s), c, *((_counts(s, COARSE), _counts(s, _fine(len(s))), raw) if first else (None, None, None))))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "class", "coarse", "slices", "tokens"]).astype({"doc_id": "Int64", "class": "Int64"})
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, class long, slices binary, tokens binary")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, class long, coarse binary, slices binary, tokens binary")
 
 
 def hot_tokens(sets: DataFrame, most: int = HOT_TOKENS) -> np.ndarray:
     """The tokens of the most sets, by rising frequency. Each task counts its own and passes on those it saw twice."""
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [_set(x) for pdf in batches for x in pdf["tokens"]]
-        if parts:
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
+        for k in range(16 if parts else 0):  # by ranges of the sorted sets, so that no copy of all is made
+            ends = np.array([k << 60, (k << 60) + (1 << 60) - 1], dtype=np.uint64)
+            token, n = np.unique(np.concatenate([s[slice(*(np.searchsorted(s, ends[0]), np.searchsorted(s, ends[1], side="right")))] for s in parts]), return_counts=True)
             yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
 
     seen = sets.filter("tokens IS NOT NULL").select("tokens").mapInPandas(run, "token long, n long")
@@ -160,6 +179,12 @@ class _Order:
         return s[~is_hot], hot[np.argsort(self.rank[at[is_hot]], kind="stable")]
 
 
+def _anew(df: DataFrame, key: str) -> DataFrame:
+    """df with its key computed anew, so that a join has to lay it out again: only then can Spark split the other side's
+    rows of a hot key, as a group of near copies or a common passage has."""
+    return df.withColumn(key, F.col(key) + 0)
+
+
 def _size_fits(a, b, threshold: int):
     """Columns: sets of a and b tokens may link."""
     return (a * 100 >= b * threshold) & (b * 100 >= a * threshold)
@@ -167,24 +192,20 @@ def _size_fits(a, b, threshold: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that link. Slice counts first, whole sets for what they leave."""
-    ids = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
-    many = ids.count()
-    if not many:
-        return pairs
-    own = sets.filter("tokens IS NOT NULL").join(small(ids, many), "class", "left_semi")
-    own = cut(own.groupBy("class").agg(F.first("n").alias("n"), F.first("slices").alias("slices"), F.first("tokens").alias("tokens")))
 
+    def own(of: DataFrame, *what: str) -> DataFrame:
+        """class and the columns named, of the classes in pairs: one row each, where tasks have one each."""
+        ids = cut(of.select(F.col("a").alias("class")).union(of.select(F.col("b").alias("class"))).distinct())
+        rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(ids, ids.count()), "class", "left_semi")
+        return _anew(cut(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in what))), "class")
+
+    @slim
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = np.ones(len(pdf), dtype=bool)
-            known = (pdf["sa"].notna() & pdf["sb"].notna()).to_numpy()
-            if known.any():
-                x, y = (np.frombuffer(b"".join(pdf.loc[known, c]), dtype=np.uint8).reshape(-1, SLICES) for c in ("sa", "sb"))
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                n = (pdf.loc[known, "na"] + pdf.loc[known, "nb"]).to_numpy()
-                keep[known] = most * (100 + threshold) >= threshold * n
+            keep = [_most(x, y) * (100 + threshold) >= threshold * (n + m) for x, y, n, m in zip(pdf["ca"], pdf["cb"], pdf["na"], pdf["nb"])]
             yield pdf.loc[keep, ["a", "b"]]
 
+    @slim
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
@@ -194,18 +215,22 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    def with_(left: DataFrame, side: str, what: str) -> DataFrame:
-        cols = [F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col(what).alias(f"{what[0]}{side}")]
-        return left.join(own.select(*cols), side)
+    def with_(left: DataFrame, side: str, table: DataFrame) -> DataFrame:
+        return left.join(table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c[0]}{side}") for c in table.columns[1:])), side)
 
-    light = with_(with_(pairs, "a", "slices"), "b", "slices").filter(_size_fits(F.col("na"), F.col("nb"), threshold))
-    left = cut(light.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(bound, "a long, b long"))
-    return cut(with_(with_(left, "a", "tokens"), "b", "tokens").select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
+    left = pairs
+    for counts in ("coarse", "slices"):  # most pairs go by the short counts, most others by the long ones
+        table = own(left, "n", counts).withColumnRenamed(counts, "counts")
+        rows = with_(with_(left, "a", table), "b", table).filter(_size_fits(F.col("na"), F.col("nb"), threshold))
+        left = cut(rows.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bound, "a long, b long"))
+    whole = own(left, "tokens")
+    return cut(with_(with_(left, "a", whole), "b", whole).select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
 
 
 def star_pairs(sets: DataFrame, hot, threshold: int) -> DataFrame:
     """(a, b): a class with frequent tokens and the most typical class that shares one of its first KEYS ones."""
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = _Order(hot.value)
         for pdf in batches:
@@ -220,8 +245,7 @@ def star_pairs(sets: DataFrame, hot, threshold: int) -> DataFrame:
     pivots = cut(rows.groupBy("key").agg(F.max(typical).alias("p")).select(F.col("key").alias("_key"), F.col("p.b").alias("b"), F.col("p.hot").alias("hot_b"), F.col("p.cold").alias("cold_b")))
     n, m = F.col("hot") + F.col("cold"), F.col("hot_b") + F.col("cold_b")
     most = F.least("hot", "hot_b") + F.least("cold", "cold_b")  # of the overlap
-    # the sum keeps both sides from being laid out by key already, so that a hot key's rows can be split
-    pairs = rows.join(pivots, F.col("key") + 0 == F.col("_key") + 0).filter((F.col("a") != F.col("b")) & (most * (100 + threshold) >= (n + m) * threshold))
+    pairs = rows.join(_anew(pivots, "_key"), F.col("key") == F.col("_key")).filter((F.col("a") != F.col("b")) & (most * (100 + threshold) >= (n + m) * threshold))
     return cut(pairs.select("a", "b").distinct())
 
 
@@ -236,9 +260,12 @@ def matrix(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot, thresh
     elif labels is not None:
         rows = rows.drop("group").join(labels, "class", "left").select("class", "tokens", F.coalesce("group", "class").alias("group"))
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = _Order(hot.value)
         for pdf in batches:
+            if not len(pdf):
+                continue
             own = pdf["class"].to_numpy(np.int64)
             group = pdf["group"].to_numpy(np.int64)
             if known is not None and len(known.value[0]):
@@ -290,9 +317,12 @@ def qualifying(rows: DataFrame, threshold: int) -> DataFrame:
         if found:
             yield _frame(found)
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
-        for pdf in batches:  # sorted by token: what follows the last token's first row waits for the next batch
+        for pdf in batches:  # rows are sorted by token: what follows the last token's first row waits for the next batch
+            if not len(pdf):
+                continue
             token = pdf["token"].to_numpy()
             if rest and rest[-1]["token"].iloc[-1] == token[0] == token[-1]:
                 rest.append(pdf)
@@ -333,11 +363,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour moves to the smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = cut(large)
         # small star: smaller neighbours and the node itself move to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_ = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small_ = large.join(_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = cut(small_.filter("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
@@ -348,6 +378,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (links of the class found by
     comparison, without those that step 2 made superfluous), for every row of df(doc_id, text)."""
+    with arrow_batches(df.sparkSession, *BATCH):
+        return _near_duplicates(df, threshold)
+
+
+def _near_duplicates(df: DataFrame, threshold: int) -> DataFrame:
     spark, stage = df.sparkSession, Stage(df.sparkSession)
     sets = stage.put(token_sets(df), "sets")
     hot = spark.sparkContext.broadcast(hot_tokens(sets))
@@ -365,7 +400,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ids = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     ids = cut(ids.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(least, "root").join(degree.withColumnRenamed("a", "class"), "class", "left")
+    named = ids.join(_anew(least, "root"), "root").join(degree.withColumnRenamed("a", "class"), "class", "left")
     named = stage.put(named.select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     out = sets.select("doc_id", "n", "class").join(named, "class", "left")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
