@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, jaccard, lines, mixing, rules
-from lumenframe.llm.common import cut
+from lumenframe.llm.common import cut, text_job
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -23,6 +23,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_job(spark)
     docs = docs.select(*COLUMNS)
     return rules.cascade(docs, rules.plan(docs)).filter("rejected_by IS NULL").select(*COLUMNS)
 
@@ -44,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the ids read back)."""
+    text_job(spark)
     done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER), TOKENIZER)
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import partitions, slices, slim
 
 LONG_CHARS, LEAF_CHARS, WINDOW = 16384, 8192, 16
 #: Fixed value: the pattern of byte-level pre-tokenizers.
@@ -165,14 +165,16 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType())])
     cols = rest.columns
 
+    @slim
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = bpe(path)
-        for pdf in batches:
+        for pdf in slices(batches):
             parts = [t.segments(x or "") for x in pdf[text]]
             done = iter(t.encode_all([s for p in parts for s in p if s not in t.special]))
             ids = [b"".join(np.array([t.special[s]], dtype="<u4").tobytes() if s in t.special else next(done).tobytes() for s in p) for p in parts]
             yield pdf[cols].assign(ids=ids)
 
+    @slim
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = bpe(path)
         for pdf in batches:
@@ -182,9 +184,10 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
                 many = row[[*cols, "_text"]].loc[row.index.repeat(len(rows))].reset_index(drop=True)
                 yield many.assign(**dict(zip(("_segment", "_leaf", "_piece"), map(list, zip(*rows)))))
 
+    @slim
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = bpe(path)
-        for pdf in batches:
+        for pdf in slices(batches):
             ids = [np.array([t.special[x]], dtype="<u4") if x in t.special else None for x in pdf["_piece"]]
             done = iter(t.encode_all([x for x in pdf["_piece"] if x not in t.special]))
             yield pdf.drop(columns="_piece").assign(_ids=[(next(done) if x is None else x).tobytes() for x in ids])
@@ -211,9 +214,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     """df with the decoded text of its ids; nulls give the empty text."""
     rest = df.drop(into)
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = bpe(path)
-        for pdf in batches:
+        for pdf in slices(batches):
             yield pdf.assign(**{into: [t.decode(np.frombuffer(x or b"", dtype="<u4")) for x in pdf[ids]]})
 
     return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(into, T.StringType())]))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slim
+
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 16, 8, 0.5, 11
 GRAMS = (3, 4)
 SAMPLE_ROWS = 2000
@@ -146,6 +148,7 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
     rest = df.drop(into)
     shared = df.sparkSession.sparkContext.broadcast((model.values, model.bias))  # BUCKETS numbers, whatever the data
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
         for pdf in batches:

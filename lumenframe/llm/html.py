@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slim
+
 #: Fixed values of HTML: elements without content, raw text elements, block elements, implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -40,8 +42,10 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 DROP_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu search noembed noframes fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus replies reply respond share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus replies reply respond share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
 )
+#: With these, a header is the article's own.
+OWN_WORDS = frozenset("article post entry content story title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -74,8 +78,10 @@ def unwanted(tag: str, attributes: str, node: Node) -> bool:
             return True
         if name == "role" and value.lower() in DROP_ROLES:
             return True
-        if name in ("class", "id") and DROP_WORDS.intersection(_NAME.findall(_CAMEL.sub(" ", value).lower())):
-            return True
+        if name in ("class", "id"):
+            words = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+            if words & DROP_WORDS or words & {"header", "topbar"} and not words & OWN_WORDS and not any(n.tag in ("article", "main") for n in _up(node)):
+                return True
     return False
 
 
@@ -266,6 +272,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
     keep = [f for f in rest.schema.fields if f.name != html]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [main_text(x) for x in pdf[html]]

@@ -108,14 +108,18 @@ def _seat(block: Column) -> Column:
     return F.pmod(block * (F.col("step") % F.col("blocks")) + F.col("shift"), F.col("blocks"))
 
 
-def mix(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, shards: int = 64) -> DataFrame:
-    """doc_id and the other columns but text, with size, source_size, target and taken."""
-    rows = placed(df, block_words, seed, repeats, weights, shards)
+def _taken_of_rest(block_words: int) -> Column:
+    """Words of a document in the blocks that the last pass takes."""
     last, b = F.col("first") + F.col("size"), block_words
     part = lambda i: F.when(_seat(i) < F.col("rest"), F.least(last, (i + 1) * b) - F.greatest(F.col("first"), i * b)).otherwise(0)
     some = F.aggregate(F.sequence(F.floor(F.col("first") / b), F.floor((last - 1) / b)), F.lit(0).cast("long"), lambda acc, i: acc + part(i))
-    extra = F.when((F.col("size") == 0) | (F.col("rest") == 0), 0).when(F.col("rest") == F.col("blocks"), F.col("size")).otherwise(some)
-    return rows.withColumn("taken", F.col("passes") * F.col("size") + extra).drop("rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first")
+    return F.when((F.col("size") == 0) | (F.col("rest") == 0), 0).when(F.col("rest") == F.col("blocks"), F.col("size")).otherwise(some)
+
+
+def mix(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, shards: int = 64) -> DataFrame:
+    """doc_id and the other columns but text, with size, source_size, target and taken."""
+    rows = placed(df, block_words, seed, repeats, weights, shards)
+    return rows.withColumn("taken", F.col("passes") * F.col("size") + _taken_of_rest(block_words)).drop("rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first")
 
 
 def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, shards: int = 64) -> DataFrame:
@@ -123,18 +127,13 @@ def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tu
     the words of the blocks that it takes, joined by single spaces. Rows with nothing taken go."""
     b = block_words
     rows = placed(df, b, seed, repeats, weights, shards, texts=True)
-    last = F.col("first") + F.col("size")
-    span = F.sequence(F.floor(F.col("first") / b), F.floor((last - 1) / b))
-    kept = F.filter(span, lambda i: _seat(i) < F.col("rest"))
-    from_word = lambda i: F.greatest(F.col("first"), i * b) - F.col("first")
-    pieces = F.transform(kept, lambda i: F.struct(from_word(i).cast("int").alias("at"), (F.least(last, (i + 1) * b) - F.col("first") - from_word(i)).cast("int").alias("n")))
-    pieces = F.when((F.col("size") > 0) & (F.col("rest") > 0), pieces).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+    at = lambda i: F.floor((F.col("first") + i) / b)  # noqa: E731  the block of a document's word
     # seat of the pass's first block decides the shard, by the cumulative quotas
     seat = F.col("_pass") * F.col("blocks") + _seat(F.floor(F.col("first") / b)) + 1
     shard = F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil((seat - 0.5) * b * shards / F.col("target")))).cast("int")
-    takes = rows.filter("size > 0").withColumn("_pieces", pieces).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    takes = takes.filter((F.col("_pass") < F.col("passes")) | (F.size("_pieces") > 0)).withColumn("shard", shard)
-    takes = takes.withColumn("_pieces", F.when(F.col("_pass") == F.col("passes"), F.col("_pieces")))
+    takes = rows.filter("size > 0").withColumn("_some", _taken_of_rest(b)).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    takes = takes.filter((F.col("_pass") < F.col("passes")) | (F.col("_some") > 0)).withColumn("shard", shard)
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1)
-    text = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, p["at"] + 1, p["n"]))), " ")
-    return takes.withColumn("text", F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(text)).select(*(c for c in df.columns if c not in RESERVED), "shard")
+    some = F.array_join(F.filter(words, lambda w, i: _seat(at(i)) < F.col("rest")), " ")
+    text = F.when((F.col("_pass") < F.col("passes")) | (F.col("_some") == F.col("size")), F.col("text")).otherwise(some)
+    return takes.withColumn("text", text).select(*(c for c in df.columns if c not in RESERVED), "shard")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices, slim
+
 PAD, RATE, PACKET, PAGE_SEGMENTS = 64, 8000, 1024, 50
 MAGIC = b"LFPCM8\x00\x01"
 _HEAD = struct.Struct("<4sBBqIIIB")
@@ -183,8 +185,9 @@ def pack(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     rest = df.drop(media)
     schema = T.StructType([f for f in rest.schema.fields if f.name != text] + [T.StructField(media, T.BinaryType())])
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             done = [write((t or "").encode("utf-8", "surrogatepass")) for t in pdf[text]]
             yield pdf.drop(columns=text).assign(**{media: done})
 
@@ -211,8 +214,9 @@ def unpack(df: DataFrame, media: str = "media") -> DataFrame:
             return [str(e), None, None, None, None, *own, None]
         return ["ok", n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, feature(payload, counts)]
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             got = pd.DataFrame([one(x) for x in pdf[media]], columns=added.names, index=pdf.index, dtype=object)
             yield pd.concat([pdf.drop(columns=media), got], axis=1)
 
@@ -237,6 +241,7 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
         ms = lambda g: g * 1000 / RATE
         return [["ok", s, i, ms(max(0, end - len(d))), ms(end), d] for s, ps in streams.items() for i, (d, end) in enumerate(ps)]
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(len(pdf)):

@@ -132,6 +132,6 @@ c AS (SELECT w.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09
       FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR up > low OR 10 * n_dup_lines > 3 * n_lines OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words) AS kept
+       NOT (base_failed OR 10 * n_symbols > n_words OR up > low OR 2 * n_dup_lines > n_lines OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words) AS kept
 FROM b""",
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, WORD
+from .common import SPACES, WORD, slim
 
 SAMPLE_ROWS = 500
 WINDOW = 5
@@ -105,7 +105,7 @@ RULES: dict[str, Callable[[Counts], bool]] = {
     "repeated_windows": lambda c: 100 * c.n_repeat_words > 20 * c.n_words,
     "symbols": lambda c: 10 * c.n_symbols > c.n_words,
     "capitals": lambda c: c.of(_UPPER) > c.of(_LOWER),
-    "repeated_lines": lambda c: 10 * c.n_dup_lines > 3 * c.n_lines,
+    "repeated_lines": lambda c: 2 * c.n_dup_lines > c.n_lines,
     "word_length": lambda c: not 2 * c.n_words <= c.word_chars <= 15 * c.n_words,
 }
 
@@ -117,6 +117,7 @@ def plan(df: DataFrame, text: str = "text", rules: dict[str, Callable[[Counts],
         return list(rules)
     some = df.select(F.col(text).cast("string").alias("text")).sample(min(1.0, sample_rows / n), seed=5).limit(2 * sample_rows)
 
+    @slim
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -145,6 +146,7 @@ def cascade(df: DataFrame, order: list[str], text: str = "text", counts: bool =
     names = [x.name for x in added]
     keep = df.drop(*names)
 
+    @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
