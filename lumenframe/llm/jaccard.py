@@ -4,12 +4,13 @@ Tokens are 64-bit hashes of five-word shingles; a document's set holds each once
 exact: the method only saves comparisons.
 
 1. Order: tokens by hash, but the most frequent ones (at most HOT_TOKENS, from counts over all documents) last, rarest
-   first. Two sets that link share a token among their first n - ceil(t n) + 1 in this order, t being the threshold.
+   first. Two sets that link share SHARED tokens (or all common ones, if these are fewer) among their first
+   n - ceil(t n) + SHARED in this order, t being the threshold.
 2. Groups: classes with frequent tokens are compared with the most typical class that shares one of their first frequent
    tokens, and those that link form its group. A thousand near copies of one text so become one group, linked by a
    thousand comparisons. Every other class is a group of its own.
 3. Matrix: a row for each token among the first ones and group, with the smallest and the largest set size and the
-   largest possible overlap from that token on. Two groups qualify if a token's bounds allow a link.
+   largest possible overlap from that token on. Two groups qualify by SHARED tokens whose bounds allow a link.
 4. Opening: members of qualifying groups are first held against each other by their token counts in 64 slices of the hash
    space, whose minima bound the overlap, then by counts in as many slices as half their size, then in full.
 5. Components of the links by large-star and small-star rounds.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim, small
 
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
-HOT_TOKENS, HOT_FROM, KEYS, COARSE = 500_000, 30, 4, 64
+HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 30, 4, 64, 4
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
 _CHUNK = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -124,7 +125,8 @@ def need(n: int, m: int, threshold: int = THRESHOLD) -> int:
 
 
 def prefix(n: int, threshold: int = THRESHOLD) -> int:
-    return n - -(-threshold * n // 100) + 1
+    """How many first tokens hold SHARED common ones, or all common ones, with any set that links."""
+    return min(n, n - -(-threshold * n // 100) + SHARED)
 
 
 def token_sets(df: DataFrame) -> DataFrame:
@@ -307,10 +309,11 @@ def qualifying(rows: DataFrame, threshold: int) -> DataFrame:
             i = np.flatnonzero(np.arange(len(token)) + step < ends)
             j = i + step
             fits = (high[i] * 100 >= low[j] * threshold) & (high[j] * 100 >= low[i] * threshold)
-            fits &= np.minimum(room[i], room[j]) * (100 + threshold) >= threshold * (low[i] + low[j])
-            i, j = i[fits], j[fits]
+            least = -(-threshold * (low[i] + low[j]) // (100 + threshold))  # the overlap of a link
+            fits &= np.minimum(room[i], room[j]) >= least - (SHARED - 1)  # holds at the first SHARED tokens of every link
+            i, j, least = i[fits], j[fits], least[fits]
             if len(i):
-                found.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])]))
+                found.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), np.minimum(least, SHARED)]))
             if sum(x.shape[1] for x in found) > 1_000_000:
                 yield _frame(found)
                 found = []
@@ -334,12 +337,15 @@ def qualifying(rows: DataFrame, threshold: int) -> DataFrame:
             yield from pairs_of(pd.concat(rest))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
-    return cut(dealt.mapInPandas(run, "g long, h long").distinct())
+    pairs = dealt.mapInPandas(run, "g long, h long, least long, n long").groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    return cut(pairs.filter("n >= least").select("g", "h"))
 
 
 def _frame(found: list[np.ndarray]) -> pd.DataFrame:
-    both = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pd.DataFrame({"g": both[0], "h": both[1]})
+    """Each pair of groups once, with the tokens it shares and the fewest that it needs."""
+    g, h, least = np.concatenate(found, axis=1)
+    pdf = pd.DataFrame({"g": g, "h": h, "least": least, "n": 1})
+    return pdf.groupby(["g", "h"], as_index=False, sort=False).agg(least=("least", "min"), n=("n", "sum"))
 
 
 def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
