@@ -157,14 +157,18 @@ def halves(text: str, leaf_chars: int) -> list[str]:
     return [text[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """df with the text column replaced by ids (little-endian unsigned 32-bit integers)."""
-    df = df.drop("ids", "_text", "_segment", "_leaf", "_piece", "_ids")
+def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
+    """df with the text column replaced by ids (little-endian unsigned 32-bit integers) and, in the column named by
+    decoded, the text that these ids decode to: so one Python worker a task does both."""
+    df = df.drop("ids", *([decoded] if decoded else []), "_text", "_segment", "_leaf", "_piece", "_ids")
     rest = df.drop(text)
     fields = rest.schema.fields
-    out = T.StructType([*fields, T.StructField("ids", T.BinaryType())])
+    out = T.StructType([*fields, T.StructField("ids", T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else []))
     cols = rest.columns
 
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(**{decoded: [bpe(path).decode(np.frombuffer(x, dtype="<u4")) for x in pdf["ids"]]}) if decoded else pdf
+
     @slim
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = bpe(path)
@@ -172,7 +176,7 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
             parts = [t.segments(x or "") for x in pdf[text]]
             done = iter(t.encode_all([s for p in parts for s in p if s not in t.special]))
             ids = [b"".join(np.array([t.special[s]], dtype="<u4").tobytes() if s in t.special else next(done).tobytes() for s in p) for p in parts]
-            yield pdf[cols].assign(ids=ids)
+            yield back(pdf[cols].assign(ids=ids))
 
     @slim
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +202,7 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
         copies = int(((pdf["_segment"] == 0) & (pdf["_leaf"] == 0)).sum())  # of a repeated row
         once = pdf.iloc[::copies]
         ids = b"".join(t.concatenate([np.frombuffer(x, dtype="<u4") for x in g["_ids"]]).tobytes() for _, g in once.groupby("_segment", sort=True))
-        return pd.concat([once[cols].iloc[:1].assign(ids=[ids])] * copies)
+        return pd.concat([back(once[cols].iloc[:1].assign(ids=[ids]))] * copies)
 
     size = F.coalesce(F.char_length(text), F.lit(0))
     short = df.filter(size <= long_chars).mapInPandas(whole, out)

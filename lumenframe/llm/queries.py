@@ -88,7 +88,7 @@ def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
-    done = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    done = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

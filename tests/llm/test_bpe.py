@@ -42,6 +42,8 @@ def test_leaves_are_joined_in_spark(spark, library):
     got = bpe.decode(bpe.encode(df.select("doc_id", "source", "text"), PATH, long_chars=300, leaf_chars=100), PATH).collect()
     want = sorted((str(r.doc_id), hashlib.sha256(np.array(library.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()) for r in df.collect())
     assert sorted((str(r.doc_id), hashlib.sha256(bytes(r.ids)).hexdigest()) for r in got) == want
+    once = bpe.encode(df.select("doc_id", "source", "text"), PATH, long_chars=300, leaf_chars=100, decoded="decoded").select(*[c for c in ("doc_id", "source", "ids", "decoded")])
+    assert sorted(map(str, once.collect())) == sorted(str(r) for r in bpe.decode(once.drop("decoded"), PATH).collect())
 
 
 def test_query(spark, library):
