@@ -94,8 +94,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set as differences, first all their lowest bytes, then the next: the top bytes are zeros, which compress."""
+    return np.diff(s, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def _set(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _counts(s: np.ndarray, slices: int) -> bytes:
@@ -143,7 +148,7 @@ def token_sets(df: DataFrame) -> DataFrame:
                 c = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) if len(s) else None
                 first = c is not None and c not in seen
                 seen.add(c)
-                out.append((i, len(s), c, *((_counts(s, COARSE), _counts(s, _fine(len(s))), raw) if first else (None, None, None))))
+                out.append((i, len(s), c, *((_counts(s, COARSE), _counts(s, _fine(len(s))), _packed(s)) if first else (None, None, None))))
             yield pd.DataFrame(out, columns=["doc_id", "n", "class", "coarse", "slices", "tokens"]).astype({"doc_id": "Int64", "class": "Int64"})
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, class long, coarse binary, slices binary, tokens binary")
