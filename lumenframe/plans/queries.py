@@ -396,7 +396,7 @@ def surface_triangles(spark: SparkSession, d: str) -> DataFrame:
 def mesh_smooth(spark: SparkSession, d: str) -> DataFrame:
     m = _mask(spark, d)
     points = surface.positions(surface.vertices(m), table(spark, d, "series_geom"))
-    return surface.smooth(points, surface.triangles(surface.cells(m)), iterations=4)
+    return surface.smooth(points, surface.triangles(surface.cells(m)), iterations=20)
 
 
 # ---- regions of interest ----

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import surface
+from lumenframe.plans.queries import QUERIES
+from tests.twins import DATA
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,10 @@ def test_smoothing(spark, sphere):
 
     before, after = spread(points), spread(surface.smooth(points, tris, 6))
     assert before.n == after.n and after.s < before.s
+
+
+def test_the_query_smooths_with_all_iterations(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(surface, "smooth", lambda points, tris, iterations=20, pass_band=0.001: asked.append((iterations, pass_band)) or points)
+    QUERIES["mesh_smooth"](spark, DATA)
+    assert asked == [(20, 0.001)]
