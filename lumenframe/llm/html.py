@@ -5,8 +5,8 @@ For every DOM node: C characters, LC of them in links, T tags, LT of them links,
 with LCb / Cb the link share of the body, so that text in many tags or in links weighs little. A node's density sum adds
 up the densities of its block children; the node with the largest sum holds the content. The smallest density on its path to the
 body is the page's threshold: other nodes of the body, or of the <main> around the text, whose density reaches it, such as
-a long heading beside the text, contribute their own largest-sum subtree too. If an <article> is around the text, it is
-the content as a whole.
+a long heading beside the text, contribute their own largest-sum subtree too. Where such a subtree lies in an <article>,
+the outermost one is content as a whole, so that short paragraphs and headings in it stay; a page can have several.
 
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles.
@@ -198,11 +198,16 @@ def contents(root: Node) -> list[Node]:
     best = body.best
     path = [n for n in _up(best)]
     path = path[: path.index(body) + 1]
-    article = next((n for n in reversed(path) if n.tag == "article"), None)
-    if article is not None:  # what is not content in it is dropped already
-        return [article]
     threshold = min(n.density for n in path)
-    scope = next((n for n in path if n.tag == "main"), body)
+    whole: dict[int, Node] = {}  # the outermost <article> around each node
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        up = whole.get(id(n.parent)) or (n if n.tag == "article" else None)
+        if up is not None:
+            whole[id(n)] = up
+        stack.extend(x for x in n.items if isinstance(x, Node))
+    scope = next((n for n in path if n.tag == "main" and id(n) not in whole), body)
     marked: set[int] = set()
     stack = [scope]
     while stack:
@@ -210,7 +215,7 @@ def contents(root: Node) -> list[Node]:
         if n.drop:
             continue
         if n.density >= threshold:
-            marked.add(id(n.best))
+            marked.add(id(whole.get(id(n.best), n.best)))
         elif scope is not body and n.tag in ("h1", "h2") and not n.link_tags:
             marked.add(id(n))
         stack.extend(x for x in n.items if isinstance(x, Node))

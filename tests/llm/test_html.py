@@ -34,6 +34,23 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+def test_every_article_over_the_threshold_is_content():
+    """One section has the node with the largest sum; the others qualify by their density, and stay whole."""
+    part = lambda i, n: f"<article><h2>Part {i}</h2>{f'<p>{LONG}</p>' * n}<p>ok {i}</p></article>"
+    text = lambda i, n: "\n".join([f"Part {i}", *[LONG] * n, f"ok {i}"])
+    want = "\n".join([text(0, 9), text(1, 2), text(2, 3)])
+    links = "<div><ul><li><a href=a>More</a><li><a href=b>Others</a></ul></div>"
+    parts = part(0, 9) + part(1, 2) + part(2, 3)
+    for page in (f"<body>{parts}{links}</body>", f"<main>{parts}{links}</main>", f"<body><section>{part(0, 9)}</section><div>{part(1, 2)}{part(2, 3)}</div>{links}"):
+        assert main_text(page) == want
+
+
+def test_text_beside_an_article_is_content():
+    text = f"<p>{LONG}</p>"
+    page = f"<body><div><p>{LONG * 2}</p><p>{LONG * 2}</p></div><article><h1>T</h1>{text * 9}<p>End.</p></article></body>"
+    assert main_text(page) == "\n".join([LONG * 2] * 2 + ["T"] + [LONG] * 9 + ["End."])
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
