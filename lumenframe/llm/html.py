@@ -9,7 +9,8 @@ a long heading beside the text, contribute their own largest-sum subtree too. Wh
 the outermost one is content as a whole, so that short paragraphs and headings in it stay; a page can have several.
 
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
-notices, adverts, forms, reader comments, scripts and styles.
+notices, adverts, forms, reader comments, scripts and styles. A class or id counts only as a whole, and not on a node that
+holds most of the page's text outside links.
 
 Null, empty and tag-less pages: an empty page has an empty text; plain text without any tag is its own text. Broken
 markup never fails: end tags are implied as browsers imply them. Repeated rows are read each by itself; empty tables give
@@ -38,25 +39,28 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body html caption li dd dt tbody td tfoot th thead tr option optgroup legend".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-#: Never content, by tag, role, or a word of class or id.
+#: Never content, by tag, role, or the words of a class or id.
 DROP_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu search noembed noframes fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus replies reply respond share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
 )
-#: With these, a header is the article's own.
-OWN_WORDS = frozenset("article post entry content story title".split())
+#: Words beside those that leave a class or id what it is: names of boxes and places.
+BOX_WORDS = frozenset("area articles bar block bottom box btn button buttons center col column container fixed form global group holder inline inner items left link links list main mobile outer page panel posts region right section site slot sticky stories top unit wrap wrapper zone".split())
+HEADER_WORDS = frozenset("header topbar".split())
+#: Readers' words: beside an article they are not content, however long.
+READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "items", "drop", "named", "chars", "link_chars", "tags", "link_tags", "density", "total", "best")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, named: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.items: list[Node | str] = []
         self.density = self.total = 0.0
 
@@ -78,13 +82,24 @@ def unwanted(tag: str, attributes: str, node: Node) -> bool:
             return True
         if name == "role" and value.lower() in DROP_ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-            if words & DROP_WORDS or words & {"header", "topbar"} and not words & OWN_WORDS and not any(n.tag in ("article", "main") for n in _up(node)):
-                return True
     return False
 
 
+def named(tag: str, attributes: str, node: Node) -> frozenset[str]:
+    """The words by which a class or the id says that this is no content. A class or id counts as a whole: each of its
+    words must be such a word or name a box, so that has-sidebar or search-result says nothing."""
+    found: set[str] = set()
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id"):
+                for token in (m[2] or m[3] or m[4] or "").split():
+                    words = set(_NAME.findall(_CAMEL.sub(" ", token).lower()))
+                    said = words - BOX_WORDS
+                    if said and (said <= DROP_WORDS or said <= DROP_WORDS | HEADER_WORDS and not any(n.tag in ("article", "main") for n in _up(node))):
+                        found |= said
+    return frozenset(found)
+
+
 def parse(source: str) -> Node:
     root = Node("#root", None)
     at, node, i = root, root, 0
@@ -123,7 +138,7 @@ def parse(source: str) -> Node:
                 at = ends.parent
         if tag in ("html", "body") and any(n.tag == tag for n in _up(at)):
             continue
-        child = Node(tag, at, unwanted(tag, m[3], at))
+        child = Node(tag, at, unwanted(tag, m[3], at), named(tag, m[3], at))
         at.items.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, i)
@@ -157,6 +172,27 @@ def _size(s: str) -> int:
     return len(s) if s.isspace() is False and "  " not in s and "\n" not in s else len(" ".join(s.split()))
 
 
+def drop_named(root: Node) -> None:
+    """Drops the nodes whose class or id says that they are no content, but for those with most of the page's text outside
+    links: they hold the content. Readers' words stay only on pages without an article of their own."""
+    order = _post(root)
+    if not any(n.named for n in order):
+        return
+    free: dict[int, int] = {}  # characters outside links, whether dropped or not
+    own: dict[int, int] = {}  # those of them in an article that isn't dropped
+    for n in order:
+        c = a = 0
+        if n.tag not in ("script", "style", "head", "title", "a"):
+            for x in n.items:
+                c += _size(x) if isinstance(x, str) else free[id(x)]
+                a += 0 if isinstance(x, str) else own[id(x)]
+        free[id(n)], own[id(n)] = c, 0 if n.drop else c if n.tag in ("article", "main") else a
+    for n in order:
+        if n.named:
+            beside = own[id(root)] > (free[id(n)] if any(up.tag in ("article", "main") for up in _up(n)) else own[id(n)])
+            n.drop = n.drop or 2 * free[id(n)] <= free[id(root)] or bool(n.named & READER_WORDS) and beside
+
+
 def measure(root: Node) -> None:
     """C, LC, T, LT of every node; dropped subtrees count only for the body's link share."""
     order = _post(root)
@@ -267,6 +303,7 @@ def main_text(source: str | None) -> str:
     if not source or not source.strip():
         return ""
     root = parse(source)
+    drop_named(root)
     measure(root)
     return "\n".join(b for n in contents(root) for b in blocks(n))
 

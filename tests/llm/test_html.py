@@ -51,6 +51,32 @@ def test_text_beside_an_article_is_content():
     assert main_text(page) == "\n".join([LONG * 2] * 2 + ["T"] + [LONG] * 9 + ["End."])
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ["class='content has-sidebar'", "class='post no-comments'", "class=elementor-widget-container", "id='search-result'", "title='A hidden gem'", "data-id='search'", "class=widget", "data-role=banner title='class=ad'", "id=discussion"],
+)
+def test_containers_that_hold_the_text_stay(attributes):
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert main_text(f"<body><nav>Menu</nav><div {attributes}>{text}</div><div class=sidebar><p>Side.</p></div></body>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><p {attributes}>{LONG}</p><p>End.</p></article>") == ("End." if "discussion" in attributes else f"{LONG}\nEnd.")
+
+
+def test_words_inside_other_attributes_drop_nothing():
+    for attributes in ("title='A hidden gem'", "data-id='search'", "alt='role=dialog'", "class=has-sidebar"):
+        assert main_text(f"<article><p>{LONG}</p><p {attributes}>Short.</p></article>") == f"{LONG}\nShort."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad-slot", "cookieNotice", "comments-area", "comment-list", "social share", "site-header"])
+def test_named_furniture_goes(name):
+    for key in ("class", "id"):
+        assert main_text(f"<body><div {key}='{name}'><p>Not this text.</p></div><div><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG}\n{LONG}"
+
+
+def test_long_comments_go_beside_an_article():
+    for page in ("<article><p>{0}</p>{1}</article>", "<article><p>{0}</p></article>{1}"):
+        assert main_text(page.format(LONG, f"<div class=comments>{f'<p>{LONG}</p>' * 9}</div>")) == LONG
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
