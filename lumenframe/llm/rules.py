@@ -5,7 +5,7 @@ most about `SAMPLE_ROWS` documents and orders the rules by rejections per second
 run first; `cascade` then stops at a document's first rejection. The order never changes a verdict, only the work.
 
 Counts are over the whole text. Words are runs of anything but the six ASCII white space characters. Null or empty texts
-have no words and are rejected by too_few_words. Empty tables give empty results. Repeated rows are judged each by
+have no words and are rejected by too_few_words. Capitals are more than half of a text's letters, of any script. Empty tables give empty results. Repeated rows are judged each by
 itself; other columns pass through, but for the names that a function adds.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -27,6 +28,7 @@ from .common import SPACES, WORD, slim
 SAMPLE_ROWS = 500
 WINDOW = 5
 _WORD = re.compile(WORD)
+_ASCII = re.compile(r"[\x00-\x7f]+")
 _SPACES, _SYMBOLS = SPACES.encode(), b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -60,6 +62,16 @@ class Counts:
     def n_symbols(self) -> int:
         return self.of(_SYMBOLS)
 
+    @cached_property
+    def letters(self) -> tuple[int, int]:
+        """Upper-case letters and all letters, of any script."""
+        upper = self.of(_UPPER)
+        n = upper + self.of(_LOWER)
+        if not self.text.isascii():
+            for c, k in Counter(_ASCII.sub("", self.text)).items():
+                upper, n = upper + k * c.isupper(), n + k * c.isalpha()
+        return upper, n
+
     @cached_property
     def n_lines(self) -> int:
         return len(self._lines)
@@ -104,7 +116,7 @@ RULES: dict[str, Callable[[Counts], bool]] = {
     "too_few_words": lambda c: c.n_words < 10,
     "repeated_windows": lambda c: 100 * c.n_repeat_words > 20 * c.n_words,
     "symbols": lambda c: 10 * c.n_symbols > c.n_words,
-    "capitals": lambda c: c.of(_UPPER) > c.of(_LOWER),
+    "capitals": lambda c: 2 * c.letters[0] > c.letters[1],
     "repeated_lines": lambda c: 2 * c.n_dup_lines > c.n_lines,
     "word_length": lambda c: not 2 * c.n_words <= c.word_chars <= 15 * c.n_words,
 }

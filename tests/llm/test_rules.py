@@ -35,6 +35,19 @@ def test_counts(text):
     assert counts(text) == brute(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text())
+def test_letters_of_any_script(text):
+    assert rules.Counts(text).letters == (sum(c.isupper() for c in text), sum(c.isalpha() for c in text))
+
+
+def test_a_foreign_acronym_is_no_text_in_capitals():
+    for text in ("Сигнал GPS принимают все приборы на борту судна", "Το σύστημα GPS λειτουργεί σε όλο τον κόσμο", "نظام GPS يعمل في كل مكان من العالم", "מערכת GPS פועלת בכל מקום בעולם", "प्रणाली GPS पूरी दुनिया में काम करती है"):
+        assert not rules.RULES["capitals"](rules.Counts(text))
+    for text in ("BUY NOW and SAVE", "КУПИТЕ СЕЙЧАС, это ДЁШЕВО", "ÉÀÉ é"):
+        assert rules.RULES["capitals"](rules.Counts(text))
+
+
 def test_many_different_words_do_not_overflow():
     text = " ".join(f"w{i}" for i in range(9000))
     assert counts(text + " " + text)[4] == 18000 and counts(text)[4] == 0
