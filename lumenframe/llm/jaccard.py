@@ -3,17 +3,24 @@
 Tokens are 64-bit hashes of five-word shingles; a document's set holds each once. Equal sets form one class. Links are
 exact: the method only saves comparisons.
 
-1. Order: tokens by hash, but the most frequent ones (at most HOT_TOKENS, from counts over all documents) last, rarest
-   first. Two sets that link share SHARED tokens (or all common ones, if these are fewer) among their first
-   n - ceil(t n) + SHARED in this order, t being the threshold.
-2. Groups: classes with frequent tokens are compared with the most typical class that shares one of their first frequent
-   tokens, and those that link form its group. A thousand near copies of one text so become one group, linked by a
-   thousand comparisons. Every other class is a group of its own.
-3. Matrix: a row for each token among the first ones and group, with the smallest and the largest set size and the
-   largest possible overlap from that token on. Two groups qualify by SHARED tokens whose bounds allow a link.
-4. Opening: members of qualifying groups are first held against each other by their token counts in 64 slices of the hash
-   space, whose minima bound the overlap, then by counts in as many slices as half their size, then in full.
-5. Components of the links by large-star and small-star rounds.
+1. Order: tokens by hash, but the most frequent ones (at most HOT_TOKENS) last, rarest first. Two sets that link share
+   SHARED tokens (or all common ones, if these are fewer) among their first n - ceil(t n) + SHARED in this order, t being
+   the threshold.
+2. Groups: each class is compared with the most typical class (its pivot) that has one of its keys, which are its first
+   frequent tokens and its first rare one; those that link form a group. A thousand near copies of one text so become one
+   group, linked by a thousand comparisons. A class that links with no pivot is a group of its own.
+3. Matrix: a row for each first token and group, with the smallest and the largest set size and the largest possible
+   overlap from that token on. Two groups are candidates by SHARED tokens whose bounds allow a link. A token with more
+   than WIDE groups that the counts had missed joins the frequent ones, and the matrix is made anew; those that are
+   already last are paired in blocks, each block pair in its own place.
+4. Pivots first: a candidate pair of groups whose pivots link, or which other such links connect, is one component, and no
+   more of its members' pairs matter.
+5. Unions: for the rest, each group's token union is a table of (group, token). A member's overlap with any member of the
+   other group is at most its overlap with that union; only members that could reach the needed overlap are opened, and
+   only against opened members of the other group.
+6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, then by counts in as
+   many slices as half their size, then in full.
+7. Components of the links by large-star and small-star rounds.
 
 Broadcasts: at most HOT_TOKENS tokens; group labels and class lists only within BROADCAST_ROWS, else joins do it.
 
@@ -37,6 +44,8 @@ from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim,
 
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
 HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 30, 4, 64, 4
+WIDE = 2_000  # groups of a token from which it is put last, or paired in blocks
+COUNTED = 4_000_000  # tokens that a task counts at a time
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
 _CHUNK = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -155,15 +164,25 @@ def token_sets(df: DataFrame) -> DataFrame:
 
 
 def hot_tokens(sets: DataFrame, most: int = HOT_TOKENS) -> np.ndarray:
-    """The tokens of the most sets, by rising frequency. Each task counts its own and passes on those it saw twice."""
+    """The tokens of the most sets, by rising frequency. Each task counts its own, COUNTED at a time, and passes on those
+    it saw twice; `qualifying` reports what this misses."""
+
+    def counts(parts: list[np.ndarray]) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
 
     @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [_set(x) for pdf in batches for x in pdf["tokens"]]
-        for k in range(16 if parts else 0):  # by ranges of the sorted sets, so that no copy of all is made
-            ends = np.array([k << 60, (k << 60) + (1 << 60) - 1], dtype=np.uint64)
-            token, n = np.unique(np.concatenate([s[slice(*(np.searchsorted(s, ends[0]), np.searchsorted(s, ends[1], side="right")))] for s in parts]), return_counts=True)
-            yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+        parts, held = [], 0
+        for pdf in batches:
+            for x in pdf["tokens"]:
+                parts.append(_set(x))
+                held += len(parts[-1])
+                if held >= COUNTED:
+                    yield counts(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counts(parts)
 
     seen = sets.filter("tokens IS NOT NULL").select("tokens").mapInPandas(run, "token long, n long")
     rows = seen.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "token").limit(most).toPandas()
@@ -197,14 +216,18 @@ def _size_fits(a, b, threshold: int):
     return (a * 100 >= b * threshold) & (b * 100 >= a * threshold)
 
 
+def _of_classes(sets: DataFrame, ids: DataFrame, *what: str) -> DataFrame:
+    """class and the columns named, of the classes in ids: one row each, where tasks have one each."""
+    ids = cut(ids.toDF("class").distinct())
+    rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(ids, ids.count()), "class", "left_semi")
+    return _anew(cut(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in what))), "class")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that link. Slice counts first, whole sets for what they leave."""
 
     def own(of: DataFrame, *what: str) -> DataFrame:
-        """class and the columns named, of the classes in pairs: one row each, where tasks have one each."""
-        ids = cut(of.select(F.col("a").alias("class")).union(of.select(F.col("b").alias("class"))).distinct())
-        rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(ids, ids.count()), "class", "left_semi")
-        return _anew(cut(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in what))), "class")
+        return _of_classes(sets, of.select("a").union(of.select("b")), *what)
 
     @slim
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +258,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame, hot, threshold: int) -> DataFrame:
-    """(a, b): a class with frequent tokens and the most typical class that shares one of its first KEYS ones."""
+    """(a, b): a class and the most typical class that shares one of its keys: its first KEYS frequent tokens by hash, and
+    its first rare one."""
 
     @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,12 +268,13 @@ def star_pairs(sets: DataFrame, hot, threshold: int) -> DataFrame:
             out = []
             for c, x in zip(pdf["class"], pdf["tokens"]):
                 cold, warm = order(_set(x))
-                out += [(int(k), c, len(cold), len(warm)) for k in np.sort(warm)[:KEYS].view(np.int64)]
+                out += [(int(k), c, len(cold), len(warm)) for k in np.concatenate([cold[:1], np.sort(warm)[:KEYS]]).view(np.int64)]
             yield pd.DataFrame(out, columns=["key", "a", "cold", "hot"])
 
     rows = cut(sets.filter("tokens IS NOT NULL").select("class", "tokens").mapInPandas(run, "key long, a long, cold long, hot long"))
     typical = F.struct((F.col("hot") / (F.col("hot") + F.col("cold"))).alias("share"), F.col("hot").alias("hot"), F.col("cold").alias("cold"), F.col("a").alias("b"))
-    pivots = cut(rows.groupBy("key").agg(F.max(typical).alias("p")).select(F.col("key").alias("_key"), F.col("p.b").alias("b"), F.col("p.hot").alias("hot_b"), F.col("p.cold").alias("cold_b")))
+    keys = rows.groupBy("key").agg(F.max(typical).alias("p"), F.count("*").alias("c")).filter("c > 1")
+    pivots = cut(keys.select(F.col("key").alias("_key"), F.col("p.b").alias("b"), F.col("p.hot").alias("hot_b"), F.col("p.cold").alias("cold_b")))
     n, m = F.col("hot") + F.col("cold"), F.col("hot_b") + F.col("cold_b")
     most = F.least("hot", "hot_b") + F.least("cold", "cold_b")  # of the overlap
     pairs = rows.join(_anew(pivots, "_key"), F.col("key") == F.col("_key")).filter((F.col("a") != F.col("b")) & (most * (100 + threshold) >= (n + m) * threshold))
@@ -296,34 +321,53 @@ def matrix(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot, thresh
     return rows.mapInPandas(run, "token long, group long, low int, high int, room int")
 
 
-def qualifying(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (g, h) of groups, g < h, whose bounds at a shared token allow a link."""
-
-    def pairs_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token = pdf["token"].to_numpy()
-        same = np.zeros(len(token) + 1, dtype=bool)
-        same[1:-1] = token[1:] == token[:-1]
-        shared = same[1:] | same[:-1]
-        if not shared.any():
-            return
-        pdf = pdf[shared].groupby(["token", "group"], as_index=False, sort=True).agg(low=("low", "min"), high=("high", "max"), room=("room", "max"))
-        token, group, low, high, room = (pdf[c].to_numpy(np.int64) for c in ("token", "group", "low", "high", "room"))
-        ends = np.searchsorted(token, token, side="right")
-        found = []
-        for step in range(1, int((ends - np.arange(len(token))).max(initial=1))):
-            i = np.flatnonzero(np.arange(len(token)) + step < ends)
-            j = i + step
-            fits = (high[i] * 100 >= low[j] * threshold) & (high[j] * 100 >= low[i] * threshold)
-            least = -(-threshold * (low[i] + low[j]) // (100 + threshold))  # the overlap of a link
-            fits &= np.minimum(room[i], room[j]) >= least - (SHARED - 1)  # holds at the first SHARED tokens of every link
-            i, j, least = i[fits], j[fits], least[fits]
-            if len(i):
-                found.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), np.minimum(least, SHARED)]))
-            if sum(x.shape[1] for x in found) > 1_000_000:
-                yield _frame(found)
-                found = []
-        if found:
+def _fits(low, high, room, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the row pairs (i, j) of one token: which allow a link, and the overlap that a link needs."""
+    fits = (high[i] * 100 >= low[j] * threshold) & (high[j] * 100 >= low[i] * threshold)
+    least = -(-threshold * (low[i] + low[j]) // (100 + threshold))
+    return fits & (np.minimum(room[i], room[j]) >= least - (SHARED - 1)), least  # holds at the first SHARED tokens of every link
+
+
+def _frame(found: list[np.ndarray]) -> pd.DataFrame:
+    """Each pair of groups once, with the tokens it shares and the fewest that it needs."""
+    g, h, least = np.concatenate(found, axis=1)
+    pdf = pd.DataFrame({"g": g, "h": h, "least": least, "n": 1})
+    return pdf.groupby(["g", "h"], as_index=False, sort=False).agg(least=("least", "min"), n=("n", "sum"))
+
+
+def _pairs(pdf: pd.DataFrame, threshold: int, wide: int) -> Iterator[pd.DataFrame]:
+    """g, h, least, n of rows sorted by token; a token of more than `wide` groups gives itself as g, no h, and their
+    number as n in place of its pairs."""
+    token = pdf["token"].to_numpy()
+    same = np.zeros(len(token) + 1, dtype=bool)
+    same[1:-1] = token[1:] == token[:-1]
+    shared = same[1:] | same[:-1]
+    if not shared.any():
+        return
+    pdf = pdf[shared].groupby(["token", "group"], as_index=False, sort=True).agg(low=("low", "min"), high=("high", "max"), room=("room", "max"))
+    token, first, count = np.unique(pdf["token"].to_numpy(np.int64), return_index=True, return_counts=True)
+    if (count > wide).any():
+        yield pd.DataFrame({"g": token[count > wide], "h": pd.array([None] * int((count > wide).sum()), dtype="Int64"), "least": 0, "n": count[count > wide]})
+        pdf = pdf[np.repeat(count <= wide, count)]
+    token, group, low, high, room = (pdf[c].to_numpy(np.int64) for c in ("token", "group", "low", "high", "room"))
+    ends = np.searchsorted(token, token, side="right")
+    found: list[np.ndarray] = []
+    for step in range(1, int((ends - np.arange(len(token))).max(initial=1))):
+        i = np.flatnonzero(np.arange(len(token)) + step < ends)
+        fits, least = _fits(low, high, room, i, i + step, threshold)
+        i, least = i[fits], least[fits]
+        if len(i):
+            found.append(np.stack([np.minimum(group[i], group[i + step]), np.maximum(group[i], group[i + step]), np.minimum(least, SHARED)]))
+        if sum(x.shape[1] for x in found) > 1_000_000:
             yield _frame(found)
+            found = []
+    if found:
+        yield _frame(found)
+
+
+def qualifying(rows: DataFrame, threshold: int, wide: int) -> DataFrame:
+    """g, h, least, n: pairs of groups, g < h, with the tokens whose bounds allow a link, a row from each task; and a row
+    (token, null, 0, groups) for each token with more than `wide` groups, whose pairs are not here."""
 
     @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,33 +380,104 @@ def qualifying(rows: DataFrame, threshold: int) -> DataFrame:
                 rest.append(pdf)
                 continue
             at = int(np.searchsorted(token, token[-1]))
-            yield from pairs_of(pd.concat([*rest, pdf.iloc[:at]]))
+            yield from _pairs(pd.concat([*rest, pdf.iloc[:at]]), threshold, wide)
             rest = [pdf.iloc[at:]]
         if rest:
-            yield from pairs_of(pd.concat(rest))
+            yield from _pairs(pd.concat(rest), threshold, wide)
 
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
-    pairs = dealt.mapInPandas(run, "g long, h long, least long, n long").groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-    return cut(pairs.filter("n >= least").select("g", "h"))
-
-
-def _frame(found: list[np.ndarray]) -> pd.DataFrame:
-    """Each pair of groups once, with the tokens it shares and the fewest that it needs."""
-    g, h, least = np.concatenate(found, axis=1)
-    pdf = pd.DataFrame({"g": g, "h": h, "least": least, "n": 1})
-    return pdf.groupby(["g", "h"], as_index=False, sort=False).agg(least=("least", "min"), n=("n", "sum"))
-
-
-def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
-    """Pairs (a, b) of classes of qualifying groups whose sizes fit."""
-    if labels is None:
-        return groups.select(F.col("g").alias("a"), F.col("h").alias("b"))
+    return cut(dealt.mapInPandas(run, "g long, h long, least long, n long"))
+
+
+def block_pairs(rows: DataFrame, tokens: DataFrame, n_tokens: int, threshold: int, wide: int) -> DataFrame:
+    """g, h, least, n of the tokens(token, blocks): a token's groups are dealt into blocks by hash, and every two blocks
+    meet in a place of their own, so that no task has all rows of a token."""
+    rows = rows.join(small(tokens, n_tokens), "token").groupBy("token", "blocks", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("room").alias("room"))
+    own = F.pmod(F.xxhash64("group"), F.col("blocks"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("token", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "group", "low", "high", "room")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        group, low, high, room, side = (pdf[c].to_numpy(np.int64) for c in ("group", "low", "high", "room", "own"))
+        found = [np.empty((3, 0), dtype=np.int64)]
+        left = np.arange(len(group)) if same else np.flatnonzero(side == pdf["i"].iloc[0])
+        right = left if same else np.flatnonzero(side == pdf["j"].iloc[0])
+        for at in left:
+            j = right[right > at] if same else right
+            fits, least = _fits(low, high, room, np.full(len(j), at), j, threshold)
+            found.append(np.stack([np.minimum(group[at], group[j[fits]]), np.maximum(group[at], group[j[fits]]), np.minimum(least[fits], SHARED)]))
+        return _frame(found)
+
+    return rows.groupBy("token", "i", "j").applyInPandas(run, "g long, h long, least long, n long")
+
+
+def candidates(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot: np.ndarray, threshold: int, wide: int) -> DataFrame:
+    """Pairs (g, h) of groups, g < h, whose matrix rows allow a link."""
+    spark = sets.sparkSession
+    while True:
+        rows = matrix(sets, labels, n_labels, spark.sparkContext.broadcast(hot), threshold)
+        found = qualifying(rows, threshold, wide)
+        over = found.filter("h IS NULL").select(F.col("g").alias("token"), "n")
+        new = over.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()
+        known = np.isin(new["token"].to_numpy(np.int64), hot.view(np.int64))
+        more = new["token"].to_numpy(np.int64)[~known][: max(0, HOT_TOKENS - len(hot))]
+        if not len(more):
+            break
+        hot = np.concatenate([hot, more[::-1].view(np.uint64)])  # last of all: they are in more groups than is known of any other
+    pairs = found.filter("h IS NOT NULL")
+    if len(new):
+        tokens = over.groupBy("token").agg(F.sum("n").alias("n")).select("token", F.ceil(F.col("n") / wide).cast("long").alias("blocks"))
+        pairs = pairs.union(block_pairs(rows, tokens, len(new), threshold, wide))
+    return cut(pairs.groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n >= least").select("g", "h"))
+
+
+def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (g, h) of groups that the links `edges` of classes leave apart."""
+    own = lambda c: labels.select(F.col("class").alias(c), F.col("group").alias(f"_{c}"))
+    up = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    roots = components(up)
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    return cut(groups.join(side("g"), "g", "left").join(side("h"), "h", "left").filter(F.coalesce("_g", "g") != F.coalesce("_h", "h")).select("g", "h"))
+
+
+def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of classes of the pairs (g, h) of groups: those members whose overlap with the other group's token
+    union could reach a link's. The union of a group of one is its set, which is compared in full later."""
     sizes = sets.filter("tokens IS NOT NULL").select("class", "n").distinct()
-    members = labels.join(sizes, "class")
-    g = groups.join(members.select(F.col("group").alias("g"), F.col("class").alias("_a"), F.col("n").alias("na")), "g", "left")
-    g = g.join(members.select(F.col("group").alias("h"), F.col("class").alias("_b"), F.col("n").alias("nb")), "h", "left")
-    g = g.filter(F.col("na").isNull() | F.col("nb").isNull() | _size_fits(F.col("na"), F.col("nb"), threshold))
-    return g.select(F.coalesce("_a", "g").alias("a"), F.coalesce("_b", "h").alias("b"))
+    wanted = groups.select(F.col("g").alias("group")).union(groups.select(F.col("h").alias("group"))).distinct()
+    members = cut(labels.join(wanted, "group", "left_semi").join(sizes, "class").select("class", "group", "n"))
+    ranges = cut(members.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    both = groups.select(F.col("g").alias("own"), F.col("h").alias("other")).union(groups.select(F.col("h").alias("own"), F.col("g").alias("other")))
+    asks = both.join(_anew(members.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
+    asks = cut(asks.join(ranges.withColumnRenamed("group", "other"), "other"))  # of groups of two and more only
+
+    @slim
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            key = [c for c in pdf.columns if c != "tokens"]
+            parts = [_set(x).view(np.int64) for x in pdf["tokens"]]
+            if parts:
+                out = pdf[key].loc[pdf.index.repeat(list(map(len, parts)))].assign(token=np.concatenate(parts))
+                yield out.drop_duplicates() if key == ["group"] else out
+
+    stored = _of_classes(sets, members.select("class").union(asks.select("q")), "tokens")
+    union = members.select("class", "group").join(stored, "class").select("group", "tokens").mapInPandas(tokens, "group long, token long").distinct()
+    asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).join(stored, "class").select(F.col("class").alias("q"), "group", "tokens").mapInPandas(tokens, "q long, group long, token long")
+    most = asked.join(_anew(union, "token"), ["group", "token"]).groupBy("q", "group").agg(F.count("*").alias("most"))
+    asks = asks.join(most.withColumnRenamed("group", "other"), ["q", "other"]).join(sizes.withColumnRenamed("class", "q"), "q")
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * threshold / 100))  # the smallest size of a member that may link
+    asks = asks.filter((F.col("n") * threshold <= F.col("high") * 100) & (F.col("most") * (100 + threshold) >= (F.col("n") + least) * threshold))
+    asks = cut(asks.select("own", "other", "q", F.col("n").alias("nq")))
+    one = lambda c: _anew(ranges.select(F.col("group").alias(c)), c)
+    left = asks.select(F.col("own").alias("g"), F.col("other").alias("h"), F.col("q").alias("a"), F.col("nq").alias("na"))
+    # both groups have several members: opened ones meet opened ones
+    several = groups.join(one("g"), "g", "left_semi").join(one("h"), "h", "left_semi")
+    right = asks.select(F.col("own").alias("h"), F.col("other").alias("g"), F.col("q").alias("b"), F.col("nq").alias("nb"))
+    pairs = several.join(left, ["g", "h"]).join(right, ["g", "h"]).filter(_size_fits(F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    # one of the groups is a single class: it meets the members of a group that it opened
+    single = left.join(one("g"), "g", "left_anti").join(members.select(F.col("group").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb")), "h")
+    return pairs.union(single.filter(_size_fits(F.col("na"), F.col("nb"), threshold)).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -386,26 +501,41 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (links of the class found by
-    comparison, without those that step 2 made superfluous), for every row of df(doc_id, text)."""
-    with arrow_batches(df.sparkSession, *BATCH):
-        return _near_duplicates(df, threshold)
+    comparison, without those that steps 2 and 4 made superfluous), for every row of df(doc_id, text)."""
+    stage = Stage(df.sparkSession)
+    try:
+        with arrow_batches(df.sparkSession, *BATCH):
+            return _near_duplicates(df, threshold, wide, stage)
+    finally:
+        stage.drop()
 
 
-def _near_duplicates(df: DataFrame, threshold: int) -> DataFrame:
-    spark, stage = df.sparkSession, Stage(df.sparkSession)
+def _near_duplicates(df: DataFrame, threshold: int, wide: int, stage: Stage) -> DataFrame:
     sets = stage.put(token_sets(df), "sets")
-    hot = spark.sparkContext.broadcast(hot_tokens(sets))
-    stars = verified(star_pairs(sets, hot, threshold), sets, threshold)
+    hot = hot_tokens(sets)
+    stars = verified(star_pairs(sets, df.sparkSession.sparkContext.broadcast(hot), threshold), sets, threshold)
     n_stars, labels, n_labels = stars.count(), None, 0
     if n_stars:
         roots = components(stars)
         labels = cut(roots.select(F.col("node").alias("class"), F.col("root").alias("group")).union(roots.select("root", "root").distinct()))
         n_labels = labels.count()
-    groups = qualifying(matrix(sets, labels, n_labels, hot, threshold), threshold)
-    links = verified(opened(groups, sets, labels, threshold), sets, threshold)
-    edges = cut(stars.union(links))
+    groups, edges = candidates(sets, labels, n_labels, hot, threshold, wide), stars
+    if labels is None:
+        edges = cut(edges.union(verified(groups.toDF("a", "b"), sets, threshold)))
+    else:
+        # a group's pivot: the class that most of its members were compared with
+        pivots = stars.groupBy("b").agg(F.count("*").alias("c")).join(labels.withColumnRenamed("class", "b"), "b")
+        pivots = cut(pivots.groupBy("group").agg(F.max_by("b", F.struct("c", "b")).alias("pivot")))
+        side = lambda c: pivots.select(F.col("group").alias(c), F.col("pivot").alias(f"_{c}"))
+        first = groups.join(side("g"), "g", "left").join(side("h"), "h", "left").select(F.coalesce("_g", "g").alias("a"), F.coalesce("_h", "h").alias("b"))
+        edges = cut(edges.union(verified(cut(first), sets, threshold)))
+        # two groups of one class each were compared in full
+        apart = not_connected(groups, edges, labels).join(pivots.select(F.col("group").alias("g"), F.lit(1).alias("_g")), "g", "left").join(pivots.select(F.col("group").alias("h"), F.lit(1).alias("_h")), "h", "left")
+        apart = cut(apart.filter("_g = 1 OR _h = 1").select("g", "h"))
+        if apart.count():
+            edges = cut(edges.union(verified(cut(opened(apart, sets, labels, threshold)), sets, threshold)))
     roots = components(edges)
     degree = edges.union(edges.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     ids = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -414,6 +544,4 @@ def _near_duplicates(df: DataFrame, threshold: int) -> DataFrame:
     named = ids.join(_anew(least, "root"), "root").join(degree.withColumnRenamed("a", "class"), "class", "left")
     named = stage.put(named.select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     out = sets.select("doc_id", "n", "class").join(named, "class", "left")
-    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    stage.drop()
-    return out
+    return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

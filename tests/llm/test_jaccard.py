@@ -90,3 +90,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {100: 90, 95: 90}
+
+
+@pytest.mark.parametrize("wide", [3, jaccard.WIDE])
+def test_large_groups_that_share_a_passage_and_do_not_link(spark, wide):
+    """Two families of near copies around one passage, outliers of both, and frequent tokens in blocks."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage, docs = [word() for _ in range(70)], []
+    for n in (130, 150):
+        base = passage + [word() for _ in range(n - 70)]
+        for k in range(90):
+            text = list(base)
+            for _ in range(k // 16):
+                text[r.randrange(len(text))] = word()
+            docs.append(" ".join(text))
+    docs += [" ".join(r.sample(passage, 20)) for _ in range(20)] + [" ".join(passage + [word()]) for _ in range(20)]
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert found(jaccard.near_duplicates(df, wide=wide)) == brute(rows)
