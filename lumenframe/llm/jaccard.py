@@ -15,11 +15,11 @@ exact: the method only saves comparisons.
    already last are paired in blocks, each block pair in its own place.
 4. Pivots first: a candidate pair of groups whose pivots link, or which other such links connect, is one component, and no
    more of its members' pairs matter.
-5. Unions: for the rest, each group's token union is a table of (group, token). A member's overlap with any member of the
-   other group is at most its overlap with that union; only members that could reach the needed overlap are opened, and
-   only against opened members of the other group.
-6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, then by counts in as
-   many slices as half their size, then in full.
+5. Unions: for the rest, each group's token union is a table of (group, token). A class's overlap with any member of the
+   other group is at most its overlap with that union; only groups that could reach the needed overlap are opened to it,
+   and of their members those that share enough tokens beside the pivot's.
+6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, or by counts in as many
+   slices as half their size; those that are left are compared in full.
 7. Components of the links by large-star and small-star rounds.
 
 Broadcasts: at most HOT_TOKENS tokens; group labels and class lists only within BROADCAST_ROWS, else joins do it.
@@ -43,9 +43,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim, small
 
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
-HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 30, 4, 64, 4
+HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 10, 4, 64, 4
 WIDE = 2_000  # groups of a token from which it is put last, or paired in blocks
 COUNTED = 4_000_000  # tokens that a task counts at a time
+ROWS = 50_000  # rows of a few numbers each that are worth a partition
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
 _CHUNK = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -211,6 +212,11 @@ def _anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key) + 0)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its counted rows are worth: small tables don't make thousands of small files."""
+    return df.coalesce(1 + rows // ROWS)
+
+
 def _size_fits(a, b, threshold: int):
     """Columns: sets of a and b tokens may link."""
     return (a * 100 >= b * threshold) & (b * 100 >= a * threshold)
@@ -219,7 +225,8 @@ def _size_fits(a, b, threshold: int):
 def _of_classes(sets: DataFrame, ids: DataFrame, *what: str) -> DataFrame:
     """class and the columns named, of the classes in ids: one row each, where tasks have one each."""
     ids = cut(ids.toDF("class").distinct())
-    rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(ids, ids.count()), "class", "left_semi")
+    n = ids.count()
+    rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(_few(ids, n), n), "class", "left_semi")
     return _anew(cut(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in what))), "class")
 
 
@@ -232,7 +239,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     @slim
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [_most(x, y) * (100 + threshold) >= threshold * (n + m) for x, y, n, m in zip(pdf["ca"], pdf["cb"], pdf["na"], pdf["nb"])]
+            keep = []
+            for n, m, *x in zip(*(pdf[c] for c in ("na", "nb", "ca", "cb", "sa", "sb"))):  # most pairs go by the short counts
+                keep.append(all(_most(x[k], x[k + 1]) * (100 + threshold) >= threshold * (n + m) for k in (0, 2)))
             yield pdf.loc[keep, ["a", "b"]]
 
     @slim
@@ -248,11 +257,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def with_(left: DataFrame, side: str, table: DataFrame) -> DataFrame:
         return left.join(table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c[0]}{side}") for c in table.columns[1:])), side)
 
-    left = pairs
-    for counts in ("coarse", "slices"):  # most pairs go by the short counts, most others by the long ones
-        table = own(left, "n", counts).withColumnRenamed(counts, "counts")
-        rows = with_(with_(left, "a", table), "b", table).filter(_size_fits(F.col("na"), F.col("nb"), threshold))
-        left = cut(rows.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(bound, "a long, b long"))
+    counts = own(pairs, "n", "coarse", "slices")
+    rows = with_(with_(pairs, "a", counts), "b", counts).filter(_size_fits(F.col("na"), F.col("nb"), threshold))
+    left = cut(rows.select("a", "b", "na", "nb", "ca", "cb", "sa", "sb").mapInPandas(bound, "a long, b long"))
+    left = _few(left, left.count())
     whole = own(left, "tokens")
     return cut(with_(with_(left, "a", whole), "b", whole).select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
 
@@ -335,42 +343,36 @@ def _frame(found: list[np.ndarray]) -> pd.DataFrame:
     return pdf.groupby(["g", "h"], as_index=False, sort=False).agg(least=("least", "min"), n=("n", "sum"))
 
 
-def _pairs(pdf: pd.DataFrame, threshold: int, wide: int) -> Iterator[pd.DataFrame]:
-    """g, h, least, n of rows sorted by token; a token of more than `wide` groups gives itself as g, no h, and their
-    number as n in place of its pairs."""
-    token = pdf["token"].to_numpy()
+def _pairs(pdf: pd.DataFrame, threshold: int, wide: int) -> tuple[list[np.ndarray], pd.DataFrame | None]:
+    """(g, h, least) for each token and pair of its groups, of rows sorted by token; and a row (token, null, 0, groups) for
+    each token of more than `wide` groups, in place of its pairs."""
+    token, found, over = pdf["token"].to_numpy(), [], None
     same = np.zeros(len(token) + 1, dtype=bool)
     same[1:-1] = token[1:] == token[:-1]
     shared = same[1:] | same[:-1]
     if not shared.any():
-        return
+        return found, over
     pdf = pdf[shared].groupby(["token", "group"], as_index=False, sort=True).agg(low=("low", "min"), high=("high", "max"), room=("room", "max"))
-    token, first, count = np.unique(pdf["token"].to_numpy(np.int64), return_index=True, return_counts=True)
+    token, count = np.unique(pdf["token"].to_numpy(np.int64), return_counts=True)
     if (count > wide).any():
-        yield pd.DataFrame({"g": token[count > wide], "h": pd.array([None] * int((count > wide).sum()), dtype="Int64"), "least": 0, "n": count[count > wide]})
+        over = pd.DataFrame({"g": token[count > wide], "h": pd.array([None] * int((count > wide).sum()), dtype="Int64"), "least": 0, "n": count[count > wide]})
         pdf = pdf[np.repeat(count <= wide, count)]
     token, group, low, high, room = (pdf[c].to_numpy(np.int64) for c in ("token", "group", "low", "high", "room"))
     ends = np.searchsorted(token, token, side="right")
-    found: list[np.ndarray] = []
     for step in range(1, int((ends - np.arange(len(token))).max(initial=1))):
         i = np.flatnonzero(np.arange(len(token)) + step < ends)
         fits, least = _fits(low, high, room, i, i + step, threshold)
         i, least = i[fits], least[fits]
         if len(i):
             found.append(np.stack([np.minimum(group[i], group[i + step]), np.maximum(group[i], group[i + step]), np.minimum(least, SHARED)]))
-        if sum(x.shape[1] for x in found) > 1_000_000:
-            yield _frame(found)
-            found = []
-    if found:
-        yield _frame(found)
+    return found, over
 
 
 def qualifying(rows: DataFrame, threshold: int, wide: int) -> DataFrame:
     """g, h, least, n: pairs of groups, g < h, with the tokens whose bounds allow a link, a row from each task; and a row
     (token, null, 0, groups) for each token with more than `wide` groups, whose pairs are not here."""
 
-    @slim
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for pdf in batches:  # rows are sorted by token: what follows the last token's first row waits for the next batch
             if not len(pdf):
@@ -380,10 +382,24 @@ def qualifying(rows: DataFrame, threshold: int, wide: int) -> DataFrame:
                 rest.append(pdf)
                 continue
             at = int(np.searchsorted(token, token[-1]))
-            yield from _pairs(pd.concat([*rest, pdf.iloc[:at]]), threshold, wide)
+            yield pd.concat([*rest, pdf.iloc[:at]])
             rest = [pdf.iloc[at:]]
         if rest:
-            yield from _pairs(pd.concat(rest), threshold, wide)
+            yield pd.concat(rest)
+
+    @slim
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[np.ndarray] = []
+        for pdf in whole_tokens(batches):
+            pairs, over = _pairs(pdf, threshold, wide)
+            found += pairs
+            if over is not None:
+                yield over
+            if sum(x.shape[1] for x in found) > 1_000_000:
+                yield _frame(found)
+                found = []
+        if found:
+            yield _frame(found)
 
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token")
     return cut(dealt.mapInPandas(run, "g long, h long, least long, n long"))
@@ -429,7 +445,8 @@ def candidates(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot: np
     if len(new):
         tokens = over.groupBy("token").agg(F.sum("n").alias("n")).select("token", F.ceil(F.col("n") / wide).cast("long").alias("blocks"))
         pairs = pairs.union(block_pairs(rows, tokens, len(new), threshold, wide))
-    return cut(pairs.groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n >= least").select("g", "h"))
+    pairs = cut(pairs.groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n >= least").select("g", "h"))
+    return _few(pairs, pairs.count())
 
 
 def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -441,60 +458,77 @@ def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> Dat
     return cut(groups.join(side("g"), "g", "left").join(side("h"), "h", "left").filter(F.coalesce("_g", "g") != F.coalesce("_h", "h")).select("g", "h"))
 
 
-def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of classes of the pairs (g, h) of groups: those members whose overlap with the other group's token
-    union could reach a link's. The union of a group of one is its set, which is compared in full later."""
-    sizes = sets.filter("tokens IS NOT NULL").select("class", "n").distinct()
+def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of classes of the pairs (g, h) of groups that could link. A class asks the other group: its overlap with
+    the group's token union must reach a link's. The union of a group of one is its set, which is compared in full later.
+    A member b is opened to a if min(|a & pivot|, |b & pivot|) and the tokens beside the pivot that both have reach a
+    link's overlap; where those tokens have more holders than the group has members, all members of a fitting size are."""
+    reach = lambda most, n, m: most * (100 + threshold) >= (n + m) * threshold
     wanted = groups.select(F.col("g").alias("group")).union(groups.select(F.col("h").alias("group"))).distinct()
-    members = cut(labels.join(wanted, "group", "left_semi").join(sizes, "class").select("class", "group", "n"))
-    ranges = cut(members.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    ids = cut(labels.join(wanted, "group", "left_semi").join(pivots, "group"))
     both = groups.select(F.col("g").alias("own"), F.col("h").alias("other")).union(groups.select(F.col("h").alias("own"), F.col("g").alias("other")))
-    asks = both.join(_anew(members.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
-    asks = cut(asks.join(ranges.withColumnRenamed("group", "other"), "other"))  # of groups of two and more only
+    asks = both.join(pivots.select(F.col("group").alias("other")), "other", "left_semi")  # of groups of two and more only
+    asks = asks.join(_anew(ids.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
+    asks = cut(asks)
+    held = _of_classes(sets, ids.select("class").union(asks.select("q")), "n", "tokens")
+    sizes = held.select("class", "n")
 
     @slim
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            key = [c for c in pdf.columns if c != "tokens"]
             parts = [_set(x).view(np.int64) for x in pdf["tokens"]]
             if parts:
-                out = pdf[key].loc[pdf.index.repeat(list(map(len, parts)))].assign(token=np.concatenate(parts))
-                yield out.drop_duplicates() if key == ["group"] else out
-
-    stored = _of_classes(sets, members.select("class").union(asks.select("q")), "tokens")
-    union = members.select("class", "group").join(stored, "class").select("group", "tokens").mapInPandas(tokens, "group long, token long").distinct()
-    asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).join(stored, "class").select(F.col("class").alias("q"), "group", "tokens").mapInPandas(tokens, "q long, group long, token long")
-    most = asked.join(_anew(union, "token"), ["group", "token"]).groupBy("q", "group").agg(F.count("*").alias("most"))
-    asks = asks.join(most.withColumnRenamed("group", "other"), ["q", "other"]).join(sizes.withColumnRenamed("class", "q"), "q")
-    least = F.greatest(F.col("low"), F.ceil(F.col("n") * threshold / 100))  # the smallest size of a member that may link
-    asks = asks.filter((F.col("n") * threshold <= F.col("high") * 100) & (F.col("most") * (100 + threshold) >= (F.col("n") + least) * threshold))
-    asks = cut(asks.select("own", "other", "q", F.col("n").alias("nq")))
-    one = lambda c: _anew(ranges.select(F.col("group").alias(c)), c)
-    left = asks.select(F.col("own").alias("g"), F.col("other").alias("h"), F.col("q").alias("a"), F.col("nq").alias("na"))
-    # both groups have several members: opened ones meet opened ones
-    several = groups.join(one("g"), "g", "left_semi").join(one("h"), "h", "left_semi")
-    right = asks.select(F.col("own").alias("h"), F.col("other").alias("g"), F.col("q").alias("b"), F.col("nq").alias("nb"))
-    pairs = several.join(left, ["g", "h"]).join(right, ["g", "h"]).filter(_size_fits(F.col("na"), F.col("nb"), threshold)).select("a", "b")
-    # one of the groups is a single class: it meets the members of a group that it opened
-    single = left.join(one("g"), "g", "left_anti").join(members.select(F.col("group").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb")), "h")
-    return pairs.union(single.filter(_size_fits(F.col("na"), F.col("nb"), threshold)).select("a", "b")).distinct()
+                yield pdf[["class", "group", "pivot"]].loc[pdf.index.repeat(list(map(len, parts)))].assign(token=np.concatenate(parts))
+
+    kind = "class long, group long, pivot long, token long"
+    own = cut(ids.join(held, "class").select("class", "group", "pivot", "tokens").mapInPandas(tokens, kind))
+    union = cut(own.groupBy("group", "token").agg(F.count("*").alias("holders"), F.max((F.col("class") == F.col("pivot")).cast("int")).alias("in_pivot")))
+    of_union = lambda df: df.join(_anew(union, "token"), ["group", "token"])
+    own = of_union(own)
+    members = cut(own.groupBy("class", "group").agg(F.sum("in_pivot").alias("inside")).join(sizes, "class").select(F.col("class").alias("b"), "group", F.col("n").alias("nb"), F.col("inside").alias("ib")))
+    ranges = members.groupBy("group").agg(F.min("nb").alias("low"), F.max("nb").alias("high"), F.count("*").alias("size"))
+    asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).distinct().join(held, "class").withColumn("pivot", F.lit(0).cast("long"))
+    asked = cut(of_union(asked.select("class", "group", "pivot", "tokens").mapInPandas(tokens, kind)).select(F.col("class").alias("a"), "group", "token", "holders", "in_pivot"))
+    beside = F.sum(F.when(F.col("in_pivot") == 0, F.col("holders")).otherwise(0)).alias("beside")
+    a = asked.groupBy("a", "group").agg(F.count("*").alias("most"), F.sum("in_pivot").alias("ia"), beside)
+    a = a.join(ranges, "group").join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
+    least = F.greatest(F.col("low"), F.ceil(F.col("na") * threshold / 100))  # the smallest size of a member that may link
+    a = cut(a.filter((F.col("na") * threshold <= F.col("high") * 100) & reach(F.col("most"), F.col("na"), least)).select("a", "group", "na", "ia", "beside", "size"))
+
+    fits, floor = _size_fits(F.col("na"), F.col("nb"), threshold), F.least("ia", "ib")
+    whole = a.filter("beside >= size").join(_anew(members, "group"), "group").filter(fits).select("a", "b", "group")
+    some = a.filter("beside < size")
+    extras = asked.filter("in_pivot = 0").select("a", "group", "token").join(_anew(some, "a"), ["a", "group"])
+    extras = extras.join(own.filter("in_pivot = 0").select(F.col("class").alias("b"), "group", "token"), ["group", "token"])
+    shared = extras.groupBy("a", "b", "group").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("ia").alias("ia")).join(_anew(members, "b"), ["b", "group"])
+    shared = shared.filter(fits & reach(floor + F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b", "group")
+    shapes = members.select("group", "nb", "ib").distinct()  # few: sizes
+    inside = some.join(_anew(shapes, "group"), "group").filter(fits & reach(floor, F.col("na"), F.col("nb"))).join(_anew(members, "group"), ["group", "nb", "ib"]).select("a", "b", "group")
+    found = cut(whole.union(shared).union(inside).distinct())
+
+    several = pivots.select(F.col("group").alias("own"), F.lit(True).alias("_several"))
+    way = asks.select("own", "other", F.col("q").alias("a")).join(several, "own", "left").filter("_several IS NULL OR own < other")
+    pairs = found.join(way.withColumnRenamed("other", "group"), ["a", "group"])
+    back = a.select(F.col("a").alias("b"), F.col("group").alias("own"), F.lit(True).alias("_back"))  # members that opened the asking group
+    return pairs.join(back, ["b", "own"], "left").filter("_several IS NULL OR _back").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of edges(a, b)."""
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = cut(edges.filter("a <> b").select(high, low).distinct())
-    state = None
+    n, state = edges.count(), None  # no round makes more edges than there are
     while True:
+        edges = _few(edges, n)
         # large star: every larger neighbour moves to the smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large)
+        large = both.filter("b > a").join(_few(_anew(least, "a"), n), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = cut(_few(large, n))
         # small star: smaller neighbours and the node itself move to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_ = large.join(_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small_.filter("a <> b").distinct())
+        small_ = large.join(_few(_anew(least, "a"), n), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(_few(least.select("a", F.col("m").alias("b")), n))
+        edges = cut(_few(small_.filter("a <> b").distinct(), n))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -535,7 +569,7 @@ def _near_duplicates(df: DataFrame, threshold: int, wide: int, stage: Stage) ->
         apart = not_connected(groups, edges, labels).join(pivots.select(F.col("group").alias("g"), F.lit(1).alias("_g")), "g", "left").join(pivots.select(F.col("group").alias("h"), F.lit(1).alias("_h")), "h", "left")
         apart = cut(apart.filter("_g = 1 OR _h = 1").select("g", "h"))
         if apart.count():
-            edges = cut(edges.union(verified(cut(opened(apart, sets, labels, threshold)), sets, threshold)))
+            edges = cut(edges.union(verified(cut(opened(apart, sets, labels, pivots, threshold)), sets, threshold)))
     roots = components(edges)
     degree = edges.union(edges.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     ids = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
