@@ -10,9 +10,9 @@ digits or of signs there are no such places; but a sequence of tokens is the enc
 are that of theirs, so a window of the run whose first and last token are the old ones fits. Failing both, the window
 grows until it is the whole of both sides. Special tokens in a text are split off first, as the tokenizer does.
 
-Null or empty texts have no tokens. Texts with equal columns are encoded once each; repeated rows stay repeated. Empty
-tables give empty results. Other columns pass through, but for the name ids and names of the leaves' columns (_text, _segment, _leaf,
-_piece, _ids); they must be groupable (no maps).
+Null or empty texts have no tokens. Long rows that repeat are counted first, task by task, and encoded once; they come back
+as often as they were. Empty tables give empty results. Other columns pass through, but for the name ids and names of the
+leaves' columns (_text, _segment, _leaf, _piece, _ids, _copies); they must be groupable (no maps).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -47,7 +48,8 @@ def _byte_of() -> dict[str, int]:
 
 class Bpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        """path: a vocabulary file; a bare name is one of the public tokenizers, found where this process runs."""
+        with open(path if "/" in path else public_tokenizers.path(path), encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec["pre_tokenizer"]["type"], spec["model"]["type"], spec["normalizer"], spec["pre_tokenizer"].get("add_prefix_space")
         if kind != ("ByteLevel", "BPE", None, False) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
@@ -160,7 +162,7 @@ def halves(text: str, leaf_chars: int) -> list[str]:
 def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
     """df with the text column replaced by ids (little-endian unsigned 32-bit integers) and, in the column named by
     decoded, the text that these ids decode to: so one Python worker a task does both."""
-    df = df.drop("ids", *([decoded] if decoded else []), "_text", "_segment", "_leaf", "_piece", "_ids")
+    df = df.drop("ids", *([decoded] if decoded else []), "_text", "_segment", "_leaf", "_piece", "_ids", "_copies")
     rest = df.drop(text)
     fields = rest.schema.fields
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else []))
@@ -185,7 +187,7 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
             for k in range(len(pdf)):
                 row = pdf.iloc[k : k + 1]
                 rows = [(s, i, x) for s, seg in enumerate(t.segments(row[text].iloc[0])) for i, x in enumerate([seg] if seg in t.special else halves(seg, leaf_chars))]
-                many = row[[*cols, "_text"]].loc[row.index.repeat(len(rows))].reset_index(drop=True)
+                many = row[[*cols, "_text", "_copies"]].loc[row.index.repeat(len(rows))].reset_index(drop=True)
                 yield many.assign(**dict(zip(("_segment", "_leaf", "_piece"), map(list, zip(*rows)))))
 
     @slim
@@ -198,19 +200,19 @@ def encode(df: DataFrame, path: str, text: str = "text", long_chars: int = LONG_
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         t = bpe(path)
-        pdf = pdf.sort_values(["_segment", "_leaf"], kind="stable")
-        copies = int(((pdf["_segment"] == 0) & (pdf["_leaf"] == 0)).sum())  # of a repeated row
-        once = pdf.iloc[::copies]
-        ids = b"".join(t.concatenate([np.frombuffer(x, dtype="<u4") for x in g["_ids"]]).tobytes() for _, g in once.groupby("_segment", sort=True))
-        return pd.concat([back(once[cols].iloc[:1].assign(ids=[ids]))] * copies)
+        pdf = pdf.sort_values(["_segment", "_leaf"])
+        ids = b"".join(t.concatenate([np.frombuffer(x, dtype="<u4") for x in g["_ids"]]).tobytes() for _, g in pdf.groupby("_segment", sort=True))
+        return back(pdf[[*cols, "_copies"]].iloc[:1].assign(ids=[ids]))
 
     size = F.coalesce(F.char_length(text), F.lit(0))
     short = df.filter(size <= long_chars).mapInPandas(whole, out)
-    keys = T.StructType([*fields, T.StructField("_text", T.LongType()), T.StructField("_segment", T.LongType()), T.StructField("_leaf", T.LongType())])
-    long_ = df.filter(size > long_chars).withColumn("_text", F.xxhash64(text))
-    long_ = long_.mapInPandas(leaves, T.StructType([*keys.fields, T.StructField("_piece", T.StringType())]))
-    long_ = long_.repartition(partitions(df.sparkSession), "_text", "_leaf").mapInPandas(encoded, T.StructType([*keys.fields, T.StructField("_ids", T.BinaryType())]))
-    long_ = long_.groupBy(*cols, "_text").applyInPandas(joined, out)
+    count = T.StructField("_copies", T.LongType())
+    keys = [*fields, T.StructField("_text", T.LongType()), count, T.StructField("_segment", T.LongType()), T.StructField("_leaf", T.LongType())]
+    long_ = df.filter(size > long_chars).withColumn("_text", F.xxhash64(text)).groupBy(*cols, "_text").agg(F.first(text).alias(text), F.count("*").alias("_copies"))
+    long_ = long_.mapInPandas(leaves, T.StructType([*keys, T.StructField("_piece", T.StringType())]))
+    long_ = long_.repartition(partitions(df.sparkSession), "_text", "_leaf").mapInPandas(encoded, T.StructType([*keys, T.StructField("_ids", T.BinaryType())]))
+    long_ = long_.groupBy(*cols, "_text").applyInPandas(joined, T.StructType([*fields, count, *out.fields[len(fields) :]]))
+    long_ = long_.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
     return short.unionByName(long_)
 
 

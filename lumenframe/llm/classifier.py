@@ -4,8 +4,8 @@ A document is the mean of the vectors of its features: its words, its pairs of n
 n-grams, each hashed to one of `BUCKETS` rows. A softmax over two classes reads the mean. Vectors and output weights are
 learned together by plain stochastic gradient descent in numpy, one document a step, with a falling learning rate.
 
-Training takes at most `SAMPLE_ROWS` labelled documents, those with the smallest seeded hash of doc_id, so a bound on the
-driver's memory is known; each contributes its whole text, and the rarer class weighs more. Scoring covers every document
+Training takes at most `SAMPLE_ROWS` labelled documents of `SAMPLE_BYTES` in all, those with the smallest seeded hash of
+doc_id, so a bound on the driver's memory is known; each contributes its whole text, and the rarer class weighs more. Scoring covers every document
 and whole texts: since the mean and the output layer are linear, each bucket's vector is folded with the output weights
 once, and a document's logit is the mean of its buckets' values.
 
@@ -28,9 +28,10 @@ from .common import slim
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 16, 8, 0.5, 11
 GRAMS = (3, 4)
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
+_WHITE = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,44 +50,45 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(_CHUNK + 1)
 
 
-def _chunks(raw: bytes) -> Iterator[bytes]:
-    """Of at most _CHUNK bytes, cut at a white space where there is one."""
-    while len(raw) > _CHUNK:
-        at = max(raw.rfind(b" ", 0, _CHUNK), raw.rfind(b"\n", 0, _CHUNK))
-        at = at if at > 0 else _CHUNK
-        yield raw[:at]
-        raw = raw[at:]
-    yield raw
-
-
 def features(text: str | None) -> np.ndarray:
-    """The buckets of all features of a text, repeats included."""
+    """The buckets of all features of a text, repeats included; none if it has no words. Words are runs of anything but
+    the six ASCII white space bytes, n-grams run over the bytes with white space as one kind and a space at both ends.
+    Long texts go by pieces of _CHUNK bytes: a word over an edge carries its hash on, n-grams look ahead."""
+    raw = b" " + (text or "").encode("utf-8", "surrogatepass").translate(_WHITE) + b" "
     out: list[np.ndarray] = []
-    for raw in _chunks((text or "").encode("utf-8", "surrogatepass")):
-        b = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
-        b = np.where((b >= 9) & (b <= 13), np.uint8(32), b)
-        if len(b) > _CHUNK:
-            b = b[:_CHUNK]
-        space = b == 32
-        if space.all():
-            continue
-        x = b.astype(np.uint64) + np.uint64(1)
-        # words: the hash of a slice is a difference of prefix sums, shifted back to position 0
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _UP[: len(x)], dtype=np.uint64)])
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        start, stop = edge[~space[edge]], edge[space[edge]]
-        if len(stop) < len(start):
-            stop = np.append(stop, len(b))
-        words = (total[stop] - total[start]) * _DOWN[start]
-        out += [_mix(words * np.uint64(3)), _mix((words[1:] - words[:-1]) * np.uint64(5) + np.uint64(1))]
+    if not raw.strip():
+        return np.empty(0, np.int32)
+    held, n_held, before = np.uint64(0), 0, np.empty(0, np.uint64)  # an unfinished word and its length; the word before
+    for at in range(0, len(raw), _CHUNK):
+        b = np.frombuffer(raw[at : at + _CHUNK + GRAMS[-1] - 1], dtype=np.uint8)
+        x, n_own = b.astype(np.uint64) + np.uint64(1), min(_CHUNK, len(b))
         for n in GRAMS:
-            if len(x) < n:
-                continue
-            h = x[: len(x) - n + 1].copy()
-            for k in range(1, n):
-                h = h * np.uint64(1099511628211) + x[k : len(x) - n + 1 + k]
-            out.append(_mix(h * np.uint64(2 * n + 1) + np.uint64(n)))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+            m = min(n_own, len(x) - n + 1)
+            if m > 0:
+                h = x[:m].copy()
+                for k in range(1, n):
+                    h = h * np.uint64(1099511628211) + x[k : m + k]
+                out.append(_mix(h * np.uint64(2 * n + 1) + np.uint64(n)))
+        space = np.ones(n_own + 2, dtype=bool)
+        space[1:-1] = b[:n_own] == 32
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, stop = edge[::2], edge[1::2]
+        # the hash of a slice is a difference of prefix sums, shifted back to position 0
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x[:n_own] * _UP[:n_own], dtype=np.uint64)])
+        words, sizes = (total[stop] - total[start]) * _DOWN[start], stop - start
+        if n_held and space[1]:
+            words, sizes = np.concatenate([[held], words]), np.concatenate([[n_held], sizes])
+        elif n_held:
+            words[:1] = held + np.uint64(pow(int(_P), n_held, 1 << 64)) * words[:1]
+            sizes[0] += n_held
+        if space[-2]:
+            n_held = 0
+        else:
+            held, n_held, words = words[-1], int(sizes[-1]), words[:-1]
+        row = np.concatenate([before, words])
+        out += [_mix(words * np.uint64(3)), _mix((row[1:] - row[:-1]) * np.uint64(5) + np.uint64(1))]
+        before = row[-1:]
+    return np.concatenate(out)
 
 
 class Model:
@@ -134,13 +136,20 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     return Model(vectors @ (out[1] - out[0]), bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> Model:
-    """Trains on at most sample_rows documents of labels(doc_id, label); rows without a label are left out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Model:
+    """Trains on at most sample_rows documents of labels(doc_id, label), in the order of a seeded hash, leaving out those
+    that would bring the sample over sample_bytes; rows without a label are left out."""
     some = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    some = some.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)  # its size is bounded: broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["_y"] for r in rows], seed=seed)
+    some = some.withColumn("_place", F.xxhash64(F.lit(seed), "doc_id")).orderBy("_place", "doc_id").limit(sample_rows)  # its size is bounded: broadcast
+    rows = docs.select("doc_id", F.octet_length("text").alias("_bytes")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_y", "_place").agg(F.max("_bytes").alias("_bytes")).collect()
+    taken, total = {}, 0
+    for r in sorted(rows, key=lambda r: (r["_place"], r["doc_id"])):
+        if total + (r["_bytes"] or 0) <= sample_bytes:
+            taken[r["doc_id"]], total = r["_y"], total + (r["_bytes"] or 0)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in taken], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    texts = sorted(texts, key=lambda r: r["doc_id"])
+    return train([r["text"] for r in texts], [taken[r["doc_id"]] for r in texts], seed=seed)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

@@ -45,7 +45,7 @@ from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim,
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
 HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 10, 4, 64, 4
 WIDE = 2_000  # groups of a token from which it is put last, or paired in blocks
-COUNTED = 4_000_000  # tokens that a task counts at a time
+COUNTED = 1_000_000  # tokens that a task counts at a time
 ROWS = 50_000  # rows of a few numbers each that are worth a partition
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
 _CHUNK = 1 << 20

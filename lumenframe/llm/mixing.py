@@ -3,17 +3,20 @@
 Targets: the sources, in code point order with null last, weigh 1, 2, 3, 1, ... and share the words of the whole
 table; no target exceeds `repeats` times its source's words, and the excess is shared again by weight.
 
-Quotas: Sainte-Lague gives a block to the source with the highest quotient v / (2k - 1), v being its target and k its
-next block. Taking the highest quotients until a block is worth `block_words` words is the same as giving every source
-round(v / block_words) blocks, so quotas are integers by formula and no list of all blocks is sorted. The cut-off of
-shard j of J is J / j times as high, hence the cumulative quota round(v * j / (block_words * J)).
+Quotas: the mix has round(words / block_words) blocks, dealt to `shards` shards whose sizes differ by one at most. For the
+first 1, 2, ... shards together, Sainte-Lague gives each block to the source with the highest quotient v / (2k - 1), v being
+its target and k its next block, ties to the first source; what a shard adds to the shards before it is its quota. Only the
+quotients near the cut-off are ranked: a divisor that gives too many blocks and one that gives too few are known by formula.
 
 Selection: a source's documents, in a seeded order, form one stream of words that is cut into blocks. The mix takes the
-whole stream as often as the quota allows and then the blocks whose seeded position is below the rest of the quota; the
-position is an affine permutation of the block numbers, so a row alone knows whether a block is taken.
+whole stream as often as the quota allows and then the blocks whose seeded seat is below the rest of the quota; the seat is
+an affine permutation of the block numbers, so a row alone knows whether a block is taken. The seats of a source go to the
+shards by their quotas, in order.
 
 Empty tables give empty results. Null or empty texts have size 0 and nothing is taken of them. Null sources are a source
-of their own. Repeated rows count each. Other columns of the input pass through, but for the names in RESERVED.
+of their own. Repeated rows count each; rows that differ, be it only in the text, have an order of their own, whatever
+their doc_id, so reruns agree. A source whose target is below half a block may get none. Other columns of the input pass
+through, but for the names in RESERVED.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, partitions, small
 
-RESERVED = ("size", "source_size", "target", "taken", "rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first", "shard")
+RESERVED = ("size", "source_size", "target", "taken", "rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first", "shard", "upto")
 #: Primes that step through the blocks of a source; no block count below 2**60 is divisible by all three.
 STEPS = (8388593, 8388587, 8388571)
+RACK = 1024  # bins
 
 
 def sizes(df: DataFrame, text: str = "text") -> Column:
@@ -57,32 +61,44 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: i
     return table.withColumn("target", F.least(most.cast("double"), F.lit(share) * F.col("weight")))
 
 
-def quota(upto: Column | int, shards: int, block_words: int) -> Column:
-    """Blocks of a source in the first `upto` of the shards."""
-    return F.floor(F.col("target") * upto / F.lit(float(block_words * shards)) + 0.5).cast("long")
-
-
 def shard_quotas(table: DataFrame, shards: int, block_words: int) -> DataFrame:
-    """One row for each source and shard: how many of the source's blocks go there."""
-    each = table.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
-    return each.withColumn("blocks", quota(F.col("shard"), shards, block_words) - quota(F.col("shard") - 1, shards, block_words))
-
-
-def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tuple[int, ...], shards: int, texts: bool = False) -> DataFrame:
-    """The rows (texts: with their text, which is then read twice rather than kept) with size, source_size, target, first (place of the first word in the source's stream), passes (whole
-    passes of the source), rest (blocks beyond them), blocks (of the source), step and shift (of the permutation)."""
+    """rank, shard (1, 2, ...), blocks: how many of a source's blocks go to a shard, for every source and shard."""
+    total, n = table.agg(F.sum("target"), F.count("*")).first()
+    seats = int((total or 0.0) / block_words + 0.5)
+    each = table.select("rank", "target", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")).withColumn("house", F.floor(F.col("shard") * F.lit(float(seats)) / shards))
+    # with a divisor of total / (house -+ n / 2) the rounded quotas add up to the house at most, or at least
+    by = lambda house: F.floor(F.col("target") / F.lit(total or 1.0) * house + 0.5).cast("long")
+    sure = F.when(F.col("house") > n / 2, by(F.col("house") - n / 2)).otherwise(0)
+    each = each.withColumn("sure", F.greatest(sure - 1, F.lit(0))).withColumn("most", by(F.col("house") + n / 2) + 1)
+    w = Window.partitionBy("shard").orderBy(F.desc("quotient"), "rank")
+    open_ = F.col("house") - F.col("given")
+    given = each.groupBy("shard").agg(F.sum("sure").alias("given"))
+    bids = each.withColumn("k", F.explode(F.sequence(F.col("sure") + 1, F.col("most")))).withColumn("quotient", F.col("target") / (2 * F.col("k") - 1))
+    won = bids.withColumn("place", F.row_number().over(w)).join(given, "shard").filter(F.col("place") <= open_).groupBy("rank", "shard").agg(F.count("*").alias("won"))
+    upto = each.join(won, ["rank", "shard"], "left").withColumn("upto", F.col("sure") + F.coalesce("won", F.lit(0)))
+    before = F.lag("upto", 1, 0).over(Window.partitionBy("rank").orderBy("shard"))
+    return upto.withColumn("blocks", F.col("upto") - before).select("rank", "shard", "blocks")
+
+
+def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tuple[int, ...], shards: int, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows (texts: with their text, which is then read twice rather than kept) with size, source_size, target, first
+    (place of the first word in the source's stream), passes (whole passes of the source), rest (blocks beyond them),
+    blocks (of the source), step and shift (of the permutation); and rank, upto: the blocks of each source's shards."""
     df = df.drop(*RESERVED)
-    sized = df.withColumn("size", sizes(df))
+    whole_row = F.xxhash64(F.lit(seed), *(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+    sized = df.withColumn("size", sizes(df)).withColumn("_place", whole_row)
     sized = sized if texts else cut(sized.drop("text"))
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
     n_sources, n_rows = sources.agg(F.count("*"), F.sum("_rows")).first()
-    table, b = targets(sources.drop("_rows"), weights, repeats), block_words
+    table, b = cut(targets(sources.drop("_rows"), weights, repeats)), block_words
+    each = F.sort_array(F.collect_list(F.struct("shard", "blocks")))
+    quotas = cut(shard_quotas(table, shards, b).groupBy("rank").agg(F.sum("blocks").alias("quota"), F.transform(each, lambda x: x["blocks"]).alias("upto")))
+    table = table.join(quotas.select("rank", "quota"), "rank")
     blocks = F.ceil(F.col("source_size") / b).cast("long")
     step = F.coalesce(*(F.when(F.col("blocks") % p != 0, F.lit(p)) for p in STEPS))
     words = F.col("quota") * b
     table = (
         table.withColumn("blocks", F.greatest(blocks, F.lit(1)))
-        .withColumn("quota", quota(shards, shards, b))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(words / F.col("source_size")), F.lit(repeats))).otherwise(0).cast("long"))
         .withColumn("rest", F.when(F.col("passes") >= repeats, 0).otherwise(F.least("blocks", F.floor((words - F.col("passes") * F.col("source_size")) / b + 0.5))).cast("long"))
         .withColumn("step", step.cast("long"))
@@ -90,18 +106,21 @@ def placed(df: DataFrame, block_words: int, seed: int, repeats: int, weights: tu
     )
     # A source may hold a third of all rows: its stream is ordered in many seeded bins, which are then laid end to end.
     bins = max(64, -(-(n_rows or 0) // 4096))
-    place = F.xxhash64(F.lit(seed), "doc_id")
     rows = (
         sized.join(small(table.withColumnRenamed("source", "_source"), n_sources), sized["source"].eqNullSafe(F.col("_source")))
         .drop("_source")
-        .withColumn("_place", place)
         .withColumn("_bin", F.pmod(F.col("_place"), F.lit(bins)))
     )
     inside = Window.partitionBy("rank", "_bin").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ends = rows.groupBy("rank", "_bin").agg(F.sum("size").alias("_words"))
-    ends = ends.select("rank", "_bin", (F.sum("_words").over(Window.partitionBy("rank").orderBy("_bin")) - F.col("_words")).alias("_start"))
-    return rows.join(ends, ["rank", "_bin"]).withColumn("first", F.col("_start") + F.col("_before")).drop("_place", "_bin", "_before", "_start")
+    # the bins' starts in two levels, so that no task has all bins of a source
+    before = lambda total, w: F.sum(total).over(w) - F.col(total)
+    ends = rows.groupBy("rank", "_bin").agg(F.sum("size").alias("_words")).withColumn("_rack", F.floor(F.col("_bin") / RACK))
+    racks = ends.groupBy("rank", "_rack").agg(F.sum("_words").alias("_all")).withColumn("_base", before("_all", Window.partitionBy("rank").orderBy("_rack")))
+    ends = ends.withColumn("_in", before("_words", Window.partitionBy("rank", "_rack").orderBy("_bin"))).join(racks, ["rank", "_rack"])
+    ends = ends.select("rank", "_bin", (F.col("_base") + F.col("_in")).alias("_start"))
+    rows = rows.join(ends, ["rank", "_bin"]).withColumn("first", F.col("_start") + F.col("_before")).drop("_place", "_bin", "_before", "_start")
+    return rows, small(quotas.select("rank", "upto"), n_sources * (1 + shards // 4))
 
 
 def _seat(block: Column) -> Column:
@@ -118,21 +137,24 @@ def _taken_of_rest(block_words: int) -> Column:
 
 def mix(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, shards: int = 64) -> DataFrame:
     """doc_id and the other columns but text, with size, source_size, target and taken."""
-    rows = placed(df, block_words, seed, repeats, weights, shards)
+    rows, _ = placed(df, block_words, seed, repeats, weights, shards)
     return rows.withColumn("taken", F.col("passes") * F.col("size") + _taken_of_rest(block_words)).drop("rank", "weight", "blocks", "quota", "passes", "rest", "step", "shift", "first")
 
 
 def mixed_rows(df: DataFrame, block_words: int = 16, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, shards: int = 64) -> DataFrame:
     """The mix itself: df's columns and `shard`, one row for each pass over a document and, for the last pass, one with
-    the words of the blocks that it takes, joined by single spaces. Rows with nothing taken go."""
+    the words of the blocks that it takes, joined by single spaces. Rows with nothing taken go. A document's words of one
+    pass stay together: the seat of its first block decides their shard, so shards keep to their quotas but for the blocks
+    that a document has beyond its first."""
     b = block_words
-    rows = placed(df, b, seed, repeats, weights, shards, texts=True)
+    rows, quotas = placed(df, b, seed, repeats, weights, shards, texts=True)
     at = lambda i: F.floor((F.col("first") + i) / b)  # noqa: E731  the block of a document's word
-    # seat of the pass's first block decides the shard, by the cumulative quotas
-    seat = F.col("_pass") * F.col("blocks") + _seat(F.floor(F.col("first") / b)) + 1
-    shard = F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil((seat - 0.5) * b * shards / F.col("target")))).cast("int")
+    seat = F.col("_pass") * F.col("blocks") + _seat(F.floor(F.col("first") / b))
+    # shards are filled by their quotas, in order
+    filled = F.aggregate("upto", F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("shard")), lambda acc, q: F.struct((acc["n"] + q).alias("n"), (acc["shard"] + (acc["n"] + q <= F.col("_seat")).cast("int")).alias("shard")))
+    shard = F.least(F.lit(shards), filled["shard"]).cast("int")
     takes = rows.filter("size > 0").withColumn("_some", _taken_of_rest(b)).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    takes = takes.filter((F.col("_pass") < F.col("passes")) | (F.col("_some") > 0)).withColumn("shard", shard)
+    takes = takes.filter((F.col("_pass") < F.col("passes")) | (F.col("_some") > 0)).withColumn("_seat", seat).join(quotas, "rank").withColumn("shard", shard)
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1)
     some = F.array_join(F.filter(words, lambda w, i: _seat(at(i)) < F.col("rest")), " ")
     text = F.when((F.col("_pass") < F.col("passes")) | (F.col("_some") == F.col("size")), F.col("text")).otherwise(some)

@@ -148,16 +148,19 @@ def read(media: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int]:
 
 
 def samples(media: bytes) -> tuple[bytes, int, dict[str, int]]:
-    """The payload put together from all streams, the bytes before padding, and counts."""
+    """The payload put together from all streams, the bytes before padding, and counts. What the streams' headers say must
+    agree among them and with the payload."""
     streams, pages = read(media)
     parts: dict[int, bytes] = {}
-    n_bytes = n_packets = 0
-    channels = len(streams)
+    heads, n_packets = set(), 0
+    if not streams:
+        raise ValueError("no stream")
     for packets in streams.values():
-        if len(packets[0][0]) != _ID.size:
+        if not packets or len(packets[0][0]) != _ID.size:
             raise ValueError("stream header")
         magic, rate, channel, channels, n_bytes = _ID.unpack(packets[0][0])
-        if magic != MAGIC or rate != RATE:
+        heads.add((channels, n_bytes))
+        if magic != MAGIC or rate != RATE or len(heads) > 1 or channel in parts:
             raise ValueError("stream header")
         now = 0
         for data, end in packets[1:]:
@@ -168,7 +171,10 @@ def samples(media: bytes) -> tuple[bytes, int, dict[str, int]]:
         parts[channel] = b"".join(data for data, _ in packets[1:])
     if sorted(parts) != list(range(channels)):
         raise ValueError("stream missing")
-    out = np.empty(sum(map(len, parts.values())), dtype=np.uint8)
+    size = sum(map(len, parts.values()))
+    if size != max(PAD, -(-n_bytes // PAD) * PAD) or any(len(part) != len(range(c, size, channels)) for c, part in parts.items()):
+        raise ValueError("stream length")
+    out = np.empty(size, dtype=np.uint8)
     for c, part in parts.items():
         out[c::channels] = np.frombuffer(part, dtype=np.uint8)
     return out.tobytes(), n_bytes, {"streams": len(parts), "pages": pages, "packets": n_packets, "ms": len(parts[0]) * 1000 // RATE}

@@ -14,8 +14,8 @@ from .common import cut, documents, shared_dir
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-#: Where the public tokenizers' files are; a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
+#: A public tokenizer, found where a task runs; a parameter of the operators.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,17 +67,21 @@ def op7_shard_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, arriving in parts by doc_id, sharded, compacted as they come, and read back by the manifest."""
     docs = documents(spark, sf_dir)
     store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=SHARD_BYTES)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 1000)).first()[0] or []
-    part = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    for i in range(len(set(cuts)) + 1):
-        store.append(docs.filter(F.coalesce(part, F.lit(0)) == i))
-        store.compact()
-        store.vacuum()
-    text = F.coalesce("text", F.lit(""))
-    back = store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source")
-    out = cut(back)
-    store.drop()
-    return out
+    parts = [i / ARRIVALS for i in range(1, ARRIVALS)]
+    cuts, rows, size = docs.agg(F.percentile_approx("doc_id", parts, 1000), F.count("*"), F.sum(F.octet_length("text"))).first()
+    bounds = [None, *sorted(set(cuts or [])), None]
+    try:
+        for low, high in zip(bounds, bounds[1:]):  # ranges of doc_id reach the scan, which passes over other row groups
+            part = docs if low is None else docs.filter(F.col("doc_id") > low)
+            part = part if high is None else part.filter((F.col("doc_id") <= high) | F.col("doc_id").isNull() if low is None else F.col("doc_id") <= high)
+            store.append(part, max_records=max(1, SHARD_BYTES * (rows or 1) // max(1, size or 1)))
+            store.compact()
+            store.vacuum(keep=1, grace_s=0)  # nobody else knows this store
+        text = F.coalesce("text", F.lit(""))
+        back = store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source")
+        return cut(back)
+    finally:
+        store.drop()
 
 
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +91,7 @@ def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
-    done = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, decoded="decoded")
+    done = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -4,8 +4,13 @@ Arrivals become small immutable Parquet shards. Shards of one tier (sizes within
 there are `fanout` of them, into files of about the target size; shards of at least half the target are final. Merging
 reads its shards into as few tasks as files come out, without a shuffle. Each append and each merge commits the next
 version of the manifest, a JSON file that lists the live shards, by a rename that fails if the version is there already:
-readers see the old list or the new one, and of two writers one has to try again. Files that no version of the last `keep`
-lists go in `vacuum`. What a lost executor left half-written is in no manifest.
+readers see the old list or the new one, and of two writers one tries again on the newer list. This needs a file system
+with such a rename, as HDFS and local ones are; object stores without it need one writer at a time. What a lost executor
+left half-written is in no manifest.
+
+`vacuum` deletes manifests but the last `keep`, and shard folders that none of those lists and that are older than
+`grace_s`, a day by default: another writer's shards, written but not yet committed, and a reader's older version stay.
+Only a store's sole writer, with no reader on older versions, may take a shorter time.
 
 Rows come back as they were: nulls, empty and long texts, repeated rows and extra columns included. An empty arrival
 commits a version without new shards; reading a store without shards needs the schema that its manifest keeps.
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -82,19 +88,28 @@ class ShardStore:
 
     # ---- shards ----
 
-    def _write(self, df: DataFrame) -> list[Shard]:
+    def _write(self, df: DataFrame, max_records: int = 0) -> list[Shard]:
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.option("maxRecordsPerFile", max_records).parquet(folder)
         files = [x for x in self.fs.listStatus(self._path(folder)) if x.getPath().getName().startswith("part-")]
         return sorted((Shard(x.getPath().toString(), x.getLen()) for x in files), key=lambda s: s.path)
 
-    def append(self, df: DataFrame) -> int:
-        """Adds an arrival; returns the new version."""
-        base, shards, schema = self.manifest()
+    def append(self, df: DataFrame, max_records: int = 0, tries: int = 20) -> int:
+        """Adds an arrival, in files of at most max_records rows (0: as its tasks write them); returns the new version."""
         own = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
-        if schema not in (None, own):
+        if self.manifest()[2] not in (None, own):
             raise ValueError("an arrival has the columns of the store")
-        return self._commit(base, [*shards, *self._write(df)], own)
+        new = self._write(df, max_records)
+        for left in reversed(range(tries)):
+            base, shards, schema = self.manifest()
+            if schema not in (None, own):
+                raise ValueError("an arrival has the columns of the store")
+            try:
+                return self._commit(base, [*shards, *new], own)
+            except Conflict:
+                if not left:
+                    raise
+        raise AssertionError("no try")
 
     def tier(self, shard: Shard) -> int:
         """-1: final."""
@@ -118,7 +133,12 @@ class ShardStore:
             n = max(1, round(sum(s.bytes for s in old) / self.target))
             new = self._write(self._read(old, schema).coalesce(n))
             gone = set(old)
-            self._commit(base, [*(s for s in shards if s not in gone), *new], schema)
+            while gone <= set(shards):  # another merge may take a shard first: then this one is void, its files go in vacuum
+                try:
+                    self._commit(base, [*(s for s in shards if s not in gone), *new], schema)
+                    break
+                except Conflict:
+                    base, shards, schema = self.manifest()
 
     def _read(self, shards: list[Shard], schema: str | None) -> DataFrame:
         kind = T.StructType.fromJson(json.loads(schema)) if schema else T.StructType()
@@ -128,21 +148,23 @@ class ShardStore:
         _, shards, schema = self.manifest(version)
         return self._read(shards, schema)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes manifests but the last `keep`, and files that none of those list."""
+    def vacuum(self, keep: int = 2, grace_s: float = 86_400.0) -> None:
+        """Deletes manifests but the last `keep`, and older files that none of those list."""
         versions = self.versions()
         live = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
         for v in versions[:-keep]:
             self.fs.delete(self._path(f"{self.root}/manifest/v{v:010d}.json"), False)
-        top = self._path(f"{self.root}/shards")
+        top, before = self._path(f"{self.root}/shards"), (time.time() - grace_s) * 1000
         for folder in self.fs.listStatus(top) if self.fs.exists(top) else []:
-            files = [x.getPath() for x in self.fs.listStatus(folder.getPath())]
-            if not any(f.toString() in live for f in files):
+            files = list(self.fs.listStatus(folder.getPath()))
+            if max([folder.getModificationTime(), *(f.getModificationTime() for f in files)]) > before:
+                continue
+            if not any(f.getPath().toString() in live for f in files):
                 self.fs.delete(folder.getPath(), True)
             else:
                 for f in files:
-                    if f.getName().startswith("part-") and f.toString() not in live:
-                        self.fs.delete(f, False)
+                    if f.getPath().getName().startswith("part-") and f.getPath().toString() not in live:
+                        self.fs.delete(f.getPath(), False)
 
     def drop(self) -> None:
         self.fs.delete(self._path(self.root), True)

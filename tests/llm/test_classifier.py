@@ -1,6 +1,9 @@
+import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from lumenframe.llm import classifier
 from lumenframe.llm.queries import op5_subword_quality
@@ -29,10 +32,47 @@ def test_one_class_and_none():
     assert classifier.train(["a"], [1]).score(None) > 0.9 > 0.1 > classifier.train(["a"], [0]).score("b")
 
 
-def test_features_of_long_texts_are_whole():
-    text = "alpha beta " * 200_000  # over one chunk
-    f = classifier.features(text)
-    assert len(f) > 3 * len(text) * 0.6 and set(f.tolist()) >= set(classifier.features("beta alpha beta").tolist()) - set(classifier.features(" ").tolist())
+def plain(text):
+    """Word by word, in Python integers."""
+    full, p = (1 << 64) - 1, int(classifier._P)
+
+    def bucket(h):
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & full
+        return (h ^ h >> 29) & classifier.BUCKETS - 1
+
+    raw = re.sub(rb"[\x09-\x0d]", b" ", b" " + (text or "").encode() + b" ")
+    words = [sum((c + 1) * pow(p, i, 1 << 64) for i, c in enumerate(w)) & full for w in raw.split(b" ") if w]
+    if not words:
+        return []
+    out = [bucket(w * 3 & full) for w in words] + [bucket(((v - u) * 5 + 1) & full) for u, v in zip(words, words[1:])]
+    for n in classifier.GRAMS:
+        for i in range(len(raw) - n + 1):
+            h = 0
+            for c in raw[i : i + n]:
+                h = (h * 1099511628211 + c + 1) & full
+            out.append(bucket((h * (2 * n + 1) + n) & full))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 64, 1 << 20])
+def test_features_are_those_of_a_plain_reading(monkeypatch, chunk):
+    monkeypatch.setattr(classifier, "_CHUNK", chunk)
+    r = random.Random(chunk)
+    texts = [None, "", " ", "a", " a ", "é\u3000x", "word" * 50] + ["".join(r.choice("ab \n\x1c\U0001f600") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    for t in texts:
+        assert sorted(classifier.features(t).tolist()) == plain(t), t
+
+
+@pytest.mark.parametrize("n", [(1 << 20) - 2, (1 << 20) - 1, 1 << 20, (1 << 20) + 1])
+def test_the_last_byte_counts(n):
+    assert not np.array_equal(*(np.sort(classifier.features("a" * n + c)) for c in "bc"))
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * (10 if i else 100_000)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = classifier.fit(docs, labels, sample_bytes=5000)
+    assert model.score("good good good") > 0.5 > model.score("bad bad bad")
 
 
 def test_training_is_reproducible():

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import mixing
 from lumenframe.llm.queries import op3_mix_sources
@@ -53,20 +54,38 @@ def test_small_and_hot_sources(spark):
     check(mixing.mix(df).collect(), {i: s for i, _, s in docs}, 40)
 
 
-def test_quotas_are_sainte_lague(spark):
-    """The blocks of the first shards are those of the highest quotients."""
-    df = spark.createDataFrame([("a", 5000), ("b", 3000), (None, 170)], "source string, source_size long")
-    table = mixing.targets(df)
-    rows = table.collect()
-    for r in mixing.shard_quotas(table, 7, 16).groupBy("source").sum("blocks").collect():
-        v = next(x.target for x in rows if x.source == r.source)
-        assert r[1] == int(v / 16 + 0.5)
-    seats = defaultdict(int)
-    for q, s in sorted(((r.target / (2 * k - 1), r.source) for r in rows for k in range(1, 2000)), key=lambda x: -x[0]):
-        if q < 16 / 2:
-            break
-        seats[s] += 1
-    assert dict(seats) == {r.source: r[1] for r in mixing.shard_quotas(table, 7, 16).groupBy("source").sum("blocks").collect()}
+@pytest.mark.parametrize("sizes", [{"a": 5000, "b": 3000, None: 170}, {"a": 7}, {"a": 100, "b": 100, "c": 100, "d": 100}, {f"s{i}": 10 + i * i for i in range(40)}])
+def test_quotas_are_sainte_lague(spark, sizes):
+    """For every number of first shards, the blocks are those of the highest quotients, ties to the first source."""
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    table = mixing.cut(mixing.targets(df))
+    rows, shards = table.collect(), 7
+    got = defaultdict(dict)
+    for r in mixing.shard_quotas(table, shards, 16).collect():
+        got[r.shard][r["rank"]] = r.blocks
+    seats = int(sum(r.target for r in rows) / 16 + 0.5)
+    bids = sorted(((r.target / (2 * k - 1), r["rank"]) for r in rows for k in range(1, seats + 2)), key=lambda x: (-x[0], x[1]))
+    have = defaultdict(int)
+    for j in range(1, shards + 1):
+        want = defaultdict(int)
+        for _, rank in bids[: seats * j // shards]:
+            want[rank] += 1
+        for r in rows:
+            have[r["rank"]] += got[j][r["rank"]]
+            assert have[r["rank"]] == want[r["rank"]] and got[j][r["rank"]] >= 0
+    assert sum(have.values()) == seats
+
+
+def test_rows_that_repeat_an_id_have_an_order(spark):
+    """Unlike texts under one doc_id or none: other partitions and another order of rows take the same of each."""
+    docs = [(None if i % 3 == 0 else i % 40, "w%d " % i * (i % 50 + 1), "ab"[i % 7 == 0]) for i in range(300)]
+    kind = "doc_id long, text string, source string"
+
+    def taken(rows, parts):
+        df = spark.createDataFrame(rows, kind).withColumn("word", F.split("text", " ")[0]).repartition(parts)
+        return sorted((r.word, r["size"], r.taken) for r in mixing.mix(df).collect())
+
+    assert taken(docs, 2) == taken(docs[::-1], 5) == taken(sorted(docs, key=str), 3)
 
 
 def test_mixed_rows_hold_what_mix_takes(spark):

@@ -56,6 +56,26 @@ def test_missing_and_swapped_pages():
             pass
 
 
+def test_media_without_streams_packets_or_the_right_lengths(spark):
+    """Valid pages that hold no payload of ours: a reason, never an exception."""
+    serial = 7
+    empty_page = ogg.page(ogg.FIRST | ogg.LAST, -1, serial, 0, b"", b"")
+    head = lambda n, channels=1, c=0: ogg._ID.pack(ogg.MAGIC, ogg.RATE, c, channels, n)
+    one = lambda packets, s=serial: b"".join(p for _, _, p in ogg.stream(s, packets))
+    cases = {
+        b"": "no stream",
+        empty_page: "stream header",
+        one([(head(9), 0)]): "stream length",
+        one([(head(999), 0), (b"x" * 64, 64)]): "stream length",
+        one([(head(9), 0), (b"x" * 63, 63)]): "stream length",
+        one([(head(9, 2), 0), (b"x" * 32, 32)]) + one([(head(8, 2, 1), 0), (b"x" * 32, 32)], 8): "stream header",
+        one([(head(9, 2), 0), (b"x" * 32, 32)]): "stream missing",
+    }
+    df = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(cases)], "doc_id long, media binary")
+    assert [r.status for r in ogg.unpack(df).orderBy("doc_id").collect()] == list(cases.values())
+    assert ogg.packets(df).count() >= 3
+
+
 def test_spark_packets_and_damage(spark):
     df = spark.createDataFrame([(1, "hello " * 2000), (2, "x")], "doc_id long, text string")
     rows = ogg.packets(ogg.pack(df)).filter("doc_id = 1 AND packet > 0").collect()

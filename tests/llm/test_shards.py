@@ -27,6 +27,8 @@ def test_appends_merge_into_target_sized_files(spark, store, monkeypatch):
     assert version > 9 and store.versions() == list(range(1, version + 1))
     assert store.read(2).count() == 2000
     store.vacuum()
+    assert store.versions() == [version - 1, version] and rows(store.read(version - 1)) == rows(all_)  # what is young stays
+    store.vacuum(keep=1, grace_s=-5)
     assert store.versions() == [version] and rows(store.read()) == rows(all_)
     on_disk = [x for f in store.fs.listStatus(store._path(f"{store.root}/shards")) for x in store.fs.listStatus(f.getPath()) if x.getPath().getName().startswith("part-")]
     assert len(on_disk) == len(live)
@@ -42,6 +44,39 @@ def test_one_of_two_writers_wins(spark, store):
     assert all(x.getPath().getName().startswith("v") for x in store.fs.listStatus(store._path(f"{store.root}/manifest")) if not x.getPath().getName().startswith("."))
 
 
+def test_vacuum_leaves_another_writers_shards(spark, store):
+    store.append(spark.range(3).select("id"))
+    other = shards.ShardStore(spark, store.root)
+    base, live, schema = other.manifest()
+    new = other._write(spark.range(3, 6).select("id"))  # written, not yet committed
+    store.append(spark.range(6, 9).select("id"))
+    store.vacuum(keep=1)
+    other._commit(store.manifest()[0], [*store.manifest()[1], *new], schema)
+    assert sorted(r.id for r in store.read().collect()) == list(range(9))
+
+
+def test_a_conflict_is_tried_again(spark, store, monkeypatch):
+    for i in range(3):
+        store.append(spark.range(i, i + 1).select("id").coalesce(1))
+    commit, busy = shards.ShardStore._commit, [spark.range(10, 12), spark.range(20, 22)]
+
+    def late(self, base, live, schema):
+        if busy:  # another writer is first
+            own = busy.pop().select("id")
+            commit(self, base, [*self.manifest()[1], *self._write(own)], schema)
+        return commit(self, base, live, schema)
+
+    monkeypatch.setattr(shards.ShardStore, "_commit", late)
+    store.compact()
+    store.append(spark.range(30, 31).select("id"))
+    assert sorted(r.id for r in store.read().collect()) == [0, 1, 2, 10, 11, 20, 21, 30]
+
+
+def test_arrivals_are_split_at_max_records(spark, store):
+    store.append(spark.range(10).select("id").coalesce(1), max_records=4)
+    assert len(store.manifest()[1]) == 3
+
+
 def test_odd_rows_and_empty_arrivals(spark, store):
     df = odd_rows(spark)
     store.append(df.limit(0))
