@@ -5,12 +5,12 @@ For every DOM node: C characters, LC of them in links, T tags, LT of them links,
 with LCb / Cb the link share of the body, so that text in many tags or in links weighs little. A node's density sum adds
 up the densities of its block children; the node with the largest sum holds the content. The smallest density on its path to the
 body is the page's threshold: other nodes of the body, or of the <main> around the text, whose density reaches it, such as
-a long heading beside the text, contribute their own largest-sum subtree too. Where such a subtree lies in an <article>,
-the outermost one is content as a whole, so that short paragraphs and headings in it stay; a page can have several.
+a long heading beside the text or a second article, contribute their own largest-sum subtree too.
 
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles. A class or id counts only as a whole, and not on a node that
-holds most of the page's text outside links.
+holds most of the page's text outside links. An attribute's quote that is not closed before white space, / or > ends at
+the tag's first >.
 
 Null, empty and tag-less pages: an empty page has an empty text; plain text without any tag is its own text. Broken
 markup never fails: end tags are implied as browsers imply them. Repeated rows are read each by itself; empty tables give
@@ -43,14 +43,14 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 DROP_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu search noembed noframes fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus replies reply respond share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
 )
 #: Words beside those that leave a class or id what it is: names of boxes and places.
-BOX_WORDS = frozenset("area articles bar block bottom box btn button buttons center col column container fixed form global group holder inline inner items left link links list main mobile outer page panel posts region right section site slot sticky stories top unit wrap wrapper zone".split())
+BOX_WORDS = frozenset("area articles bar block bottom box btn button buttons center col column container fixed form global group holder inline inner items left link links list main mobile outer page panel posts reader readers region right section site slot sticky stories top unit user users visitor visitors wrap wrapper zone".split())
 HEADER_WORDS = frozenset("header topbar".split())
 #: Readers' words: beside an article they are not content, however long.
-READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+READER_WORDS = frozenset("comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>)|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -235,15 +235,7 @@ def contents(root: Node) -> list[Node]:
     path = [n for n in _up(best)]
     path = path[: path.index(body) + 1]
     threshold = min(n.density for n in path)
-    whole: dict[int, Node] = {}  # the outermost <article> around each node
-    stack = [body]
-    while stack:
-        n = stack.pop()
-        up = whole.get(id(n.parent)) or (n if n.tag == "article" else None)
-        if up is not None:
-            whole[id(n)] = up
-        stack.extend(x for x in n.items if isinstance(x, Node))
-    scope = next((n for n in path if n.tag == "main" and id(n) not in whole), body)
+    scope = next((n for n in path if n.tag == "main"), body)
     marked: set[int] = set()
     stack = [scope]
     while stack:
@@ -251,7 +243,7 @@ def contents(root: Node) -> list[Node]:
         if n.drop:
             continue
         if n.density >= threshold:
-            marked.add(id(whole.get(id(n.best), n.best)))
+            marked.add(id(n.best))
         elif scope is not body and n.tag in ("h1", "h2") and not n.link_tags:
             marked.add(id(n))
         stack.extend(x for x in n.items if isinstance(x, Node))

@@ -1,4 +1,6 @@
 import html as entities
+import math
+import random
 import re
 
 import pytest
@@ -88,3 +90,79 @@ def test_given_pages_against_their_articles(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
         parts = (" ".join(entities.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner))
         assert r.text == "\n".join(filter(None, parts)) and r.n_chars == len(r.text)
+
+
+def test_the_article_element_decides_nothing(spark):
+    """Density alone finds the same text when no element is named article."""
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        assert main_text(re.sub(r"(</?)article", r"\1div", r.html or "")) == main_text(r.html)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p title="unclosed>Some text here</p>', "Some text here"),
+        (f'<div><p title="unclosed>{LONG}</p><p class="x">{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f"<div><p title='a > b'>{LONG}</p></div>", LONG),
+        (f"<body><div id=content class='post share'><p>{LONG}</p><p>{LONG}</p></div><p>Tiny.</p></body>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><p class='alert-level'>Level four.</p><section class='related-work'><p>{LONG}</p></section></article>", f"{LONG}\nLevel four.\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><div class='user-remarks'><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_broken_quotes_and_loose_words(page, want):
+    assert main_text(page) == want
+
+
+def plain(body):
+    """The text of a DOM of (tag, children) by the formulas, read from scratch for every node."""
+
+    def below(n):
+        return [x for c in n[1] if isinstance(c, tuple) for x in [c, *below(c)]]
+
+    chars = lambda n: sum(len(c) if isinstance(c, str) else chars(c) for c in n[1])
+    links = lambda n: chars(n) if n[0] == "a" else sum(links(c) for c in n[1] if isinstance(c, tuple))
+    share = links(body) / chars(body) if chars(body) else 0
+
+    def density(n):
+        c, lc, t, lt = chars(n), links(n), max(1, len(below(n))), max(1, sum(x[0] == "a" for x in below(n)))
+        if not c:
+            return 0.0
+        base = math.log(max(1.1, math.log(c / max(1, c - lc) * lc + share * c + math.e)))
+        return max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * (t / lt))) / base)
+
+    total = lambda n: sum(density(c) for c in n[1] if isinstance(c, tuple) and c[0] != "a") or density(n) * 1e-9
+    best = lambda n: max([n, *below(n)], key=total)  # noqa: E731  the first of equals is the outermost
+
+    def path(n, goal):
+        return [n] if n is goal else next(([n, *p] for c in n[1] if isinstance(c, tuple) and (p := path(c, goal))), [])
+
+    threshold = min(map(density, path(body, best(body))))
+    marked = [id(best(n)) for n in [body, *below(body)] if density(n) >= threshold]
+    out = []
+
+    def text(n):
+        for c in n[1]:
+            out.append(c) if isinstance(c, str) else (out.append("\n"), text(c), out.append("\n")) if c[0] != "a" else text(c)
+
+    def take(n):
+        if id(n) in marked:
+            out.append("\n"), text(n), out.append("\n")
+        else:
+            [take(c) for c in n[1] if isinstance(c, tuple)]
+
+    take(body)
+    return "\n".join(x for x in "".join(out).split("\n") if x)
+
+
+def test_random_pages_against_the_formulas():
+    r = random.Random(4)
+    words = lambda: " ".join("".join(r.choice("abcde") for _ in range(r.randint(2, 9))) for _ in range(r.randint(1, 30)))
+
+    def node(depth):
+        kids = [node(depth - 1) if depth and r.random() < 0.6 else words() if r.random() < 0.8 else ("a", [words()]) for _ in range(r.randint(1, 4))]
+        return (r.choice(["div", "section", "div", "blockquote"]) if depth else "p", kids if depth else [words()])
+
+    write = lambda n: f"<{n[0]}>{''.join(c if isinstance(c, str) else write(c) for c in n[1])}</{n[0]}>"
+    for _ in range(300):
+        body = ("body", [node(r.randint(0, 4)) for _ in range(r.randint(1, 4))])
+        assert main_text(write(body)) == plain(body), write(body)
