@@ -6,12 +6,17 @@ stay unused after a removal. Everything here is windows and equi-joins per sessi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The palette.
 PALETTE = [(1.0, 0.2, 0.2), (0.2, 1.0, 0.2), (0.3, 0.6, 1.0), (1.0, 1.0, 0.2), (1.0, 0.5, 0.0), (0.8, 0.2, 1.0), (0.0, 1.0, 1.0), (1.0, 0.4, 0.7)]
 VERTEX, EDGE, FAR = 10.0, 8.0, 15.0  # distances, all strict
+BLOCK = 50_000  # edges, or clicks, of a tile that meet in one task
+
+
 def _seq():
     return Window.partitionBy("session_id").orderBy("seq")
 
@@ -159,24 +164,80 @@ def nearest_edge(clicks: DataFrame, outline: DataFrame, within: float = EDGE) ->
     return clicks.join(best, "click_id", "left").select(*clicks.columns, F.col("m.edge_idx").alias("edge_idx"))
 
 
-def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE) -> DataFrame:
+def _distances(x, y, e: np.ndarray) -> np.ndarray:
+    """Of points x, y to segments e (rows ax, ay, bx, by), as segment_distance has them."""
+    ax, ay, bx, by = e
+    dx, dy = bx - ax, by - ay
+    l2 = dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.maximum(0.0, np.minimum(1.0, ((x - ax) * dx + (y - ay) * dy) / l2))
+    t = np.where(l2 < 1e-12, 0.0, t)
+    qx, qy = x - (ax + t * dx), y - (ay + t * dy)
+    return np.sqrt(qx * qx + qy * qy)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, e: np.ndarray, roi: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the least distance (inf: none within) and the smallest roi at it. The square around the points is
+    quartered: an edge farther from a quarter's middle than the nearest one and the diagonal is not the nearest of any of
+    its points."""
+    best, own = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
+    todo = [(np.arange(len(x)), np.arange(len(roi)))]
+    while todo:
+        points, edges = todo.pop()
+        cx, cy = (x[points].min() + x[points].max()) / 2, (y[points].min() + y[points].max()) / 2
+        radius = np.hypot(x[points] - cx, y[points] - cy).max()
+        d = _distances(cx, cy, e[:, edges])
+        edges = edges[d <= min(d.min() + 2 * radius, within + radius) + 1e-6]
+        if not len(edges):
+            continue
+        if len(points) <= 4 or radius == 0:
+            for p in points:
+                d = _distances(x[p], y[p], e[:, edges])
+                if (least := d.min()) < within:
+                    best[p], own[p] = least, roi[edges[d == least]].min()
+            continue
+        right, up = x[points] > cx, y[points] > cy
+        for part in (right & up, right & ~up, ~right & up, ~right & ~up):
+            if part.any():
+                todo.append((points[part], edges))
+    return best, own
+
+
+def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, block: int = BLOCK) -> DataFrame:
     """clicks(click_id, slice_index, orientation, px, py) with the ROI on the same slice and orientation whose edge is
-    nearest, the smallest id on ties, null if none is within. Edges go to the grid cells (as wide as the distance) that
-    they come near, a click to its own cell; so a hot slice is spread over its cells."""
-    w = float(within)
-    cell = lambda c: F.floor(c / w).cast("int")
+    nearest, the smallest id on ties, null if none is within. A click goes to its square tile, an edge to the tiles that
+    it comes near. A tile's clicks and edges are dealt into counted blocks of about `block`, and every two of these meet
+    in a task of their own, so a hot slice or tile is spread; the best of the blocks wins."""
+    side, w = 4.0 * within, float(within)
+    tile = lambda c: F.floor(c / side).cast("int")
     low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
-    e = outline.withColumn("cx", F.explode(F.sequence(cell(low - w), cell(high + w))))
-    # the part of the edge over this column of cells, one cell wider on both sides
+    e = outline.withColumn("tx", F.explode(F.sequence(tile(low - w), tile(high + w))))
+    # the part of the edge over this column of tiles, wider by the distance on both sides
     slope = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
     at = lambda x: F.col("ay") + slope * (F.greatest(low, F.least(high, x)) - F.col("ax"))
-    y0, y1 = at((F.col("cx") - 1) * w), at((F.col("cx") + 2) * w)
+    y0, y1 = at(F.col("tx") * side - w), at((F.col("tx") + 1) * side + w)
     y0, y1 = F.coalesce(F.least(y0, y1), F.least("ay", "by")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "by"))
     y0, y1 = F.when(slope.isNull(), F.least("ay", "by")).otherwise(y0), F.when(slope.isNull(), F.greatest("ay", "by")).otherwise(y1)
-    e = e.withColumn("cy", F.explode(F.sequence(cell(y0 - w - 1e-6), cell(y1 + w + 1e-6))))
-    c = clicks.withColumn("cx", cell(F.col("px"))).withColumn("cy", cell(F.col("py")))
-    j = c.join(e, ["slice_index", "orientation", "cx", "cy"]).withColumn("d", segment_distance(*map(F.col, ("px", "py", "ax", "ay", "bx", "by")))).filter(F.col("d") < w)
-    best = j.groupBy("click_id").agg(F.min(F.struct("d", "roi_id")).alias("m"))
+    e = e.withColumn("ty", F.explode(F.sequence(tile(y0 - w - 1e-6), tile(y1 + w + 1e-6))))
+    c = clicks.select("click_id", "slice_index", "orientation", "px", "py").withColumn("tx", tile(F.col("px"))).withColumn("ty", tile(F.col("py")))
+    key = ["slice_index", "orientation", "tx", "ty"]
+    blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    plan = blocks(c, "cs").join(blocks(e, "es"), key)  # a row for each tile with both
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    e = e.select(*key, "roi_id", "edge_idx", "ax", "ay", "bx", "by").join(plan, key).withColumn("eb", F.pmod(F.xxhash64("roi_id", "edge_idx"), F.col("es")).cast("int")).withColumn("cb", every("cs"))
+    c = c.join(plan, key).withColumn("cb", F.pmod(F.xxhash64("click_id"), F.col("cs")).cast("int")).withColumn("eb", every("es"))
+    key = [*key, "cb", "eb"]
+
+    def near(clicks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(clicks) or not len(edges):
+            return pd.DataFrame({"click_id": [], "d": [], "roi_id": []})
+        xy = clicks[["px", "py"]].drop_duplicates()
+        d, roi = _nearest(xy["px"].to_numpy(float), xy["py"].to_numpy(float), edges[["ax", "ay", "bx", "by"]].to_numpy(float).T, edges["roi_id"].to_numpy(np.int64), w)
+        found = clicks.merge(xy.assign(d=d, roi_id=roi)[d < w], on=["px", "py"])
+        return found[["click_id", "d", "roi_id"]]
+
+    pairs = c.select(*key, "click_id", "px", "py").groupBy(key).cogroup(e.select(*key, "roi_id", "ax", "ay", "bx", "by").groupBy(key)).applyInPandas(near, "click_id long, d double, roi_id long")
+    best = pairs.groupBy("click_id").agg(F.min(F.struct("d", "roi_id")).alias("m"))
     return clicks.join(best, "click_id", "left").select(*clicks.columns, F.col("m.roi_id").alias("nearest"))
 
 

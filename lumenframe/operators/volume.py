@@ -97,6 +97,25 @@ def wheel(steps: Column, start: Column, low: Column, high: Column) -> Column:
     return F.aggregate(steps, start, lambda s, d: clamp(s + d, low, high))
 
 
+def wheels(log: DataFrame, start: int, low: int, high: int, block: int = 4096) -> DataFrame:
+    """session_id, slice: where each session's steps(session_id, seq, step) leave a slice that stops at the ends. A run of
+    steps is the function min(hi, max(lo, s + shift)); those of counted blocks of a log are found side by side, then
+    composed in order, so no task holds a long log. seq counts a session's rows from 1."""
+    ends = "struct<shift:bigint,lo:bigint,hi:bigint>"
+    one = F.struct(F.lit(0).cast("long").alias("shift"), F.lit(low).cast("long").alias("lo"), F.lit(high).cast("long").alias("hi"))
+    then = lambda f, shift, lo, hi: F.struct((f["shift"] + shift).alias("shift"), clamp(f["lo"] + shift, lo, hi).alias("lo"), clamp(f["hi"] + shift, lo, hi).alias("hi")).cast(ends)
+    part = log.groupBy("session_id", F.floor((F.col("seq") - 1) / block).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("seq", "step"))).alias("_s"))
+    part = part.select("session_id", "_block", F.aggregate("_s", one.cast(ends), lambda f, x: then(f, x["step"], F.lit(low), F.lit(high))).alias("_f"))
+    whole = part.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("_block", "_f"))).alias("_fs"))
+    f = F.aggregate("_fs", one.cast(ends), lambda f, x: then(f, x["_f"]["shift"], x["_f"]["lo"], x["_f"]["hi"]))
+    return whole.withColumn("_f", f).select("session_id", clamp(F.lit(start) + F.col("_f.shift"), F.col("_f.lo"), F.col("_f.hi")).cast("int").alias("slice"))
+
+
+def turned(orientation: Column) -> Column:
+    """The next orientation; the slice then starts at its lowest."""
+    return (orientation + 1) % 3
+
+
 def sample(points: DataFrame, geometry: DataFrame, lines: DataFrame) -> DataFrame:
     """points(series_id, orientation, slice_index, x, y, z) with row, col and value of the voxel, for points inside. The
     two in-plane indices round half to even; one equi-join on the scanline's key reads the value."""
@@ -116,9 +135,11 @@ def snap(orientation: Column, index: Column, x: Column, y: Column, z: Column) ->
 
 
 def unflatten(flat: DataFrame) -> DataFrame:
-    """flat(series_id, nx, ny, nz, vals), x fastest -> scanlines."""
-    rows = flat.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("ny") * F.col("nz") - 1)))
-    return rows.select("series_id", F.floor(F.col("_r") / F.col("ny")).cast("int").alias("k"), (F.col("_r") % F.col("ny")).alias("j"), F.slice("vals", F.col("_r") * F.col("nx") + 1, F.col("nx")).alias("vals"))
+    """flat(series_id, nx, ny, nz, vals), x fastest -> scanlines. Rows are cut inside the array first, so that exploding
+    repeats no volume."""
+    nx, ny = F.col("nx"), F.col("ny")
+    cut = F.transform(F.sequence(F.lit(0), ny * F.col("nz") - 1), lambda r: F.struct(F.floor(r / ny).cast("int").alias("k"), (r % ny).alias("j"), F.slice("vals", r * nx + 1, nx).alias("vals")))
+    return flat.select("series_id", F.explode(cut).alias("r")).select("series_id", "r.k", "r.j", "r.vals")
 
 
 def linear(i: Column, j: Column, k: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.ranks import ranked
 from lumenframe.functions.shared import shared_dir
 from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
@@ -32,6 +33,18 @@ def query(sql: str | None = None):
     return put
 
 
+#: Every series and region by its place in order, 0, 1, ...: lookups reach all of them, however many there are.
+_SERIES_RANK = "sr AS (SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS rank, count(*) OVER () AS n FROM series_geom)"
+_REGION_RANK = "rr AS (SELECT roi_id, row_number() OVER (ORDER BY roi_id) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT roi_id FROM roi_vertices))"
+MISSES = 2  # places beyond the last series: lookups that find none
+
+
+def _with_series(spark: SparkSession, d: str, rows: DataFrame, number: str, misses: int = 0) -> DataFrame:
+    """rows with series_id: the series at the place that the number has modulo their count; null at one of the misses."""
+    series, n = ranked(table(spark, d, "series_geom").select("series_id"), "series_id")
+    return rows.withColumn("rank", F.col(number) % (n + misses)).join(volume.known(series), "rank", "left").drop("rank")
+
+
 # ---- sources and the catalogue ----
 
 _VISIBLE = "SELECT folder, name, folder || '/' || name AS path, file_id FROM files WHERE name NOT LIKE '.%'"
@@ -221,7 +234,7 @@ def session_restore(spark: SparkSession, d: str) -> DataFrame:
 
 def _rois(spark: SparkSession, d: str) -> DataFrame:
     r = rois.nested(table(spark, d, "roi_vertices"))
-    return r.withColumn("session_id", F.col("roi_id") % 500).withColumn("name", F.concat(F.lit("Roi "), F.col("roi_id").cast("string"))).withColumn("roi_type", F.lit("polygon")).withColumn("color", rois.palette(F.col("roi_id") + 1))
+    return r.withColumn("session_id", F.floor(F.col("roi_id") / 40)).withColumn("name", F.concat(F.lit("Roi "), F.col("roi_id").cast("string"))).withColumn("roi_type", F.lit("polygon")).withColumn("color", rois.palette(F.col("roi_id") + 1))
 
 
 _POINT = "'[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ',' || CAST(z AS VARCHAR) || ']'"
@@ -229,25 +242,25 @@ _COLORS = "[" + ", ".join("'" + ",".join(map(str, c)) + "'" for c in rois.PALETT
 
 
 @query(f"""{with_duck('roi_vertices')}, r AS (SELECT roi_id, slice_index, orientation, string_agg({_POINT}, ',' ORDER BY vertex_idx) AS points FROM roi_vertices GROUP BY ALL)
-SELECT roi_id % 500 AS session_id, '[' || string_agg('{{"name":"Roi ' || roi_id || '","roi_type":"polygon","slice_index":' || slice_index || ',"orientation":' || orientation || ',"points":[' || points || '],"color":[' || {_COLORS}[roi_id % 8 + 1] || ']}}', ',' ORDER BY roi_id) || ']' AS rois
+SELECT roi_id // 40 AS session_id, '[' || string_agg('{{"name":"Roi ' || roi_id || '","roi_type":"polygon","slice_index":' || slice_index || ',"orientation":' || orientation || ',"points":[' || points || '],"color":[' || {_COLORS}[roi_id % 8 + 1] || ']}}', ',' ORDER BY roi_id) || ']' AS rois
 FROM r GROUP BY 1""")
 def roi_serialise(spark: SparkSession, d: str) -> DataFrame:
     return sessions.serialise(_rois(spark, d))
 
 
-@query(f"""{with_duck('roi_vertices')} SELECT roi_id % 500 AS session_id, CAST(dense_rank() OVER (PARTITION BY roi_id % 500 ORDER BY roi_id) AS INT) AS roi_id, 'Roi ' || roi_id AS name, vertex_idx, x, y, z FROM roi_vertices""")
+@query(f"""{with_duck('roi_vertices')} SELECT roi_id // 40 AS session_id, CAST(dense_rank() OVER (PARTITION BY roi_id // 40 ORDER BY roi_id) AS INT) AS roi_id, 'Roi ' || roi_id AS name, vertex_idx, x, y, z FROM roi_vertices""")
 def roi_deserialise(spark: SparkSession, d: str) -> DataFrame:
     back = roi_serialise(spark, d).withColumn("rois", F.from_json("rois", sessions.ROI))
     r = sessions.deserialise(back).select("session_id", "roi_id", "name", F.posexplode("points").alias("vertex_idx", "p"))
     return r.select("session_id", "roi_id", "name", F.col("vertex_idx").cast("long").alias("vertex_idx"), "p.x", "p.y", "p.z")
 
 
-@query(f"""{_SESSION}, g AS ({with_duck('series_geom').removeprefix('WITH series_geom AS (').removesuffix(')')}), j AS (SELECT s.*, g.sx, g.sy, g.sz FROM s LEFT JOIN g ON g.series_id = s.session_id % 25),
+@query(f"""{_SESSION}, g AS ({with_duck('series_geom').removeprefix('WITH series_geom AS (').removesuffix(')')}), sr AS (SELECT *, row_number() OVER (ORDER BY series_id) - 1 AS rank, count(*) OVER () AS n FROM g), j AS (SELECT s.*, g.sx, g.sy, g.sz FROM s LEFT JOIN sr g ON g.rank = s.session_id % ((SELECT count(*) FROM g) + 2)),
 t AS (SELECT session_id, CASE WHEN use_series THEN coalesce(sx, 1.0) ELSE custom[1] END AS a, CASE WHEN use_series THEN coalesce(sy, 1.0) ELSE custom[2] END AS b, CASE WHEN use_series THEN coalesce(sz, 1.0) ELSE custom[3] END AS c FROM j)
 SELECT session_id, a AS s0, b AS s1, c AS s2, '(' || printf('%.4f', a) || ', ' || printf('%.4f', b) || ', ' || printf('%.4f', c) || ')' AS shown FROM t""")
 def spacing_resolve(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions.read(table(spark, d, "sessions")).select("session_id", F.coalesce("use_series", F.lit(False)).alias("use_series"), F.col("custom_spacing").alias("custom"), (F.col("session_id") % 25).cast("int").alias("series_id"))
-    r = catalog.resolve_spacing(s, table(spark, d, "series_geom"))
+    s = sessions.read(table(spark, d, "sessions")).select("session_id", F.coalesce("use_series", F.lit(False)).alias("use_series"), F.col("custom_spacing").alias("custom"))
+    r = catalog.resolve_spacing(_with_series(spark, d, s, "session_id", MISSES), volume.known(table(spark, d, "series_geom")))
     return r.select("session_id", *(F.get("spacing", i).alias(f"s{i}") for i in range(3)), "shown")
 
 
@@ -298,28 +311,28 @@ def rescale_hu(spark: SparkSession, d: str) -> DataFrame:
     return _long(table(spark, d, "scanlines").withColumn("vals", volume.rescaled(F.col("vals"), 1.0 + s % 3, s % 5 - 2.0)))
 
 
-@query(f"""{with_duck('series_geom', 'clicks')} SELECT click_id, CASE orientation WHEN 2 THEN oz + slice_index * sz WHEN 1 THEN oy + slice_index * sy ELSE ox + slice_index * sx END AS location
-FROM clicks LEFT JOIN series_geom ON series_id = click_id % 7 UNION ALL SELECT -1 - file_id, location FROM ({with_duck('headers').removeprefix('WITH headers AS (').removesuffix(')')})""")
+@query(f"""{with_duck('series_geom', 'clicks')}, {_SERIES_RANK} SELECT click_id, CASE orientation WHEN 2 THEN oz + slice_index * sz WHEN 1 THEN oy + slice_index * sy ELSE ox + slice_index * sx END AS location
+FROM clicks LEFT JOIN (SELECT g.*, rank FROM series_geom g JOIN sr USING (series_id)) ON rank = click_id % ((SELECT count(*) FROM sr) + 2) UNION ALL SELECT -1 - file_id, location FROM ({with_duck('headers').removeprefix('WITH headers AS (').removesuffix(')')})""")
 def slice_location(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "clicks").withColumn("series_id", (F.col("click_id") % 7).cast("int")).join(volume.known(table(spark, d, "series_geom")), "series_id", "left")
+    c = _with_series(spark, d, table(spark, d, "clicks"), "click_id", MISSES).join(volume.known(table(spark, d, "series_geom")), "series_id", "left")
     here = c.select("click_id", volume.location(F.col("orientation"), F.col("slice_index")).alias("location"))
     none = table(spark, d, "headers").select((-1 - F.col("file_id")).alias("click_id"), F.lit(2).alias("orientation"), *(F.lit(None).cast("double").alias(x) for x in ("ox", "oy", "oz", "sx", "sy", "sz")), F.col("location").alias("header"))
     return here.union(none.select("click_id", volume.location(F.col("orientation"), F.lit(0), F.col("header"))))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clicks").select("click_id", (F.col("click_id") % 7).cast("int").alias("series_id"), "orientation", F.col("slice_index").cast("int").alias("slice_index"), F.col("px").alias("x"), (F.col("py") / 8 - 5).alias("y"), (F.col("px") / 4 + 6).alias("z"))
+    return _with_series(spark, d, table(spark, d, "clicks"), "click_id").select("click_id", "series_id", "orientation", F.col("slice_index").cast("int").alias("slice_index"), F.col("px").alias("x"), (F.col("py") / 8 - 5).alias("y"), (F.col("px") / 4 + 6).alias("z"))
 
 
-@query(f"""{with_duck('series_geom', 'scanlines', 'clicks')}, q AS (SELECT click_id, click_id % 7 AS series_id, orientation, slice_index, px AS x, py / 8 - 5 AS y, px / 4 + 6 AS z FROM clicks),
+@query(f"""{with_duck('series_geom', 'scanlines', 'clicks')}, {_SERIES_RANK}, q AS (SELECT click_id, series_id, orientation, slice_index, px AS x, py / 8 - 5 AS y, px / 4 + 6 AS z FROM clicks JOIN sr ON rank = click_id % n),
 x AS (SELECT q.click_id, g.*, round_even((x - ox) / sx, 0) AS i, CASE WHEN orientation = 1 THEN slice_index ELSE round_even((y - oy) / sy, 0) END AS j, CASE WHEN orientation = 2 THEN slice_index ELSE round_even((z - oz) / sz, 0) END AS k FROM q JOIN series_geom g USING (series_id))
 SELECT click_id, CAST(x.j AS INT) AS row, CAST(x.i AS INT) AS col, s.vals[CAST(x.i AS INT) + 1] AS value FROM x JOIN scanlines s ON s.series_id = x.series_id AND s.k = x.k AND s.j = x.j WHERE x.i >= 0 AND x.i < nx""")
 def point_sample(spark: SparkSession, d: str) -> DataFrame:
     return volume.sample(_points(spark, d), table(spark, d, "series_geom"), table(spark, d, "scanlines")).select("click_id", "row", "col", "value")
 
 
-@query(f"""{with_duck('series_geom', 'clicks')} SELECT click_id, px AS x, CASE WHEN orientation = 1 THEN oy + slice_index * sy ELSE py / 8 - 5 END AS y, CASE WHEN orientation = 2 THEN oz + slice_index * sz ELSE px / 4 + 6 END AS z
-FROM clicks JOIN series_geom ON series_id = click_id % 7""")
+@query(f"""{with_duck('series_geom', 'clicks')}, {_SERIES_RANK} SELECT click_id, px AS x, CASE WHEN orientation = 1 THEN oy + slice_index * sy ELSE py / 8 - 5 END AS y, CASE WHEN orientation = 2 THEN oz + slice_index * sz ELSE px / 4 + 6 END AS z
+FROM clicks JOIN sr ON rank = click_id % n JOIN series_geom USING (series_id)""")
 def snap_to_plane(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).join(volume.known(table(spark, d, "series_geom")), "series_id")
     x, y, z = volume.snap(F.col("orientation"), F.col("slice_index"), F.col("x"), F.col("y"), F.col("z"))
@@ -339,9 +352,17 @@ w AS (SELECT session_id, CAST(0 AS BIGINT) AS seq, 4 AS s FROM (SELECT DISTINCT
 SELECT session_id, arg_max(s, seq) AS slice FROM w GROUP BY 1""")
 def slice_clamp(spark: SparkSession, d: str) -> DataFrame:
     """Where each user's wheel log leaves a slice of 0..9 that starts at 4."""
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("step")).alias("e"))
-    g = e.groupBy("session_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    return g.select("session_id", volume.wheel(F.transform("e", lambda x: x["step"]), F.lit(4), F.lit(0), F.lit(9)).alias("slice"))
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), F.row_number().over(by_time).alias("seq"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("step"))
+    return volume.wheels(e, 4, 0, 9, block=64)
+
+
+@query(f"""{with_duck('series_geom', 'scanlines', 'clicks')}, {_SERIES_RANK}, x AS (SELECT series_id, 2 AS o, min(k) AS low, max(k) AS high FROM scanlines GROUP BY 1 UNION ALL SELECT series_id, 1, min(j), max(j) FROM scanlines GROUP BY 1 UNION ALL SELECT series_id, 0, 0, max(len(vals)) - 1 FROM scanlines GROUP BY 1)
+SELECT click_id, sr.series_id, CAST(o AS INT) AS orientation, CAST(low AS INT) AS slice, CAST(high AS INT) AS high FROM clicks JOIN sr ON rank = click_id % n JOIN x ON x.series_id = sr.series_id AND x.o = (clicks.orientation + 1) % 3""")
+def slice_turn(spark: SparkSession, d: str) -> DataFrame:
+    """What each view shows after a change of orientation: the next one's lowest slice, and its highest."""
+    c = _with_series(spark, d, table(spark, d, "clicks"), "click_id").select("click_id", "series_id", volume.turned(F.col("orientation")).alias("orientation"))
+    return c.join(volume.extents(table(spark, d, "scanlines")), ["series_id", "orientation"]).select("click_id", "series_id", F.col("orientation").cast("int").alias("orientation"), F.col("low").cast("int").alias("slice"), F.col("high").cast("int").alias("high"))
 
 
 @query(f"{_V}, l AS ({_LONG}) SELECT l.series_id, k, j, i, i + nx * (j + ny * k) AS at, v FROM l JOIN series_geom g USING (series_id)")
@@ -463,18 +484,19 @@ def roi_fold(spark: SparkSession, d: str) -> DataFrame:
     return rois.vertex_rows(rois.fold(rois.nested(table(spark, d, "roi_vertices")), table(spark, d, "roi_edits")))
 
 
-@query(f"""{with_duck('roi_vertices', 'clicks')}, r AS (SELECT DISTINCT roi_id, slice_index, orientation FROM roi_vertices), w AS (SELECT slice_index, orientation, max(click_id) % 1000 AS selected FROM clicks GROUP BY ALL)
+@query(f"""{with_duck('roi_vertices', 'clicks')}, r AS (SELECT DISTINCT roi_id, slice_index, orientation FROM roi_vertices), {_REGION_RANK}, w AS (SELECT slice_index, orientation, rr.roi_id AS selected FROM (SELECT slice_index, orientation, max(click_id) AS last FROM clicks GROUP BY ALL) JOIN rr ON rank = last % n)
 SELECT slice_index, orientation, roi_id, selected = roi_id AS handles FROM w JOIN r USING (slice_index, orientation)""")
 def roi_visible(spark: SparkSession, d: str) -> DataFrame:
     """What each view shows after its last click."""
-    views = table(spark, d, "clicks").groupBy("slice_index", "orientation").agg((F.max("click_id") % 1000).alias("selected"))
+    last = table(spark, d, "clicks").groupBy("slice_index", "orientation").agg(F.max("click_id").alias("click_id"))
+    views = last.join(_picks(spark, d).select("click_id", F.col("roi_id").alias("selected")), "click_id").drop("click_id")
     shapes = table(spark, d, "roi_vertices").select("roi_id", "slice_index", "orientation").distinct()
     return rois.visible(views, shapes).select("slice_index", "orientation", "roi_id", "handles")
 
 
 _EDGES = f"""{with_duck('roi_vertices', 'clicks')}, n AS (SELECT *, count(*) OVER (PARTITION BY roi_id) AS n FROM roi_vertices),
 edges AS (SELECT a.roi_id, a.slice_index, a.orientation, a.vertex_idx AS edge_idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM n a JOIN n b ON a.roi_id = b.roi_id AND b.vertex_idx = (a.vertex_idx + 1) % a.n WHERE a.n >= 2),
-picks AS (SELECT *, 1 + click_id % 1000 AS roi_id FROM clicks)"""
+{_REGION_RANK}, picks AS (SELECT clicks.*, roi_id FROM clicks JOIN rr ON rank = click_id % n)"""
 _DIST = """sqrt(qx * qx + qy * qy) AS d FROM (SELECT *, CASE WHEN l2 < 1e-12 THEN px - ax ELSE px - (ax + t * dx) END AS qx, CASE WHEN l2 < 1e-12 THEN py - ay ELSE py - (ay + t * dy) END AS qy FROM
 (SELECT *, greatest(0.0, least(1.0, ((px - ax) * dx + (py - ay) * dy) / nullif(l2, 0))) AS t FROM (SELECT *, dx * dx + dy * dy AS l2 FROM (SELECT *, bx - ax AS dx, yb - ay AS dy FROM {}))))"""
 
@@ -484,7 +506,9 @@ def _outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _picks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clicks").withColumn("roi_id", 1 + F.col("click_id") % 1000)
+    """Each click with the region at the place that its number has modulo their count."""
+    regions, n = ranked(table(spark, d, "roi_vertices").select("roi_id").distinct(), "roi_id")
+    return table(spark, d, "clicks").withColumn("rank", F.col("click_id") % max(1, n)).join(regions, "rank").drop("rank")
 
 
 @query(f"""{_EDGES} SELECT roi_id, slice_index, orientation, CAST(edge_idx AS INT) AS edge_idx, ax, ay, bx, yb AS "by" FROM edges""")
@@ -573,11 +597,11 @@ def roi_list(spark: SparkSession, d: str) -> DataFrame:
     return r.select("roi_id", rois.listing(F.col("roi_id"), F.col("name"), F.col("slice_index")).alias("entry"), F.get(c, F.lit(0)).alias("red"), F.get(c, F.lit(1)).alias("green"))
 
 
-@query(f"""{with_duck('roi_vertices', 'scanlines')}, r AS (SELECT DISTINCT roi_id, slice_index, orientation FROM roi_vertices), x AS (SELECT series_id, 2 AS orientation, min(k) AS low, max(k) AS high FROM scanlines GROUP BY 1 UNION ALL SELECT series_id, 1, min(j), max(j) FROM scanlines GROUP BY 1)
-SELECT roi_id, r.orientation, slice_index, low, high FROM r LEFT JOIN x ON x.series_id = r.roi_id % 6 AND x.orientation = r.orientation""")
+@query(f"""{with_duck('roi_vertices', 'scanlines', 'series_geom')}, {_SERIES_RANK}, r AS (SELECT DISTINCT roi_id, slice_index, orientation FROM roi_vertices), x AS (SELECT series_id, 2 AS orientation, min(k) AS low, max(k) AS high FROM scanlines GROUP BY 1 UNION ALL SELECT series_id, 1, min(j), max(j) FROM scanlines GROUP BY 1)
+SELECT roi_id, r.orientation, slice_index, low, high FROM r LEFT JOIN sr ON sr.rank = r.roi_id % ((SELECT count(*) FROM sr) + 2) LEFT JOIN x ON x.series_id = sr.series_id AND x.orientation = r.orientation""")
 def roi_goto(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "roi_vertices").select("roi_id", "slice_index", "orientation").distinct().withColumn("series_id", (F.col("roi_id") % 6).cast("int"))
-    return rois.goto(r, volume.extents(table(spark, d, "scanlines")))
+    r = table(spark, d, "roi_vertices").select("roi_id", "slice_index", "orientation").distinct()
+    return rois.goto(_with_series(spark, d, r, "roi_id", MISSES), volume.extents(table(spark, d, "scanlines")))
 
 
 # ---- streams ----
