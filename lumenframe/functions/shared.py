@@ -18,3 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(here)
     return here.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -132,8 +132,11 @@ def replaced(loads: DataFrame) -> DataFrame:
     return loads.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))).drop("_last")
 
 
-def menu(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("entry", F.format_string("[%d]  %s", "pos", basename(F.col("folder"))))
+def menu(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """rows(folder, pos) with their entry: the place in load order and the series' label. headers(folder, SeriesNumber,
+    SeriesDescription) are those of the first files; a folder without one goes by its name."""
+    j = rows.join(headers.select("folder", F.col("SeriesNumber").alias("_n"), F.col("SeriesDescription").alias("_d")), "folder", "left")
+    return j.withColumn("entry", F.format_string("[%d]  %s", "pos", label(F.col("_n"), F.col("_d"), F.col("folder")))).drop("_n", "_d")
 
 
 def resolve_spacing(sessions: DataFrame, series: DataFrame) -> DataFrame:
@@ -146,6 +149,14 @@ def resolve_spacing(sessions: DataFrame, series: DataFrame) -> DataFrame:
     return out.withColumn("shown", text)
 
 
+def toggled(sessions: DataFrame, series: DataFrame) -> DataFrame:
+    """sessions(session_id, use_series, custom, series_id) after the flag is switched: switched on, a known series' spacing
+    is copied into the custom values; switched off, those count as they are."""
+    joined = sessions.join(series.select("series_id", F.array("sx", "sy", "sz").alias("_own")), "series_id", "left")
+    now = joined.withColumn("use_series", ~F.coalesce("use_series", F.lit(False)))
+    return now.withColumn("custom", F.when(F.col("use_series") & F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("custom"))).drop("_own")
+
+
 def custom_spacing(c: Column) -> Column:
     return F.round(F.least(F.greatest(c, F.lit(0.01)), F.lit(50.0)), 4)
 

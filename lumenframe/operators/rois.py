@@ -66,14 +66,20 @@ def named(log: DataFrame) -> DataFrame:
 def renamed(log: DataFrame, name: str) -> DataFrame:
     """The live ROIs with the last name they were given; blank names and names for ROIs not there count nothing."""
     given = log.filter("op = 'rename'").select("session_id", "roi_id", F.col("seq").alias("_s"), F.trim(name).alias("_name")).filter("_name <> ''")
-    base = live(log).join(named(log).select("session_id", "roi_id", "name"), ["session_id", "roi_id"])
+    base = live(log).drop("name").join(named(log).select("session_id", "roi_id", "name"), ["session_id", "roi_id"])
     last = base.select("session_id", "roi_id", "seq").join(given, ["session_id", "roi_id"]).filter("_s > seq").groupBy("session_id", "roi_id").agg(F.max_by("_name", "_s").alias("_name"))
     return base.join(last, ["session_id", "roi_id"], "left").withColumn("name", F.coalesce("_name", "name")).drop("_name")
 
 
+def _deselects(log: DataFrame) -> Column:
+    """Rows that select nothing: a clear, or a change to a tool that does not edit (logs without tools have none)."""
+    tool = F.col("tool") if "tool" in log.columns else F.lit(None).cast("string")
+    return (F.col("op") == "clear") | ((F.col("op") == "tool") & ~F.coalesce(tool == "edit", F.lit(False)))
+
+
 def selected(log: DataFrame) -> DataFrame:
-    """session_id, selected: null after a clear, or after a removal of the selected id since."""
-    last = log.filter("op IN ('select', 'clear')").groupBy("session_id").agg(F.max(F.struct("seq", F.when(F.col("op") == "select", F.col("roi_id")).alias("id"))).alias("s"))
+    """session_id, selected: null after a clear or another tool, or after a removal of the selected id since."""
+    last = log.filter((F.col("op") == "select") | _deselects(log)).groupBy("session_id").agg(F.max(F.struct("seq", F.when(F.col("op") == "select", F.col("roi_id")).alias("id"))).alias("s"))
     gone = log.filter("op = 'remove'").select("session_id", F.col("roi_id").alias("_id"), F.col("seq").alias("_r"))
     hit = last.join(gone, (last["session_id"] == gone["session_id"]) & (F.col("s.id") == F.col("_id")) & (F.col("_r") > F.col("s.seq")), "left_semi").select("session_id", F.lit(True).alias("_gone"))
     every = log.select("session_id").distinct().join(last, "session_id", "left").join(hit, "session_id", "left")
@@ -82,12 +88,18 @@ def selected(log: DataFrame) -> DataFrame:
 
 def changes(log: DataFrame) -> DataFrame:
     """session_id, seq, no, event, roi_id: what listeners are told, in order (no counts within a row)."""
-    sel = F.last(F.when(F.col("op").isin("select", "clear"), F.struct("seq", F.when(F.col("op") == "select", F.col("roi_id")).alias("id"))), ignorenulls=True).over(_seq().rowsBetween(Window.unboundedPreceding, -1))
+    off = _deselects(log)
+    sel = F.last(F.when((F.col("op") == "select") | off, F.struct("seq", F.when(F.col("op") == "select", F.col("roi_id")).alias("id"))), ignorenulls=True).over(_seq().rowsBetween(Window.unboundedPreceding, -1))
     before = Window.partitionBy("session_id", "roi_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("_sel", sel).withColumn("_gone", F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(before))
+    rows = log.withColumn("_sel", sel).withColumn("_gone", F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(before)).withColumn("_off", off)
     drop = F.coalesce((F.col("_sel.id") == F.col("roi_id")) & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_sel.seq"))), F.lit(False))
     life = lifetimes(log).select("session_id", F.col("roi_id"), F.col("seq").alias("_from"), "end", "removed")
     rows = rows.join(life, ["session_id", "roi_id"], "left").withColumn("_new", F.sum((F.col("op") == "add").cast("long")).over(_seq()))
+    if "idx" in log.columns:
+        told = edited(log).select("session_id", F.explode("told").alias("seq"), F.lit(True).alias("_told"))
+        rows = rows.join(told, ["session_id", "seq"], "left")
+    else:
+        rows = rows.withColumn("_told", F.lit(False))
     there = F.coalesce((F.col("seq") > F.col("_from")) & (F.col("end").isNull() | (F.col("seq") < F.col("end"))), F.lit(False))
     ev = lambda name, roi=None: F.struct(F.lit(name).alias("event"), (F.lit(None).cast("long") if roi is None else roi).alias("roi_id"))
     none = F.array().cast("array<struct<event:string,roi_id:bigint>>")
@@ -95,31 +107,66 @@ def changes(log: DataFrame) -> DataFrame:
     out = (
         F.when(F.col("op") == "add", F.array(ev("added", F.col("_new")), ev("changed")))
         .when(F.col("op") == "clear", F.array(ev("selection"), ev("changed")))
+        .when(F.col("_off"), F.array(ev("selection")))
         .when(F.col("op") == "select", F.array(ev("selection", F.col("roi_id").cast("long"))))
-        .when(F.col("op") == "rename", F.when(there, F.array(ev("changed"))).otherwise(none))
+        .when(F.col("op") == "rename", F.when(there & (F.trim("name") != "" if "name" in log.columns else F.lit(True)), F.array(ev("changed"))).otherwise(none))
         .when(F.col("op") == "remove", F.concat(F.when(drop, F.array(ev("selection"))).otherwise(none), F.when(effective, F.array(ev("removed", F.col("roi_id").cast("long")), ev("changed"))).otherwise(none)))
+        .when(F.col("_told"), F.array(ev("changed")))  # a vertex inserted or deleted; other edits of points tell nobody
         .otherwise(none)
     )
     return rows.select("session_id", "seq", F.posexplode(out).alias("no", "e")).select("session_id", "seq", "no", "e.event", "e.roi_id")
 
 
-def fold(rois: DataFrame, edits: DataFrame) -> DataFrame:
-    """rois(roi_id, points) after edits(roi_id, seq, op, idx, ex, ey) in order: update and delete need an index in range,
-    delete more than three points; insert goes after the edge, past the end to the end; translate moves all."""
-    log = edits.groupBy("roi_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "idx", "ex", "ey"))).alias("_log"))
+EDIT = "struct<seq:bigint,op:string,idx:int,ex:double,ey:double>"
+FOLD = f"struct<points:{POINTS},told:array<bigint>>"
+
+
+def _folded(points: Column, edits: Column) -> Column:
+    """points after the edits in order, and the seqs of those that put in or took out a vertex: update and delete need an
+    index in range, delete more than three points; insert goes after the edge, past the end to the end; translate moves
+    all."""
     point = lambda e: F.struct(e["ex"].alias("x"), e["ey"].alias("y"), F.lit(0.0).alias("z"))
 
-    def step(p: Column, e: Column) -> Column:
+    def step(acc: Column, e: Column) -> Column:
+        p = acc["points"]
         ok = (e["idx"] >= 0) & (e["idx"] < F.size(p))
         moved = F.transform(p, lambda q: F.struct((q["x"] + e["ex"]).alias("x"), (q["y"] + e["ey"]).alias("y"), q["z"].alias("z")))
         set_ = F.transform(p, lambda q, i: F.when(i == e["idx"], point(e)).otherwise(q))
         less = F.filter(p, lambda q, i: i != e["idx"])
         put = F.array_insert(p, F.least(e["idx"] + 2, F.size(p) + 1), point(e))
-        out = F.when(e["op"] == "translate", moved).when((e["op"] == "update") & ok, set_).when(e["op"] == "insert", put)
-        return out.when((e["op"] == "delete") & ok & (F.size(p) > 3), less).otherwise(p)
+        gone = (e["op"] == "delete") & ok & (F.size(p) > 3)
+        out = F.when(e["op"] == "translate", moved).when((e["op"] == "update") & ok, set_).when(e["op"] == "insert", put).when(gone, less).otherwise(p)
+        told = F.when((e["op"] == "insert") | gone, F.concat(acc["told"], F.array(e["seq"].cast("long")))).otherwise(acc["told"])
+        return F.struct(out.cast(POINTS).alias("points"), told.alias("told")).cast(FOLD)
+
+    start = F.struct(points.cast(POINTS).alias("points"), F.array().cast("array<bigint>").alias("told")).cast(FOLD)
+    return F.aggregate(F.coalesce(edits.cast(f"array<{EDIT}>"), F.array().cast(f"array<{EDIT}>")), start, step)
 
-    empty = F.array().cast("array<struct<seq:bigint,op:string,idx:int,ex:double,ey:double>>")
-    return rois.join(log, "roi_id", "left").withColumn("points", F.aggregate(F.coalesce(F.col("_log").cast("array<struct<seq:bigint,op:string,idx:int,ex:double,ey:double>>"), empty), F.col("points").cast(POINTS), lambda p, e: step(p, e).cast(POINTS))).drop("_log")
+
+def edited(log: DataFrame) -> DataFrame:
+    """lifetimes with points, after all edits of a ROI's life, and told: the seqs at which vertices came or went."""
+    life = lifetimes(log)
+    edits = log.filter(F.col("op").isin("update", "translate", "insert", "delete")).select("session_id", "roi_id", F.struct("seq", "op", "idx", "ex", "ey").alias("e"))
+    span = life.select("session_id", "roi_id", F.col("seq").alias("_from"), "end")
+    mine = edits.join(span, ["session_id", "roi_id"]).filter((F.col("e.seq") > F.col("_from")) & (F.col("end").isNull() | (F.col("e.seq") < F.col("end"))))
+    mine = mine.groupBy("session_id", "roi_id").agg(F.sort_array(F.collect_list("e")).alias("_e"))
+    out = life.join(mine, ["session_id", "roi_id"], "left").withColumn("_f", _folded(F.col("points"), F.col("_e")))
+    return out.withColumn("points", F.col("_f.points")).withColumn("told", F.col("_f.told")).drop("_e", "_f")
+
+
+def table(log: DataFrame) -> DataFrame:
+    """The ROIs that are there after a log with names, tools and points: session_id, roi_id, roi_type, name, color (null:
+    its own), points, selected."""
+    shape = edited(log).filter("end IS NULL").select("session_id", "roi_id", "roi_type", "color_no", "points")
+    name = renamed(log, "name").select("session_id", "roi_id", "name")
+    out = shape.join(name, ["session_id", "roi_id"]).join(selected(log), "session_id", "left")
+    return out.select("session_id", "roi_id", "roi_type", "name", palette(F.col("color_no")).alias("color"), "points", F.coalesce(F.col("selected") == F.col("roi_id"), F.lit(False)).alias("selected"))
+
+
+def fold(rois: DataFrame, edits: DataFrame) -> DataFrame:
+    """rois(roi_id, points) after edits(roi_id, seq, op, idx, ex, ey) in order."""
+    log = edits.groupBy("roi_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "idx", "ex", "ey"))).alias("_log"))
+    return rois.join(log, "roi_id", "left").withColumn("points", _folded(F.col("points"), F.col("_log"))["points"]).drop("_log")
 
 
 def nested(vertices: DataFrame) -> DataFrame:
@@ -262,6 +309,12 @@ def double_click(clicks: DataFrame, outline: DataFrame) -> DataFrame:
     return hit.select("click_id", "roi_id", F.lit("insert").alias("op"), F.col("edge_idx").alias("idx"), F.col("px").alias("ex"), F.col("py").alias("ey"))
 
 
+def hovered_delete(clicks: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Delete rows for a log: the selected ROI's nearest vertex within FAR; the fold refuses them below four points."""
+    hit = nearest_vertex(clicks, vertices, FAR).filter("vertex_idx IS NOT NULL")
+    return hit.select("click_id", "roi_id", F.lit("delete").alias("op"), F.col("vertex_idx").cast("int").alias("idx"))
+
+
 def drags(moves: DataFrame) -> DataFrame:
     """moves(drag_id, seq, x, y) -> the vertex's last place, and the whole outline's shift: the sum of successive steps."""
     w = Window.partitionBy("drag_id").orderBy("seq")

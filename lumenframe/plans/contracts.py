@@ -51,11 +51,15 @@ FROM {lineitem}""",
     "roi_log": """
 SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
        CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_type = 'signup' THEN 'add' WHEN event_type = 'error' THEN 'remove'
-            WHEN event_type = 'view' THEN 'select' WHEN event_type = 'click' THEN 'translate' ELSE 'rename' END AS op,
+            WHEN event_type = 'view' THEN CASE WHEN event_id % 11 = 0 THEN 'tool' ELSE 'select' END
+            WHEN event_type = 'click' THEN CASE CAST(floor(event_id / 12) AS BIGINT) % 4 WHEN 0 THEN 'translate' WHEN 1 THEN 'update' WHEN 2 THEN 'insert' ELSE 'delete' END
+            ELSE 'rename' END AS op,
        1 + event_id % 12 AS roi_id,
        CASE WHEN event_id % 4 = 0 THEN 'rectangle' WHEN event_id % 4 = 1 THEN 'ellipse' WHEN event_id % 4 = 2 THEN 'polygon' ELSE 'freehand' END AS roi_type,
        CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS has_color,
-       CAST(event_id % 16 AS DOUBLE) / 4 AS dx, CAST(event_id % 8 AS DOUBLE) / 4 AS dy
+       CASE WHEN event_id % 2 = 0 THEN 'edit' ELSE 'polygon' END AS tool,
+       CASE WHEN event_id % 5 = 0 THEN '  ' ELSE concat(' r', CAST(event_id AS STRING), ' ') END AS name,
+       CAST(event_id % 7 AS INT) - 1 AS idx, CAST(event_id % 16 AS DOUBLE) / 4 AS ex, CAST(event_id % 8 AS DOUBLE) / 4 AS ey, CAST(3 + event_id % 3 AS INT) AS n_points
 FROM {events}""",
     "roi_edits": """
 SELECT l_orderkey AS roi_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_tax, l_discount) AS seq,

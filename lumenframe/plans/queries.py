@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.ranks import ranked
-from lumenframe.functions.shared import shared_dir
+from lumenframe.functions.shared import delete, shared_dir
 from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
-from lumenframe.plans.contracts import with_duck
+from lumenframe.plans.contracts import duck, with_duck
 from lumenframe.sources import sessions
 from lumenframe.streaming import gestures, roi_log
 
@@ -193,10 +193,15 @@ def series_replace(spark: SparkSession, d: str) -> DataFrame:
     return catalog.replaced(table(spark, d, "loads")).select("session_id", "seq", "folder")
 
 
-@query(f"""{_EPOCH}, l AS (SELECT session_id, folder, min(seq) AS seq FROM (SELECT * FROM e QUALIFY epoch = max(epoch) OVER (PARTITION BY session_id)) GROUP BY ALL)
-SELECT session_id, pos, '[' || pos || ']  ' || split_part(folder, '/', 3) AS entry FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS pos FROM l)""")
+@query(f"""{_EPOCH}, files AS ({duck('files')}), headers AS ({duck('headers')}), v AS ({_VISIBLE}), f AS (SELECT folder, min(path) AS path FROM v GROUP BY folder),
+h AS (SELECT f.folder, headers.* FROM f JOIN v USING (path) JOIN headers USING (file_id)),
+l AS (SELECT session_id, folder, min(seq) AS seq FROM (SELECT * FROM e QUALIFY epoch = max(epoch) OVER (PARTITION BY session_id)) GROUP BY ALL)
+SELECT session_id, pos, '[' || pos || ']  ' || coalesce(nullif(concat_ws(' – ', nullif({_STRIP.format('SeriesNumber')}, ''), nullif({_STRIP.format('SeriesDescription')}, '')), ''), split_part(l.folder, '/', 3)) AS entry
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS pos FROM l) l LEFT JOIN h ON h.folder = l.folder""")
 def series_menu(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.menu(catalog.loaded(table(spark, d, "loads"))).select("session_id", "pos", "entry")
+    files = table(spark, d, "files")
+    named = catalog.visible(files).join(catalog.first_files(files).select("path"), "path").join(table(spark, d, "headers"), "file_id").select("folder", "SeriesNumber", "SeriesDescription")
+    return catalog.menu(catalog.loaded(table(spark, d, "loads")), named).select("session_id", "pos", "entry")
 
 
 # ---- sessions ----
@@ -255,6 +260,13 @@ def roi_deserialise(spark: SparkSession, d: str) -> DataFrame:
     return r.select("session_id", "roi_id", "name", F.col("vertex_idx").cast("long").alias("vertex_idx"), "p.x", "p.y", "p.z")
 
 
+@query(f"""{with_duck('roi_vertices')} SELECT DISTINCT roi_id // 40 AS session_id, CAST(roi_id // 40 % 7 + dense_rank() OVER (PARTITION BY roi_id // 40 ORDER BY roi_id) AS INT) AS roi_id, 'Roi ' || roi_id AS name FROM roi_vertices""")
+def roi_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Stored regions appended to the regions that a session has already: their ids go on."""
+    back = roi_serialise(spark, d).withColumn("rois", F.from_json("rois", sessions.ROI))
+    return sessions.deserialise(back, existing=(F.col("session_id") % 7).cast("int")).select("session_id", "roi_id", "name")
+
+
 @query(f"""{_SESSION}, g AS ({with_duck('series_geom').removeprefix('WITH series_geom AS (').removesuffix(')')}), sr AS (SELECT *, row_number() OVER (ORDER BY series_id) - 1 AS rank, count(*) OVER () AS n FROM g), j AS (SELECT s.*, g.sx, g.sy, g.sz FROM s LEFT JOIN sr g ON g.rank = s.session_id % ((SELECT count(*) FROM g) + 2)),
 t AS (SELECT session_id, CASE WHEN use_series THEN coalesce(sx, 1.0) ELSE custom[1] END AS a, CASE WHEN use_series THEN coalesce(sy, 1.0) ELSE custom[2] END AS b, CASE WHEN use_series THEN coalesce(sz, 1.0) ELSE custom[3] END AS c FROM j)
 SELECT session_id, a AS s0, b AS s1, c AS s2, '(' || printf('%.4f', a) || ', ' || printf('%.4f', b) || ', ' || printf('%.4f', c) || ')' AS shown FROM t""")
@@ -264,6 +276,15 @@ def spacing_resolve(spark: SparkSession, d: str) -> DataFrame:
     return r.select("session_id", *(F.get("spacing", i).alias(f"s{i}") for i in range(3)), "shown")
 
 
+@query(f"""{_SESSION}, g AS ({duck('series_geom')}), sr AS (SELECT *, row_number() OVER (ORDER BY series_id) - 1 AS rank FROM g), j AS (SELECT s.*, sr.sx, sr.sy, sr.sz, NOT coalesce(use_series, false) AS now FROM s LEFT JOIN sr ON sr.rank = s.session_id % ((SELECT count(*) FROM g) + 2))
+SELECT session_id, now AS use_series, CASE WHEN now AND sx IS NOT NULL THEN sx ELSE custom[1] END AS s0, CASE WHEN now AND sx IS NOT NULL THEN sy ELSE custom[2] END AS s1, CASE WHEN now AND sx IS NOT NULL THEN sz ELSE custom[3] END AS s2 FROM j""")
+def spacing_toggle(spark: SparkSession, d: str) -> DataFrame:
+    """Each session's flag switched: what would be saved then."""
+    s = sessions.read(table(spark, d, "sessions")).select("session_id", "use_series", F.col("custom_spacing").alias("custom"))
+    r = catalog.toggled(_with_series(spark, d, s, "session_id", MISSES), volume.known(table(spark, d, "series_geom")))
+    return r.select("session_id", "use_series", *(F.get("custom", F.lit(i)).alias(f"s{i}") for i in range(3)))
+
+
 @query("SELECT event_id, round(least(greatest(CAST(event_id % 1000 AS DOUBLE) / 16 - 1, 0.01), 50.0), 4) AS spacing FROM events")
 def spacing_custom(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -428,6 +449,13 @@ x AS (SELECT a.*, (SELECT min(seq) FROM e r WHERE r.session_id = a.session_id AN
 life AS (SELECT *, coalesce(removed, cleared) AS ends FROM x)"""
 
 
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The edit log, its adds with three to five points."""
+    p = lambda x, y: F.struct((F.col("ex") + x).alias("x"), (F.col("ey") + y).alias("y"), F.lit(0.0).alias("z"))
+    points = F.slice(F.array(p(0, 0), p(4, 0), p(4, 3), p(0, 3), p(-1, 1)), F.lit(1), F.col("n_points"))
+    return table(spark, d, "roi_log").withColumn("points", F.when(F.col("op") == "add", points))
+
+
 @query(f"{_LOG} SELECT session_id, seq, roi_id, roi_type FROM a")
 def roi_ids(spark: SparkSession, d: str) -> DataFrame:
     return rois.adds(table(spark, d, "roi_log")).select("session_id", "seq", "roi_id", "roi_type")
@@ -456,30 +484,51 @@ def roi_live(spark: SparkSession, d: str) -> DataFrame:
     return rois.live(table(spark, d, "roi_log")).select("session_id", "roi_id", "roi_type")
 
 
-@query(f"""{_NAMES} SELECT l.session_id, l.roi_id, coalesce((SELECT arg_max('r' || r.seq, r.seq) FROM roi_log r WHERE r.session_id = l.session_id AND r.op = 'rename' AND r.roi_id = l.roi_id AND r.seq > l.seq AND r.seq % 5 <> 0), n.name) AS name
+@query(f"""{_NAMES} SELECT l.session_id, l.roi_id, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM roi_log r WHERE r.session_id = l.session_id AND r.op = 'rename' AND r.roi_id = l.roi_id AND r.seq > l.seq AND trim(r.name) <> ''), n.name) AS name
 FROM life l JOIN named n ON n.session_id = l.session_id AND n.roi_id = l.roi_id WHERE l.ends IS NULL""")
 def roi_rename(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "roi_log").withColumn("new_name", F.when(F.col("seq") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" r"), F.col("seq").cast("string"), F.lit(" "))))
-    return rois.renamed(log, "new_name").select("session_id", "roi_id", "name")
-
-
-@query(f"""{with_duck('roi_log')}, s AS (SELECT session_id, arg_max(op, seq) AS op, arg_max(roi_id, seq) AS id, max(seq) AS at FROM roi_log WHERE op IN ('select', 'clear') GROUP BY 1)
-SELECT u.session_id, CASE WHEN s.op = 'select' AND NOT EXISTS (SELECT 1 FROM roi_log r WHERE r.session_id = s.session_id AND r.op = 'remove' AND r.roi_id = s.id AND r.seq > s.at) THEN s.id END AS selected FROM (SELECT DISTINCT session_id FROM roi_log) u LEFT JOIN s USING (session_id)""")
+    return rois.renamed(table(spark, d, "roi_log"), "name").select("session_id", "roi_id", "name")
+
+
+_EMPTY = "[]::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[]"
+_INSIDE = "e.idx >= 0 AND e.idx < len(a.p)"
+_AT = "struct_pack(x := e.ex, y := e.ey, z := 0.0::DOUBLE)"
+#: Edits as a list, folded: p the points, told the seqs at which vertices came or went. {0}: the points at first, {1}: the edits.
+_FOLD = f"""list_reduce(list_prepend(struct_pack(seq := 0::BIGINT, op := '', idx := 0, ex := 0.0::DOUBLE, ey := 0.0::DOUBLE, p := {{0}}, told := []::BIGINT[]),
+list_transform(coalesce({{1}}, []), lambda e: struct_pack(seq := e.seq, op := e.op, idx := e.idx, ex := e.ex, ey := e.ey, p := {_EMPTY}, told := []::BIGINT[]))),
+lambda a, e: struct_pack(seq := e.seq, op := e.op, idx := e.idx, ex := e.ex, ey := e.ey,
+p := CASE WHEN e.op = 'translate' THEN list_transform(a.p, lambda q: struct_pack(x := q.x + e.ex, y := q.y + e.ey, z := q.z)) WHEN e.op = 'update' AND {_INSIDE} THEN list_concat(a.p[:e.idx], [{_AT}], a.p[e.idx + 2:])
+WHEN e.op = 'insert' THEN list_concat(a.p[:e.idx + 1], [{_AT}], a.p[e.idx + 2:]) WHEN e.op = 'delete' AND {_INSIDE} AND len(a.p) > 3 THEN list_concat(a.p[:e.idx], a.p[e.idx + 2:]) ELSE a.p END,
+told := CASE WHEN e.op = 'insert' OR e.op = 'delete' AND {_INSIDE} AND len(a.p) > 3 THEN list_append(a.told, e.seq) ELSE a.told END))"""
+_EDITS = "list(struct_pack(seq := r.seq, op := r.op, idx := r.idx, ex := r.ex, ey := r.ey) ORDER BY r.seq)"
+_CORNERS = ", ".join(f"struct_pack(x := CAST(o.ex + {x} AS DOUBLE), y := CAST(o.ey + {y} AS DOUBLE), z := 0.0::DOUBLE)" for x, y in ((0, 0), (4, 0), (4, 3), (0, 3), (-1, 1)))
+_SHAPED = f"""{_NAMES}, ed AS (SELECT life.session_id, life.roi_id, {_EDITS} AS l FROM life JOIN roi_log r ON r.session_id = life.session_id AND r.roi_id = life.roi_id AND r.op IN ('update', 'translate', 'insert', 'delete')
+AND r.seq > life.seq AND (life.ends IS NULL OR r.seq < life.ends) GROUP BY ALL),
+shaped AS (SELECT life.*, {_FOLD.format(f"([{_CORNERS}])[:o.n_points]", "ed.l")} AS f FROM life JOIN roi_log o ON o.session_id = life.session_id AND o.seq = life.seq LEFT JOIN ed ON ed.session_id = life.session_id AND ed.roi_id = life.roi_id)"""
+_OFF = "(p.op = 'clear' OR p.op = 'tool' AND p.tool <> 'edit')"
+_CHOSEN = f"""s AS (SELECT session_id, arg_max(op, seq) AS op, arg_max(roi_id, seq) AS id, max(seq) AS at FROM roi_log p WHERE op = 'select' OR {_OFF} GROUP BY 1),
+chosen AS (SELECT u.session_id, CASE WHEN s.op = 'select' AND NOT EXISTS (SELECT 1 FROM roi_log r WHERE r.session_id = s.session_id AND r.op = 'remove' AND r.roi_id = s.id AND r.seq > s.at) THEN s.id END AS selected FROM (SELECT DISTINCT session_id FROM roi_log) u LEFT JOIN s USING (session_id))"""
+
+
+@query(f"{with_duck('roi_log')}, {_CHOSEN} SELECT session_id, selected FROM chosen")
 def roi_selected(spark: SparkSession, d: str) -> DataFrame:
     return rois.selected(table(spark, d, "roi_log"))
 
 
-@query(f"""{_LOG}, sel AS (SELECT e.*, (SELECT struct_pack(op := arg_max(p.op, p.seq), id := arg_max(p.roi_id, p.seq), at := max(p.seq)) FROM e p WHERE p.session_id = e.session_id AND p.seq < e.seq AND p.op IN ('select', 'clear')) AS s FROM e),
+@query(f"""{_SHAPED}, told AS (SELECT session_id, unnest(f.told) AS seq FROM shaped), sel AS (SELECT e.*, (SELECT struct_pack(op := arg_max(p.op, p.seq), id := arg_max(p.roi_id, p.seq), at := max(p.seq)) FROM e p WHERE p.session_id = e.session_id AND p.seq < e.seq AND (p.op = 'select' OR {_OFF})) AS s FROM e),
 f AS (SELECT sel.*, coalesce(s.op = 'select' AND s.id = roi_id AND NOT EXISTS (SELECT 1 FROM e p WHERE p.session_id = sel.session_id AND p.op = 'remove' AND p.roi_id = sel.roi_id AND p.seq > s.at AND p.seq < sel.seq), false) AS drops,
 EXISTS (SELECT 1 FROM life l WHERE l.session_id = sel.session_id AND l.removed = sel.seq AND l.roi_id = sel.roi_id) AS hits, EXISTS (SELECT 1 FROM life l WHERE l.session_id = sel.session_id AND l.roi_id = sel.roi_id AND l.seq < sel.seq AND (l.ends IS NULL OR l.ends > sel.seq)) AS there FROM sel)
 SELECT session_id, seq, 0 AS no, 'added' AS event, id AS roi_id FROM f WHERE op = 'add' UNION ALL SELECT session_id, seq, 1, 'changed', NULL FROM f WHERE op IN ('add', 'clear') UNION ALL SELECT session_id, seq, 0, 'selection', CASE WHEN op = 'select' THEN roi_id END FROM f WHERE op IN ('select', 'clear')
-UNION ALL SELECT session_id, seq, 0, 'changed', NULL FROM f WHERE op = 'rename' AND there UNION ALL SELECT session_id, seq, 0, 'selection', NULL FROM f WHERE op = 'remove' AND drops
+UNION ALL SELECT session_id, seq, 0, 'selection', NULL FROM f WHERE op = 'tool' AND tool <> 'edit' UNION ALL SELECT session_id, seq, 0, 'changed', NULL FROM told
+UNION ALL SELECT session_id, seq, 0, 'changed', NULL FROM f WHERE op = 'rename' AND there AND trim(name) <> '' UNION ALL SELECT session_id, seq, 0, 'selection', NULL FROM f WHERE op = 'remove' AND drops
 UNION ALL SELECT session_id, seq, CAST(drops AS INT), 'removed', roi_id FROM f WHERE op = 'remove' AND hits UNION ALL SELECT session_id, seq, CAST(drops AS INT) + 1, 'changed', NULL FROM f WHERE op = 'remove' AND hits""")
 def roi_changes(spark: SparkSession, d: str) -> DataFrame:
-    return rois.changes(table(spark, d, "roi_log"))
+    return rois.changes(_log(spark, d))
 
 
-@query()
+@query(f"""{with_duck('roi_vertices', 'roi_edits')}, v AS (SELECT roi_id, slice_index, orientation, list(struct_pack(x := x, y := y, z := z) ORDER BY vertex_idx) AS p FROM roi_vertices GROUP BY ALL), ed AS (SELECT roi_id, {_EDITS} AS l FROM roi_edits r GROUP BY 1),
+g AS (SELECT v.*, {_FOLD.format("v.p", "ed.l")}.p AS q FROM v LEFT JOIN ed USING (roi_id))
+SELECT roi_id, slice_index, orientation, CAST(generate_subscripts(q, 1) - 1 AS INT) AS vertex_idx, unnest(list_transform(q, lambda t: t.x)) AS x, unnest(list_transform(q, lambda t: t.y)) AS y, unnest(list_transform(q, lambda t: t.z)) AS z FROM g""")
 def roi_fold(spark: SparkSession, d: str) -> DataFrame:
     return rois.vertex_rows(rois.fold(rois.nested(table(spark, d, "roi_vertices")), table(spark, d, "roi_edits")))
 
@@ -584,6 +633,12 @@ def edit_insert(spark: SparkSession, d: str) -> DataFrame:
     return rois.double_click(_picks(spark, d), _outline(spark, d))
 
 
+@query(f"""{_EDGES}, h AS (SELECT click_id, roi_id, vertex_idx, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM picks JOIN roi_vertices USING (roi_id))
+SELECT click_id, roi_id, 'delete' AS op, CAST(vertex_idx AS INT) AS idx FROM h WHERE d < 15 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY d, vertex_idx) = 1""")
+def edit_delete(spark: SparkSession, d: str) -> DataFrame:
+    return rois.hovered_delete(_picks(spark, d), table(spark, d, "roi_vertices"))
+
+
 @query(f"{with_duck('gestures')} SELECT session_id AS drag_id, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(x, seq) - arg_min(x, seq) AS dx, arg_max(y, seq) - arg_min(y, seq) AS dy FROM gestures GROUP BY 1")
 def edit_drag(spark: SparkSession, d: str) -> DataFrame:
     return rois.drags(table(spark, d, "gestures").select(F.col("session_id").alias("drag_id"), "seq", "x", "y"))
@@ -612,14 +667,35 @@ def gesture_rois(spark: SparkSession, d: str) -> DataFrame:
     return gestures.batch(table(spark, d, "gestures"))
 
 
-@query(f"{_LOG} SELECT session_id, roi_id, roi_type FROM life WHERE ends IS NULL")
+_TABLE = f"""{_SHAPED}, {_CHOSEN}, t AS (SELECT l.session_id, l.roi_id, l.roi_type, l.color_no, l.f, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM roi_log r WHERE r.session_id = l.session_id AND r.op = 'rename' AND r.roi_id = l.roi_id AND r.seq > l.seq AND trim(r.name) <> ''), n.name) AS name
+FROM shaped l JOIN named n ON n.session_id = l.session_id AND n.roi_id = l.roi_id WHERE l.ends IS NULL)
+SELECT t.session_id, roi_id, roi_type, name, CAST({_RGB}[(color_no - 1) % 8 + 1][1] AS DOUBLE) AS r, CAST({_RGB}[(color_no - 1) % 8 + 1][2] AS DOUBLE) AS g, CAST({_RGB}[(color_no - 1) % 8 + 1][3] AS DOUBLE) AS b, coalesce(selected = roi_id, false) AS selected,
+CAST(generate_subscripts(f.p, 1) - 1 AS INT) AS vertex_idx, unnest(list_transform(f.p, lambda q: q.x)) AS x, unnest(list_transform(f.p, lambda q: q.y)) AS y FROM t JOIN chosen USING (session_id)"""
+
+
+def _table_rows(t: DataFrame) -> DataFrame:
+    """A ROI table with a row for each vertex."""
+    rgb = (F.get("color", F.lit(i)).alias(c) for i, c in enumerate("rgb"))
+    v = t.select("session_id", "roi_id", "roi_type", "name", *rgb, "selected", F.posexplode("points").alias("vertex_idx", "p"))
+    return v.select(*v.columns[:-1], "p.x", "p.y")
+
+
+@query(_TABLE)
+def roi_table(spark: SparkSession, d: str) -> DataFrame:
+    return _table_rows(rois.table(_log(spark, d)))
+
+
+@query(_TABLE)
 def roi_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream, to its end; then the table that the feed amounts to."""
     root = f"{shared_dir(spark)}/roi-stream-{uuid.uuid4().hex}"
-    log = table(spark, d, "roi_log").select("session_id", "seq", "op", "roi_id", "roi_type")
+    log = _log(spark, d)
     log.write.parquet(f"{root}/log")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/log")
-    run = roi_log.changes(rows).writeStream.format("parquet").option("path", f"{root}/feed").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return roi_log.current(spark.read.schema(roi_log.OUT).parquet(f"{root}/feed"))
+    try:
+        rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/log")
+        run = roi_log.changes(rows).writeStream.format("parquet").option("path", f"{root}/feed").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        return _table_rows(roi_log.current(spark.read.schema(roi_log.OUT).parquet(f"{root}/feed"))).checkpoint()
+    finally:
+        delete(spark, root)

@@ -1,7 +1,7 @@
 """A data source that lists the files of folders, one partition a folder.
 
     spark.dataSource.register(FolderListing)
-    spark.read.format("folder_listing").option("folders", "/a,/b").load()
+    spark.read.format("folder_listing").option("folders", json.dumps(["/a", "/b"])).load()
 
 Regular files directly in each folder; names with a leading dot are left out, names with a leading underscore are not
 (Spark's own file sources skip both). Folders that don't exist give no rows. Folders must be visible to all executors.
@@ -9,6 +9,7 @@ Regular files directly in each folder; names with a leading dot are left out, na
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ class FolderListing(DataSource):
         return "folder string, path string, name string, length long"
 
     def reader(self, schema) -> DataSourceReader:
-        return FolderReader([f for f in self.options.get("folders", "").split(",") if f])
+        return FolderReader([f for f in json.loads(self.options.get("folders", "[]")) if f])
 
 
 def mask_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """An edit log to the current ROI table and its change feed, on streams.
 
-Each session keeps its live ROIs, counters and selection; a micro-batch's rows are applied in seq order and the rows that
-listeners would see are emitted. Late rows (seq not above the last one) are marked and not applied. `current` turns the
-feed into the table.
+Each session keeps its live ROIs with type, name, colour and points, its counters and its selection; a micro-batch's rows
+are applied in seq order. What listeners would be told is emitted, then what the row changes in the table: a `row` event
+with the whole ROI, a `gone` event for a ROI or, with no roi_id, for all. Late rows (seq not above the last one) are marked
+and not applied. `listeners` leaves the table's events out; `current` turns the feed into the table.
 """
 
 from __future__ import annotations
@@ -15,63 +16,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "session_id long, seq long, no int, event string, roi_id long, roi_type string"
+from lumenframe.operators.rois import PALETTE
+
+ROW = "roi_type string, name string, color array<double>, xs array<double>, ys array<double>, zs array<double>"
+OUT = f"session_id long, seq long, no int, event string, roi_id long, {ROW}"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
+Roi = tuple  # type, name, colour, xs, ys, zs
 
 
 class RoiStore:
-    """One session: live ROIs by id, the next id, the selection, the last seq."""
-
-    def __init__(self, live: dict[int, str] | None = None, next_id: int = 1, selected: int | None = None, seq: int = -1):
-        self.live, self.next_id, self.selected, self.seq = live or {}, next_id, selected, seq
-
-    def apply(self, op: str, roi: int, kind: str) -> list[tuple[str, int | None, str | None]]:
+    """One session: live ROIs by id, the next id, colours given, the selection, the last seq."""
+
+    def __init__(self, live: dict[int, Roi] | None = None, next_id: int = 1, colors: int = 0, selected: int | None = None, seq: int = -1):
+        self.live, self.next_id, self.colors, self.selected, self.seq = live or {}, next_id, colors, selected, seq
+
+    def _add(self, r: Any) -> int:
+        own, self.next_id = self.next_id, self.next_id + 1
+        color = None
+        if not r.has_color:
+            color, self.colors = list(PALETTE[self.colors % len(PALETTE)]), self.colors + 1
+        n = 1 + sum(kind == r.roi_type for kind, *_ in self.live.values())
+        self.live[own] = (r.roi_type, f"{(r.roi_type or '').capitalize()} {n}", color, *(list(c) if c is not None else [] for c in (r.xs, r.ys, r.zs)))
+        return own
+
+    def _edit(self, roi: int, r: Any) -> bool | None:
+        """None: nothing is changed; else whether a vertex came or went."""
+        kind, name, color, *p = self.live[roi]
+        xs, ys, zs = map(list, p)
+        inside = 0 <= r.idx < len(xs) if r.op != "translate" else True
+        if r.op == "translate":
+            xs, ys = [x + r.ex for x in xs], [y + r.ey for y in ys]
+        elif r.op == "insert":
+            for c, v in ((xs, r.ex), (ys, r.ey), (zs, 0.0)):
+                c.insert(int(r.idx) + 1, v)
+        elif not inside or r.op == "delete" and len(xs) <= 3:
+            return None
+        elif r.op == "update":
+            xs[int(r.idx)], ys[int(r.idx)], zs[int(r.idx)] = r.ex, r.ey, 0.0
+        else:
+            for c in (xs, ys, zs):
+                c.pop(int(r.idx))
+        self.live[roi] = (kind, name, color, xs, ys, zs)
+        return r.op in ("insert", "delete")
+
+    def apply(self, r: Any) -> list[tuple[str, int | None]]:
+        """(event, roi) of a log row."""
+        op, roi = r.op, None if pd.isna(r.roi_id) else int(r.roi_id)
         if op == "add":
-            own, self.next_id = self.next_id, self.next_id + 1
-            self.live[own] = kind
-            return [("added", own, kind), ("changed", None, None)]
+            own = self._add(r)
+            return [("added", own), ("changed", None), ("row", own)]
         if op == "clear":
             self.selected = None
             self.live.clear()
-            return [("selection", None, None), ("changed", None, None)]
+            return [("selection", None), ("changed", None), ("gone", None)]
+        if op == "tool":
+            if r.tool == "edit":
+                return []
+            self.selected = None
+            return [("selection", None)]
         if op == "select":
             self.selected = roi
-            return [("selection", roi, None)]
-        if op == "rename":
-            return [("changed", None, None)] if roi in self.live else []
+            return [("selection", roi)]
         if op == "remove":
-            out: list[tuple[str, int | None, str | None]] = []
+            out: list[tuple[str, int | None]] = []
             if roi == self.selected:
                 self.selected = None
-                out.append(("selection", None, None))
+                out.append(("selection", None))
             if self.live.pop(roi, None) is not None:
-                out += [("removed", roi, None), ("changed", None, None)]
+                out += [("removed", roi), ("changed", None), ("gone", roi)]
             return out
-        return []  # translations and point updates tell nobody
+        if roi not in self.live:
+            return []
+        if op == "rename":
+            name = (r.name or "").strip(" ")
+            if not name:
+                return []
+            self.live[roi] = (self.live[roi][0], name, *self.live[roi][2:])
+            return [("changed", None), ("row", roi)]
+        if op in ("update", "translate", "insert", "delete"):
+            told = self._edit(roi, r)
+            return [] if told is None else [("changed", None), ("row", roi)] if told else [("row", roi)]
+        return []
 
 
 class LogProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "roi_id long", "roi_type string")
-        self.head = handle.getValueState("head", "next_id long, selected long, seq long")
+        self.live = handle.getMapState("live", "roi_id long", ROW)
+        self.head = handle.getValueState("head", "next_id long, colors long, selected long, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s, out = RoiStore(), []
         if self.head.exists():
-            s.next_id, s.selected, s.seq = self.head.get()
-            s.live = {k[0]: v[0] for k, v in self.live.iterator()}
+            s.next_id, s.colors, s.selected, s.seq = self.head.get()
+            s.live = {k[0]: tuple(v) for k, v in self.live.iterator()}
+        before, touched = set(s.live), set()
         for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
             if r.seq <= s.seq:
-                out.append((int(key[0]), r.seq, 0, "late", None, None))
+                out.append((int(key[0]), r.seq, 0, "late", None, *[None] * 6))
                 continue
             s.seq = int(r.seq)
-            before = set(s.live)
-            out += [(int(key[0]), r.seq, no, *e) for no, e in enumerate(s.apply(r.op, int(r.roi_id), r.roi_type))]
-            for gone in before - set(s.live):
-                self.live.removeKey((gone,))
-            for new in set(s.live) - before:
-                self.live.updateValue((new,), (s.live[new],))
-        self.head.update((s.next_id, s.selected, s.seq))
+            for no, (event, roi) in enumerate(s.apply(r)):
+                own = s.live[roi] if event == "row" else (r.roi_type, *[None] * 5) if event == "added" else [None] * 6
+                out.append((int(key[0]), r.seq, no, event, roi, *own))
+                touched |= {roi} if event == "row" else set()
+        for gone in before - set(s.live):
+            self.live.removeKey((gone,))
+        for roi in touched & set(s.live):
+            self.live.updateValue((roi,), s.live[roi])
+        self.head.update((s.next_id, s.colors, s.selected, s.seq))
         yield pd.DataFrame(out, columns=_COLUMNS).astype({"roi_id": "Int64"})
 
     def close(self) -> None:
@@ -79,16 +131,25 @@ class LogProcessor(StatefulProcessor):
 
 
 def changes(log: DataFrame) -> DataFrame:
-    """log(session_id, seq, op, roi_id, roi_type) as a stream -> OUT; needs the RocksDB state store."""
-    return log.groupBy("session_id").transformWithStateInPandas(LogProcessor(), OUT, "Append", "None")
+    """log(session_id, seq, op, roi_id, roi_type, has_color, tool, name, idx, ex, ey, points) as a stream -> OUT; needs the
+    RocksDB state store."""
+    at = lambda c: F.transform("points", lambda p: p[c]).alias(f"{c}s")
+    rows = log.select("session_id", "seq", "op", "roi_id", "roi_type", "has_color", "tool", "name", "idx", "ex", "ey", *map(at, "xyz"))
+    return rows.groupBy("session_id").transformWithStateInPandas(LogProcessor(), OUT, "Append", "None")
+
+
+def listeners(feed: DataFrame) -> DataFrame:
+    """What listeners are told."""
+    return feed.filter(~F.col("event").isin("row", "gone")).select("session_id", "seq", "no", "event", "roi_id")
 
 
 def current(feed: DataFrame) -> DataFrame:
-    """The live ROIs after a feed: added, not removed since, and no clear since (a clear tells of no removals, only of a
-    selection of nothing at the head of its row followed by a change)."""
-    clears = feed.groupBy("session_id", "seq").agg(F.max(F.when((F.col("no") == 0) & (F.col("event") == "selection") & F.col("roi_id").isNull(), 1)).alias("c"), F.max(F.when((F.col("no") == 1) & (F.col("event") == "changed"), 1)).alias("d"))
-    clears = clears.filter("c = 1 AND d = 1").groupBy("session_id").agg(F.max("seq").alias("_clear"))
-    added = feed.filter("event = 'added'").select("session_id", "roi_id", "roi_type", "seq")
-    gone = feed.filter("event = 'removed'").select("session_id", "roi_id")
-    rows = added.join(clears, "session_id", "left").filter(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear")))
-    return rows.join(gone, ["session_id", "roi_id"], "left_anti").select("session_id", "roi_id", "roi_type")
+    """The table after a feed: session_id, roi_id, roi_type, name, color, points, selected."""
+    gone = feed.filter("event = 'gone' AND roi_id IS NULL").groupBy("session_id").agg(F.max("seq").alias("_clear"))
+    whole = F.struct("event", "seq", "roi_type", "name", "color", "xs", "ys", "zs")
+    rows = feed.filter("event IN ('row', 'gone') AND roi_id IS NOT NULL").groupBy("session_id", "roi_id").agg(F.max_by(whole, "seq").alias("r"))
+    rows = rows.filter("r.event = 'row'").join(gone, "session_id", "left").filter("_clear IS NULL OR r.seq > _clear")
+    chosen = feed.filter("event = 'selection'").groupBy("session_id").agg(F.max_by(F.struct("roi_id"), "seq").alias("s"))
+    points = F.transform(F.arrays_zip("r.xs", "r.ys", "r.zs"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y"), p["zs"].alias("z")))
+    selected = F.coalesce(F.col("s.roi_id") == F.col("roi_id"), F.lit(False)).alias("selected")
+    return rows.join(chosen, "session_id", "left").select("session_id", "roi_id", "r.roi_type", "r.name", "r.color", points.alias("points"), selected)

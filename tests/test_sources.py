@@ -1,3 +1,5 @@
+import json
+
 from lumenframe.operators import catalog, volume
 from lumenframe.sources.files import FolderListing, mask_files
 
@@ -6,10 +8,12 @@ def test_folder_listing(spark, tmp_path):
     for name in ("a.dcm", "_b.dcm", ".c.dcm", "x.mat"):
         (tmp_path / name).write_bytes(b"12")
     (tmp_path / "sub").mkdir()
+    (tmp_path / "a,b").mkdir()
+    (tmp_path / "a,b" / "e.dcm").touch()
     (tmp_path / "sub" / "d.dcm").touch()
     spark.dataSource.register(FolderListing)
-    df = spark.read.format("folder_listing").option("folders", f"{tmp_path},{tmp_path}/none").load()
-    assert [r.name for r in df.orderBy("path").collect()] == ["_b.dcm", "a.dcm", "x.mat"]
+    df = spark.read.format("folder_listing").option("folders", json.dumps([str(tmp_path), f"{tmp_path}/none", f"{tmp_path}/a,b"])).load()
+    assert [r.name for r in df.orderBy("path").collect()] == ["_b.dcm", "e.dcm", "a.dcm", "x.mat"]
 
 
 def test_mask_files(spark, tmp_path):

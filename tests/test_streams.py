@@ -7,14 +7,18 @@ from lumenframe.operators import rois
 from lumenframe.streaming import gestures, roi_log
 from lumenframe.streaming.gestures import Drawing
 
-LOG = "session_id long, seq long, op string, roi_id long, roi_type string, has_color int"
+LOG = f"session_id long, seq long, op string, roi_id long, roi_type string, has_color int, tool string, name string, idx int, ex double, ey double, points {rois.POINTS}"
 GESTURE = "session_id long, seq long, kind string, tool string, x double, y double, z double, slice_index long, orientation int"
 
 
 def random_log(seed, n=60):
     r = random.Random(seed)
-    ops = ["add"] * 4 + ["remove"] * 3 + ["select"] * 2 + ["rename", "translate", "clear"]
-    return [(s, i, r.choice(ops), r.randint(1, 6), r.choice(["rectangle", "polygon"]), r.randint(0, 1)) for s in range(4) for i in range(n)]
+    ops = ["add"] * 4 + ["remove"] * 3 + ["select"] * 2 + ["rename"] * 2 + ["translate", "update", "insert", "insert", "delete", "delete", "tool", "clear"]
+    points = lambda op: [(float(r.randint(0, 9)), float(r.randint(0, 9)), 1.0) for _ in range(r.randint(1, 5))] if op == "add" else None
+    return [
+        (s, i, op, r.randint(1, 6), r.choice(["rectangle", "polygon"]), r.randint(0, 1), r.choice(["edit", "polygon"]), r.choice(["  ", " a ", "b"]), r.randint(-1, 5), float(r.randint(0, 5)), float(r.randint(0, 5)), points(op))
+        for s in range(4) for i in range(n) for op in [r.choice(ops)]
+    ]
 
 
 def play(spark, rows, schema, tmp_path, job, parts=3):
@@ -28,28 +32,30 @@ def play(spark, rows, schema, tmp_path, job, parts=3):
     return spark.read.parquet(str(tmp_path / "out"))
 
 
-def test_log_stream_equals_batch_and_model(spark, tmp_path):
+def test_log_stream_equals_batch(spark, tmp_path):
+    """The feed of the stream tells what the batch tells, and amounts to the batch's table: names, colours, points, selection."""
     rows = random_log(3)
     log = spark.createDataFrame(rows, LOG)
-    feed = play(spark, rows, LOG, tmp_path, lambda s: roi_log.changes(s.select("session_id", "seq", "op", "roi_id", "roi_type")))
-    key = lambda r: (r.session_id, r.seq, r.no, r.event, r.roi_id)
-    assert sorted(map(key, feed.collect()), key=str) == sorted(map(key, rois.changes(log).collect()), key=str)
-    live = {(r.session_id, r.roi_id) for r in rois.live(log).collect()}
-    assert {(r.session_id, r.roi_id) for r in roi_log.current(feed).collect()} == live
-    for s in range(4):  # a plain model
-        store = roi_log.RoiStore()
-        for _, _, op, roi, kind, _ in (x for x in rows if x[0] == s):
-            store.apply(op, roi, kind)
-        assert {i for x, i in live if x == s} == set(store.live)
+    feed = play(spark, rows, LOG, tmp_path, roi_log.changes)
+    got = lambda df: sorted(map(str, df.collect()))
+    want = rois.changes(log)
+    assert got(roi_log.listeners(feed).select(*want.columns)) == got(want)
+    whole = rois.table(log)
+    assert got(roi_log.current(feed).select(*whole.columns)) == got(whole) and whole.count() > 3
+
+
+def test_vertices_that_come_and_go_are_told(spark):
+    row = lambda i, op, idx=None, n=0: (1, i, op, 1, "polygon", 0, None, None, idx, 9.0, 9.0, [(float(k), 0.0, 0.0) for k in range(n)] or None)
+    log = spark.createDataFrame([row(1, "add", n=3), row(2, "delete", 0), row(3, "insert", 1), row(4, "delete", 7), row(5, "delete", 0), row(6, "update", 0), row(7, "translate"), row(8, "tool")], LOG)
+    told = [(r.seq, r.event) for r in rois.changes(log).orderBy("seq", "no").collect()]
+    assert told == [(1, "added"), (1, "changed"), (3, "changed"), (5, "changed"), (8, "selection")]
 
 
 def test_late_rows_are_marked(spark, tmp_path):
-    a = [(1, 5, "add", None, "polygon")]
-    b = [(1, 5, "add", None, "polygon"), (1, 6, "add", None, "polygon")]
-    schema = "session_id long, seq long, op string, roi_id long, roi_type string"
-    for rows in (a, b):
-        spark.createDataFrame([(s, q, o, r or 0, k) for s, q, o, r, k in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    row = lambda i: (1, i, "add", None, "polygon", 0, None, None, None, None, None, None)
+    for rows in ([row(5)], [row(5), row(6)]):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = roi_log.changes(source).writeStream.format("memory").queryName("late_rows").trigger(availableNow=True).start()
     run.awaitTermination()
     events = [r.event for r in spark.table("late_rows").collect()]
