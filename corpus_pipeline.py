@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and makes its decisions: rejected
 documents go, dropped lines are gone from the text, one document of each group of near duplicates stays, the mix repeats
 and cuts documents to its weights. All stages but the last return the columns of documents; n_chars follows the text.
-A document whose lines are all dropped stays with an empty text; the mix then takes nothing of it.
+
+In every stage other columns of its input go, null texts count as empty, empty tables give empty results with the same
+columns, and rows that repeat are each judged; what nulls in other columns and ties mean is said by the stage.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from lumenframe.llm import bpe, jaccard, lines, mixing, rules
 from lumenframe.llm.common import cut, text_job
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A public tokenizer, found where a task runs.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -23,28 +26,36 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects; empty ones have too few words. Only the text counts; ids, languages and sources may be
+    null or repeat."""
     text_job(spark)
     docs = docs.select(*COLUMNS)
     return rules.cascade(docs, rules.plan(docs)).filter("rejected_by IS NULL").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose key a document with a smaller doc_id holds. Rows that repeat a doc_id are one
+    document; rows without one stay whole. A document that loses all lines stays with an empty text; the mix then takes
+    nothing of it."""
     return _columns(lines.dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that gives its group the name stays; of rows that repeat its doc_id, all stay."""
+    """The document that gives its group the name stays; of rows that repeat its doc_id, all stay, and so do rows without
+    one and empty texts, which link with nothing."""
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass over a document and one for what the last pass takes of it; null is a source of its own. Order
+    within a source is a seeded hash of the whole row, so ties are rows that are equal throughout."""
     return _columns(mixing.mixed_rows(docs.select(*COLUMNS)))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the ids read back)."""
+    """One row for each row of the mix, nulls in the other columns kept: doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the ids read back)."""
     text_job(spark)
     done = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, decoded="decoded")
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
