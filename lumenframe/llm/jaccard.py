@@ -48,7 +48,7 @@ WIDE = 2_000  # groups of a token from which it is put last, or paired in blocks
 COUNTED = 1_000_000  # tokens that a task counts at a time
 ROWS = 50_000  # rows of a few numbers each that are worth a partition
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

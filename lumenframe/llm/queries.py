@@ -130,11 +130,11 @@ ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_
        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 c AS (SELECT w.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-             length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS low,
+             length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS up, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters,
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR up > low OR 2 * n_dup_lines > n_lines OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words) AS kept
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * up > letters OR 2 * n_dup_lines > n_lines OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words) AS kept
 FROM b""",
 }

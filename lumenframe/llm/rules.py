@@ -5,8 +5,9 @@ most about `SAMPLE_ROWS` documents and orders the rules by rejections per second
 run first; `cascade` then stops at a document's first rejection. The order never changes a verdict, only the work.
 
 Counts are over the whole text. Words are runs of anything but the six ASCII white space characters. Null or empty texts
-have no words and are rejected by too_few_words. Capitals are more than half of a text's letters, of any script. Empty tables give empty results. Repeated rows are judged each by
-itself; other columns pass through, but for the names that a function adds.
+have no words and are rejected by too_few_words. Capitals are more than half of a text's letters, of any script. Empty
+tables give empty results. Repeated rows are judged each by itself; other columns pass through, but for the names that a
+function adds. Which rule is named in rejected_by follows the order, and so the measured costs; whether one is does not.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Counts:
         n = upper + self.of(_LOWER)
         if not self.text.isascii():
             for c, k in Counter(_ASCII.sub("", self.text)).items():
-                upper, n = upper + k * c.isupper(), n + k * c.isalpha()
+                upper, n = upper + k * (c.isupper() and c.isalpha()), n + k * c.isalpha()
         return upper, n
 
     @cached_property
@@ -110,7 +111,9 @@ class Counts:
         return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-#: Rules by name: true means that the document goes. The first two are the base rules.
+#: Rules by name: true means that the document goes. The first two are the base rules. repeated_lines rejects above one
+#: half: of the labelled documents that it would reject from three tenths on and no other rule does, 41 of 45 are good
+#: ones (three short lines of which two are equal).
 BASE = ("too_few_words", "repeated_windows")
 RULES: dict[str, Callable[[Counts], bool]] = {
     "too_few_words": lambda c: c.n_words < 10,

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -9,7 +10,7 @@ from lumenframe.llm import bpe
 from lumenframe.llm.queries import op9_bpe_tree
 from tests.llm.helpers import DATA, TEXTS, odd_rows
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 RUNS = ["a" * 3000, "the" * 900, "xyzzy" * 500, " " * 2000, "\n\n  " * 400, "it's we'll " * 150, "?'s!'ll" * 200, "1234567890" * 150, "日本語テキスト" * 150, "é" * 900, "😀👍🏽" * 200, "=-" * 900 + "z" * 20, "<|endoftext|>" * 20 + "x" * 300]
 
 
@@ -56,4 +57,13 @@ def test_query(spark, library):
 
 def test_other_vocabularies_are_refused(tmp_path):
     with pytest.raises(ValueError):
-        bpe.Bpe("/opt/tokenizers/word_bpe_49k.json")
+        bpe.Bpe("word_bpe_49k.json")
+
+
+def test_copies_of_long_rows_stay_copies(spark):
+    text = "copy and copy again, " * 300
+    rows = [(1, text)] * 40 + [(2, text), (2, text + "x"), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = bpe.encode(df, "byte_bpe_50k.json", long_chars=1000, leaf_chars=400, decoded="back").collect()
+    assert sorted((str(r.doc_id), r.back) for r in got) == sorted((str(i), t) for i, t in rows)
+    assert len({bytes(r.ids) for r in got}) == 2

@@ -1,5 +1,6 @@
 """Every operator on odd rows, on an empty table, and on repeated rows."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ import corpus_pipeline
 from lumenframe.llm import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, rules
 from tests.llm.helpers import odd_rows
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = classifier.train(["good text here", "bad %%% ###"], [1, 0], epochs=1)
 OPERATORS = {
     "html": lambda d: html.extract(d, "text"),

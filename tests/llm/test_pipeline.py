@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -36,7 +37,7 @@ def test_stages_and_run(spark):
         assert set(words(r.text)) <= set(words(texts[r.doc_id]))
     for s, t in plain_targets(sizes).items():
         assert abs(taken[s] - t) <= 40
-    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((r.doc_id, hashlib.sha256(np.array(t.encode(r.text, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()) for r in results[3])
     assert sorted((r.doc_id, hashlib.sha256(bytes(r.ids)).hexdigest()) for r in results[4]) == want
     whole = sorted((r.doc_id, r.decoded_sha256, r.n_tokens) for r in corpus_pipeline.run(spark, DATA).collect())
