@@ -667,6 +667,26 @@ def gesture_rois(spark: SparkSession, d: str) -> DataFrame:
     return gestures.batch(table(spark, d, "gestures"))
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows written, read as a stream to their end, and what the job emitted, whose files go when `after` has it."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows.write.parquet(f"{root}/in")
+        out = job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/in"))
+        run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        return after(spark.read.schema(out.schema).parquet(f"{root}/out")).checkpoint()
+    finally:
+        delete(spark, root)
+
+
+@query()
+def gesture_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The gestures as a stream, to its end."""
+    return _streamed(spark, table(spark, d, "gestures"), gestures.stream, lambda out: out)
+
+
 _TABLE = f"""{_SHAPED}, {_CHOSEN}, t AS (SELECT l.session_id, l.roi_id, l.roi_type, l.color_no, l.f, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM roi_log r WHERE r.session_id = l.session_id AND r.op = 'rename' AND r.roi_id = l.roi_id AND r.seq > l.seq AND trim(r.name) <> ''), n.name) AS name
 FROM shaped l JOIN named n ON n.session_id = l.session_id AND n.roi_id = l.roi_id WHERE l.ends IS NULL)
 SELECT t.session_id, roi_id, roi_type, name, CAST({_RGB}[(color_no - 1) % 8 + 1][1] AS DOUBLE) AS r, CAST({_RGB}[(color_no - 1) % 8 + 1][2] AS DOUBLE) AS g, CAST({_RGB}[(color_no - 1) % 8 + 1][3] AS DOUBLE) AS b, coalesce(selected = roi_id, false) AS selected,
@@ -688,14 +708,4 @@ def roi_table(spark: SparkSession, d: str) -> DataFrame:
 @query(_TABLE)
 def roi_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream, to its end; then the table that the feed amounts to."""
-    root = f"{shared_dir(spark)}/roi-stream-{uuid.uuid4().hex}"
-    log = _log(spark, d)
-    log.write.parquet(f"{root}/log")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/log")
-        run = roi_log.changes(rows).writeStream.format("parquet").option("path", f"{root}/feed").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-        return _table_rows(roi_log.current(spark.read.schema(roi_log.OUT).parquet(f"{root}/feed"))).checkpoint()
-    finally:
-        delete(spark, root)
+    return _streamed(spark, _log(spark, d), roi_log.changes, lambda feed: _table_rows(roi_log.current(feed)))

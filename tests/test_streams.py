@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import rois
+from lumenframe.plans.queries import QUERIES
 from lumenframe.streaming import gestures, roi_log
 from lumenframe.streaming.gestures import Drawing
+from tests.twins import DATA
 
 LOG = f"session_id long, seq long, op string, roi_id long, roi_type string, has_color int, tool string, name string, idx int, ex double, ey double, points {rois.POINTS}"
 GESTURE = "session_id long, seq long, kind string, tool string, x double, y double, z double, slice_index long, orientation int"
@@ -62,6 +64,11 @@ def test_late_rows_are_marked(spark, tmp_path):
     assert events.count("late") == 1 and events.count("added") == 2
 
 
+def test_registered_gesture_stream_equals_batch(spark):
+    got = [sorted(map(str, QUERIES[q](spark, DATA).collect())) for q in ("gesture_stream", "gesture_rois")]
+    assert got[0] == got[1] and got[0]
+
+
 def test_gesture_stream_equals_batch(spark, tmp_path):
     r = random.Random(4)
     kinds = ["tool", "left_press", "left_press", "move", "move", "left_release", "right_press", "escape"]
