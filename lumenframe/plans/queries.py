@@ -87,9 +87,9 @@ def header_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_FIRST} SELECT path, CASE WHEN file_id % 13 <> 5 THEN Modality END AS Modality, CASE WHEN file_id % 13 <> 5 THEN PatientID END AS PatientID, CASE WHEN file_id % 13 <> 5 THEN SeriesNumber END AS SeriesNumber,
-CAST(NULL AS VARCHAR) AS Manufacturer FROM h""")
+{", ".join(f"CAST(NULL AS VARCHAR) AS {t}" for t in catalog.TAGS if t not in ("Modality", "PatientID", "SeriesNumber"))} FROM h""")
 def header_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.pivot_headers(header_ingest(spark, d)).select("path", "Modality", "PatientID", "SeriesNumber", "Manufacturer")
+    return catalog.pivot_headers(header_ingest(spark, d))
 
 
 @query(f"""{_FIRST}, c AS (SELECT folder, count(*) FILTER (name NOT LIKE '.%') AS n_files, min(CASE WHEN name NOT LIKE '.%' THEN folder || '/' || name END) AS first_path FROM files GROUP BY folder)
@@ -222,12 +222,15 @@ def session_read(spark: SparkSession, d: str) -> DataFrame:
     return s.select("session_id", "status", "legacy_folder", F.array_join("folders", ",").alias("folders"), *spacing, "use_series", F.when(F.col("rois").isNotNull(), F.size("rois")).cast("long").alias("n_rois"))
 
 
+_ROI_TEXT = """list_transform(from_json(v->'rois', '[{"name":"VARCHAR","roi_type":"VARCHAR","slice_index":"INTEGER","orientation":"INTEGER","points":["DOUBLE[]"],"color":["DOUBLE"]}]'),
+lambda r: '{"name":"' || r.name || '","roi_type":"' || r.roi_type || '","slice_index":' || r.slice_index || ',"orientation":' || r.orientation || ',"points":' || replace(CAST(r.points AS VARCHAR), ' ', '') || ',"color":' || replace(CAST(r.color AS VARCHAR), ' ', '') || '}')"""
+
+
 @query(f"""{_SESSION} SELECT session_id, '{{"lesion_library_dir":"","last_dicom_folder":"' || legacy_folder || '","last_dicom_folders":[' || coalesce(array_to_string(list_transform(folders, lambda f: '"' || f || '"'), ','), '') ||
-'],"custom_spacing":[' || array_to_string(list_transform(custom, lambda x: CAST(x AS VARCHAR)), ',') || '],"use_dicom_spacing":' || coalesce(CAST(use_series AS VARCHAR), 'null') || '}}' AS raw FROM s""")
+'],"custom_spacing":[' || array_to_string(list_transform(custom, lambda x: CAST(x AS VARCHAR)), ',') || '],"use_dicom_spacing":' || coalesce(CAST(use_series AS VARCHAR), 'null') || ',"rois":' ||
+CASE WHEN v IS NULL OR NOT json_exists(v, '$.rois') THEN '[]' WHEN v->>'rois' IS NULL THEN 'null' ELSE '[' || array_to_string({_ROI_TEXT}, ',') || ']' END || '}}' AS raw FROM s""")
 def session_write(spark: SparkSession, d: str) -> DataFrame:
-    """Written, then without the regions, whose text roi_serialise covers."""
-    w = sessions.write(sessions.read(table(spark, d, "sessions")))
-    return w.select("session_id", F.regexp_replace("raw", r',"rois":.*\}$', "}").alias("raw"))
+    return sessions.write(sessions.read(table(spark, d, "sessions")))
 
 
 @query(f"""{_SESSION}, u AS (SELECT session_id, unnest(folders) AS folder, generate_subscripts(folders, 1) AS pos FROM s), f AS ({with_duck('files').removeprefix('WITH files AS (').removesuffix(')')}),
@@ -585,15 +588,12 @@ def shape_rect(spark: SparkSession, d: str) -> DataFrame:
     return _corners(spark, d).select("session_id", "seq", F.posexplode(pts).alias("pos", "p")).select("session_id", "seq", "pos", "p.x", "p.y", "p.z")
 
 
-_AT = "round((x1 + x) / 2 + abs(x - x1) / 2 * cos(6.283185307179586 * {0} / 64), 6) + 0.0 AS x{0}, round((y1 + y) / 2 + abs(y - y1) / 2 * sin(6.283185307179586 * {0} / 64), 6) + 0.0 AS y{0}"
-
-
-@query(f"{_MOVES} SELECT session_id, seq, 64 AS n_points, {_AT.format(0)}, {_AT.format(21)}, {_AT.format(50)}, (z1 + z) / 2 AS z FROM m WHERE x1 IS NOT NULL")
+@query(f"""{_MOVES}, p AS (SELECT *, unnest(range(64)) AS pos FROM m WHERE x1 IS NOT NULL) SELECT session_id, seq, CAST(pos AS INT) AS pos, round((x1 + x) / 2 + abs(x - x1) / 2 * cos(6.283185307179586 * pos / 64), 6) + 0.0 AS x,
+round((y1 + y) / 2 + abs(y - y1) / 2 * sin(6.283185307179586 * pos / 64), 6) + 0.0 AS y, (z1 + z) / 2 AS z FROM p""")
 def shape_ellipse(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of corners' points: how many, and three of them."""
-    p = _corners(spark, d).withColumn("p", rois.ellipse(*map(F.col, ("x1", "y1", "z1", "x", "y", "z"))))
-    at = lambda i, c: (F.round(F.get("p", F.lit(i))[c], 6) + 0.0).alias(f"{c}{i}")
-    return p.select("session_id", "seq", F.size("p").alias("n_points"), *(at(i, c) for i in (0, 21, 50) for c in "xy"), F.get("p", F.lit(0))["z"].alias("z"))
+    """Every pair of corners' 64 points."""
+    p = _corners(spark, d).select("session_id", "seq", F.posexplode(rois.ellipse(*map(F.col, ("x1", "y1", "z1", "x", "y", "z")))).alias("pos", "p"))
+    return p.select("session_id", "seq", "pos", *((F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xy"), "p.z")
 
 
 @query(f"""{_EDGES}, h AS (SELECT click_id, vertex_idx, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM picks JOIN roi_vertices USING (roi_id)), b AS (SELECT click_id, vertex_idx FROM h WHERE d < 10 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY d, vertex_idx) = 1)

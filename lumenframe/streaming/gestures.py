@@ -2,7 +2,8 @@
 
 State: tool, drawing, points, anchor. Rows come in seq order; in a stream, a row whose seq is not above the session's last
 one is late and only marked so. A change of tool keeps a drawing that is under way; slice and orientation are those at the
-end of the drawing. A session's gestures are what one person does, so its rows fit a task.
+end of the drawing. An escape ends all that went before it, so in a batch the rows between two escapes are a group of their
+own: a long session is spread, and only what one person does without an escape has to fit a task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "session_id long, seq long, event string, roi_type string, slice_index long, orientation int, n_points int, xs array<double>, ys array<double>, zs array<double>"
@@ -102,7 +104,9 @@ def batch(gestures: DataFrame) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(advance(Drawing(), int(key[0]), pdf), columns=_COLUMNS)
 
-    return gestures.groupBy("session_id").applyInPandas(run, OUT)
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = gestures.withColumn("_escapes", F.count(F.when(F.col("kind") == "escape", 1)).over(before))
+    return rows.groupBy("session_id", "_escapes").applyInPandas(run, OUT)
 
 
 class DrawingProcessor(StatefulProcessor):
