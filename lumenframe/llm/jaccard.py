@@ -15,8 +15,8 @@ exact: the method only saves comparisons.
    already last are paired in blocks, each block pair in its own place.
 4. Pivots first: a candidate pair of groups whose pivots link, or which other such links connect, is one component, and no
    more of its members' pairs matter.
-5. Unions: for the rest, each group's token union is a table of (group, token). A class's overlap with any member of the
-   other group is at most its overlap with that union; only groups that could reach the needed overlap are opened to it,
+5. Unions: for the rest, each group's token union is a table of (group, token). Groups whose unions meet in too few tokens
+   go. A class's overlap with any member of the other group is at most its overlap with that union; only groups that could reach the needed overlap are opened to it,
    and of their members those that share enough tokens beside the pivot's.
 6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, or by counts in as many
    slices as half their size; those that are left are compared in full.
@@ -459,18 +459,16 @@ def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> Dat
 
 
 def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of classes of the pairs (g, h) of groups that could link. A class asks the other group: its overlap with
-    the group's token union must reach a link's. The union of a group of one is its set, which is compared in full later.
+    """Pairs (a, b) of classes of the pairs (g, h) of groups that could link. Two groups of several members go if their token
+    unions share too few tokens for any of them. Then a class asks the other group: its overlap with the group's token
+    union must reach a link's. The union of a group of one is its set, which is compared in full later.
     A member b is opened to a if min(|a & pivot|, |b & pivot|) and the tokens beside the pivot that both have reach a
     link's overlap; where those tokens have more holders than the group has members, all members of a fitting size are."""
     reach = lambda most, n, m: most * (100 + threshold) >= (n + m) * threshold
     wanted = groups.select(F.col("g").alias("group")).union(groups.select(F.col("h").alias("group"))).distinct()
     ids = cut(labels.join(wanted, "group", "left_semi").join(pivots, "group"))
-    both = groups.select(F.col("g").alias("own"), F.col("h").alias("other")).union(groups.select(F.col("h").alias("own"), F.col("g").alias("other")))
-    asks = both.join(pivots.select(F.col("group").alias("other")), "other", "left_semi")  # of groups of two and more only
-    asks = asks.join(_anew(ids.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
-    asks = cut(asks)
-    held = _of_classes(sets, ids.select("class").union(asks.select("q")), "n", "tokens")
+    alone = wanted.join(pivots.select("group"), "group", "left_anti")
+    held = _of_classes(sets, ids.select("class").union(alone), "n", "tokens")
     sizes = held.select("class", "n")
 
     @slim
@@ -487,6 +485,21 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     own = of_union(own)
     members = cut(own.groupBy("class", "group").agg(F.sum("in_pivot").alias("inside")).join(sizes, "class").select(F.col("class").alias("b"), "group", F.col("n").alias("nb"), F.col("inside").alias("ib")))
     ranges = members.groupBy("group").agg(F.min("nb").alias("low"), F.max("nb").alias("high"), F.count("*").alias("size"))
+    # groups whose unions meet in too few tokens: the smaller union looks its tokens up in the larger one
+    of = ranges.join(union.groupBy("group").agg(F.count("*").alias("w")), "group").select("group", "low", "w")
+    side = lambda c: of.select(F.col("group").alias(c), F.col("low").alias(f"low_{c}"), F.col("w").alias(f"w_{c}"))
+    pairs = groups.join(_anew(side("g"), "g"), "g").join(_anew(side("h"), "h"), "h")
+    pairs = cut(pairs.withColumn("small", F.when(F.col("w_g") <= F.col("w_h"), F.col("g")).otherwise(F.col("h"))).withColumn("large", F.when(F.col("w_g") <= F.col("w_h"), F.col("h")).otherwise(F.col("g"))))
+    meet = pairs.select("g", "h", "small", "large").join(_anew(union.select(F.col("group").alias("small"), "token"), "small"), "small").join(_anew(union.select(F.col("group").alias("large"), "token"), "token"), ["large", "token"])
+    meet = pairs.join(meet.groupBy("g", "h").agg(F.count("*").alias("meet")), ["g", "h"], "left")
+    at_least = lambda x, y: F.greatest(F.col(x), F.ceil(F.col(y) * threshold / 100))  # noqa: E731  the smallest members that may link
+    far = meet.filter(~reach(F.coalesce("meet", F.lit(0)), at_least("low_g", "low_h"), at_least("low_h", "low_g"))).select("g", "h")
+    groups = cut(groups.join(_anew(far, "g"), ["g", "h"], "left_anti"))
+
+    both = groups.select(F.col("g").alias("own"), F.col("h").alias("other")).union(groups.select(F.col("h").alias("own"), F.col("g").alias("other")))
+    asks = both.join(pivots.select(F.col("group").alias("other")), "other", "left_semi")  # of groups of two and more only
+    asks = asks.join(_anew(ids.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
+    asks = cut(asks)
     asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).distinct().join(held, "class").withColumn("pivot", F.lit(0).cast("long"))
     asked = cut(of_union(asked.select("class", "group", "pivot", "tokens").mapInPandas(tokens, kind)).select(F.col("class").alias("a"), "group", "token", "holders", "in_pivot"))
     beside = F.sum(F.when(F.col("in_pivot") == 0, F.col("holders")).otherwise(0)).alias("beside")
