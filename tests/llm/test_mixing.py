@@ -95,3 +95,32 @@ def test_mixed_rows_hold_what_mix_takes(spark):
     for r in mixing.mixed_rows(df).collect():
         got[r.doc_id] += len(words(r.text))
     assert dict(got) == taken
+
+
+def test_taken_words_by_a_plain_mix(spark):
+    """Word by word: sources' words in the seeded order, blocks of 16, seats by the permutation, quotas by quotients."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text").checkpoint()
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "source", "text").alias("p")).collect()}
+    shift = {r.source: r.h for r in docs.select("source").distinct().select("source", F.xxhash64("source", F.lit(17)).alias("h")).collect()}
+    rows = docs.collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += len(words(r.text))
+    target = plain_targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    seats = int(sum(target.values()) / 16 + 0.5)
+    quota = defaultdict(int)
+    for _, k in sorted(((target[s] / (2 * k - 1), -i) for i, s in enumerate(order) for k in range(1, int(target[s] / 16) + 9)), reverse=True)[:seats]:
+        quota[order[-k]] += 1
+    taken = defaultdict(int)
+    for s in order:
+        blocks = max(1, -(-sizes[s] // 16))
+        step = next(p for p in mixing.STEPS if blocks % p) % blocks
+        passes = min(quota[s] * 16 // sizes[s], 3) if sizes[s] else 0
+        rest = 0 if passes >= 3 else min(blocks, int((quota[s] * 16 - passes * sizes[s]) / 16 + 0.5))
+        at = 0
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: (place[r.doc_id] % 64, place[r.doc_id])):
+            for _ in words(r.text):
+                taken[r.doc_id] += passes + ((at // 16 * step + shift[s]) % blocks < rest)
+                at += 1
+    assert {r.doc_id: r.taken for r in op3_mix_sources(spark, DATA).collect() if r.taken} == {i: n for i, n in taken.items() if n}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 from hypothesis import given, settings
@@ -89,6 +90,47 @@ def test_spark_packets_and_damage(spark):
     assert ogg.packets(bad).count() == 2
 
 
+def plain_reader(media):
+    """Pages by their fields, packets by lacing, streams by serial; no code shared with the operator."""
+    packets, open_, ends, pages, at = {}, {}, {}, 0, 0
+    while at < len(media):
+        magic, version, kind, granule, serial, number, crc, n = struct.unpack_from("<4sBBqIIIB", media, at)
+        lacing = media[at + 27 : at + 27 + n]
+        body = media[at + 27 + n : at + 27 + n + sum(lacing)]
+        page = media[at : at + 27 + n + sum(lacing)]
+        assert magic == b"OggS" and version == 0 and slow_checksum(page[:22] + bytes(4) + page[26:]) == crc
+        assert bool(kind & 2) == (number == 0) and bool(kind & 1) == bool(open_.get(serial))
+        for size in lacing:
+            open_[serial] = open_.get(serial, b"") + body[:size]
+            body = body[size:]
+            if size < 255:
+                packets.setdefault(serial, []).append(open_.pop(serial))
+        if granule >= 0:
+            assert granule == sum(map(len, packets[serial][1:]))
+        at, pages = at + len(page), pages + 1
+        ends[serial] = kind & 4
+    assert not open_ and all(ends.values())
+    by = {struct.unpack_from("<8sIHHQ", p[0])[2]: b"".join(p[1:]) for p in packets.values()}
+    out = bytearray(sum(map(len, by.values())))
+    for c, part in by.items():
+        out[c :: len(by)] = part
+    return bytes(out), pages, sum(len(p) - 1 for p in packets.values()), len(by)
+
+
+def test_media_and_features_by_a_plain_reader(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").filter("length(text) < 4000").limit(60).union(spark.createDataFrame([(-1, None)], "doc_id long, text string")).checkpoint()
+    media = {r.doc_id: bytes(r.media) for r in ogg.pack(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in ogg.unpack(ogg.pack(docs)).collect():
+        payload, pages, n_packets, streams = plain_reader(media[r.doc_id])
+        raw = texts[r.doc_id].encode()
+        assert payload == raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        steps = list(zip(payload, payload[1:]))
+        want = dict(streams=streams, pages=pages, packets=n_packets, ms=len(payload) // 2 * 1000 // 8000, sum=sum(payload), travel=sum(abs(a - b) for a, b in steps), crossings=sum((a >= 128) != (b >= 128) for a, b in steps))
+        assert r.feature == " ".join(f"{k}={v}" for k, v in want.items())
+
+
 def test_query(spark):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in op2_ogg_pages(spark, DATA).collect():
