@@ -217,24 +217,30 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(1 + rows // ROWS)
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df cut, in as many partitions as its rows are worth, and their number."""
+    df = cut(df)
+    n = df.count()
+    return _few(df, n), n
+
+
 def _size_fits(a, b, threshold: int):
     """Columns: sets of a and b tokens may link."""
     return (a * 100 >= b * threshold) & (b * 100 >= a * threshold)
 
 
-def _of_classes(sets: DataFrame, ids: DataFrame, *what: str) -> DataFrame:
-    """class and the columns named, of the classes in ids: one row each, where tasks have one each."""
-    ids = cut(ids.toDF("class").distinct())
-    n = ids.count()
-    rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(_few(ids, n), n), "class", "left_semi")
+def _of_classes(sets: DataFrame, ids: DataFrame, most: int, *what: str) -> DataFrame:
+    """class and the columns named, of the classes in ids (no more than `most`): one row each, where tasks have one each."""
+    ids, n = _counted(_few(ids.toDF("class").distinct(), most))
+    rows = sets.filter("tokens IS NOT NULL").select("class", *what).join(small(ids, n), "class", "left_semi")
     return _anew(cut(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in what))), "class")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. Slice counts first, whole sets for what they leave."""
+    """The pairs (a, b) of classes that link; pairs are cut. Slice counts first, whole sets for what they leave."""
 
-    def own(of: DataFrame, *what: str) -> DataFrame:
-        return _of_classes(sets, of.select("a").union(of.select("b")), *what)
+    def own(of: DataFrame, n: int, *what: str) -> DataFrame:
+        return _of_classes(sets, of.select("a").union(of.select("b")), 2 * n, *what)
 
     @slim
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,11 +263,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def with_(left: DataFrame, side: str, table: DataFrame) -> DataFrame:
         return left.join(table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c[0]}{side}") for c in table.columns[1:])), side)
 
-    counts = own(pairs, "n", "coarse", "slices")
+    n_pairs = pairs.count()
+    pairs = _few(pairs, n_pairs)
+    counts = own(pairs, n_pairs, "n", "coarse", "slices")
     rows = with_(with_(pairs, "a", counts), "b", counts).filter(_size_fits(F.col("na"), F.col("nb"), threshold))
-    left = cut(rows.select("a", "b", "na", "nb", "ca", "cb", "sa", "sb").mapInPandas(bound, "a long, b long"))
-    left = _few(left, left.count())
-    whole = own(left, "tokens")
+    left, n_left = _counted(rows.select("a", "b", "na", "nb", "ca", "cb", "sa", "sb").mapInPandas(bound, "a long, b long"))
+    whole = own(left, n_left, "tokens")
     return cut(with_(with_(left, "a", whole), "b", whole).select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
 
 
@@ -282,11 +289,12 @@ def star_pairs(sets: DataFrame, hot, threshold: int) -> DataFrame:
     rows = cut(sets.filter("tokens IS NOT NULL").select("class", "tokens").mapInPandas(run, "key long, a long, cold long, hot long"))
     typical = F.struct((F.col("hot") / (F.col("hot") + F.col("cold"))).alias("share"), F.col("hot").alias("hot"), F.col("cold").alias("cold"), F.col("a").alias("b"))
     keys = rows.groupBy("key").agg(F.max(typical).alias("p"), F.count("*").alias("c")).filter("c > 1")
-    pivots = cut(keys.select(F.col("key").alias("_key"), F.col("p.b").alias("b"), F.col("p.hot").alias("hot_b"), F.col("p.cold").alias("cold_b")))
+    most_rows = rows.count()
+    pivots = cut(_few(keys.select(F.col("key").alias("_key"), F.col("p.b").alias("b"), F.col("p.hot").alias("hot_b"), F.col("p.cold").alias("cold_b")), most_rows // 2))
     n, m = F.col("hot") + F.col("cold"), F.col("hot_b") + F.col("cold_b")
     most = F.least("hot", "hot_b") + F.least("cold", "cold_b")  # of the overlap
     pairs = rows.join(_anew(pivots, "_key"), F.col("key") == F.col("_key")).filter((F.col("a") != F.col("b")) & (most * (100 + threshold) >= (n + m) * threshold))
-    return cut(pairs.select("a", "b").distinct())
+    return cut(_few(pairs.select("a", "b").distinct(), most_rows))
 
 
 def matrix(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot, threshold: int) -> DataFrame:
@@ -445,8 +453,7 @@ def candidates(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot: np
     if len(new):
         tokens = over.groupBy("token").agg(F.sum("n").alias("n")).select("token", F.ceil(F.col("n") / wide).cast("long").alias("blocks"))
         pairs = pairs.union(block_pairs(rows, tokens, len(new), threshold, wide))
-    pairs = cut(pairs.groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n >= least").select("g", "h"))
-    return _few(pairs, pairs.count())
+    return _counted(pairs.groupBy("g", "h").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n >= least").select("g", "h"))[0]
 
 
 def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -455,7 +462,7 @@ def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> Dat
     up = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     roots = components(up)
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-    return cut(groups.join(side("g"), "g", "left").join(side("h"), "h", "left").filter(F.coalesce("_g", "g") != F.coalesce("_h", "h")).select("g", "h"))
+    return groups.join(side("g"), "g", "left").join(side("h"), "h", "left").filter(F.coalesce("_g", "g") != F.coalesce("_h", "h")).select("g", "h")
 
 
 def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFrame, threshold: int) -> DataFrame:
@@ -466,9 +473,10 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     link's overlap; where those tokens have more holders than the group has members, all members of a fitting size are."""
     reach = lambda most, n, m: most * (100 + threshold) >= (n + m) * threshold
     wanted = groups.select(F.col("g").alias("group")).union(groups.select(F.col("h").alias("group"))).distinct()
-    ids = cut(labels.join(wanted, "group", "left_semi").join(pivots, "group"))
+    n_groups = groups.count()
+    ids, n_ids = _counted(labels.join(wanted, "group", "left_semi").join(pivots, "group"))
     alone = wanted.join(pivots.select("group"), "group", "left_anti")
-    held = _of_classes(sets, ids.select("class").union(alone), "n", "tokens")
+    held = _of_classes(sets, ids.select("class").union(alone), n_ids + 2 * n_groups, "n", "tokens")
     sizes = held.select("class", "n")
 
     @slim
@@ -483,30 +491,31 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     union = cut(own.groupBy("group", "token").agg(F.count("*").alias("holders"), F.max((F.col("class") == F.col("pivot")).cast("int")).alias("in_pivot")))
     of_union = lambda df: df.join(_anew(union, "token"), ["group", "token"])
     own = of_union(own)
-    members = cut(own.groupBy("class", "group").agg(F.sum("in_pivot").alias("inside")).join(sizes, "class").select(F.col("class").alias("b"), "group", F.col("n").alias("nb"), F.col("inside").alias("ib")))
+    members = _few(own.groupBy("class", "group").agg(F.sum("in_pivot").alias("inside")).join(sizes, "class").select(F.col("class").alias("b"), "group", F.col("n").alias("nb"), F.col("inside").alias("ib")), n_ids)
+    members = cut(members)
     ranges = members.groupBy("group").agg(F.min("nb").alias("low"), F.max("nb").alias("high"), F.count("*").alias("size"))
     # groups whose unions meet in too few tokens: the smaller union looks its tokens up in the larger one
     of = ranges.join(union.groupBy("group").agg(F.count("*").alias("w")), "group").select("group", "low", "w")
     side = lambda c: of.select(F.col("group").alias(c), F.col("low").alias(f"low_{c}"), F.col("w").alias(f"w_{c}"))
     pairs = groups.join(_anew(side("g"), "g"), "g").join(_anew(side("h"), "h"), "h")
-    pairs = cut(pairs.withColumn("small", F.when(F.col("w_g") <= F.col("w_h"), F.col("g")).otherwise(F.col("h"))).withColumn("large", F.when(F.col("w_g") <= F.col("w_h"), F.col("h")).otherwise(F.col("g"))))
+    pairs = cut(_few(pairs, n_groups).withColumn("small", F.when(F.col("w_g") <= F.col("w_h"), F.col("g")).otherwise(F.col("h"))).withColumn("large", F.when(F.col("w_g") <= F.col("w_h"), F.col("h")).otherwise(F.col("g"))))
     meet = pairs.select("g", "h", "small", "large").join(_anew(union.select(F.col("group").alias("small"), "token"), "small"), "small").join(_anew(union.select(F.col("group").alias("large"), "token"), "token"), ["large", "token"])
     meet = pairs.join(meet.groupBy("g", "h").agg(F.count("*").alias("meet")), ["g", "h"], "left")
     at_least = lambda x, y: F.greatest(F.col(x), F.ceil(F.col(y) * threshold / 100))  # noqa: E731  the smallest members that may link
     far = meet.filter(~reach(F.coalesce("meet", F.lit(0)), at_least("low_g", "low_h"), at_least("low_h", "low_g"))).select("g", "h")
-    groups = cut(groups.join(_anew(far, "g"), ["g", "h"], "left_anti"))
+    groups = cut(_few(groups.join(_anew(far, "g"), ["g", "h"], "left_anti"), n_groups))
 
     both = groups.select(F.col("g").alias("own"), F.col("h").alias("other")).union(groups.select(F.col("h").alias("own"), F.col("g").alias("other")))
     asks = both.join(pivots.select(F.col("group").alias("other")), "other", "left_semi")  # of groups of two and more only
     asks = asks.join(_anew(ids.select(F.col("group").alias("own"), F.col("class").alias("_q")), "own"), "own", "left").select("own", "other", F.coalesce("_q", "own").alias("q"))
-    asks = cut(asks)
+    asks, n_asks = _counted(asks)
     asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).distinct().join(held, "class").withColumn("pivot", F.lit(0).cast("long"))
     asked = cut(of_union(asked.select("class", "group", "pivot", "tokens").mapInPandas(tokens, kind)).select(F.col("class").alias("a"), "group", "token", "holders", "in_pivot"))
     beside = F.sum(F.when(F.col("in_pivot") == 0, F.col("holders")).otherwise(0)).alias("beside")
     a = asked.groupBy("a", "group").agg(F.count("*").alias("most"), F.sum("in_pivot").alias("ia"), beside)
     a = a.join(ranges, "group").join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
     least = F.greatest(F.col("low"), F.ceil(F.col("na") * threshold / 100))  # the smallest size of a member that may link
-    a = cut(a.filter((F.col("na") * threshold <= F.col("high") * 100) & reach(F.col("most"), F.col("na"), least)).select("a", "group", "na", "ia", "beside", "size"))
+    a = cut(_few(a, n_asks).filter((F.col("na") * threshold <= F.col("high") * 100) & reach(F.col("most"), F.col("na"), least)).select("a", "group", "na", "ia", "beside", "size"))
 
     fits, floor = _size_fits(F.col("na"), F.col("nb"), threshold), F.least("ia", "ib")
     whole = a.filter("beside >= size").join(_anew(members, "group"), "group").filter(fits).select("a", "b", "group")
@@ -517,7 +526,7 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     shared = shared.filter(fits & reach(floor + F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b", "group")
     shapes = members.select("group", "nb", "ib").distinct()  # few: sizes
     inside = some.join(_anew(shapes, "group"), "group").filter(fits & reach(floor, F.col("na"), F.col("nb"))).join(_anew(members, "group"), ["group", "nb", "ib"]).select("a", "b", "group")
-    found = cut(whole.union(shared).union(inside).distinct())
+    found, _ = _counted(whole.union(shared).union(inside).distinct())
 
     several = pivots.select(F.col("group").alias("own"), F.lit(True).alias("_several"))
     way = asks.select("own", "other", F.col("q").alias("a")).join(several, "own", "left").filter("_several IS NULL OR own < other")
@@ -529,8 +538,8 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of edges(a, b)."""
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = cut(edges.filter("a <> b").select(high, low).distinct())
-    n, state = edges.count(), None  # no round makes more edges than there are
+    edges, n = _counted(edges.filter("a <> b").select(high, low).distinct())
+    state = None  # no round makes more edges than there are
     while True:
         edges = _few(edges, n)
         # large star: every larger neighbour moves to the smallest neighbour
@@ -564,25 +573,25 @@ def _near_duplicates(df: DataFrame, threshold: int, wide: int, stage: Stage) ->
     hot = hot_tokens(sets)
     stars = verified(star_pairs(sets, df.sparkSession.sparkContext.broadcast(hot), threshold), sets, threshold)
     n_stars, labels, n_labels = stars.count(), None, 0
+    stars = _few(stars, n_stars)
     if n_stars:
         roots = components(stars)
-        labels = cut(roots.select(F.col("node").alias("class"), F.col("root").alias("group")).union(roots.select("root", "root").distinct()))
-        n_labels = labels.count()
+        labels, n_labels = _counted(roots.select(F.col("node").alias("class"), F.col("root").alias("group")).union(roots.select("root", "root").distinct()))
     groups, edges = candidates(sets, labels, n_labels, hot, threshold, wide), stars
     if labels is None:
-        edges = cut(edges.union(verified(groups.toDF("a", "b"), sets, threshold)))
+        edges = edges.union(verified(groups.toDF("a", "b"), sets, threshold))
     else:
         # a group's pivot: the class that most of its members were compared with
         pivots = stars.groupBy("b").agg(F.count("*").alias("c")).join(labels.withColumnRenamed("class", "b"), "b")
-        pivots = cut(pivots.groupBy("group").agg(F.max_by("b", F.struct("c", "b")).alias("pivot")))
+        pivots, _ = _counted(pivots.groupBy("group").agg(F.max_by("b", F.struct("c", "b")).alias("pivot")))
         side = lambda c: pivots.select(F.col("group").alias(c), F.col("pivot").alias(f"_{c}"))
         first = groups.join(side("g"), "g", "left").join(side("h"), "h", "left").select(F.coalesce("_g", "g").alias("a"), F.coalesce("_h", "h").alias("b"))
-        edges = cut(edges.union(verified(cut(first), sets, threshold)))
+        edges, _ = _counted(edges.union(verified(cut(_few(first, groups.count())), sets, threshold)))
         # two groups of one class each were compared in full
         apart = not_connected(groups, edges, labels).join(pivots.select(F.col("group").alias("g"), F.lit(1).alias("_g")), "g", "left").join(pivots.select(F.col("group").alias("h"), F.lit(1).alias("_h")), "h", "left")
-        apart = cut(apart.filter("_g = 1 OR _h = 1").select("g", "h"))
-        if apart.count():
-            edges = cut(edges.union(verified(cut(opened(apart, sets, labels, pivots, threshold)), sets, threshold)))
+        apart, n_apart = _counted(apart.filter("_g = 1 OR _h = 1").select("g", "h"))
+        if n_apart:
+            edges, _ = _counted(edges.union(verified(cut(opened(apart, sets, labels, pivots, threshold)), sets, threshold)))
     roots = components(edges)
     degree = edges.union(edges.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     ids = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
