@@ -123,8 +123,9 @@ def positions(points: DataFrame, geometry: DataFrame) -> DataFrame:
 def smooth(points: DataFrame, tris: DataFrame, iterations: int = 20, pass_band: float = 0.001) -> DataFrame:
     """points(series_id, v, x, y, z) moved by a low-pass filter of so many iterations (below 1: as they are).
 
-    Chebyshev recurrence of Taubin, Zhang and Golub 1996 with a Hamming window; vertices on a boundary stay. The edge
-    list is cut once, the positions every few steps, both in the shared folder."""
+    Chebyshev recurrence of Taubin, Zhang and Golub 1996 with a Hamming window; vertices on a boundary stay. Each vertex
+    keeps its neighbours and sends them its place, so a step is one shuffle of sums; the state itself stays where it is and
+    is cut at every step, in the shared folder. Grid indices below 2 ** 20."""
     n = max(0, int(iterations))
     if n == 0:
         return points
@@ -134,27 +135,26 @@ def smooth(points: DataFrame, tris: DataFrame, iterations: int = 20, pass_band:
     weight = [w * (0.54 + 0.46 * math.cos(q * math.pi / (n + 1))) for q, w in enumerate(weight)]
     total = sum(weight)
     weight = [w / total for w in weight]
-    sides = F.explode(F.array(*(F.struct(F.col(p).alias("v"), F.col(q).alias("w")) for p, q in ("ab", "bc", "ca"))))
+    code = lambda v: (v["axis"] + 4 * (v["i"] + (v["j"] + v["k"].cast("long") * 2**20) * 2**20)).cast("long")
+    sides = F.explode(F.array(*(F.struct(code(F.col(p)).alias("v"), code(F.col(q)).alias("w")) for p, q in ("ab", "bc", "ca"))))
     half = tris.select("series_id", sides.alias("e")).select("series_id", "e.v", "e.w")
     both = half.union(half.select("series_id", F.col("w"), F.col("v"))).groupBy("series_id", "v", "w").agg(F.count("*").alias("uses"))
-    rim = both.filter("uses = 1").select("series_id", "v").distinct().withColumn("fixed", F.lit(True))
-    edges = both.select("series_id", "v", "w").checkpoint()
-    xyz = ("x", "y", "z")
+    near = both.groupBy("series_id", F.col("v").alias("c")).agg(F.collect_list("w").alias("to"), (F.min("uses") == 1).alias("fixed"))  # an edge of one triangle is on the rim
+    xyz, keep = ("x", "y", "z"), ("series_id", "c", "v", "to", "fixed")
 
     def lap(state: DataFrame, prefix: str) -> DataFrame:
         """state with l_x, l_y, l_z: each vertex less the mean of its neighbours, 0 on the rim."""
-        far = state.select("series_id", F.col("v").alias("w"), *(F.col(f"{prefix}{c}").alias(f"n{c}") for c in xyz))
-        mean = edges.join(far, ["series_id", "w"]).groupBy("series_id", "v").agg(*(F.avg(f"n{c}").alias(f"n{c}") for c in xyz))
-        j = state.join(mean, ["series_id", "v"], "left")
-        return j.select(*state.columns, *(F.when(F.col("fixed") | F.col(f"n{c}").isNull(), 0.0).otherwise(F.col(f"{prefix}{c}") - F.col(f"n{c}")).alias(f"l{c}") for c in xyz))
-
-    state = points.join(rim, ["series_id", "v"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
-    state = state.select("series_id", "v", "fixed", *(F.col(c).alias(f"a{c}") for c in xyz))
-    state = lap(state, "a").select("series_id", "v", "fixed", *(F.col(f"a{c}") for c in xyz), *((F.col(f"a{c}") - 0.5 * F.col(f"l{c}")).alias(f"b{c}") for c in xyz))
-    state = state.select("*", *((weight[0] * F.col(f"a{c}") + weight[1] * F.col(f"b{c}")).alias(f"s{c}") for c in xyz)).checkpoint()
+        sent = state.select("series_id", F.explode("to").alias("c"), *(F.col(f"{prefix}{x}").alias(f"n{x}") for x in xyz))
+        mean = sent.groupBy("series_id", "c").agg(*(F.avg(f"n{x}").alias(f"n{x}") for x in xyz))
+        j = state.join(mean, ["series_id", "c"], "left")
+        return j.select(*state.columns, *(F.when(F.col("fixed") | F.col(f"n{x}").isNull(), 0.0).otherwise(F.col(f"{prefix}{x}") - F.col(f"n{x}")).alias(f"l{x}") for x in xyz))
+
+    state = points.withColumn("c", code(F.col("v"))).join(near, ["series_id", "c"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    state = state.select(*keep, *(F.col(x).alias(f"a{x}") for x in xyz)).checkpoint()
+    state = lap(state, "a").select(*keep, *(F.col(f"a{x}") for x in xyz), *((F.col(f"a{x}") - 0.5 * F.col(f"l{x}")).alias(f"b{x}") for x in xyz))
+    state = state.select("*", *((weight[0] * F.col(f"a{x}") + weight[1] * F.col(f"b{x}")).alias(f"s{x}") for x in xyz))
     for q in range(2, n + 1):
-        new = {c: 2 * (F.col(f"b{c}") - 0.5 * F.col(f"l{c}")) - F.col(f"a{c}") for c in xyz}
-        state = lap(state, "b").select("series_id", "v", "fixed", *(F.col(f"b{c}").alias(f"a{c}") for c in xyz), *(new[c].alias(f"b{c}") for c in xyz), *((F.col(f"s{c}") + weight[q] * new[c]).alias(f"s{c}") for c in xyz))
-        if q % 4 == 0:
-            state = state.checkpoint()
+        new = {x: 2 * (F.col(f"b{x}") - 0.5 * F.col(f"l{x}")) - F.col(f"a{x}") for x in xyz}
+        state = lap(state, "b").select(*keep, *(F.col(f"b{x}").alias(f"a{x}") for x in xyz), *(new[x].alias(f"b{x}") for x in xyz), *((F.col(f"s{x}") + weight[q] * new[x]).alias(f"s{x}") for x in xyz))
+        state = state.checkpoint()  # the next step reads it twice: without the cut, plans double with every step
     return state.select("series_id", "v", *(F.col(f"s{c}").alias(c) for c in xyz))
