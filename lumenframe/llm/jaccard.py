@@ -16,8 +16,8 @@ exact: the method only saves comparisons.
 4. Pivots first: a candidate pair of groups whose pivots link, or which other such links connect, is one component, and no
    more of its members' pairs matter.
 5. Unions: for the rest, each group's token union is a table of (group, token). Groups whose unions meet in too few tokens
-   go. A class's overlap with any member of the other group is at most its overlap with that union; only groups that could reach the needed overlap are opened to it,
-   and of their members those that share enough tokens beside the pivot's.
+   go. A class's overlap with any member of the other group is at most its overlap with that union; only groups that could
+   reach the needed overlap are opened to it, and of their members those that share enough tokens beside the pivot's.
 6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, or by counts in as many
    slices as half their size; those that are left are compared in full.
 7. Components of the links by large-star and small-star rounds.
