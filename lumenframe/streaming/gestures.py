@@ -2,8 +2,8 @@
 
 State: tool, drawing, points, anchor. Rows come in seq order; in a stream, a row whose seq is not above the session's last
 one is late and only marked so. A change of tool keeps a drawing that is under way; slice and orientation are those at the
-end of the drawing. An escape ends all that went before it, so in a batch the rows between two escapes are a group of their
-own: a long session is spread, and only what one person does without an escape has to fit a task.
+end of the drawing. An escape ends all that went before it, so in a batch ESCAPES of them and what lies between are a group
+of their own: a long session is spread, and only what one person does without an escape has to fit a task.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ OUT = "session_id long, seq long, event string, roi_type string, slice_index lon
 STATE = "tool string, drawing boolean, xs array<double>, ys array<double>, zs array<double>, ax double, ay double, az double, seq long"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
 SIDES = 64
+ESCAPES = 256  # that end the rows of one group
 Point = tuple[float, float, float]
 
 
@@ -105,8 +106,8 @@ def batch(gestures: DataFrame) -> DataFrame:
         return pd.DataFrame(advance(Drawing(), int(key[0]), pdf), columns=_COLUMNS)
 
     before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = gestures.withColumn("_escapes", F.count(F.when(F.col("kind") == "escape", 1)).over(before))
-    return rows.groupBy("session_id", "_escapes").applyInPandas(run, OUT)
+    rows = gestures.withColumn("_part", F.floor(F.count(F.when(F.col("kind") == "escape", 1)).over(before) / ESCAPES))
+    return rows.groupBy("session_id", "_part").applyInPandas(run, OUT)
 
 
 class DrawingProcessor(StatefulProcessor):

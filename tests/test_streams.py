@@ -69,7 +69,8 @@ def test_registered_gesture_stream_equals_batch(spark):
     assert got[0] == got[1] and got[0]
 
 
-def test_gesture_stream_equals_batch(spark, tmp_path):
+def test_gesture_stream_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gestures, "ESCAPES", 2)
     r = random.Random(4)
     kinds = ["tool", "left_press", "left_press", "move", "move", "left_release", "right_press", "escape"]
     rows = [(s, i, r.choice(kinds), r.choice(["rectangle", "ellipse", "polygon", "freehand"]), float(r.randint(0, 3)), float(r.randint(0, 3)), 0.0, i, 2) for s in range(3) for i in range(120)]
