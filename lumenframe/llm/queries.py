@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, rules, shards
+from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, repair, rules, shards
 from .common import cut, documents, shared_dir
 
 #: The contract's extra conversation.
@@ -99,11 +99,69 @@ def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage: by a row's number, it goes, loses its text or its stops, comes twice or changes its role."""
+    part = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(part[0], F.lit(":"), part[1])) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    done = repair.report(damaged(rows), rows)
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups, op11_interval_repair)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
+_ADD = "lpad(CAST(CAST(substr({0}, 1, 9) AS INT) + {1} AS VARCHAR), 9, '0') || substr({0}, 10) || '{2}'"
+
+
+def _add(cell: str, cost: object, letter: str) -> str:
+    """A cell, nine digits of cost and the audit, with one more edit; null stays null."""
+    return _ADD.format(cell, cost, letter)
+
+
+_IN_U = [_add(c, "2 + late", "R") for c in ("c0", "cs", "ca")] + [f"CASE WHEN letter = 'u' THEN {_add(c, 'late', 'K')} END" for c in ("c0", "cs", "ca")]
+_IN_A = [_add("cu", "2 + late", "R"), f"CASE WHEN letter = 'a' THEN {_add('cu', 'late', 'K')} END"]
+
 ORACLES = {
+    "op11_interval_repair": rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+bits AS (SELECT *, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(name, ''), lambda c: list_transform(range(8), lambda i: (CAST(ord(c) AS BIGINT) >> i) & 1)))) AS bits FROM b),
+crc AS (SELECT *, xor(list_reduce(bits, lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 20 AS kind FROM bits),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS letter FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+             lag(letter) OVER (PARTITION BY conv_id ORDER BY pos) || letter NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS step, '000000000' AS c0, CAST(NULL AS VARCHAR) AS cs, '000000002I' AS cu, '000000004II' AS ca FROM b
+       UNION ALL
+       SELECT conv_id, step, c0, cs, least(cu, {_add("c0", 2, "I")}, {_add("cs", 2, "I")}, {_add("ca", 2, "I")}),
+              least(ca, {_add("cu", 2, "I")}, {_add("c0", 4, "II")}, {_add("cs", 4, "II")})
+       FROM (SELECT conv_id, pos AS step, {_add("c0", 3, "D")} AS c0,
+                    least({_add("cs", 3, "D")}, CASE WHEN stays AND letter = 's' THEN {_add("c0", "late", "K")} END) AS cs,
+                    least({_add("cu", 3, "D")}, CASE WHEN stays THEN least({", ".join(_IN_U)}) END) AS cu,
+                    least({_add("ca", 3, "D")}, CASE WHEN stays THEN least({", ".join(_IN_A)}) END) AS ca
+             FROM (SELECT dp.*, f.pos, f.letter, f.fault IN ('', 'truncated') AS stays, CAST(f.fault = 'truncated' AS INT) AS late
+                   FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.step + 1))),
+won AS (SELECT conv_id, CAST(substr(least(c0, ca), 1, 9) AS BIGINT) AS cost, substr(least(c0, ca), 10) AS audit FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY step DESC) = 1),
+l AS (SELECT conv_id, n, e, count(*) FILTER (e <> 'I') OVER w AS pos, count(*) FILTER (e <> 'D') OVER w AS out, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd
+      FROM (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS n, unnest(string_split(audit, '')) AS e FROM won WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+r AS (SELECT l.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (out - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY out) AS said
+      FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.pos = l.pos WHERE e <> 'D' GROUP BY l.conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id)
+SELECT won.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM won LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM won.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM won.conv_id""",
     "op4_chat_parts": rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
