@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, repair, rules, shards
+from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, repair, rules, shards, whitening
 from .common import cut, documents, shared_dir
 
 #: The contract's extra conversation.
@@ -117,7 +117,11 @@ def op11_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups, op11_interval_repair)}
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups, op11_interval_repair, op12_jacobi_davidson)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
@@ -139,8 +143,10 @@ bits AS (SELECT *, list_concat([4294967295::BIGINT], flatten(list_transform(stri
 crc AS (SELECT *, xor(list_reduce(bits, lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 20 AS kind FROM bits),
 d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS letter FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
-             WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
              lag(letter) OVER (PARTITION BY conv_id ORDER BY pos) || letter NOT IN ('su', 'ua', 'au') AS illegal FROM o),
 dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS step, '000000000' AS c0, CAST(NULL AS VARCHAR) AS cs, '000000002I' AS cu, '000000004II' AS ca FROM b
        UNION ALL
