@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, repair, rules, shards, whitening
+from . import bpe, chat, classifier, html, jaccard, lines, mixing, ogg, packing, repair, rules, shards, whitening
 from .common import cut, documents, shared_dir
 
 #: The contract's extra conversation.
@@ -121,7 +121,11 @@ def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups, op11_interval_repair, op12_jacobi_davidson)}
+def op13_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (op1_text_density, op2_ogg_pages, op3_mix_sources, op4_chat_parts, op5_subword_quality, op6_line_runs, op7_shard_tiers, op8_rule_cascade, op9_bpe_tree, op10_token_groups, op11_interval_repair, op12_jacobi_davidson, op13_swap_packing)}
 
 _CONTROL = r"(<)(\|[a-z_]+\|>|/?s>|/?SYS>>|<SYS>>|</SYS>>)|(\[)(/?INST\])"
 _ESC = rf"regexp_replace(replace({{}}, '\', '\\'), '{_CONTROL}', '\1\3\\\2\4', 'g')"
