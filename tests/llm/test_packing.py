@@ -104,7 +104,7 @@ def better(lengths, bins, capacity):
             for out in itertools.combinations(a, give):
                 for back in itertools.combinations(b, take):
                     gain = sum(lengths[i] for i in back) - sum(lengths[i] for i in out)
-                    if fa + gain <= capacity and (fa + gain) ** 2 + (fb - gain) ** 2 > fa**2 + fb**2:
+                    if max(fa + gain, fb - gain) <= capacity and (fa + gain) ** 2 + (fb - gain) ** 2 > fa**2 + fb**2:
                         return True
     return False
 
