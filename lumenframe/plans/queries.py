@@ -15,7 +15,7 @@ from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
 from lumenframe.plans.contracts import duck, with_duck
 from lumenframe.sources import sessions
-from lumenframe.streaming import gestures, roi_log
+from lumenframe.streaming import gestures, roi_log, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -661,30 +661,83 @@ def roi_goto(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- streams ----
 
-
-@query()
+_BUILDS = "tool IN ('rectangle', 'ellipse')"
+_SIDE = "least(abs(here.x - a.x), abs(here.y - a.y))"
+_FAR_X, _FAR_Y = (f"a.{c} + CASE WHEN here.{c} >= a.{c} THEN {_SIDE} ELSE -{_SIDE} END" for c in "xy")
+_SHAPE = f"""CASE tool WHEN 'rectangle' THEN [a, struct_pack(x := {_FAR_X}, y := a.y, z := a.z), struct_pack(x := {_FAR_X}, y := {_FAR_Y}, z := a.z), struct_pack(x := a.x, y := {_FAR_Y}, z := a.z)]
+ELSE list_transform(range(64), lambda i: struct_pack(x := (a.x + here.x) / 2 + abs(here.x - a.x) / 2 * cos(6.283185307179586 * i / 64), y := (a.y + here.y) / 2 + abs(here.y - a.y) / 2 * sin(6.283185307179586 * i / 64), z := (a.z + here.z) / 2)) END"""
+_POINT = "STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)"
+#: The drawings of each session, row by row: what the row does to the state before it, then the state after it.
+_DRAWN = f"""{with_duck('gestures').replace('WITH ', 'WITH RECURSIVE ', 1)},
+st AS (SELECT DISTINCT session_id, 0::BIGINT AS seq, 'none' AS tool, false AS drawing, []::{_POINT}[] AS p, NULL::{_POINT} AS a, NULL::VARCHAR AS event, ''::VARCHAR AS roi_type, []::{_POINT}[] AS told, 0::BIGINT AS slice_index, 0 AS orientation FROM gestures
+UNION ALL SELECT session_id, seq, CASE act WHEN 'cancel' THEN 'none' WHEN 'tool' THEN chosen ELSE tool END, CASE WHEN act IN ('start', 'append', 'anchor') THEN true WHEN act IN ('end', 'shape_end', 'cancel') THEN false ELSE drawing END,
+  CASE WHEN act IN ('end', 'shape_end', 'cancel') THEN [] ELSE q END, CASE WHEN act = 'anchor' THEN here WHEN act NOT IN ('end', 'shape_end', 'cancel') THEN a END,
+  CASE WHEN act = 'cancel' THEN 'cancelled' WHEN act IN ('end', 'shape_end') AND len(q) >= 2 THEN 'roi' END, tool, CASE WHEN act = 'cancel' THEN [] ELSE q END, slice_index, orientation
+FROM (SELECT *, CASE WHEN act IN ('start', 'anchor') THEN [here] WHEN act = 'append' THEN list_append(p, here) WHEN act IN ('shape', 'shape_end') THEN {_SHAPE} ELSE p END AS q
+FROM (SELECT *, CASE WHEN kind = 'tool' THEN 'tool' WHEN kind = 'escape' THEN 'cancel' WHEN kind = 'left_press' AND tool = 'freehand' THEN 'start' WHEN kind = 'left_press' AND tool = 'polygon' THEN CASE WHEN drawing THEN 'append' ELSE 'start' END
+  WHEN kind = 'left_press' AND {_BUILDS} THEN 'anchor' WHEN NOT drawing THEN '' WHEN kind = 'move' AND tool = 'freehand' THEN 'append' WHEN kind = 'move' AND {_BUILDS} AND a IS NOT NULL THEN 'shape'
+  WHEN kind = 'left_release' AND tool = 'freehand' THEN 'end' WHEN kind = 'left_release' AND {_BUILDS} THEN CASE WHEN a IS NULL OR a = here THEN 'cancel' ELSE 'shape_end' END
+  WHEN kind = 'right_press' AND tool = 'polygon' THEN CASE WHEN len(p) >= 3 THEN 'end' ELSE 'cancel' END ELSE '' END AS act
+FROM (SELECT st.session_id, g.seq, g.kind, g.tool AS chosen, struct_pack(x := g.x, y := g.y, z := g.z) AS here, g.slice_index, g.orientation, st.tool, st.drawing, st.p, st.a FROM st JOIN gestures g ON g.session_id = st.session_id AND g.seq = st.seq + 1))))
+SELECT session_id, seq, event, roi_type, slice_index, orientation, len(told) AS n_points, array_to_string(list_transform(told, lambda q: CAST(round(q.x * 1e6) AS BIGINT) || ':' || CAST(round(q.y * 1e6) AS BIGINT) || ':' || CAST(round(q.z * 1e6) AS BIGINT)), ' ') AS points FROM st WHERE event IS NOT NULL"""
+
+
+def _told(out: DataFrame) -> DataFrame:
+    """Points as text, in millionths."""
+    at = lambda p, c: F.round(p[c] * 1e6).cast("long").cast("string")
+    points = F.transform(F.arrays_zip("xs", "ys", "zs"), lambda p: F.concat_ws(":", at(p, "xs"), at(p, "ys"), at(p, "zs")))
+    return out.select("session_id", "seq", "event", "roi_type", "slice_index", "orientation", F.col("n_points").cast("long").alias("n_points"), F.array_join(points, " ").alias("points"))
+
+
+@query(_DRAWN)
 def gesture_rois(spark: SparkSession, d: str) -> DataFrame:
-    return gestures.batch(table(spark, d, "gestures"))
+    return _told(gestures.batch(table(spark, d, "gestures")))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows written, read as a stream to their end, and what the job emitted, whose files go when `after` has it."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _played(spark: SparkSession, waves: list[DataFrame], job: Callable[[DataFrame], DataFrame], on_time: Callable[[str], Callable], after: Callable[[str], DataFrame]) -> DataFrame:
+    """Each wave's rows written and read as a stream to their end, the next wave by the same query taken up again; then what
+    `after` reads below the folder, which goes."""
+    root, provider = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows.write.parquet(f"{root}/in")
-        out = job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/in"))
-        run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-        return after(spark.read.schema(out.schema).parquet(f"{root}/out")).checkpoint()
+        keep = on_time(root)
+        for rows in waves:
+            rows.write.mode("append").parquet(f"{root}/in")
+            source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/in")
+            sinks.routed(job(source), f"{root}/late", keep, f"{root}/state").awaitTermination()
+        return after(root).checkpoint()
     finally:
+        spark.conf.set(provider, before)
         delete(spark, root)
 
 
-@query()
+@query(_DRAWN)
 def gesture_stream(spark: SparkSession, d: str) -> DataFrame:
     """The gestures as a stream, to its end."""
-    return _streamed(spark, table(spark, d, "gestures"), gestures.stream, lambda out: out)
+    return _played(spark, [table(spark, d, "gestures")], gestures.stream, lambda root: sinks.folder(f"{root}/out"), lambda root: _told(spark.read.schema(gestures.OUT).parquet(f"{root}/out")))
+
+
+def _in_waves(rows: DataFrame) -> list[DataFrame]:
+    """Every third row of a session comes after all others."""
+    return [rows.filter("seq % 3 <> 0"), rows.filter("seq % 3 = 0")]
+
+
+_LATE = "SELECT session_id, seq FROM (SELECT *, max(seq) FILTER (seq % 3 <> 0) OVER (PARTITION BY session_id) AS seen FROM {0}) WHERE seq % 3 = 0 AND seq <= seen"
+
+
+@query(f"{with_duck('gestures')} {_LATE.format('gestures')}")
+def gesture_late(spark: SparkSession, d: str) -> DataFrame:
+    """Gestures that come after later ones of their session, from the late rows' own sink."""
+    late = lambda root: spark.read.schema(gestures.OUT).parquet(f"{root}/late").select("session_id", "seq")
+    return _played(spark, _in_waves(table(spark, d, "gestures")), gestures.stream, lambda root: sinks.folder(f"{root}/out"), late)
+
+
+@query(f"{with_duck('roi_log')} {_LATE.format('roi_log')}")
+def roi_late(spark: SparkSession, d: str) -> DataFrame:
+    """Edits that come after later ones of their session, from the late rows' own sink."""
+    late = lambda root: spark.read.schema(roi_log.OUT).parquet(f"{root}/late").select("session_id", "seq")
+    return _played(spark, _in_waves(_log(spark, d)), roi_log.changes, lambda root: sinks.RoiTable(spark, f"{root}/table").merge, late)
 
 
 _TABLE = f"""{_SHAPED}, {_CHOSEN}, t AS (SELECT l.session_id, l.roi_id, l.roi_type, l.color_no, l.f, coalesce((SELECT arg_max(trim(r.name), r.seq) FROM roi_log r WHERE r.session_id = l.session_id AND r.op = 'rename' AND r.roi_id = l.roi_id AND r.seq > l.seq AND trim(r.name) <> ''), n.name) AS name
@@ -707,5 +760,6 @@ def roi_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TABLE)
 def roi_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The log as a stream, to its end; then the table that the feed amounts to."""
-    return _streamed(spark, _log(spark, d), roi_log.changes, lambda feed: _table_rows(roi_log.current(feed)))
+    """The log as a stream, to its end, merged batch by batch into the versioned table; then that table."""
+    read = lambda root: _table_rows(roi_log.shaped(sinks.RoiTable(spark, f"{root}/table").read()))
+    return _played(spark, [_log(spark, d)], roi_log.changes, lambda root: sinks.RoiTable(spark, f"{root}/table").merge, read)

@@ -1,7 +1,8 @@
 """Pointer gestures to regions of interest: a state machine for each session, in streams and in batches.
 
 State: tool, drawing, points, anchor. Rows come in seq order; in a stream, a row whose seq is not above the session's last
-one is late and only marked so. A change of tool keeps a drawing that is under way; slice and orientation are those at the
+one is late and only marked so (`sinks.routed` puts such rows elsewhere). A session that is idle for longer than idle_ms is
+forgotten: its state goes, and its next row begins a new session, whatever its seq. A change of tool keeps a drawing that is under way; slice and orientation are those at the
 end of the drawing. An escape ends all that went before it, so in a batch ESCAPES of them and what lies between are a group
 of their own: a long session is spread, and only what one person does without an escape has to fit a task.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lumenframe.streaming.idle import Idle
+
 OUT = "session_id long, seq long, event string, roi_type string, slice_index long, orientation int, n_points int, xs array<double>, ys array<double>, zs array<double>"
 STATE = "tool string, drawing boolean, xs array<double>, ys array<double>, zs array<double>, ax double, ay double, az double, seq long"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
@@ -74,8 +77,8 @@ class Drawing:
             self.points = BUILD[self.tool](self.anchor, at)
         elif kind == "left_release" and self.tool == "freehand":
             return self._end("roi")
-        elif kind == "left_release" and self.tool in BUILD and self.anchor:
-            if self.anchor == at:
+        elif kind == "left_release" and self.tool in BUILD:
+            if not self.anchor or self.anchor == at:  # another tool began the drawing, or it has no size
                 return self._end("cancelled")
             self.points = BUILD[self.tool](self.anchor, at)
             return self._end("roi")
@@ -111,23 +114,35 @@ def batch(gestures: DataFrame) -> DataFrame:
 
 
 class DrawingProcessor(StatefulProcessor):
+    def __init__(self, idle_ms: int | None = None):
+        self.idle = Idle(idle_ms)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("drawing", STATE)
+        self.idle.init(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s = Drawing()
-        if self.state.exists():
+        if not self.idle.over(timerValues) and self.state.exists():
             tool, drawing, xs, ys, zs, ax, ay, az, seq = self.state.get()
             s = Drawing(tool, drawing, list(zip(xs, ys, zs)), None if ax is None else (ax, ay, az), seq)
         out = advance(s, int(key[0]), pd.concat(list(rows)))
         xs, ys, zs = (list(c) for c in zip(*s.points)) if s.points else ([], [], [])
         self.state.update((s.tool, s.drawing, xs, ys, zs, *(s.anchor or (None, None, None)), int(s.seq)))
+        self.idle.seen(timerValues)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.idle.over(timerValues):
+            self.state.clear()
+            self.idle.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream(gestures: DataFrame) -> DataFrame:
-    """The same on a stream; needs the RocksDB state store."""
-    return gestures.groupBy("session_id").transformWithStateInPandas(DrawingProcessor(), OUT, "Append", "None")
+def stream(gestures: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same on a stream; needs the RocksDB state store. With a limit there are timers, so the query goes on until it is
+    stopped, whatever its trigger, unless that is `once`."""
+    return gestures.groupBy("session_id").transformWithStateInPandas(DrawingProcessor(idle_ms), OUT, "Append", "ProcessingTime" if idle_ms else "None")

@@ -1,9 +1,13 @@
 """An edit log to the current ROI table and its change feed, on streams.
 
 Each session keeps its live ROIs with type, name, colour and points, its counters and its selection; a micro-batch's rows
-are applied in seq order. What listeners would be told is emitted, then what the row changes in the table: a `row` event
-with the whole ROI, a `gone` event for a ROI or, with no roi_id, for all. Late rows (seq not above the last one) are marked
-and not applied. `listeners` leaves the table's events out; `current` turns the feed into the table.
+are applied in seq order. What listeners would be told is emitted row by row; what the batch changes in the table follows
+once for each ROI: a `row` event with the whole ROI as the batch leaves it, or `gone`. So a drag of a thousand steps within a
+batch writes its ROI once. Late rows (seq not above the last one) are marked and not applied; `sinks.routed` puts them
+elsewhere. A session that is idle for longer than idle_ms is forgotten: its state goes, and its next row begins a new session,
+whose ids start at 1 again; its rows in the table stay until those ids come again.
+
+`listeners` leaves the table's events out, `current` turns a feed into the table; `sinks.RoiTable` keeps the table up to date.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenframe.operators.rois import PALETTE
+from lumenframe.streaming.idle import Idle
 
 ROW = "roi_type string, name string, color array<double>, xs array<double>, ys array<double>, zs array<double>"
-OUT = f"session_id long, seq long, no int, event string, roi_id long, {ROW}"
+OUT = f"session_id long, seq long, no int, event string, roi_id long, {ROW}, selected boolean"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
 Roi = tuple  # type, name, colour, xs, ys, zs
 
@@ -29,6 +34,11 @@ class RoiStore:
 
     def __init__(self, live: dict[int, Roi] | None = None, next_id: int = 1, colors: int = 0, selected: int | None = None, seq: int = -1):
         self.live, self.next_id, self.colors, self.selected, self.seq = live or {}, next_id, colors, selected, seq
+        self.touched: set[int] = set()  # ROIs whose row in the table may have changed
+
+    def _choose(self, roi: int | None) -> None:
+        self.touched |= {x for x in (self.selected, roi) if x is not None}
+        self.selected = roi
 
     def _add(self, r: Any) -> int:
         own, self.next_id = self.next_id, self.next_id + 1
@@ -64,26 +74,27 @@ class RoiStore:
         op, roi = r.op, None if pd.isna(r.roi_id) else int(r.roi_id)
         if op == "add":
             own = self._add(r)
-            return [("added", own), ("changed", None), ("row", own)]
+            self.touched.add(own)
+            return [("added", own), ("changed", None)]
         if op == "clear":
-            self.selected = None
+            self._choose(None)
             self.live.clear()
-            return [("selection", None), ("changed", None), ("gone", None)]
+            return [("selection", None), ("changed", None)]
         if op == "tool":
             if r.tool == "edit":
                 return []
-            self.selected = None
+            self._choose(None)
             return [("selection", None)]
         if op == "select":
-            self.selected = roi
+            self._choose(roi)
             return [("selection", roi)]
         if op == "remove":
             out: list[tuple[str, int | None]] = []
             if roi == self.selected:
-                self.selected = None
+                self._choose(None)
                 out.append(("selection", None))
             if self.live.pop(roi, None) is not None:
-                out += [("removed", roi), ("changed", None), ("gone", roi)]
+                out += [("removed", roi), ("changed", None)]
             return out
         if roi not in self.live:
             return []
@@ -92,64 +103,82 @@ class RoiStore:
             if not name:
                 return []
             self.live[roi] = (self.live[roi][0], name, *self.live[roi][2:])
-            return [("changed", None), ("row", roi)]
+            self.touched.add(roi)
+            return [("changed", None)]
         if op in ("update", "translate", "insert", "delete"):
             told = self._edit(roi, r)
-            return [] if told is None else [("changed", None), ("row", roi)] if told else [("row", roi)]
+            if told is not None:
+                self.touched.add(roi)
+            return [("changed", None)] if told else []
         return []
 
 
 class LogProcessor(StatefulProcessor):
+    def __init__(self, idle_ms: int | None = None):
+        self.idle = Idle(idle_ms)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getMapState("live", "roi_id long", ROW)
         self.head = handle.getValueState("head", "next_id long, colors long, selected long, seq long")
+        self.idle.init(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s, out = RoiStore(), []
-        if self.head.exists():
+        if self.idle.over(timerValues):
+            self.live.clear()
+        elif self.head.exists():
             s.next_id, s.colors, s.selected, s.seq = self.head.get()
             s.live = {k[0]: tuple(v) for k, v in self.live.iterator()}
-        before, touched = set(s.live), set()
+        before, no = set(s.live), 0
         for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
             if r.seq <= s.seq:
-                out.append((int(key[0]), r.seq, 0, "late", None, *[None] * 6))
+                out.append((int(key[0]), r.seq, 0, "late", None, *[None] * 7))
                 continue
             s.seq = int(r.seq)
             for no, (event, roi) in enumerate(s.apply(r)):
-                own = s.live[roi] if event == "row" else (r.roi_type, *[None] * 5) if event == "added" else [None] * 6
-                out.append((int(key[0]), r.seq, no, event, roi, *own))
-                touched |= {roi} if event == "row" else set()
-        for gone in before - set(s.live):
-            self.live.removeKey((gone,))
-        for roi in touched & set(s.live):
+                out.append((int(key[0]), r.seq, no, event, roi, *((r.roi_type, *[None] * 6) if event == "added" else [None] * 7)))
+        for roi in sorted(before - set(s.live)):
+            self.live.removeKey((roi,))
+            out.append((int(key[0]), s.seq, 9, "gone", roi, *[None] * 7))
+        for roi in sorted(s.touched & set(s.live)):
             self.live.updateValue((roi,), s.live[roi])
+            out.append((int(key[0]), s.seq, 9, "row", roi, *s.live[roi], roi == s.selected))
         self.head.update((s.next_id, s.colors, s.selected, s.seq))
+        self.idle.seen(timerValues)
         yield pd.DataFrame(out, columns=_COLUMNS).astype({"roi_id": "Int64"})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.idle.over(timerValues):
+            self.live.clear()
+            self.head.clear()
+            self.idle.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def changes(log: DataFrame) -> DataFrame:
+def changes(log: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """log(session_id, seq, op, roi_id, roi_type, has_color, tool, name, idx, ex, ey, points) as a stream -> OUT; needs the
-    RocksDB state store."""
+    RocksDB state store. With a limit there are timers, so the query goes on until it is stopped, unless its trigger is `once`."""
     at = lambda c: F.transform("points", lambda p: p[c]).alias(f"{c}s")
     rows = log.select("session_id", "seq", "op", "roi_id", "roi_type", "has_color", "tool", "name", "idx", "ex", "ey", *map(at, "xyz"))
-    return rows.groupBy("session_id").transformWithStateInPandas(LogProcessor(), OUT, "Append", "None")
+    return rows.groupBy("session_id").transformWithStateInPandas(LogProcessor(idle_ms), OUT, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def listeners(feed: DataFrame) -> DataFrame:
     """What listeners are told."""
-    return feed.filter(~F.col("event").isin("row", "gone")).select("session_id", "seq", "no", "event", "roi_id")
+    return feed.filter(~F.col("event").isin("row", "gone", "late")).select("session_id", "seq", "no", "event", "roi_id")
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """The table's columns, points as structs, of rows with xs, ys and zs."""
+    points = F.transform(F.arrays_zip("xs", "ys", "zs"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y"), p["zs"].alias("z")))
+    return rows.select("session_id", "roi_id", "roi_type", "name", "color", points.alias("points"), "selected")
 
 
 def current(feed: DataFrame) -> DataFrame:
     """The table after a feed: session_id, roi_id, roi_type, name, color, points, selected."""
-    gone = feed.filter("event = 'gone' AND roi_id IS NULL").groupBy("session_id").agg(F.max("seq").alias("_clear"))
-    whole = F.struct("event", "seq", "roi_type", "name", "color", "xs", "ys", "zs")
-    rows = feed.filter("event IN ('row', 'gone') AND roi_id IS NOT NULL").groupBy("session_id", "roi_id").agg(F.max_by(whole, "seq").alias("r"))
-    rows = rows.filter("r.event = 'row'").join(gone, "session_id", "left").filter("_clear IS NULL OR r.seq > _clear")
-    chosen = feed.filter("event = 'selection'").groupBy("session_id").agg(F.max_by(F.struct("roi_id"), "seq").alias("s"))
-    points = F.transform(F.arrays_zip("r.xs", "r.ys", "r.zs"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y"), p["zs"].alias("z")))
-    selected = F.coalesce(F.col("s.roi_id") == F.col("roi_id"), F.lit(False)).alias("selected")
-    return rows.join(chosen, "session_id", "left").select("session_id", "roi_id", "r.roi_type", "r.name", "r.color", points.alias("points"), selected)
+    whole = F.struct("event", "roi_type", "name", "color", "xs", "ys", "zs", "selected")
+    rows = feed.filter("event IN ('row', 'gone')").groupBy("session_id", "roi_id").agg(F.max_by(whole, "seq").alias("r"))
+    return shaped(rows.filter("r.event = 'row'").select("session_id", "roi_id", "r.*"))

@@ -1,11 +1,12 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import rois
 from lumenframe.plans.queries import QUERIES
-from lumenframe.streaming import gestures, roi_log
+from lumenframe.streaming import gestures, roi_log, sinks
 from lumenframe.streaming.gestures import Drawing
 from tests.twins import DATA
 
@@ -111,3 +112,118 @@ def test_partitions_do_not_matter(spark):
         found.append(sorted(map(str, rois.changes(log.orderBy(F.rand(1))).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("tool", ["rectangle", "ellipse"])
+def test_release_without_an_anchor_cancels(tool):
+    """A freehand drawing under way, then a change of tool: there is no first corner."""
+    d = Drawing("freehand")
+    for kind, to, at in [("left_press", "", 0.0), ("move", "", 1.0), ("tool", tool, 1.0), ("move", "", 2.0)]:
+        assert d.step(kind, to, (at, 0.0, 0.0)) is None
+    assert d.step("left_release", "", (5.0, 5.0, 0.0)) == ("cancelled", tool, [])
+    assert (d.tool, d.drawing, d.points) == ("none", False, [])
+
+
+@pytest.mark.parametrize(
+    ("tool", "kind", "event", "n"),
+    [("freehand", "left_release", "roi", 2), ("polygon", "right_press", "cancelled", 0), ("polygon", "left_press", None, 3), ("polygon", "left_release", None, 2), ("rectangle", "right_press", None, 2), ("edit", "left_release", None, 2), ("none", "left_press", None, 2), ("rectangle", "left_press", None, 1), ("freehand", "left_press", None, 1)],
+)
+def test_rules_after_a_change_of_tool(tool, kind, event, n):
+    """Two points are drawn by hand; what each event does once another tool is chosen."""
+    d = Drawing("freehand")
+    d.step("left_press", "", (0.0, 0.0, 0.0))
+    d.step("move", "", (1.0, 0.0, 0.0))
+    d.step("tool", tool, (1.0, 0.0, 0.0))
+    done = d.step(kind, "", (7.0, 8.0, 0.0))
+    assert (done and done[0], len(done[2]) if done else len(d.points)) == (event, n)
+
+
+def step(spark, tmp_path, rows, schema, job, keep, **trigger):
+    """A wave of rows, by the query that stands in tmp_path."""
+    if rows:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    sinks.routed(job(source), str(tmp_path / "late"), keep, str(tmp_path / "state"), **trigger).awaitTermination()
+
+
+@pytest.mark.parametrize("fails", ["before", "after"])
+def test_table_survives_a_failed_batch(spark, tmp_path, fails):
+    """A batch that fails before or after its commit, and comes again: the table is the batch's, one row a ROI."""
+    rows = sorted(random_log(11), key=lambda r: r[1])
+    table = sinks.RoiTable(spark, str(tmp_path / "table"), buckets=3)
+    calls = []
+
+    def keep(feed, batch):
+        calls.append(batch)
+        if calls == [0, 1] and fails == "before":
+            table._folders([])  # nothing is committed
+            raise RuntimeError("lost")
+        done = table.merge(feed, batch)
+        if calls == [0, 1]:
+            raise RuntimeError("lost")
+        assert done or calls == [0, 1, 1]
+
+    step(spark, tmp_path, rows[:120], LOG, roi_log.changes, keep)
+    with pytest.raises(Exception, match="lost"):
+        step(spark, tmp_path, rows[120:180], LOG, roi_log.changes, keep)
+    step(spark, tmp_path, rows[180:], LOG, roi_log.changes, keep)
+    assert calls[:3] == [0, 1, 1] and len(calls) == 4
+    whole = rois.table(spark.createDataFrame(rows, LOG))
+    got = roi_log.shaped(table.read()).select(*whole.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    keys = [(r.session_id, r.roi_id) for r in table.read().collect()]
+    assert len(keys) == len(set(keys)) > 3
+    versions = table.manifest.versions()
+    table.vacuum(keep=1)
+    assert table.manifest.versions() == versions[-1:] and table.read().count() == len(keys)
+
+
+def test_a_batch_writes_a_roi_once(spark, tmp_path):
+    row = lambda i, op, ex=0.0: (1, i, op, 1, "polygon", 0, None, None, 0, ex, 0.0, [(0.0, 0.0, 0.0)] * 3 if op == "add" else None)
+    feed = play(spark, [row(0, "add"), *(row(i, "translate", 1.0) for i in range(1, 500))], LOG, tmp_path, roi_log.changes, parts=2)
+    rows = feed.filter("event = 'row'").orderBy("seq").collect()
+    assert len(rows) == 2 and rows[-1].xs == [499.0] * 3
+
+
+def test_late_rows_go_to_their_own_sink(spark, tmp_path):
+    row = lambda s, i: (s, i, "add", None, "polygon", 0, None, None, None, None, None, None)
+    seen = []
+    keep = lambda feed, batch: seen.extend(r.event for r in feed.collect())
+    step(spark, tmp_path, [row(1, 5), row(2, 1)], LOG, roi_log.changes, keep)
+    step(spark, tmp_path, [row(1, 3), row(1, 5), row(1, 6), row(2, 2)], LOG, roi_log.changes, keep)
+    late = spark.read.parquet(str(tmp_path / "late"))
+    assert sorted((r.session_id, r.seq) for r in late.collect()) == [(1, 3), (1, 5)]
+    assert "late" not in seen and seen.count("added") == 4
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """Session 1 is idle for longer than the limit, session 2 is not: the first begins anew, even with an old seq."""
+    row = lambda s, i: (s, i, "add", None, "polygon", 0, None, None, None, None, None, None)
+    idle, found = 9_000, []
+    job = lambda log: roi_log.changes(log, idle)
+    keep = lambda feed, batch: found.extend((r.session_id, r.seq, r.roi_id) for r in feed.filter("event = 'added'").collect())
+    step(spark, tmp_path, [row(1, 7), row(2, 7)], LOG, job, keep, once=True)
+    first = time.time()
+    time.sleep(4)
+    step(spark, tmp_path, [row(2, 8)], LOG, job, keep, once=True)
+    second = time.time()
+    time.sleep(max(0.0, first + idle / 1000 + 0.5 - time.time()))
+    step(spark, tmp_path, [row(2, 9)], LOG, job, keep, once=True)  # session 1's timer has run out
+    assert time.time() < second + idle / 1000, "too slow to tell"
+    head = spark.read.format("statestore").option("stateVarName", "head").load(str(tmp_path / "state"))
+    assert [r.key.session_id for r in head.collect()] == [2]
+    step(spark, tmp_path, [row(1, 2), row(2, 10)], LOG, job, keep, once=True)
+    assert sorted(found) == [(1, 2, 1), (1, 7, 1), (2, 7, 1), (2, 8, 2), (2, 9, 3), (2, 10, 4)]
+
+
+def test_idle_drawings_are_forgotten(spark, tmp_path):
+    """A press, a long pause, a release: nothing is drawn; without a limit it is."""
+    row = lambda i, kind, x: (1, i, kind, "rectangle", x, x, 0.0, 0, 2)
+    for limit, events in ((300, []), (None, ["roi"])):
+        found, at = [], tmp_path / str(limit)
+        keep = lambda out, batch, found=found: found.extend(r.event for r in out.collect())
+        job = lambda g, limit=limit: gestures.stream(g, limit)
+        step(spark, at, [row(1, "tool", 0.0), row(2, "left_press", 1.0)], GESTURE, job, keep, once=True)
+        time.sleep(0.5)
+        step(spark, at, [row(3, "left_release", 4.0)], GESTURE, job, keep, once=True)
+        assert found == events
