@@ -84,8 +84,8 @@ class Bpe:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Of ordinary texts."""
-        one = self.quick.encode_ordinary
-        return [np.array([i for y in _LAST.split(x) for i in one(y)] if _GAP.search(x) else one(x), dtype="<u4") for x in texts]
+        one = lambda x: self.quick.encode_to_numpy(x, disallowed_special=())
+        return [np.concatenate([one(y) for y in _LAST.split(x)]) if _GAP.search(x) else one(x) for x in texts]
 
     def bytes_of(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))

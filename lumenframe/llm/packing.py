@@ -162,13 +162,16 @@ class Search:
         return True
 
     def run(self) -> list[list[int]]:
-        """Exchanges until none is left that raises the sum of squares; the sequences that are not empty."""
+        """Exchanges until none is left that raises the sum of squares; the sequences that are not empty. Sequences of the
+        same lengths are alike: what one of them lacks in a pass, the others lack too. The last pass changes nothing, so it
+        answers for all."""
         moved = True
         while moved:
-            moved = False
+            moved, stuck = False, set()
             for a in sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b]):
-                while self.step(a):
+                while (kind := tuple(sorted(self.size[i] for i in self.bins[a]))) not in stuck and self.step(a):
                     moved = True
+                stuck.add(kind)
         return [b for b in self.bins if b]
 
 
