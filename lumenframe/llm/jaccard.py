@@ -10,14 +10,15 @@ exact: the method only saves comparisons.
    frequent tokens and its first rare one; those that link form a group. A thousand near copies of one text so become one
    group, linked by a thousand comparisons. A class that links with no pivot is a group of its own.
 3. Matrix: a row for each first token and group, with the smallest and the largest set size and the largest possible
-   overlap from that token on. Two groups are candidates by SHARED tokens whose bounds allow a link. A token with more
-   than WIDE groups that the counts had missed joins the frequent ones, and the matrix is made anew; those that are
-   already last are paired in blocks, each block pair in its own place.
+   overlap from that token on. Two groups are candidates by SHARED tokens whose bounds allow a link. Tokens with more
+   than WIDE groups that the counts had missed join the frequent ones, and the matrix is made anew, once; those that have as
+   many then are paired in blocks, each block pair in its own place.
 4. Pivots first: a candidate pair of groups whose pivots link, or which other such links connect, is one component, and no
    more of its members' pairs matter.
 5. Unions: for the rest, each group's token union is a table of (group, token). Groups whose unions meet in too few tokens
    go. A class's overlap with any member of the other group is at most its overlap with that union; only groups that could
-   reach the needed overlap are opened to it, and of their members those that share enough tokens beside the pivot's.
+   reach the needed overlap are opened to it, and of their members those that share enough tokens beside the pivot's:
+   askers and members meet in blocks, where members are found by these tokens.
 6. Pairs go by their token counts in 64 slices of the hash space, whose minima bound the overlap, or by counts in as many
    slices as half their size; those that are left are compared in full.
 7. Components of the links by large-star and small-star rounds.
@@ -45,6 +46,8 @@ from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim,
 WORDS, THRESHOLD = 5, 80  # words a shingle, per cent
 HOT_TOKENS, HOT_FROM, KEYS, COARSE, SHARED = 500_000, 10, 4, 64, 4
 WIDE = 2_000  # groups of a token from which it is put last, or paired in blocks
+HELD = 500_000  # pairs that a task holds before it passes them on
+ASKERS, TOKENS = 2_000, 500_000  # classes, and their tokens, of a side that meets another side in one place
 COUNTED = 1_000_000  # tokens that a task counts at a time
 ROWS = 50_000  # rows of a few numbers each that are worth a partition
 BATCH = 50_000, 4  # rows and MB that a task hands to Python at a time: sets take kilobytes, up to megabytes, matrix rows 50 bytes
@@ -351,20 +354,22 @@ def _frame(found: list[np.ndarray]) -> pd.DataFrame:
     return pdf.groupby(["g", "h"], as_index=False, sort=False).agg(least=("least", "min"), n=("n", "sum"))
 
 
-def _pairs(pdf: pd.DataFrame, threshold: int, wide: int) -> tuple[list[np.ndarray], pd.DataFrame | None]:
-    """(g, h, least) for each token and pair of its groups, of rows sorted by token; and a row (token, null, 0, groups) for
-    each token of more than `wide` groups, in place of its pairs."""
-    token, found, over = pdf["token"].to_numpy(), [], None
+def _wide(pdf: pd.DataFrame, wide: int) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+    """Of rows sorted by token: one row a token and group, of tokens with several groups; and in place of the rows of each
+    token with more than `wide` groups a row (token, null, 0, groups)."""
+    token, over = pdf["token"].to_numpy(), None
     same = np.zeros(len(token) + 1, dtype=bool)
     same[1:-1] = token[1:] == token[:-1]
-    shared = same[1:] | same[:-1]
-    if not shared.any():
-        return found, over
-    pdf = pdf[shared].groupby(["token", "group"], as_index=False, sort=True).agg(low=("low", "min"), high=("high", "max"), room=("room", "max"))
+    pdf = pdf[same[1:] | same[:-1]].groupby(["token", "group"], as_index=False, sort=True).agg(low=("low", "min"), high=("high", "max"), room=("room", "max"))
     token, count = np.unique(pdf["token"].to_numpy(np.int64), return_counts=True)
     if (count > wide).any():
         over = pd.DataFrame({"g": token[count > wide], "h": pd.array([None] * int((count > wide).sum()), dtype="Int64"), "least": 0, "n": count[count > wide]})
         pdf = pdf[np.repeat(count <= wide, count)]
+    return pdf, over
+
+
+def _pairs(pdf: pd.DataFrame, threshold: int) -> Iterator[np.ndarray]:
+    """(g, h, least) for each token and pair of its groups, in arrays of at most as many columns as pdf has rows."""
     token, group, low, high, room = (pdf[c].to_numpy(np.int64) for c in ("token", "group", "low", "high", "room"))
     ends = np.searchsorted(token, token, side="right")
     for step in range(1, int((ends - np.arange(len(token))).max(initial=1))):
@@ -372,8 +377,7 @@ def _pairs(pdf: pd.DataFrame, threshold: int, wide: int) -> tuple[list[np.ndarra
         fits, least = _fits(low, high, room, i, i + step, threshold)
         i, least = i[fits], least[fits]
         if len(i):
-            found.append(np.stack([np.minimum(group[i], group[i + step]), np.maximum(group[i], group[i + step]), np.minimum(least, SHARED)]))
-    return found, over
+            yield np.stack([np.minimum(group[i], group[i + step]), np.maximum(group[i], group[i + step]), np.minimum(least, SHARED)])
 
 
 def qualifying(rows: DataFrame, threshold: int, wide: int) -> DataFrame:
@@ -398,14 +402,17 @@ def qualifying(rows: DataFrame, threshold: int, wide: int) -> DataFrame:
     @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[np.ndarray] = []
+        held = 0
         for pdf in whole_tokens(batches):
-            pairs, over = _pairs(pdf, threshold, wide)
-            found += pairs
+            pdf, over = _wide(pdf, wide)
             if over is not None:
                 yield over
-            if sum(x.shape[1] for x in found) > 1_000_000:
-                yield _frame(found)
-                found = []
+            for pairs in _pairs(pdf, threshold):
+                found.append(pairs)
+                held += pairs.shape[1]
+                if held > HELD:  # what a task holds is counted in pairs, not in rows
+                    yield _frame(found)
+                    found, held = [], 0
         if found:
             yield _frame(found)
 
@@ -439,14 +446,14 @@ def block_pairs(rows: DataFrame, tokens: DataFrame, n_tokens: int, threshold: in
 def candidates(sets: DataFrame, labels: DataFrame | None, n_labels: int, hot: np.ndarray, threshold: int, wide: int) -> DataFrame:
     """Pairs (g, h) of groups, g < h, whose matrix rows allow a link."""
     spark = sets.sparkSession
-    while True:
+    for turn in range(2):  # wide tokens that the second matrix still has are paired in blocks
         rows = matrix(sets, labels, n_labels, spark.sparkContext.broadcast(hot), threshold)
         found = qualifying(rows, threshold, wide)
         over = found.filter("h IS NULL").select(F.col("g").alias("token"), "n")
         new = over.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()
         known = np.isin(new["token"].to_numpy(np.int64), hot.view(np.int64))
         more = new["token"].to_numpy(np.int64)[~known][: max(0, HOT_TOKENS - len(hot))]
-        if not len(more):
+        if turn or not len(more):
             break
         hot = np.concatenate([hot, more[::-1].view(np.uint64)])  # last of all: they are in more groups than is known of any other
     pairs = found.filter("h IS NOT NULL")
@@ -465,12 +472,45 @@ def not_connected(groups: DataFrame, edges: DataFrame, labels: DataFrame) -> Dat
     return groups.join(side("g"), "g", "left").join(side("h"), "h", "left").filter(F.coalesce("_g", "g") != F.coalesce("_h", "h")).select("g", "h")
 
 
+def _met(askers: DataFrame, holders: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, group) of askers (a, group, na, ia, t) and members (b, group, nb, ib, t) of a group where the smaller overlap with the
+    pivot and the tokens t that both have reach a link's overlap. Each side is dealt into blocks, and every two blocks meet in
+    a place of their own; there a member is looked up by its tokens, and only pairs that reach it come out."""
+    each = lambda df, c: df.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / ASKERS, F.sum(F.coalesce(F.size("t"), F.lit(0))) / TOKENS)).cast("long").alias(c))
+    blocks = each(askers, "p").join(each(holders, "q"), "group")
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    left = askers.join(_anew(blocks, "group"), "group").select("group", dealt("a", "p").alias("i"), count("q").alias("j"), F.lit(True).alias("asks"), F.col("a").alias("class"), F.col("na").alias("n"), F.col("ia").alias("inside"), "t")
+    right = holders.join(_anew(blocks, "group"), "group").select("group", count("p").alias("i"), dealt("b", "q").alias("j"), F.lit(False).alias("asks"), F.col("b").alias("class"), F.col("nb").alias("n"), F.col("ib").alias("inside"), "t")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = np.empty(0, np.int64)
+        lists = [empty if x is None else np.asarray(x, np.int64) for x in pdf["t"]]
+        asks = pdf["asks"].to_numpy(bool)
+        (qa, qb), cls, n, inside = (np.flatnonzero(asks), np.flatnonzero(~asks)), *(pdf[c].to_numpy(np.int64) for c in ("class", "n", "inside"))
+        held = np.concatenate([empty, *(lists[k] for k in qb)])
+        owner = np.repeat(np.arange(len(qb)), [len(lists[k]) for k in qb])
+        order = np.argsort(held, kind="stable")
+        held, owner, nb, ib, out = held[order], owner[order], n[qb], inside[qb], []
+        for k in qa:
+            low, high = np.searchsorted(held, lists[k]), np.searchsorted(held, lists[k], side="right")
+            some = np.concatenate([empty, *(owner[x:y] for x, y in zip(low, high) if y > x)])
+            shared = np.minimum(inside[k], ib) + np.bincount(some, minlength=len(qb))
+            fits = (n[k] * 100 >= nb * threshold) & (nb * 100 >= n[k] * threshold) & (shared * (100 + threshold) >= (n[k] + nb) * threshold)
+            if fits.any():
+                out.append(np.stack([np.full(int(fits.sum()), cls[k]), cls[qb[fits]]]))
+        a, b = np.concatenate(out, axis=1) if out else (empty, empty)
+        return pd.DataFrame({"a": a, "b": b, "group": np.full(len(a), key[0])})
+
+    return left.unionByName(right).groupBy("group", "i", "j").applyInPandas(run, "a long, b long, group long")
+
+
 def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of classes of the pairs (g, h) of groups that could link. Two groups of several members go if their token
     unions share too few tokens for any of them. Then a class asks the other group: its overlap with the group's token
     union must reach a link's. The union of a group of one is its set, which is compared in full later.
-    A member b is opened to a if min(|a & pivot|, |b & pivot|) and the tokens beside the pivot that both have reach a
-    link's overlap; where those tokens have more holders than the group has members, all members of a fitting size are."""
+    A member b is opened to a only if min(|a & pivot|, |b & pivot|) and the tokens beside the pivot that both have reach a
+    link's overlap."""
     reach = lambda most, n, m: most * (100 + threshold) >= (n + m) * threshold
     wanted = groups.select(F.col("g").alias("group")).union(groups.select(F.col("h").alias("group"))).distinct()
     n_groups = groups.count()
@@ -493,7 +533,7 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     own = of_union(own)
     members = _few(own.groupBy("class", "group").agg(F.sum("in_pivot").alias("inside")).join(sizes, "class").select(F.col("class").alias("b"), "group", F.col("n").alias("nb"), F.col("inside").alias("ib")), n_ids)
     members = cut(members)
-    ranges = members.groupBy("group").agg(F.min("nb").alias("low"), F.max("nb").alias("high"), F.count("*").alias("size"))
+    ranges = members.groupBy("group").agg(F.min("nb").alias("low"), F.max("nb").alias("high"))
     # groups whose unions meet in too few tokens: the smaller union looks its tokens up in the larger one
     of = ranges.join(union.groupBy("group").agg(F.count("*").alias("w")), "group").select("group", "low", "w")
     side = lambda c: of.select(F.col("group").alias(c), F.col("low").alias(f"low_{c}"), F.col("w").alias(f"w_{c}"))
@@ -511,22 +551,17 @@ def opened(groups: DataFrame, sets: DataFrame, labels: DataFrame, pivots: DataFr
     asks, n_asks = _counted(asks)
     asked = asks.select(F.col("q").alias("class"), F.col("other").alias("group")).distinct().join(held, "class").withColumn("pivot", F.lit(0).cast("long"))
     asked = cut(of_union(asked.select("class", "group", "pivot", "tokens").mapInPandas(tokens, kind)).select(F.col("class").alias("a"), "group", "token", "holders", "in_pivot"))
-    beside = F.sum(F.when(F.col("in_pivot") == 0, F.col("holders")).otherwise(0)).alias("beside")
-    a = asked.groupBy("a", "group").agg(F.count("*").alias("most"), F.sum("in_pivot").alias("ia"), beside)
+    a = asked.groupBy("a", "group").agg(F.count("*").alias("most"), F.sum("in_pivot").alias("ia"))
     a = a.join(ranges, "group").join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
     least = F.greatest(F.col("low"), F.ceil(F.col("na") * threshold / 100))  # the smallest size of a member that may link
-    a = cut(_few(a, n_asks).filter((F.col("na") * threshold <= F.col("high") * 100) & reach(F.col("most"), F.col("na"), least)).select("a", "group", "na", "ia", "beside", "size"))
-
-    fits, floor = _size_fits(F.col("na"), F.col("nb"), threshold), F.least("ia", "ib")
-    whole = a.filter("beside >= size").join(_anew(members, "group"), "group").filter(fits).select("a", "b", "group")
-    some = a.filter("beside < size")
-    extras = asked.filter("in_pivot = 0").select("a", "group", "token").join(_anew(some, "a"), ["a", "group"])
-    extras = extras.join(own.filter("in_pivot = 0").select(F.col("class").alias("b"), "group", "token"), ["group", "token"])
-    shared = extras.groupBy("a", "b", "group").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("ia").alias("ia")).join(_anew(members, "b"), ["b", "group"])
-    shared = shared.filter(fits & reach(floor + F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b", "group")
-    shapes = members.select("group", "nb", "ib").distinct()  # few: sizes
-    inside = some.join(_anew(shapes, "group"), "group").filter(fits & reach(floor, F.col("na"), F.col("nb"))).join(_anew(members, "group"), ["group", "nb", "ib"]).select("a", "b", "group")
-    found, _ = _counted(whole.union(shared).union(inside).distinct())
+    a = cut(_few(a, n_asks).filter((F.col("na") * threshold <= F.col("high") * 100) & reach(F.col("most"), F.col("na"), least)).select("a", "group", "na", "ia"))
+
+    beside = asked.filter("in_pivot = 0").select("a", "group", "token").join(_anew(a.select("a", "group"), "a"), ["a", "group"])
+    askers = a.join(beside.groupBy("a", "group").agg(F.collect_list("token").alias("t")), ["a", "group"], "left")
+    wanted_tokens = beside.select("group", "token").distinct()
+    theirs = own.filter("in_pivot = 0").select(F.col("class").alias("b"), "group", "token").join(_anew(wanted_tokens, "token"), ["group", "token"])
+    holders = members.join(_anew(a.select("group").distinct(), "group"), "group").join(theirs.groupBy("b", "group").agg(F.collect_list("token").alias("t")), ["b", "group"], "left")
+    found, _ = _counted(_met(askers, holders, threshold))
 
     several = pivots.select(F.col("group").alias("own"), F.lit(True).alias("_several"))
     way = asks.select("own", "other", F.col("q").alias("a")).join(several, "own", "left").filter("_several IS NULL OR own < other")

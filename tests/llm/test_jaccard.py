@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from lumenframe.llm import jaccard
@@ -109,3 +111,59 @@ def test_large_groups_that_share_a_passage_and_do_not_link(spark, wide):
     rows = list(enumerate(docs))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert found(jaccard.near_duplicates(df, wide=wide)) == brute(rows)
+
+
+def two_families(members, seed=3):
+    """Two families around one common text; each member has three of ten short blocks, the first family's with an even sum of
+    places, the second's with an odd one, so that families share at most two."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common, blocks, docs = [word() for _ in range(312)], [[word() for _ in range(9)] for _ in range(10)], []
+    for family in (0, 1):
+        own = [word() for _ in range(28)]
+        for _ in range(members):
+            while sum(three := sorted(r.sample(range(10), 3))) % 2 != family:
+                pass
+            docs.append(" ".join(common + own + [w for k in three for w in blocks[k]]))
+    return list(enumerate(docs))
+
+
+def test_opened_pairs_grow_with_the_members(spark, monkeypatch):
+    """Three times the members open about three times the pairs, not nine times."""
+    plain, counts = jaccard.opened, []
+
+    def counted(*args):
+        out = plain(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "opened", counted)
+    for n in (60, 180):
+        rows = two_families(n)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert found(jaccard.near_duplicates(df)) == brute(rows)
+    assert len(counts) == 2 and counts[1] <= 3.5 * counts[0] + 100, counts
+
+
+@pytest.mark.parametrize("block", [3, 2_000])
+def test_blocks_of_askers_and_members(spark, monkeypatch, block):
+    """Who meets whom does not depend on the blocks; pairs are those that reach the bound."""
+    monkeypatch.setattr(jaccard, "ASKERS", block)
+    r = random.Random(4)
+    side = lambda first: [(first + i, g, r.randint(20, 30), r.randint(10, 20), r.sample(range(40), r.randint(0, 12)) or None) for g in (1, 2) for i in range(g * 20, g * 20 + 15)]
+    a, b = side(0), side(1000)
+    got = jaccard._met(spark.createDataFrame(a, "a long, group long, na long, ia long, t array<long>"), spark.createDataFrame(b, "b long, group long, nb long, ib long, t array<long>"), 80)
+    fits = lambda n, m, o: 100 * n >= 80 * m and 100 * m >= 80 * n and o * 180 >= 80 * (n + m)
+    want = {(x[0], y[0], x[1]) for x in a for y in b if x[1] == y[1] and fits(x[2], y[2], min(x[3], y[3]) + len(set(x[4] or []) & set(y[4] or [])))}
+    assert {tuple(p) for p in got.collect()} == want and want
+
+
+def test_pairs_are_held_in_bounded_pieces():
+    """A batch of 50,000 rows whose 25 tokens have 2,000 groups each has 50 million pairs; they come out piece by piece."""
+    n = 50_000
+    pdf = pd.DataFrame({"token": np.repeat(np.arange(25), 2000), "group": np.arange(n), "low": 40, "high": 40, "room": 40})
+    rows, over = jaccard._wide(pdf, 2000)
+    assert over is None and len(rows) == n
+    sizes = [x.shape[1] for x, _ in zip(jaccard._pairs(rows, 80), range(200))]
+    assert max(sizes) <= n and len(sizes) == 200
+    assert len(jaccard._wide(pdf, 1999)[1]) == 25
