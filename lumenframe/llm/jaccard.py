@@ -38,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Stage, arrow_batches, cut, partitions, slim, small
@@ -147,24 +147,29 @@ def prefix(n: int, threshold: int = THRESHOLD) -> int:
     return min(n, n - -(-threshold * n // 100) + SHARED)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def token_sets(df: DataFrame) -> DataFrame:
-    """doc_id, n, class, coarse, slices, tokens; of equal sets within a task only the first carries counts and tokens."""
+    """doc_id, text_hash, n, class, coarse, slices, tokens; of equal sets within a task only the first carries counts and tokens."""
 
     @slim
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
             out = []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
+            for i, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
                 s = shingles(t)
                 raw = s.tobytes()
                 c = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) if len(s) else None
                 first = c is not None and c not in seen
                 seen.add(c)
-                out.append((i, len(s), c, *((_counts(s, COARSE), _counts(s, _fine(len(s))), _packed(s)) if first else (None, None, None))))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "class", "coarse", "slices", "tokens"]).astype({"doc_id": "Int64", "class": "Int64"})
+                out.append((i, h, len(s), c, *((_counts(s, COARSE), _counts(s, _fine(len(s))), _packed(s)) if first else (None, None, None))))
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "class", "coarse", "slices", "tokens"]).astype({"doc_id": "Int64", "class": "Int64"})
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, class long, coarse binary, slices binary, tokens binary")
+    return df.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, n long, class long, coarse binary, slices binary, tokens binary")
 
 
 def hot_tokens(sets: DataFrame, most: int = HOT_TOKENS) -> np.ndarray:
@@ -592,13 +597,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, text_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (links of the class found by
-    comparison, without those that steps 2 and 4 made superfluous), for every row of df(doc_id, text)."""
+    comparison, without those that steps 2 and 4 made superfluous), for every row of df(doc_id, text); on demand text_hash, which
+    with doc_id names the row."""
     stage = Stage(df.sparkSession)
     try:
         with arrow_batches(df.sparkSession, *BATCH):
-            return _near_duplicates(df, threshold, wide, stage)
+            out = _near_duplicates(df, threshold, wide, stage)
+            return out if text_hash else out.drop("text_hash")
     finally:
         stage.drop()
 
@@ -634,5 +641,5 @@ def _near_duplicates(df: DataFrame, threshold: int, wide: int, stage: Stage) ->
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     named = ids.join(_anew(least, "root"), "root").join(degree.withColumnRenamed("a", "class"), "class", "left")
     named = stage.put(named.select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    out = sets.select("doc_id", "n", "class").join(named, "class", "left")
-    return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    out = sets.select("doc_id", "text_hash", "n", "class").join(named, "class", "left")
+    return cut(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

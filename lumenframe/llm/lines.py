@@ -8,8 +8,9 @@ shuffle nor re-read other buckets; when a level holds `fanout` runs, they are me
 next level, which the following batches read in their place. Since batches ascend, the run's doc_id is the key's smallest.
 
 Lines of other documents with that key go; every other line stays. Null or empty texts are one empty line. Rows without
-doc_id stay as they are. Rows that repeat a doc_id are one document: its lines stay or go together. Empty tables give
-empty results; other columns pass through, but for the names lines, drop, n_lines, n_dropped
+doc_id stay as they are. Rows that repeat a doc_id count as one document where keys are held, so each of them keeps the lines
+that only they have; what goes is told for each row's own text. Empty tables give
+empty results; other columns pass through, but for the names lines, drop, _doc, _row, n_lines, n_dropped
 and kept.
 """
 
@@ -21,6 +22,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.shared import delete
+
 from .common import SPACES, Stage, cut, partitions
 
 BATCHES, FANOUT = 5, 2  # batches at least; runs of a level that make one of the next
@@ -38,18 +41,24 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def row_of(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 class LineRuns:
     """The runs, newest first, by level. Each is a table of (h1, h2, owner, last, new) bucketed and sorted by (h1, h2);
     rows with new = true are the run's keys, the others are the batch's hits on older runs and go when runs merge."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
+        """root: a folder of the shared one, where the tables lie."""
+        self.spark, self.root, self.fanout, self.levels = spark, root, fanout, [[]]
         self.name, self.made, self.buckets = f"lumenframe_lines_{uuid.uuid4().hex}", 0, partitions(spark)
 
     def _write(self, df: DataFrame) -> str:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{table}").saveAsTable(table)
         return table
 
     def add(self, keys: DataFrame) -> DataFrame:
@@ -61,9 +70,8 @@ class LineRuns:
         old = F.coalesce(*owners, F.lit(None).cast("long"))
         run = self._write(found.select("h1", "h2", F.coalesce(old, "first").alias("owner"), "last", old.isNull().alias("new")))
         # read by path: the join that follows must be free to split a hot line's rows, which buckets would forbid
-        path = self.spark.sql(f"DESCRIBE FORMATTED {run}").filter("col_name = 'Location'").first()["data_type"]
         self.levels[0].insert(0, run)
-        return self.spark.read.schema(self.spark.table(run).schema).parquet(path).filter("owner < last").select("h1", "h2", "owner")
+        return self.spark.read.schema(self.spark.table(run).schema).parquet(f"{self.root}/{run}").filter("owner < last").select("h1", "h2", "owner")
 
     def _own(self, run: str) -> DataFrame:
         return self.spark.table(run).filter("new").select("h1", "h2", "owner", "last")
@@ -82,33 +90,37 @@ class LineRuns:
                 self.levels.append([])
             self.levels[depth + 1].insert(0, self._write(merged.withColumn("new", F.lit(True))))
             for run in runs:
-                self.spark.sql(f"DROP TABLE {run}")
+                self._drop(run)
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        delete(self.spark, f"{self.root}/{run}")
 
     def drop(self) -> None:
         for i in range(self.made):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
+            self._drop(f"{self.name}_{i}")
 
 
 def drops(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = FANOUT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, drop (positions of the lines that go, from 0), for the documents that lose lines. batches: in place of a
+    """doc_id, row (a hash of the text), drop (positions of the lines that go, from 0), for the rows that lose lines. batches: in place of a
     number by batch_bytes."""
     spark, stage = docs.sparkSession, Stage(docs.sparkSession)
     if batches is None:
         batches = max(BATCHES, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10 * batches)).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    runs, out = LineRuns(spark, fanout), []
+    runs, out = LineRuns(spark, stage.root, fanout), []
     try:
         for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
             batch = docs.filter(F.col("doc_id").isNotNull())
             batch = batch.filter(F.col("doc_id") > low) if low is not None else batch
             batch = batch.filter(F.col("doc_id") <= high) if high is not None else batch
-            lines = batch.select(F.col("doc_id").cast("long"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-            lines = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "pos", key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-            lines = stage.put(lines.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), f"lines{i}")
+            lines = batch.select(F.col("doc_id").cast("long"), row_of(F.col("text")).alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+            lines = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "row", "pos", key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+            lines = stage.put(lines.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), f"lines{i}")
             twice = runs.add(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
             gone = lines.join(twice, ["h1", "h2"]).filter("owner < doc_id")
-            out.append(cut(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("drop"))))
+            out.append(cut(gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))))
             runs.compact()
     finally:  # whatever failed, no table stays
         runs.drop()
@@ -121,12 +133,14 @@ def drops(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fano
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """docs with n_lines, n_dropped and kept, the text of the lines that stay."""
-    docs = docs.drop("lines", "drop", "n_lines", "n_dropped", "kept")
+    docs = docs.drop("lines", "drop", "_doc", "_row", "n_lines", "n_dropped", "kept")
     gone = drops(docs, min_chars, batches, fanout)
     # hashed where a task's share of the positions is small, so that the texts need no sorting; else a merge join
     positions = gone.agg(F.sum(F.size("drop") + 8)).first()[0] or 0
-    side = gone.hint("shuffle_hash") if positions <= TASK_POSITIONS * partitions(docs.sparkSession) else gone
-    rows = docs.join(side, "doc_id", "left").withColumn("lines", lines_of(F.col("text")))
+    side = gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "drop")
+    side = side.hint("shuffle_hash") if positions <= TASK_POSITIONS * partitions(docs.sparkSession) else side
+    same = (F.col("doc_id") == F.col("_doc")) & (row_of(F.col("text")) == F.col("_row"))
+    rows = docs.join(side, same, "left").drop("_doc", "_row").withColumn("lines", lines_of(F.col("text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     return rows.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size(F.array_distinct("drop")), F.lit(0)).cast("long")).withColumn("kept", kept).drop("lines", "drop")

@@ -1,3 +1,4 @@
+import os
 import random
 import string
 
@@ -37,8 +38,8 @@ def test_odd_rows(spark):
     assert all(x.n_lines == (x.text or "").count("\n") + 1 for x in got)
 
 
-def test_runs_are_levelled(spark):
-    runs = lines.LineRuns(spark, fanout=2)
+def test_runs_are_levelled(spark, tmp_path):
+    runs = lines.LineRuns(spark, str(tmp_path), fanout=2)
     for i in range(5):
         keys = spark.range(i, i + 3).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(i).cast("long").alias("first"), F.lit(i).cast("long").alias("last"))
         runs.add(keys).collect()
@@ -51,3 +52,27 @@ def test_runs_are_levelled(spark):
 
 def test_query(spark):
     assert same(op6_line_runs(spark, DATA), ORACLES["op6_line_runs"], database()) > 100
+
+
+def test_unlike_texts_of_one_doc_id(spark):
+    """A line that only one of a doc_id's rows has stays, at whatever place it stands."""
+    docs = [(1, "shared line here\nalso in one"), (5, "x\nshared line here"), (5, "y\nonly in this row line"), (5, "x\nshared line here"), (7, "only in this row line\nz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.kept, r.n_dropped) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, "shared line here\nalso in one", 0), (5, "x", 1), (5, "x", 1), (5, "y\nonly in this row line", 0), (7, "z", 1)]
+
+
+def test_nothing_outside_the_shared_folder(spark, monkeypatch):
+    """While the runs stand, they lie below the checkpoint folder, none in the warehouse; afterwards they are gone."""
+    warehouse, shared = (spark.conf.get(k).removeprefix("file:") for k in ("spark.sql.warehouse.dir", "spark.checkpoint.dir"))
+    holds = lambda top: [d for d, _, _ in os.walk(top) if "lumenframe_lines" in d]
+    seen, plain = [], lines.LineRuns.compact
+
+    def compact(self):
+        seen.append((len(holds(warehouse)), len(holds(shared))))
+        plain(self)
+
+    monkeypatch.setattr(lines.LineRuns, "compact", compact)
+    lines.dedup_lines(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")).count()
+    assert seen and all(w == 0 and s > 0 for w, s in seen)
+    assert not holds(warehouse) and not holds(shared)

@@ -42,3 +42,15 @@ def test_stages_and_run(spark):
     assert sorted((r.doc_id, hashlib.sha256(bytes(r.ids)).hexdigest()) for r in results[4]) == want
     whole = sorted((r.doc_id, r.decoded_sha256, r.n_tokens) for r in corpus_pipeline.run(spark, DATA).collect())
     assert whole == sorted((r.doc_id, r.decoded_sha256, r.n_tokens) for r in results[4])
+
+
+def test_rows_of_one_doc_id_go_by_their_own_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 0), (5, text, "en", "a", 0), (5, " ".join(f"v{i}" for i in range(40)), "en", "a", 0), (5, text + " more", "en", "a", 0), (None, text, None, None, None), (6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r.doc_id), (r.text or "")[:3]) for r in got.collect()) == [("1", "w0 "), ("5", "v0 "), ("6", ""), ("None", "w0 ")]
+    rows = [(1, "shared line here", "en", "a", 0), (5, "x\nshared line here", "en", "a", 0), (5, "y\nonly in this row line", "en", "a", 0)]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, docs.schema), DATA)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "shared line here"), (5, "x"), (5, "y\nonly in this row line")]
