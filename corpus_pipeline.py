@@ -35,17 +35,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose key a document with a smaller doc_id holds. Rows that repeat a doc_id are one
-    document; rows without one stay whole. A document that loses all lines stays with an empty text; the mix then takes
+    document there, but each loses lines of its own text only; rows without one stay whole. A document that loses all lines stays with an empty text; the mix then takes
     nothing of it."""
     return _columns(lines.dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that gives its group the name stays; of rows that repeat its doc_id, all stay, and so do rows without
-    one and empty texts, which link with nothing."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The document that gives its group the name stays; of rows that repeat its doc_id, all of its group stay. A row goes by
+    its own text only, whatever other rows have its doc_id. Rows without a doc_id and empty texts, which link with nothing,
+    stay."""
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), text_hash=True)
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    docs = docs.select(*COLUMNS)
+    return docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (jaccard.text_hash(F.col("text")) == F.col("_hash")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
