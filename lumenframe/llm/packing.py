@@ -187,10 +187,10 @@ def place(items: DataFrame, stage: Stage, capacity: int = CAPACITY, group: int =
     def run_of(turn: int):  # noqa: ANN202
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["sequence_id", "pid"], ignore_index=True)  # a group's rows come in any order
-            lengths = pdf["length"].tolist()
-            bins = pack(lengths, capacity, list(pdf.groupby("sequence_id", sort=True).indices.values()) if turn else None)
+            sizes_of = pdf["length"].to_numpy()
+            bins = pack(sizes_of.tolist(), capacity, list(pdf.groupby("sequence_id", sort=True).indices.values()) if turn else None)
             at = np.concatenate([np.asarray(b, dtype=int) for b in bins])
-            sizes = [np.asarray(lengths)[b] for b in bins]
+            sizes = [sizes_of[b] for b in bins]
             fills = np.array([s.sum() for s in sizes])
             each = [len(b) for b in bins]
             offset = np.concatenate([np.cumsum(s) - s for s in sizes])
