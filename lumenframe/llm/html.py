@@ -7,9 +7,15 @@ up the densities of its block children; the node with the largest sum holds the
 body is the page's threshold: other nodes of the body, or of the <main> around the text, whose density reaches it, such as
 a long heading beside the text or a second article, contribute their own largest-sum subtree too.
 
+An article in parts has its largest sum in one part. So the content grows upwards: as long as the parent is not the body, and
+what else it holds has few links and no more text than the content so far, the parent is the content. An <article> or <main>
+is never left that way.
+
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles. A class or id counts only as a whole, and not on a node that
-holds most of the page's text outside links. An attribute's quote that is not closed before white space, / or > ends at
+holds most of the page's text outside links. Inside an article (<main> on pages without one) only adverts' and reader
+comments' names do; a node of another
+such name goes there only if its links say so too. An attribute's quote that is not closed before white space, / or > ends at
 the tag's first >.
 
 Null, empty and tag-less pages: an empty page has an empty text; plain text without any tag is its own text. Broken
@@ -43,13 +49,16 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 DROP_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu search noembed noframes fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion alert disclaimer rail cookie cookies consent gdpr notice notices notification popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback feedback opinion opinions share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager toolbar skip".split()
 )
 #: Words beside those that leave a class or id what it is: names of boxes and places.
 BOX_WORDS = frozenset("area articles bar block bottom box btn button buttons center col column container fixed form global group holder inline inner items left link links list main mobile outer page panel posts reader readers region right section site slot sticky stories top unit user users visitor visitors wrap wrapper zone".split())
 HEADER_WORDS = frozenset("header topbar".split())
 #: Readers' words: beside an article they are not content, however long.
-READER_WORDS = frozenset("comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback".split())
+READER_WORDS = frozenset("comment comments commentlist discussion disqus guestbook reactions remark remarks replies reply respond responses talkback feedback opinion opinions".split())
+#: Names that say enough inside an article: adverts, and lists of readers' comments.
+SURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored comment comments commentlist discussion disqus guestbook".split())
+LINKED = 3  # a third of a node's text in links tells furniture from text
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>)|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
@@ -179,16 +188,25 @@ def drop_named(root: Node) -> None:
     if not any(n.named for n in order):
         return
     free: dict[int, int] = {}  # characters outside links, whether dropped or not
+    linked: dict[int, int] = {}  # and inside
     own: dict[int, int] = {}  # those of them in an article that isn't dropped
     for n in order:
-        c = a = 0
-        if n.tag not in ("script", "style", "head", "title", "a"):
+        c = a = k = 0
+        if n.tag not in ("script", "style", "head", "title"):
             for x in n.items:
                 c += _size(x) if isinstance(x, str) else free[id(x)]
                 a += 0 if isinstance(x, str) else own[id(x)]
+                k += 0 if isinstance(x, str) else linked[id(x)]
+        if n.tag == "a":
+            c, a, k = 0, 0, c + k
+        linked[id(n)] = k
         free[id(n)], own[id(n)] = c, 0 if n.drop else c if n.tag in ("article", "main") else a
+    within = ("article",) if any(n.tag == "article" for n in order) else ("main",)
     for n in order:
         if n.named:
+            inside = any(up.tag in within for up in _up(n.parent))
+            if inside and not n.named & SURE_WORDS and not LINKED * linked[id(n)] > free[id(n)] + linked[id(n)]:
+                continue
             beside = own[id(root)] > (free[id(n)] if any(up.tag in ("article", "main") for up in _up(n)) else own[id(n)])
             n.drop = n.drop or 2 * free[id(n)] <= free[id(root)] or bool(n.named & READER_WORDS) and beside
 
@@ -228,7 +246,18 @@ def measure(root: Node) -> None:
             n.best = n
 
 
-def contents(root: Node) -> list[Node]:
+def grown(node: Node) -> Node:
+    """The content around a part of it, see above."""
+    while node.tag not in ("article", "main", "body", "html", "#root"):
+        up = node.parent
+        others, links = up.chars - node.chars, up.link_chars - node.link_chars
+        if up.tag in ("body", "html", "#root") or LINKED * links > others or others - links > node.chars:
+            break
+        node = up
+    return node
+
+
+def contents(root: Node, grow: bool = True) -> list[Node]:
     """The content nodes, in page order."""
     body = next((n for n in reversed(_post(root)) if n.tag == "body"), root)
     best = body.best
@@ -247,6 +276,8 @@ def contents(root: Node) -> list[Node]:
         elif scope is not body and n.tag in ("h1", "h2") and not n.link_tags:
             marked.add(id(n))
         stack.extend(x for x in n.items if isinstance(x, Node))
+    if grow:
+        marked.add(id(grown(best)))
     out, stack = [], [scope]
     while stack:
         n = stack.pop()
@@ -291,13 +322,13 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, grow: bool = True) -> str:
     if not source or not source.strip():
         return ""
     root = parse(source)
     drop_named(root)
     measure(root)
-    return "\n".join(b for n in contents(root) for b in blocks(n))
+    return "\n".join(b for n in contents(root, grow) for b in blocks(n))
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

@@ -165,4 +165,44 @@ def test_random_pages_against_the_formulas():
     write = lambda n: f"<{n[0]}>{''.join(c if isinstance(c, str) else write(c) for c in n[1])}</{n[0]}>"
     for _ in range(300):
         body = ("body", [node(r.randint(0, 4)) for _ in range(r.randint(1, 4))])
-        assert main_text(write(body)) == plain(body), write(body)
+        assert main_text(write(body), grow=False) == plain(body), write(body)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_articles_in_parts(tag):
+    """Title and sections of 2, 8 and 1 paragraphs: all twelve blocks, and nothing around them."""
+    parts = "".join(f"<section>{f'<p>{LONG}</p>' * n}</section>" for n in (2, 8, 1))
+    around = "<nav><a href=a>Home</a></nav>{}<div class=sidebar><p>Side.</p></div><div><ul><li><a href=b>More</a><li><a href=c>Others</a></ul></div><footer>(c)</footer>"
+    want = "\n".join(["Title"] + [LONG] * 11)
+    assert main_text(f"<{tag}><h1>Title</h1>{parts}</{tag}>") == want
+    assert main_text(f"<body>{around.format(f'<{tag}><h1>Title</h1>{parts}</{tag}>')}</body>") == want
+    assert main_text(f"<body><div class=page>{around.format(f'<{tag}><h1>Title</h1>{parts}</{tag}>')}</div></body>") == want
+
+
+@pytest.mark.parametrize("node", ["<p class='remark'>{}</p>", "<p id='banner'>{}</p>", "<div class='notice'>{}</div>", "<blockquote class=replies>{}</blockquote>"])
+def test_names_alone_drop_nothing_in_an_article(node):
+    said = "A remark that belongs here."
+    assert main_text(f"<article><p>{LONG}</p>{node.format(said)}<p>{LONG}</p></article>") == f"{LONG}\n{said}\n{LONG}"
+    linked = "<a href=a>One place</a> <a href=b>another place</a> more"
+    assert main_text(f"<article><p>{LONG}</p>{node.format(linked)}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["feedback", "user-opinions", "reader_comments", "userFeedback"])
+def test_reader_comments_beside_the_text(name):
+    said = "".join(f"<div><b>Someone</b><p>{LONG} {i}</p></div>" for i in range(6))
+    for page in ("<body><article><p>{0}</p></article>{1}</body>", "<body><main><article><p>{0}</p></article>{1}</main></body>"):
+        assert main_text(page.format(LONG, f"<div class='{name}'>{said}</div>")) == LONG
+
+
+#: Whole pages whose text was marked by hand: what stands between { and }.
+MARKED = [
+    "<html><head><title>x</title></head><body><div id=top><a href=/>Site</a> <a href=/a>A</a></div><div id=wrap><div class=post><h1>{A day out}</h1><div class=text><p>{We went out early, while it was still dark, and saw the sun rise.}</p><h2>{Noon}</h2><p>{By noon it was hot. We sat under a tree and ate.}</p></div><div class=text><p>{In the evening we came back.}</p></div></div></div><div id=bottom><a href=/i>Imprint</a></div></body></html>",
+    "<body><header><h1>Site name</h1></header><main><h1>{Bread}</h1><section><h2>{Flour}</h2><p>{Take a pound of flour, and sieve it twice, so that no lumps stay in it.}</p></section><section><h2>{Water}</h2><ul><li>{half a pint, warm}</li><li>{a little more later, if the dough stays dry}</li></ul></section></main><aside><p>Other recipes of this week, with many words in them, more than you would think.</p></aside></body>",
+    "<body><table><tr><td><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td><p>{The first paragraph of a page that is laid out by a table.}</p><p>{The second one, which is about as long as the first one.}</p></td></tr></table></body>",
+    "<body><nav>Menu</nav><div><div><p>{Short.}</p></div><div><p>{A much longer paragraph that holds most of what this page has to say to its readers.}</p><p>{And one more of that kind, to be sure that it is found.}</p></div></div><div class=share><a href=t>Tell a friend</a></div></body>",
+]
+
+
+@pytest.mark.parametrize("page", MARKED)
+def test_pages_marked_by_hand(page):
+    assert main_text(re.sub("[{}]", "", page)).split("\n") == re.findall(r"\{(.*?)\}", page)
