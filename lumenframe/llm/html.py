@@ -14,9 +14,8 @@ is never left that way.
 Nodes that are never content by their tag, role, class or id go before: menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles. A class or id counts only as a whole, and not on a node that
 holds most of the page's text outside links. Inside an article (<main> on pages without one) only adverts' and reader
-comments' names do; a node of another
-such name goes there only if its links say so too. An attribute's quote that is not closed before white space, / or > ends at
-the tag's first >.
+comments' names do; a node of another such name goes there only if its links say so too. An attribute's quote that is not
+closed before white space, / or > ends at the tag's first >.
 
 Null, empty and tag-less pages: an empty page has an empty text; plain text without any tag is its own text. Broken
 markup never fails: end tags are implied as browsers imply them. Repeated rows are read each by itself; empty tables give

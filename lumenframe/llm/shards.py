@@ -2,11 +2,11 @@
 
 Arrivals become small immutable Parquet shards. Shards of one tier (sizes within a factor of `factor`) are merged, once
 there are `fanout` of them, into files of about the target size; shards of at least half the target are final. Merging
-reads its shards into as few tasks as files come out, without a shuffle. Each append and each merge commits the next
-version of the manifest, a JSON file that lists the live shards, by a rename that fails if the version is there already:
-readers see the old list or the new one, and of two writers one tries again on the newer list. This needs a file system
-with such a rename, as HDFS and local ones are; object stores without it need one writer at a time. What a lost executor
-left half-written is in no manifest.
+deals its shards into files by their bytes, and one task reads a file's shards and writes it, without a shuffle. Each append
+and each merge commits the next version of the manifest by a rename that fails if the version is there already (see
+functions/manifest): readers see the old list or the new one, and of two writers one tries again on the newer list. A
+version names parts, small files that list up to PART live shards each; a commit writes the parts that it changes only. What
+a lost executor left half-written is in no manifest.
 
 `vacuum` deletes manifests but the last `keep`, and shard folders that none of those lists and that are older than
 `grace_s`, a day by default: another writer's shards, written but not yet committed, and a reader's older version stay.
@@ -22,11 +22,17 @@ import json
 import math
 import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lumenframe.functions.manifest import Conflict, Manifest
+
+__all__ = ["Conflict", "Shard", "ShardStore"]
+PART = 1000  # shards that a part of the manifest lists
+FILES = 200  # that one job writes when shards are merged
 TARGET_BYTES, FANOUT, FACTOR, SMALLEST = 64 << 20, 4, 4.0, 64 << 10
 
 
@@ -36,55 +42,47 @@ class Shard:
     bytes: int
 
 
-class Conflict(RuntimeError):
-    """Another writer committed the version first."""
-
-
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, factor: float = FACTOR):
         self.spark, self.root, self.target, self.fanout, self.factor = spark, root.rstrip("/"), target_bytes, fanout, factor
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self._path(self.root).getFileSystem(self.conf)
-        self.fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self.log, self.lists = Manifest(spark, f"{self.root}/manifest"), Manifest(spark, f"{self.root}/parts")
+        self.fs, self.known = self.log.fs, {}  # parts never change
 
     def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(name)
+        return self.log.jvm.org.apache.hadoop.fs.Path(name)
 
     # ---- manifest ----
 
     def versions(self) -> list[int]:
-        names = (x.getPath().getName() for x in self.fs.listStatus(self._path(f"{self.root}/manifest")))
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return self.log.versions()
+
+    def _part(self, name: str) -> list[Shard]:
+        if name not in self.known:
+            self.known[name] = [Shard(*s) for s in self.lists.read(name)]
+        return self.known[name]
 
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard], str | None]:
         """(version, shards, schema as JSON) of a version, the last one by default; version 0 has nothing."""
-        version = max(self.versions(), default=0) if version is None else version
-        if not version:
-            return 0, [], None
-        stream = self.fs.open(self._path(f"{self.root}/manifest/v{version:010d}.json"))
-        try:
-            found = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-        return version, [Shard(**s) for s in found["shards"]], found["schema"]
+        version, found = self.log.load(version)
+        return (version, [s for p in found["parts"] for s in self._part(p)], found["schema"]) if found else (0, [], None)
 
     def _commit(self, base: int, shards: list[Shard], schema: str) -> int:
-        draft = self._path(f"{self.root}/manifest/draft-{uuid.uuid4().hex}")
-        out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps({"schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
-        out.close()
-        final = self._path(f"{self.root}/manifest/v{base + 1:010d}.json")
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        never = self.spark.sparkContext._gateway.new_array(rename, 0)  # no option: an existing version is an error
-        try:
-            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(draft, final, never)
-        except Exception as e:
-            self.fs.delete(draft, False)
-            if self.fs.exists(final):
-                raise Conflict(f"version {base + 1} is there already") from e
-            raise
-        return base + 1
+        found = self.log.load(base)[1] if base else None
+        before = found["parts"] if found else []
+        live, parts, left = set(shards), [], []
+        for p in before:
+            own = self._part(p)
+            if live.issuperset(own) and len(own) >= PART // 2:
+                parts.append(p)
+                live.difference_update(own)
+            else:
+                left += [s for s in own if s in live]
+        left = list(dict.fromkeys([*left, *(s for s in shards if s in live)]))
+        for at in range(0, len(left), PART):
+            name = f"{uuid.uuid4().hex}.json"
+            self.lists.write(name, [[s.path, s.bytes] for s in left[at : at + PART]])
+            parts.append(name)
+        return self.log.commit(base, {"schema": schema, "parts": parts})
 
     # ---- shards ----
 
@@ -123,6 +121,22 @@ class ShardStore:
         full = [t for t, own in tiers.items() if t >= 0 and len(own) >= self.fanout]
         return tiers[min(full)] if full else []
 
+    def files(self, old: list[Shard]) -> list[list[list[Shard]]]:
+        """The shards by file, the files by job. Shards to be merged are below half the target each, so a file has from three
+        quarters to five quarters of it; a last one that would have less than half goes with the one before."""
+        out: list[list[Shard]] = [[]]
+        held = 0
+        for s in old:
+            if held >= 0.75 * self.target:
+                out.append([])
+                held = 0
+            out[-1].append(s)
+            held += s.bytes
+        if len(out) > 1 and 2 * held < self.target:
+            last = out.pop()
+            out[-1].extend(last)
+        return [out[i : i + FILES] for i in range(0, len(out), FILES)]
+
     def compact(self) -> int:
         """Merges until no tier is full; returns the last version."""
         while True:
@@ -130,8 +144,7 @@ class ShardStore:
             old = self.plan(shards)
             if not old:
                 return base
-            n = max(1, round(sum(s.bytes for s in old) / self.target))
-            new = self._write(self._read(old, schema).coalesce(n))
+            new = [s for files in self.files(old) for s in self._merge(files, schema)]
             gone = set(old)
             while gone <= set(shards):  # another merge may take a shard first: then this one is void, its files go in vacuum
                 try:
@@ -140,6 +153,16 @@ class ShardStore:
                 except Conflict:
                     base, shards, schema = self.manifest()
 
+    def _merge(self, files: list[list[Shard]], schema: str | None) -> list[Shard]:
+        """Each of the lists as one file, by a task of its own."""
+        key = "spark.sql.unionOutputPartitioning"  # else a union of single partitions is a single partition
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            return self._write(reduce(DataFrame.union, (self._read(own, schema).coalesce(1) for own in files)))
+        finally:
+            self.spark.conf.set(key, before)
+
     def _read(self, shards: list[Shard], schema: str | None) -> DataFrame:
         kind = T.StructType.fromJson(json.loads(schema)) if schema else T.StructType()
         return self.spark.read.schema(kind).parquet(*(s.path for s in shards)) if shards else self.spark.createDataFrame([], kind)
@@ -152,9 +175,13 @@ class ShardStore:
         """Deletes manifests but the last `keep`, and older files that none of those list."""
         versions = self.versions()
         live = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
+        parts = {p for v in versions[-keep:] for p in self.log.load(v)[1]["parts"]}
         for v in versions[:-keep]:
-            self.fs.delete(self._path(f"{self.root}/manifest/v{v:010d}.json"), False)
+            self.log.forget(v)
         top, before = self._path(f"{self.root}/shards"), (time.time() - grace_s) * 1000
+        for part in self.fs.listStatus(self.lists.path("")):
+            if part.getPath().getName() not in parts and part.getModificationTime() <= before:
+                self.fs.delete(part.getPath(), False)
         for folder in self.fs.listStatus(top) if self.fs.exists(top) else []:
             files = list(self.fs.listStatus(folder.getPath()))
             if max([folder.getModificationTime(), *(f.getModificationTime() for f in files)]) > before:

@@ -77,6 +77,43 @@ def test_arrivals_are_split_at_max_records(spark, store):
     assert len(store.manifest()[1]) == 3
 
 
+def test_merged_files_are_near_the_target(spark, tmp_path):
+    """Forty shards well below the target, on few cores: each file that comes out has from half to twice the target."""
+    store = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=200_000, fanout=4)
+    all_ = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    store.append(all_.repartition(40))
+    _, before, _ = store.manifest()
+    assert len(before) == 40 and max(s.bytes for s in before) < 100_000
+    store.compact()
+    _, live, _ = store.manifest()
+    assert all(100_000 <= s.bytes <= 400_000 for s in live) and len(live) < 25, ([s.bytes for s in before], [s.bytes for s in live])
+    assert rows(store.read()) == rows(all_)
+
+
+def test_files_by_bytes(store):
+    s = lambda n: shards.Shard(f"x{n}", n)
+    for sizes in ([10] * 5, [150_000, 190_000, 60_000] * 40, [199_999] * 7, [199_999] * 4 + [1]):
+        files = [f for job in store.files([s(n) for n in sizes]) for f in job]
+        assert sorted(x.bytes for f in files for x in f) == sorted(sizes)
+        totals = [sum(x.bytes for x in f) for f in files]
+        assert len(files) == 1 or all(200_000 <= t <= 800_000 for t in totals)
+
+
+def test_commits_write_what_they_change(spark, store, monkeypatch):
+    """With parts of four shards, one more shard leaves the full parts alone; each version still has all shards."""
+    monkeypatch.setattr(shards, "PART", 4)
+    written, write = [], store.lists.write
+    monkeypatch.setattr(store.lists, "write", lambda name, content: (written.append(len(content)), write(name, content)))
+    for i in range(10):
+        store.append(spark.range(i, i + 1).select("id").coalesce(1))
+    assert sum(written) < 30 and max(written) <= 4  # all shards each time would be 55
+    assert len(shards.ShardStore(spark, store.root).manifest()[1]) == 10 and store.read(5).count() == 5
+    store.compact()
+    store.vacuum(keep=1, grace_s=-5)
+    assert sorted(r.id for r in store.read().collect()) == list(range(10))
+    assert len(store.fs.listStatus(store.lists.path(""))) == len(store.log.load()[1]["parts"])
+
+
 def test_odd_rows_and_empty_arrivals(spark, store):
     df = odd_rows(spark)
     store.append(df.limit(0))
