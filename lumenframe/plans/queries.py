@@ -14,7 +14,7 @@ from lumenframe.functions.shared import delete, shared_dir
 from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
 from lumenframe.plans.contracts import duck, with_duck
-from lumenframe.sources import sessions
+from lumenframe.sources import files, sessions
 from lumenframe.streaming import gestures, roi_log, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,44 @@ def mask_files(spark: SparkSession, d: str) -> DataFrame:
     return catalog.masks(table(spark, d, "files")).select("path", "file_id")
 
 
+def _in_folder(spark: SparkSession, rows: DataFrame, after: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """rows(path, content) written as files below a new folder of the shared one; what `after` makes of the folder and the
+    sink's warnings, once it is computed. Then the folder goes."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    try:
+        return after(root, files.drop(rows, root)).checkpoint()
+    finally:
+        delete(spark, root)
+
+
+def _archive(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each row of the file table, hidden ones too; what it holds is its number."""
+    f = table(spark, d, "files")
+    return f.select(F.concat(F.regexp_replace("folder", "^/arch/", ""), F.lit("/"), "name").alias("path"), F.encode(F.col("file_id").cast("string"), "UTF-8").alias("content"))
+
+
+def _listed(root: str, found: DataFrame) -> DataFrame:
+    return found.select(F.concat(F.lit("/arch/"), F.substring_index("folder", "/", -1)).alias("folder"), "name", "length")
+
+
+@query(f"{with_duck('files')} SELECT folder, name, CAST(length(CAST(file_id AS VARCHAR)) AS BIGINT) AS length FROM ({_VISIBLE})")
+def series_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The file table as real folders, listed by the data source."""
+    return _in_folder(spark, _archive(spark, d), lambda root, _: _listed(root, files.listing(spark, root=root)))
+
+
+@query(f"{with_duck('files')} SELECT folder, name, CAST(length(CAST(file_id AS VARCHAR)) AS BIGINT) AS length FROM ({_VISIBLE}) WHERE name LIKE '%.mat'")
+def mask_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The mask files among them; the reader itself leaves out the others."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return _in_folder(spark, _archive(spark, d), lambda root, _: _listed(root, files.listing(spark, root=root).filter("name LIKE '%.mat'")))
+    finally:
+        spark.conf.set(key, before)
+
+
 def _key_values(content: bytes) -> dict[str, str]:
     """A toy header codec: keyword=value lines; a file that starts with ! is broken."""
     text = content.decode()
@@ -240,6 +278,29 @@ def session_restore(spark: SparkSession, d: str) -> DataFrame:
     return sessions.restored_folders(sessions.read(table(spark, d, "sessions")), table(spark, d, "files").select("folder").distinct())
 
 
+_WRITTEN = ORACLES["session_write"]
+
+
+@query(f"SELECT session_id, CASE WHEN session_id % 97 <> 5 THEN raw END AS raw, session_id % 97 = 5 AS warned FROM ({_WRITTEN})")
+def session_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as files and read again. Some have a file where their folder should be: a warning each."""
+    docs = sessions.write(sessions.read(table(spark, d, "sessions")))
+    blocked = F.col("session_id") % 97 == 5
+    path = F.concat(F.when(blocked, "blocked/").otherwise(""), F.col("session_id").cast("string"), F.lit("/settings.json"))
+    number = lambda p: F.element_at(F.split(p, "/"), -2).cast("long").alias("session_id")
+
+    def back(root: str, warnings: DataFrame) -> DataFrame:
+        read = spark.read.option("wholetext", True).text(f"{root}/*/settings.json").select(number(F.col("_metadata.file_path")), F.col("value").alias("raw"), F.lit(False).alias("warned"))
+        return read.union(warnings.select(number(F.col("path")), F.lit(None).cast("string"), F.lit(True)))
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    try:
+        files.drop(spark.createDataFrame([("blocked", b"no folder")], "path string, content binary"), root)
+        return back(root, files.drop(docs.select(path.alias("path"), F.encode("raw", "UTF-8").alias("content")), root)).checkpoint()
+    finally:
+        delete(spark, root)
+
+
 def _rois(spark: SparkSession, d: str) -> DataFrame:
     r = rois.nested(table(spark, d, "roi_vertices"))
     return r.withColumn("session_id", F.floor(F.col("roi_id") / 40)).withColumn("name", F.concat(F.lit("Roi "), F.col("roi_id").cast("string"))).withColumn("roi_type", F.lit("polygon")).withColumn("color", rois.palette(F.col("roi_id") + 1))

@@ -1,6 +1,12 @@
 import json
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.operators import catalog, volume
+from lumenframe.sources import files
 from lumenframe.sources.files import FolderListing, mask_files
 
 
@@ -34,3 +40,56 @@ def test_volume_write(spark, tmp_path):
     lines = spark.createDataFrame([(1, 0, 0, [1.0]), (2, 0, 0, [2.0])], "series_id int, k int, j int, vals array<double>")
     volume.write(lines, str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).filter("series_id = 2").collect()[0].vals == [2.0]
+
+
+def test_pushed_filters_leave_out_folders_and_files(spark, tmp_path):
+    for folder in "abc":
+        (tmp_path / folder).mkdir()
+        for name in ("x.mat", "y.dcm"):
+            (tmp_path / folder / name).touch()
+    reader = files.PushedReader({"root": str(tmp_path)})
+    pushed = [files.EqualTo(("folder",), f"{tmp_path}/b"), files.StringEndsWith(("name",), ".mat"), files.EqualTo(("length",), 0)]
+    assert list(reader.pushFilters(pushed)) == pushed[2:]
+    parts = reader.partitions()
+    assert [p.folders for p in parts] == [[f"{tmp_path}/b"]] and [r[2] for r in reader.read(parts[0])] == ["x.mat"]
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+        df = files.listing(spark, root=str(tmp_path)).filter("folder LIKE '%' AND name IN ('x.mat', 'z') AND length < 1")
+        assert sorted(r.folder[-1] for r in df.collect()) == ["a", "b", "c"]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_listing_stream_has_each_file_once(spark, tmp_path):
+    """By the same query, stopped and taken up again."""
+    spark.dataSource.register(FolderListing)
+    root, seen = tmp_path / "in", []
+    for k, wave in enumerate((["a/1", "a/2"], ["a/3", "b/1", "b/.no"], [])):
+        for name in wave:
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(b"x" * k)
+        time.sleep(0.4)
+        source = spark.readStream.format("folder_listing").option("root", str(root)).option("settle", 0.1).load()
+        run = source.writeStream.foreachBatch(lambda df, i: seen.extend((r.path, r.length) for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
+        run.awaitTermination()
+    assert sorted((p.removeprefix(f"{root}/"), n) for p, n in seen) == [("a/1", 0), ("a/2", 0), ("a/3", 1), ("b/1", 1)]
+
+
+def test_files_that_cannot_be_written_are_warnings(spark, tmp_path):
+    root = str(tmp_path / "out")
+    files.drop(spark.createDataFrame([("f", b"1"), ("d/g", None)], "path string, content binary"), root)
+    rows = spark.createDataFrame([("f/x", b"2"), ("e/y", b"3"), ("f", b"4")], "path string, content binary").coalesce(1)
+    warned = files.drop(rows, root).collect()
+    assert [(r.path, bool(r.reason)) for r in warned] == [("f/x", True)]
+    read = lambda p: open(f"{root}/{p}", "rb").read()
+    assert (read("f"), read("d/g"), read("e/y")) == (b"4", b"", b"3")
+    assert not [n for _, _, names in os.walk(root) for n in names if n.startswith(".") and not n.endswith(".crc")]
+
+
+def test_a_failed_job_leaves_no_warnings(spark, tmp_path):
+    root = str(tmp_path / "out")
+    files.drop(spark.createDataFrame([("f", b"1")], "path string, content binary"), root)
+    fails = F.when(F.col("path") == "z", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content"))
+    rows = spark.createDataFrame([("f/x", b"2"), ("z", b"3")], "path string, content binary").repartition(2).withColumn("content", fails)
+    with pytest.raises(Exception, match="lost"):
+        files.drop(rows, root)
+    assert not [n for _, _, names in os.walk(f"{root}/_warnings") for n in names if n.endswith(".json")]
