@@ -8,13 +8,14 @@ cubes at a face decide alike, so closed masks give closed meshes.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.shared import shared_dir
-
 ISO = 0.5
 
 
@@ -120,41 +121,82 @@ def positions(points: DataFrame, geometry: DataFrame) -> DataFrame:
     return p.select("series_id", F.struct("axis", "i", "j", "k").alias("v"), at("i", 0, "sx").alias("x"), at("j", 1, "sy").alias("y"), at("k", 2, "sz").alias("z"))
 
 
-def smooth(points: DataFrame, tris: DataFrame, iterations: int = 20, pass_band: float = 0.001) -> DataFrame:
+BRICK, STEPS = 32, 5  # cells along a brick's side; steps between two shuffles, and cells of the halo around a brick
+_STATE = [f"{p}{x}" for p in "abs" for x in "xyz"]
+
+
+def _weights(n: int, pass_band: float) -> list[float]:
+    """Of the Chebyshev polynomials 0 to n of a low-pass filter, in a Hamming window."""
+    theta = math.acos(1 - pass_band / 2)
+    weight = [theta / math.pi] + [2 * math.sin(q * theta) / (q * math.pi) for q in range(1, n + 1)]
+    weight = [w * (0.54 + 0.46 * math.cos(q * math.pi / (n + 1))) for q, w in enumerate(weight)]
+    return [w / sum(weight) for w in weight]
+
+
+def _advance(weight: list[float], first: int, last: int) -> Callable[[pa.Table], pa.Table]:
+    """Steps first to last on one brick and its halo; the brick's own vertices come out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("c")
+        c = table["c"].to_numpy()
+        lists = table["to"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        to = lists.flatten().to_numpy(zero_copy_only=False)
+        owner, at = np.repeat(np.arange(len(c)), np.diff(ends)), np.minimum(np.searchsorted(c, to), max(0, len(c) - 1))
+        here = c[at] == to if len(to) else np.zeros(0, bool)  # the halo's outermost vertices lack some: what they give is not used
+        owner, at = owner[here], at[here]
+        n = np.bincount(owner, minlength=len(c))
+        still = table["fixed"].to_numpy(zero_copy_only=False) | (n == 0)
+        a, b, s = (np.stack([table[f"{p}{x}"].to_numpy() for x in "xyz"]) for p in "abs")
+
+        def lap(p: np.ndarray) -> np.ndarray:
+            mean = np.stack([np.bincount(owner, weights=x[at], minlength=len(c)) for x in p]) / np.maximum(n, 1)
+            return np.where(still, 0.0, p - mean)
+
+        for q in range(first, last + 1):
+            if q == 1:
+                b = a - 0.5 * lap(a)
+                s = weight[0] * a + weight[1] * b
+            else:
+                a, b = b, 2 * (b - 0.5 * lap(b)) - a
+                s = s + weight[q] * b
+        own = table["own"].to_numpy(zero_copy_only=False)
+        out = table.select(["series_id", "c", "v", "to", "fixed"]).filter(pa.array(own))
+        for name, value in zip(_STATE, [*a, *b, *s]):
+            out = out.append_column(name, pa.array(value[own]))
+        return out
+
+    return run
+
+
+def smooth(points: DataFrame, tris: DataFrame, iterations: int = 20, pass_band: float = 0.001, brick: int = BRICK, steps: int = STEPS) -> DataFrame:
     """points(series_id, v, x, y, z) moved by a low-pass filter of so many iterations (below 1: as they are).
 
-    Chebyshev recurrence of Taubin, Zhang and Golub 1996 with a Hamming window; vertices on a boundary stay. Each vertex
-    keeps its neighbours and sends them its place, so a step is one shuffle of sums; the state itself stays where it is and
-    is cut at every step, in the shared folder. Grid indices below 2 ** 20."""
+    Chebyshev recurrence of Taubin, Zhang and Golub 1996 with a Hamming window; vertices on a boundary stay. The grid is cut
+    into bricks. Neighbours lie in one cell, so a vertex needs what is at most `steps` cells away to go that many steps: each
+    brick gets its vertices and a halo of so many cells, and goes its steps alone. So 20 iterations are four shuffles of the
+    state, and a task holds one brick. Grid indices below 2 ** 20; steps at most brick."""
     n = max(0, int(iterations))
     if n == 0:
         return points
-    shared_dir(points.sparkSession)
-    theta = math.acos(1 - pass_band / 2)
-    weight = [theta / math.pi] + [2 * math.sin(q * theta) / (q * math.pi) for q in range(1, n + 1)]
-    weight = [w * (0.54 + 0.46 * math.cos(q * math.pi / (n + 1))) for q, w in enumerate(weight)]
-    total = sum(weight)
-    weight = [w / total for w in weight]
+    weight = _weights(n, pass_band)
     code = lambda v: (v["axis"] + 4 * (v["i"] + (v["j"] + v["k"].cast("long") * 2**20) * 2**20)).cast("long")
     sides = F.explode(F.array(*(F.struct(code(F.col(p)).alias("v"), code(F.col(q)).alias("w")) for p, q in ("ab", "bc", "ca"))))
     half = tris.select("series_id", sides.alias("e")).select("series_id", "e.v", "e.w")
     both = half.union(half.select("series_id", F.col("w"), F.col("v"))).groupBy("series_id", "v", "w").agg(F.count("*").alias("uses"))
     near = both.groupBy("series_id", F.col("v").alias("c")).agg(F.collect_list("w").alias("to"), (F.min("uses") == 1).alias("fixed"))  # an edge of one triangle is on the rim
-    xyz, keep = ("x", "y", "z"), ("series_id", "c", "v", "to", "fixed")
-
-    def lap(state: DataFrame, prefix: str) -> DataFrame:
-        """state with l_x, l_y, l_z: each vertex less the mean of its neighbours, 0 on the rim."""
-        sent = state.select("series_id", F.explode("to").alias("c"), *(F.col(f"{prefix}{x}").alias(f"n{x}") for x in xyz))
-        mean = sent.groupBy("series_id", "c").agg(*(F.avg(f"n{x}").alias(f"n{x}") for x in xyz))
-        j = state.join(mean, ["series_id", "c"], "left")
-        return j.select(*state.columns, *(F.when(F.col("fixed") | F.col(f"n{x}").isNull(), 0.0).otherwise(F.col(f"{prefix}{x}") - F.col(f"n{x}")).alias(f"l{x}") for x in xyz))
-
     state = points.withColumn("c", code(F.col("v"))).join(near, ["series_id", "c"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
-    state = state.select(*keep, *(F.col(x).alias(f"a{x}") for x in xyz)).checkpoint()
-    state = lap(state, "a").select(*keep, *(F.col(f"a{x}") for x in xyz), *((F.col(f"a{x}") - 0.5 * F.col(f"l{x}")).alias(f"b{x}") for x in xyz))
-    state = state.select("*", *((weight[0] * F.col(f"a{x}") + weight[1] * F.col(f"b{x}")).alias(f"s{x}") for x in xyz))
-    for q in range(2, n + 1):
-        new = {x: 2 * (F.col(f"b{x}") - 0.5 * F.col(f"l{x}")) - F.col(f"a{x}") for x in xyz}
-        state = lap(state, "b").select(*keep, *(F.col(f"b{x}").alias(f"a{x}") for x in xyz), *(new[x].alias(f"b{x}") for x in xyz), *((F.col(f"s{x}") + weight[q] * new[x]).alias(f"s{x}") for x in xyz))
-        state = state.checkpoint()  # the next step reads it twice: without the cut, plans double with every step
-    return state.select("series_id", "v", *(F.col(f"s{c}").alias(c) for c in xyz))
+    state = state.select("series_id", "c", "v", "to", "fixed", *(F.col(x).cast("double").alias(f"{p}{x}") for p in "abs" for x in "xyz"))
+    kind = state.schema
+    of = lambda c: F.floor(c / brick)
+    for first in range(1, n + 1, steps):
+        last = min(n, first + steps - 1)
+        reach = last - first + 1
+        dealt = state
+        for x in "ijk":  # the bricks whose halo has the vertex, along each side
+            at = F.col(f"v.{x}")
+            dealt = dealt.withColumn(f"_{x}", F.explode(F.sequence(of(at - reach), of(at + reach))))
+        own = (F.col("_i") == of(F.col("v.i"))) & (F.col("_j") == of(F.col("v.j"))) & (F.col("_k") == of(F.col("v.k")))
+        dealt = dealt.withColumn("own", own)
+        state = dealt.groupBy("series_id", "_i", "_j", "_k").applyInArrow(_advance(weight, first, last), kind)
+    return state.select("series_id", "v", *(F.col(f"s{c}").alias(c) for c in "xyz"))

@@ -4,32 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_SERIES = 100_000
 
 
-def ingest(blobs: DataFrame, decode: Callable[[bytes], Iterator[tuple[int, int, list[float]]]]) -> DataFrame:
-    """blobs(series_id, content) -> scanlines, by the caller's decoder of (k, j, values); failures become error."""
+SCANLINES = "series_id int, k int, j int, vals array<double>"
+SLICE_ROWS = 4_096  # scanlines of a row group, about: what a reader passes over at once
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for series, content in zip(pdf["series_id"], pdf["content"]):
+
+def ingest(blobs: DataFrame, decode: Callable[[bytes], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """blobs(series_id, content) -> scanlines, by the caller's decoder of (k, a slice as rows of values). A slice is a batch of
+    its own, whose values stay in Arrow's buffers: a task holds one slice beside the bytes it decodes. A failure becomes a row
+    with its error, after the slices that came before it."""
+    schema = pa.schema([("series_id", pa.int32()), ("k", pa.int32()), ("j", pa.int32()), ("vals", pa.list_(pa.float64())), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for series, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    out += [(series, k, j, v, None) for k, j, v in decode(bytes(content))]
+                    for k, rows in decode(content.as_buffer() if content.is_valid else b""):
+                        rows = np.ascontiguousarray(rows, dtype=np.float64)
+                        ny, nx = rows.shape
+                        vals = pa.ListArray.from_arrays(pa.array(np.arange(0, (ny + 1) * nx, nx, dtype=np.int32)[: ny + 1] if nx else np.zeros(ny + 1, np.int32)), pa.array(rows.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(series, ny).cast(pa.int32()), pa.array(np.full(ny, k, np.int32)), pa.array(np.arange(ny, dtype=np.int32)), vals, pa.nulls(ny, pa.string())], schema=schema)
                 except Exception as e:  # noqa: BLE001  a decoder's own failure is data here
-                    out.append((series, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["series_id", "k", "j", "vals", "error"]).astype({"k": "Int32", "j": "Int32"})
+                    none = [pa.nulls(1, schema.field(c).type) for c in ("k", "j", "vals")]
+                    yield pa.RecordBatch.from_arrays([pa.array([series.as_py()], pa.int32()), *none, pa.array([str(e)])], schema=schema)
 
-    return blobs.select("series_id", "content").mapInPandas(run, "series_id int, k int, j int, vals array<double>, error string")
+    return blobs.select("series_id", "content").mapInArrow(run, f"{SCANLINES}, error string")
 
 
 def write(scanlines: DataFrame, path: str) -> None:
-    """Parquet by series, sorted for skipping by slice and row."""
-    scanlines.repartition("series_id", "k").sortWithinPartitions("series_id", "k", "j").write.partitionBy("series_id").parquet(path)
+    """Parquet by series, sorted by k and j, in row groups of a few slices: readers of a series open its folder only, readers
+    of a slice pass over the other row groups."""
+    by = scanlines.repartition("series_id", F.floor(F.col("k") / 64)).sortWithinPartitions("series_id", "k", "j")
+    by.write.partitionBy("series_id").option("parquet.block.row.count.limit", SLICE_ROWS).parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The scanlines that `write` left; filters and joins on series_id prune folders, filters on k and j row groups."""
+    return spark.read.schema(SCANLINES).parquet(path)
 
 
 def known(series: DataFrame) -> DataFrame:
@@ -42,11 +60,22 @@ def coronal(lines: DataFrame, geometry: DataFrame) -> DataFrame:
     return lines.join(known(geometry.select("series_id", "ny")), "series_id").select("series_id", (F.col("ny") - 1 - F.col("j")).alias("k"), F.col("k").alias("j"), "vals")
 
 
-def sagittal(lines: DataFrame) -> DataFrame:
-    """New i is the old j, new j the old k, new k the old i: one shuffle by the new row."""
-    cells = lines.select("series_id", F.col("k").alias("_j"), F.col("j").alias("_i"), F.posexplode("vals").alias("_k", "v"))
-    rows = cells.groupBy("series_id", "_k", "_j").agg(F.sort_array(F.collect_list(F.struct("_i", "v"))).alias("_r"))
-    return rows.select("series_id", F.col("_k").alias("k"), F.col("_j").alias("j"), F.transform("_r", lambda x: x["v"]).alias("vals"))
+BRICK = 32  # values along a side of what is turned at once
+
+
+def sagittal(lines: DataFrame, brick: int = BRICK) -> DataFrame:
+    """New i is the old j, new j the old k, new k the old i. Rows are cut into pieces of `brick` values; a brick is such a
+    piece of `brick` rows with one k. Whole pieces are shuffled, not values: they meet in their brick, which is turned, and its
+    columns meet in the new rows."""
+    n = F.size("vals")
+    part = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / brick).cast("int")), lambda b: F.struct(b.alias("b"), F.slice("vals", b * brick + 1, F.lit(brick)).alias("p")))
+    pieces = lines.filter(n > 0).select("series_id", "k", "j", F.floor(F.col("j") / brick).alias("bj"), F.explode(part).alias("e"))
+    bricks = pieces.groupBy("series_id", "k", "bj", F.col("e.b").alias("b")).agg(F.sort_array(F.collect_list(F.struct("j", F.col("e.p").alias("p")))).alias("r"))
+    longest = F.array_max(F.transform("r", lambda x: F.size(x["p"])))
+    turned = F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.struct((F.col("b") * brick + i).alias("k"), F.transform(F.filter("r", lambda x: F.size(x["p"]) > i), lambda x: F.get(x["p"], i)).alias("vals")))
+    columns = bricks.select("series_id", F.col("k").alias("j"), "bj", F.explode(turned).alias("c"))
+    rows = columns.groupBy("series_id", F.col("c.k").alias("k"), "j").agg(F.sort_array(F.collect_list(F.struct("bj", F.col("c.vals").alias("vals")))).alias("r"))
+    return rows.select("series_id", "k", "j", F.flatten(F.transform("r", lambda x: x["vals"])).alias("vals"))
 
 
 def axial_slice(lines: DataFrame, s: int) -> DataFrame:

@@ -6,6 +6,7 @@ import struct
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,11 +138,10 @@ def series_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _floats(content: bytes):
-    """A toy volume codec: nx, ny, nz, then doubles, x fastest."""
+    """A toy volume codec: nx, ny, nz, then doubles, x fastest; a slice at a time."""
     nx, ny, nz = struct.unpack_from("<3i", content)
-    vals = struct.unpack_from(f"<{nx * ny * nz}d", content, 12)
-    for r in range(ny * nz):
-        yield r // ny, r % ny, list(vals[r * nx : (r + 1) * nx])
+    for k in range(nz):
+        yield k, np.frombuffer(content, "<f8", nx * ny, 12 + 8 * k * nx * ny).reshape(ny, nx)
 
 
 def _volume_blobs(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +167,23 @@ def _long(lines: DataFrame) -> DataFrame:
     return lines.select("series_id", "k", "j", F.posexplode("vals").alias("i", "v")).select("series_id", "k", "j", F.col("i").cast("long").alias("i"), "v")
 
 
+def _kept(spark: SparkSession, d: str, after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The decoded volumes, written by series to the shared folder; what `after` makes of them there."""
+    root = f"{shared_dir(spark)}/volumes-{uuid.uuid4().hex}"
+    try:
+        volume.write(volume.ingest(_volume_blobs(spark, d), _floats).filter("error IS NULL").drop("error"), root)
+        return after(volume.stored(spark, root)).checkpoint()
+    finally:
+        delete(spark, root)
+
+
+@query(f"{with_duck('scanlines')}, n AS (SELECT max(series_id) // 2 AS s FROM scanlines) SELECT series_id, k, j, i, v FROM ({_LONG}), n WHERE series_id <= s AND k = 4")
+def volume_slice(spark: SparkSession, d: str) -> DataFrame:
+    """One slice of the first half of the series, from the stored volumes: other folders and row groups are not read."""
+    half = (table(spark, d, "scanlines").agg(F.max("series_id")).first()[0] or 0) // 2
+    return _kept(spark, d, lambda lines: _long(volume.axial_slice(lines, 4).filter(F.col("series_id") <= half)))
+
+
 @query(f"{with_duck('scanlines')} {_LONG}")
 def volume_ingest(spark: SparkSession, d: str) -> DataFrame:
     return _long(volume.ingest(_volume_blobs(spark, d), _floats).filter("error IS NULL"))

@@ -142,3 +142,13 @@ def test_segment_distance(spark):
 def test_grey_of_a_zero_window(spark):
     r = one(spark.range(1).select(volume.grey(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.lit(0.0), F.lit(2.0)).alias("g")))
     assert r.g == [0, 255, 255]
+
+
+@pytest.mark.parametrize(("nx", "ny", "brick"), [(1, 1, 8), (8, 8, 8), (19, 7, 4), (5, 23, 8), (40, 33, 32)])
+def test_sagittal_bricks(spark, nx, ny, brick):
+    """Turned by bricks that the volume does not divide into; whole pieces are shuffled."""
+    rows = [(0, k, j, [float(i + 100 * j + 10_000 * k) for i in range(nx)]) for k in range(3) for j in range(ny)]
+    df = volume.sagittal(spark.createDataFrame(rows, "series_id int, k int, j int, vals array<double>").repartition(3), brick)
+    got = {(r.k, r.j): r.vals for r in df.collect()}
+    assert got == {(i, k): [float(i + 100 * j + 10_000 * k) for j in range(ny)] for i in range(nx) for k in range(3)}
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -93,3 +93,54 @@ def test_a_failed_job_leaves_no_warnings(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         files.drop(rows, root)
     assert not [n for _, _, names in os.walk(f"{root}/_warnings") for n in names if n.endswith(".json")]
+
+
+def test_a_volume_is_decoded_slice_by_slice(spark, tmp_path):
+    """The decoder is asked for the next slice only when the one before has left as a batch; failures follow what came."""
+    import numpy as np
+
+    asked = []
+
+    def decode(content):
+        for k in range(3):
+            asked.append(k)
+            yield k, np.full((2, 4), float(k))
+        if bytes(content) == b"bad":
+            raise ValueError("cut off")
+
+    df = spark.createDataFrame([(1, b"ok"), (2, b"bad"), (3, None)], "series_id int, content binary").coalesce(1)
+    rows = volume.ingest(df, decode).collect()
+    assert [(r.series_id, r.k, r.j, r.vals) for r in rows[:2]] == [(1, 0, 0, [0.0] * 4), (1, 0, 1, [0.0] * 4)]
+    assert [r.error for r in rows if r.error] == ["cut off"] and len(rows) == 19
+    func = volume.ingest(df, decode)  # the same function on a batch, here: one slice at a time
+    import pyarrow as pa
+
+    captured = {}
+    fake = type("Blobs", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: captured.setdefault("run", run)})()
+    volume.ingest(fake, decode)
+    asked.clear()
+    batches = captured["run"](iter([pa.RecordBatch.from_pydict({"series_id": pa.array([1], pa.int32()), "content": pa.array([b"ok"])})]))
+    for n in range(3):
+        assert next(batches).num_rows == 2 and asked == list(range(n + 1))
+    assert func.columns[-1] == "error"
+
+
+def test_stored_volumes_are_pruned(spark, tmp_path):
+    """A filter on series opens its folder, one on k its row groups; clicks prune folders when the join runs."""
+    lines = spark.range(40_000).selectExpr("int(id / 10000) AS series_id", "int(id % 10000 / 100) AS k", "int(id % 100) AS j", "array(double(id)) AS vals")
+    volume.write(lines, str(tmp_path / "v"))
+    found = volume.axial_slice(volume.stored(spark, str(tmp_path / "v")), 7).filter("series_id = 2")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(series_id" in plan and "EqualTo(k,7)" in plan
+    assert [r.vals for r in found.orderBy("j").limit(2).collect()] == [[20700.0], [20701.0]]
+    import pyarrow.parquet as pq
+
+    files_ = list((tmp_path / "v" / "series_id=2").glob("*.parquet"))
+    whole = [pq.ParquetFile(f).metadata for f in files_]
+    columns = [m.row_group(i).column(0) for m in whole for i in range(m.num_row_groups)]
+    groups = [(c.statistics.min, c.statistics.max, c.num_values) for c in columns]
+    assert sum(n for *_, n in groups) == 10_000 and sum(n for low, high, n in groups if low <= 7 <= high) <= 5_000  # rows read for a slice
+    clicks = spark.createDataFrame([(1, 3)], "click int, series_id int").filter("click = 1")
+    joined = volume.stored(spark, str(tmp_path / "v")).join(F.broadcast(clicks), "series_id")
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 10_000

@@ -52,3 +52,45 @@ def test_the_query_smooths_with_all_iterations(spark, monkeypatch):
     monkeypatch.setattr(surface, "smooth", lambda points, tris, iterations=20, pass_band=0.001: asked.append((iterations, pass_band)) or points)
     QUERIES["mesh_smooth"](spark, DATA)
     assert asked == [(20, 0.001)]
+
+
+def smoothed(points, tris, n):
+    """The filter, vertex by vertex."""
+    weight = surface._weights(n, 0.001)
+    place = {tuple(p.v): (p.x, p.y, p.z) for p in points}
+    near, uses = {v: set() for v in place}, Counter()
+    for t in tris:
+        for p, q in ((t.a, t.b), (t.b, t.c), (t.c, t.a)):
+            near[tuple(p)].add(tuple(q))
+            near[tuple(q)].add(tuple(p))
+            uses[frozenset((tuple(p), tuple(q)))] += 1
+    rim = {v for v in place if not near[v] or any(uses[frozenset((v, w))] == 1 for w in near[v])}
+
+    def lap(at):
+        return {v: (0.0,) * 3 if v in rim else tuple(at[v][c] - sum(at[w][c] for w in near[v]) / len(near[v]) for c in range(3)) for v in at}
+
+    mix = lambda f, *tables: {v: tuple(f(*x) for x in zip(*(t[v] for t in tables))) for v in place}
+    a = place
+    b = mix(lambda x, y: x - 0.5 * y, a, lap(a))
+    s = mix(lambda x, y: weight[0] * x + weight[1] * y, a, b)
+    for q in range(2, n + 1):
+        a, b = b, mix(lambda x, y, z: 2 * (x - 0.5 * y) - z, b, lap(b), a)
+        s = mix(lambda x, y, q=q: x + weight[q] * y, s, b)
+    return s
+
+
+@pytest.mark.parametrize(("brick", "steps", "n"), [(4, 3, 7), (32, 5, 6), (5, 1, 3), (3, 3, 20)])
+def test_bricks_and_halos_change_nothing(spark, sphere, brick, steps, n):
+    geometry = spark.createDataFrame([(0, 1.0, 2.0, 0.5)], "series_id int, sx double, sy double, sz double")
+    lines = sphere.filter("k < 9")  # the sphere is cut off: it has a rim
+    points, tris = surface.positions(surface.vertices(lines), geometry).cache(), surface.triangles(surface.cells(lines)).cache()
+    got = {tuple(r.v): (r.x, r.y, r.z) for r in surface.smooth(points, tris, n, brick=brick, steps=steps).collect()}
+    want = smoothed(points.collect(), tris.collect(), n)
+    assert got.keys() == want.keys()
+    assert max(abs(x - y) for v in want for x, y in zip(got[v], want[v])) < 1e-9
+
+
+def test_twenty_steps_are_four_shuffles(spark):
+    """Of the state; the neighbours are gathered once before."""
+    plan = QUERIES["mesh_smooth"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 4 and "Generate" in plan
