@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.shared import shared_dir
 
 
 def ranked(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """df with `rank`, 0, 1, ... by its unique key, and the number of rows: range partitions, numbered within, shifted by
-    the counts of the partitions before."""
+    """df with `rank`, 0, 1, ... by its unique key, and the number of rows: range partitions are sorted and kept, each row
+    knows its place in its partition, and the counts of the partitions before are added."""
     shared_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()).checkpoint()
-    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    out = part.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn("rank", (F.col("_within") + F.col("_before")).cast("long"))
-    return out.drop("_part", "_within", "_before"), part.count()
+    # an id is the partition, from bit 33 on, and the place in it; the cut keeps both as they are
+    part = df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    counts = {r["p"]: r["n"] for r in part.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # one for each partition
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    shift = F.get(F.array(*map(F.lit, before or [0])), F.shiftright("_id", 33).cast("int"))
+    return part.withColumn("rank", (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + shift).cast("long")).drop("_id"), total

@@ -1,7 +1,8 @@
 """Regions of interest: ids, colours, names and the live set from an edit log; vertex edits; picking by distance.
 
 A log row is (session_id, seq, op, roi_id, ...); seq orders a session. Ids count a session's adds, never start again, and
-stay unused after a removal. Everything here is windows and equi-joins per session, so sessions spread over tasks.
+stay unused after a removal. Everything here is windows and equi-joins per session; ids, colours and names of long sessions
+are counted by segments, so that one session spreads over tasks too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: The palette.
 PALETTE = [(1.0, 0.2, 0.2), (0.2, 1.0, 0.2), (0.3, 0.6, 1.0), (1.0, 1.0, 0.2), (1.0, 0.5, 0.0), (0.8, 0.2, 1.0), (0.0, 1.0, 1.0), (1.0, 0.4, 0.7)]
 VERTEX, EDGE, FAR = 10.0, 8.0, 15.0  # distances, all strict
+SEGMENT = 16_384  # seqs of a long log that are counted together
 BLOCK = 50_000  # edges, or clicks, of a tile that meet in one task
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
@@ -22,14 +24,46 @@ def _seq():
     return Window.partitionBy("session_id").orderBy("seq")
 
 
+def _running(rows: DataFrame, keys: list[str], sums: dict[str, Column], following: dict[str, Column]) -> DataFrame:
+    """rows with running sums by seq, the row itself included, for each value of keys; and, in `following`, the least value of
+    the rows after it. Where seqs span more than SEGMENT, in two levels: sums within segments of so many seqs, which are
+    unique, and sums over the segments before, so that no task holds a long log's rows."""
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    inner = keys
+    if low is not None and high - low >= SEGMENT:
+        inner = [*keys, "_segment"]
+        rows = rows.withColumn("_segment", F.floor((F.col("seq") - low) / SEGMENT))
+        own = rows.groupBy(*inner).agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()), *(F.min(c).alias(f"_{n}") for n, c in following.items()))
+        w = Window.partitionBy(*keys).orderBy("_segment")
+        before, after = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("_segment")).rowsBetween(Window.unboundedPreceding, -1)
+        own = own.select(*inner, *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums), *(F.min(f"_{n}").over(after).alias(f"_{n}") for n in following))
+    w = Window.partitionBy(*inner).orderBy("seq")
+    for n, c in sums.items():
+        rows = rows.withColumn(n, F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy(*inner).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # a frame up to the end is counted anew for each row
+    for n, c in following.items():
+        rows = rows.withColumn(n, F.min(c).over(back))
+    if inner == keys:
+        return rows
+    own = own.withColumnsRenamed({k: f"_of_{k}" for k in inner})
+    same = F.lit(True)
+    for k in inner:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    both = rows.join(own, same)
+    for n in sums:
+        both = both.withColumn(n, F.col(n) + F.col(f"_{n}"))
+    for n in following:
+        both = both.withColumn(n, F.coalesce(n, f"_{n}"))
+    return both.drop("_segment", *(f"_of_{k}" for k in inner), *(f"_{n}" for n in [*sums, *following]))
+
+
 def adds(log: DataFrame) -> DataFrame:
     """The add rows with their id, the clears before them (epoch), and the place of their colour (null: own colour)."""
-    is_add = F.col("op") == "add"
-    rows = log.withColumn("epoch", F.sum((F.col("op") == "clear").cast("int")).over(_seq()))
-    rows = rows.withColumn("id", F.sum(is_add.cast("int")).over(_seq())).withColumn("_c", F.sum((is_add & (F.col("has_color") == 0)).cast("int")).over(_seq()))
-    rows = rows.withColumn("_clear", F.min(F.when(F.col("op") == "clear", F.col("seq"))).over(_seq().rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.filter(is_add).withColumn("color_no", F.when(F.col("has_color") == 0, F.col("_c")))
-    return rows.drop("roi_id", "_c").withColumnRenamed("id", "roi_id").withColumn("roi_id", F.col("roi_id").cast("long"))
+    is_add, clear = F.col("op") == "add", F.col("op") == "clear"
+    sums = {"epoch": clear.cast("int"), "id": is_add.cast("int"), "nth": (is_add & (F.col("has_color") == 0)).cast("int")}
+    rows = _running(log.drop("epoch", "id", "nth"), ["session_id"], sums, {"_clear": F.when(clear, F.col("seq"))})
+    rows = rows.filter(is_add).withColumn("color_no", F.when(F.col("has_color") == 0, F.col("nth")))
+    return rows.drop("roi_id", "nth").withColumnRenamed("id", "roi_id").withColumn("roi_id", F.col("roi_id").cast("long"))
 
 
 def palette(number: Column) -> Column:
@@ -57,8 +91,7 @@ def named(log: DataFrame) -> DataFrame:
     steps = life.select("session_id", "epoch", "roi_type", "seq", F.lit(1).alias("d"), "roi_id").union(
         life.filter("removed IS NOT NULL").select("session_id", "epoch", "roi_type", "removed", F.lit(-1), F.lit(None).cast("long"))
     )
-    w = Window.partitionBy("session_id", "epoch", "roi_type").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("n", F.sum("d").over(w)).filter("d = 1")
+    steps = _running(steps, ["session_id", "epoch", "roi_type"], {"n": F.col("d")}, {}).filter("d = 1")
     return steps.select("session_id", "roi_id", "seq", "roi_type", F.concat_ws(" ", F.initcap(F.lower("roi_type")), F.col("n").cast("string")).alias("name"))
 
 

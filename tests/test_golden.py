@@ -152,3 +152,34 @@ def test_sagittal_bricks(spark, nx, ny, brick):
     got = {(r.k, r.j): r.vals for r in df.collect()}
     assert got == {(i, k): [float(i + 100 * j + 10_000 * k) for j in range(ny)] for i in range(nx) for k in range(3)}
     assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_long_session_is_counted_by_segments(spark, monkeypatch):
+    """A session of 20,000 rows and small ones: ids, colours, names and lifetimes as by plain windows, in more than one task."""
+    import random
+
+    r = random.Random(3)
+    ops = ["add"] * 3 + ["remove"] * 2 + ["rename", "select"]
+    row = lambda s, i: (s, i, "clear" if r.random() < 0.001 else r.choice(ops), r.randint(1, 40), r.choice(["rectangle", "polygon"]), r.randint(0, 1))
+    rows = [row(1, i) for i in range(5, 20_005)] + [row(s, i) for s in range(2, 30) for i in range(50)]
+    df = spark.createDataFrame(rows, LOG).repartition(4)
+    got = lambda f: sorted(map(str, f(df).collect()))
+    for f in (rois.lifetimes, rois.named):
+        monkeypatch.setattr(rois, "SEGMENT", 10**9)
+        plain = got(f)
+        monkeypatch.setattr(rois, "SEGMENT", 1_000)
+        assert got(f) == plain and len(plain) > 8_000
+    counted = rois._running(df, ["session_id"], {"n": F.lit(1)}, {}).filter("session_id = 1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together
+    assert counted.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counted.agg(F.max("n")).first()[0] == 20_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 1000])
+def test_ranks(spark, n):
+    from lumenframe.functions.ranks import ranked
+
+    rows, total = ranked(spark.range(n).select((F.col("id") * 7 % 1009).alias("key")).repartition(3), "key")
+    got = sorted((r.key, r["rank"]) for r in rows.collect())
+    assert total == n and got == [(k, i) for i, k in enumerate(sorted(i * 7 % 1009 for i in range(n)))]
