@@ -16,7 +16,7 @@ from lumenframe.operators import catalog, rois, surface, volume
 from lumenframe.plans.contracts import spark_table as table
 from lumenframe.plans.contracts import duck, with_duck
 from lumenframe.sources import files, sessions
-from lumenframe.streaming import gestures, roi_log, sinks
+from lumenframe.streaming import gestures, roi_log, series_log, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -811,6 +811,15 @@ def gesture_late(spark: SparkSession, d: str) -> DataFrame:
     return _played(spark, _in_waves(table(spark, d, "gestures")), gestures.stream, lambda root: sinks.folder(f"{root}/out"), late)
 
 
+@query(f"{_EPOCH} SELECT session_id, epoch, folder, min(seq) AS seq FROM e GROUP BY ALL")
+def series_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The loads as a stream in two waves, the second after a restart: what each session takes in."""
+    loads = table(spark, d, "loads").select("session_id", "seq", "op", "folder")
+    waves = [loads.filter("seq <= 4"), loads.filter("seq > 4")]
+    read = lambda root: spark.read.schema(series_log.OUT).parquet(f"{root}/out").select("session_id", "epoch", "folder", "seq")
+    return _played(spark, waves, series_log.stream, lambda root: sinks.folder(f"{root}/out"), read)
+
+
 @query(f"{with_duck('roi_log')} {_LATE.format('roi_log')}")
 def roi_late(spark: SparkSession, d: str) -> DataFrame:
     """Edits that come after later ones of their session, from the late rows' own sink."""

@@ -4,9 +4,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import rois
+from lumenframe.operators import catalog, rois
 from lumenframe.plans.queries import QUERIES
-from lumenframe.streaming import gestures, roi_log, sinks
+from lumenframe.streaming import gestures, roi_log, series_log, sinks
 from lumenframe.streaming.gestures import Drawing
 from tests.twins import DATA
 
@@ -227,3 +227,17 @@ def test_idle_drawings_are_forgotten(spark, tmp_path):
         time.sleep(0.5)
         step(spark, at, [row(3, "left_release", 4.0)], GESTURE, job, keep, once=True)
         assert found == events
+
+
+def test_series_stream_equals_batch(spark, tmp_path):
+    """In three waves, with a restart between them, and one late row."""
+    r = random.Random(6)
+    schema = "session_id long, seq long, op string, folder string"
+    rows = sorted(((s, i, r.choice(["add"] * 6 + ["load"]), r.choice([*"abcd", None])) for s in range(5) for i in range(40)), key=lambda x: x[1])
+    found = []
+    keep = lambda out, batch: found.extend((x.session_id, x.seq, x.epoch, x.folder) for x in out.collect())
+    for wave in (rows[:50], rows[50:120], [*rows[120:], (1, 3, "load", "z")]):
+        step(spark, tmp_path, wave, schema, series_log.stream, keep)
+    want = catalog.deduped(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(str, found)) == sorted(str((x.session_id, x.seq, x.epoch, x.folder)) for x in want)
+    assert [(x.session_id, x.seq) for x in spark.read.parquet(str(tmp_path / "late")).collect()] == [(1, 3)]
