@@ -27,9 +27,30 @@ def _crossing(a: Column, b: Column, iso: float) -> Column:
     return (a >= iso) != (b >= iso)
 
 
+TILE, TILES = 8, 200_000  # rows along a tile's side; tiles that are broadcast
+
+
+def near_surface(lines: DataFrame, iso: float = ISO) -> DataFrame:
+    """The rows that can have a part in the surface between rows. Rows are cut into tiles by k and j; a tile whose rows, and
+    whose neighbours' rows, all lie on one side has none, so its rows need not be shuffled. Where too many tiles remain to be
+    broadcast, all rows."""
+    tile = [F.floor(F.col(c) / TILE).cast("int").alias(f"_{c}") for c in "kj"]
+    inside_, outside = F.exists("vals", lambda v: v >= iso), F.exists("vals", lambda v: ~(v >= iso))
+    sides = lines.select("series_id", *tile, inside_.alias("a"), outside.alias("b")).groupBy("series_id", "_k", "_j").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    around = F.array(*(F.struct(F.lit(dk).alias("k"), F.lit(dj).alias("j")) for dk, dj in product((-1, 0, 1), (-1, 0, 1))))
+    spread = sides.select("series_id", "_k", "_j", "a", "b", F.explode(around).alias("d"))
+    mixed = spread.groupBy("series_id", (F.col("_k") + F.col("d.k")).alias("_k"), (F.col("_j") + F.col("d.j")).alias("_j")).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    mixed = mixed.filter("a AND b").select("series_id", "_k", "_j")
+    rows = mixed.limit(TILES + 1).collect()
+    if len(rows) > TILES:
+        return lines
+    known = F.broadcast(lines.sparkSession.createDataFrame(rows, mixed.schema))
+    return lines.select("*", *tile).join(known, ["series_id", "_k", "_j"], "left_semi").select(lines.columns)
+
+
 def vertices(lines: DataFrame, iso: float = ISO) -> DataFrame:
     """series_id, axis, i, j, k (the edge's lower end), t (how far along the edge). Along i within a row; along j and k by
-    an equi-join with the next row."""
+    an equi-join with the next row, for rows near the surface."""
     n = F.size("vals")
     near, far = F.slice("vals", F.lit(1), n - 1), F.slice("vals", F.lit(2), n - 1)
 
@@ -38,17 +59,18 @@ def vertices(lines: DataFrame, iso: float = ISO) -> DataFrame:
         return F.filter(F.transform(pairs, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda e: e["t"].isNotNull())
 
     along_i = lines.filter(n > 1).select("series_id", F.lit(0).alias("axis"), "k", "j", F.explode(cross(near, far)).alias("e"))
-    out = along_i
+    out, near_rows = along_i, near_surface(lines, iso)
     for axis, step in ((1, "j"), (2, "k")):
-        other = lines.select("series_id", *(((F.col(c) - 1) if c == step else F.col(c)).alias(c) for c in ("k", "j")), F.col("vals").alias("next"))
-        both = lines.join(other, ["series_id", "k", "j"])
+        other = near_rows.select("series_id", *(((F.col(c) - 1) if c == step else F.col(c)).alias(c) for c in ("k", "j")), F.col("vals").alias("next"))
+        both = near_rows.join(other, ["series_id", "k", "j"])
         out = out.union(both.select("series_id", F.lit(axis), "k", "j", F.explode(cross(F.col("vals"), F.col("next")))))
     return out.select("series_id", "axis", F.col("e.i").alias("i"), "j", "k", F.col("e.t").alias("t"))
 
 
 def cells(lines: DataFrame, iso: float = ISO) -> DataFrame:
     """series_id, i, j, k, code: cells whose 8 corners are neither all inside nor all outside; bit dx + 2 dy + 4 dz. Each
-    row goes to the four cell rows that it borders: one shuffle."""
+    row near the surface goes to the four cell rows that it borders: one shuffle."""
+    lines = near_surface(lines, iso)
     bits = inside(F.col("vals"), iso)
     own = F.explode(F.array(*(F.struct(F.lit(dk).alias("dk"), F.lit(dj).alias("dj")) for dk, dj in product((0, 1), (0, 1)))))
     rows = lines.select("series_id", "k", "j", bits.alias("b"), own.alias("o"))

@@ -94,3 +94,16 @@ def test_twenty_steps_are_four_shuffles(spark):
     """Of the state; the neighbours are gathered once before."""
     plan = QUERIES["mesh_smooth"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 4 and "Generate" in plan
+
+
+def test_rows_far_from_the_surface_are_not_shuffled(spark, monkeypatch):
+    """A small ball in a large volume: only the tiles around it go on, and the surface is the same as without skipping."""
+    n, c = 96, (20.0, 33.0)
+    grid = spark.range(n * n).select(F.lit(0).alias("series_id"), F.floor(F.col("id") / n).cast("int").alias("k"), (F.col("id") % n).cast("int").alias("j"))
+    ball = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when((i - 8) * (i - 8) + (F.col("j") - c[0]) * (F.col("j") - c[0]) + (F.col("k") - c[1]) * (F.col("k") - c[1]) <= 30, 1.0).otherwise(0.0))
+    lines = grid.withColumn("vals", ball).cache()
+    assert surface.near_surface(lines).count() < 0.2 * n * n
+    got = [sorted(map(str, f(lines).collect())) for f in (surface.vertices, surface.cells)]
+    monkeypatch.setattr(surface, "TILES", 0)  # nothing is broadcast: nothing is skipped
+    assert surface.near_surface(lines) is lines
+    assert [sorted(map(str, f(lines).collect())) for f in (surface.vertices, surface.cells)] == got and len(got[0]) > 100
