@@ -6,7 +6,9 @@ tokens that it expands to go to the row's `attachments`.
 
 The template of a turn is <|im_start|>role<|im_sep|>content<|im_end|>. Inside roles and texts every backslash is doubled
 and every control string gets a backslash after its first character, which `unescape` undoes exactly; so the marks that
-are left belong to the template. Placeholders are control strings too: text cannot forge one.
+are left belong to the template. Placeholders are control strings too: text cannot forge one. Control strings of other
+templates that no mark of this one resembles (with digits or capitals between <| and |>, or in plain < >) stay as they are:
+a reader of this template takes them for text, one of theirs must escape them by its own rules.
 
 Null roles, texts and contents count as empty; part types other than the four are an error of the caller and are read as
 text. Turns are ordered by (turn, role, text), null turns first; repeated rows are turns of their own. A null conv_id is a

@@ -16,7 +16,7 @@ shards by their quotas, in order.
 Empty tables give empty results. Null or empty texts have size 0 and nothing is taken of them. Null sources are a source
 of their own. Repeated rows count each; rows that differ, be it only in the text, have an order of their own, whatever
 their doc_id, so reruns agree. A source whose target is below half a block may get none. Other columns of the input pass
-through, but for the names in RESERVED.
+through, but for the names in RESERVED and those of working columns, _place, _bin, _before, _start, _some, _pass and _seat.
 """
 
 from __future__ import annotations

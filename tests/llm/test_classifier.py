@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,3 +80,39 @@ def test_the_sample_is_bounded_by_bytes(spark):
 def test_training_is_reproducible():
     texts, y = ["good words here", "bad %%% ###", "fine text", "&&& $$$"], [1, 0, 1, 0]
     assert np.array_equal(classifier.train(texts, y).values, classifier.train(texts, y).values)
+
+
+def plain_train(texts, labels, buckets, dim, epochs, rate, seed):
+    """The same descent number by number: (value of each bucket, bias)."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).tolist()
+    out, bias = rng.normal(0.0, 0.1, (2, dim)).tolist(), [0.0, 0.0]
+    counts = [Counter(classifier.features(t).tolist()) for t in texts]
+    weight = [math.sqrt(len(labels) / (2.0 * labels.count(c))) for c in (0, 1)]
+    steps, done = epochs * len(labels), 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(labels)):
+            lr, n, y = rate * (1.0 - done / steps), sum(counts[i].values()), labels[i]
+            done += 1
+            hidden = [sum(c / n * vectors[f][k] for f, c in counts[i].items()) for k in range(dim)]
+            z = [sum(o * h for o, h in zip(out[c], hidden)) + bias[c] for c in (0, 1)]
+            p = [math.exp(x - max(z)) for x in z]
+            g = [(x / sum(p) - (c == y)) * weight[y] * lr for c, x in enumerate(p)]
+            step = [g[0] * out[0][k] + g[1] * out[1][k] for k in range(dim)]
+            out = [[out[c][k] - g[c] * hidden[k] for k in range(dim)] for c in (0, 1)]
+            bias = [b - 0.1 * x for b, x in zip(bias, g)]
+            for f, c in counts[i].items():
+                vectors[f] = [v - c / n * len(counts[i]) ** 0.5 * s for v, s in zip(vectors[f], step)]
+    return [sum(v[k] * (out[1][k] - out[0][k]) for k in range(dim)) for v in vectors], bias[1] - bias[0]
+
+
+def test_training_number_by_number():
+    texts = ["good words here", "bad bad text!!", "", "good text", "words and more words", "a bad one"]
+    labels = [1, 0, 0, 1, 1, 0]
+    model = classifier.train(texts, labels, epochs=4, rate=0.3, seed=7)
+    values, bias = plain_train(texts, labels, classifier.BUCKETS, classifier.DIM, 4, 0.3, 7)
+    assert np.allclose(model.values, values, atol=1e-4) and abs(model.bias - bias) < 1e-4
+    for t in [*texts, "unseen words", None]:
+        f = classifier.features(t).tolist()
+        z = bias + (sum(values[i] for i in f) / len(f) if f else 0.0)
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-4
