@@ -12,10 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.shared import shared_dir
+
 #: The palette.
 PALETTE = [(1.0, 0.2, 0.2), (0.2, 1.0, 0.2), (0.3, 0.6, 1.0), (1.0, 1.0, 0.2), (1.0, 0.5, 0.0), (0.8, 0.2, 1.0), (0.0, 1.0, 1.0), (1.0, 0.4, 0.7)]
 VERTEX, EDGE, FAR = 10.0, 8.0, 15.0  # distances, all strict
 SEGMENT = 16_384  # seqs of a long log that are counted together
+CELLS = 16  # along a side of a hot tile
 BLOCK = 50_000  # edges, or clicks, of a tile that meet in one task
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
@@ -212,7 +215,8 @@ def vertex_rows(rois: DataFrame) -> DataFrame:
 
 
 def edges(rois: DataFrame) -> DataFrame:
-    """roi_id, slice_index, orientation, edge_idx, ax, ay, bx, by: closed outlines; none below two points."""
+    """roi_id, slice_index, orientation, edge_idx, ax, ay, bx, by: closed outlines; none below two points (a document may have such a
+    region; it is then picked by its vertex only)."""
     n = F.size("points")
     turned = F.concat(F.slice("points", F.lit(2), n - 1), F.slice("points", F.lit(1), F.lit(1)))
     e = rois.filter(n >= 2).select("roi_id", "slice_index", "orientation", F.posexplode(F.arrays_zip(F.col("points").alias("a"), turned.alias("b"))).alias("edge_idx", "e"))
@@ -282,11 +286,37 @@ def _nearest(x: np.ndarray, y: np.ndarray, e: np.ndarray, roi: np.ndarray, withi
     return best, own
 
 
+def _in_cells(c: DataFrame, e: DataFrame, hot: DataFrame, side: float, within: float) -> tuple[DataFrame, DataFrame]:
+    """Clicks and edges of tiles with a cell, sx and sy; 0 in tiles that are not hot. In a hot one, a cell's clicks lie in a
+    circle around the middle of their box; an edge farther from there than the nearest edge and the diameter is not the nearest
+    of any of them. The nearest edge's distance is a least value for each cell, so no task needs a cell's edges together."""
+    key, cell = ["slice_index", "orientation", "tx", "ty"], side / CELLS
+    none = [F.lit(0).cast("long").alias(x) for x in ("sx", "sy")]
+    at = lambda v, t: F.least(F.greatest(F.floor(v / cell), F.col(t).cast("long") * CELLS), F.col(t).cast("long") * CELLS + CELLS - 1)  # noqa: E731  in the tile
+    few_c, few_e = c.join(hot, key, "left_anti").select("*", *none), e.join(hot, key, "left_anti").select("*", *none)
+    c, e = c.join(hot, key, "left_semi"), e.join(hot, key, "left_semi")
+    c = c.select("*", at(F.col("px"), "tx").alias("sx"), at(F.col("py"), "ty").alias("sy"))
+    box = c.groupBy(*key, "sx", "sy").agg(*(f(p).alias(f"{f.__name__}_{p}") for f in (F.min, F.max) for p in ("px", "py")))
+    mx, my = (F.col("min_px") + F.col("max_px")) / 2, (F.col("min_py") + F.col("max_py")) / 2
+    radius = F.sqrt(F.pow(F.col("max_px") - mx, 2) + F.pow(F.col("max_py") - my, 2))
+    box = box.select(*key, "sx", "sy", mx.alias("mx"), my.alias("my"), radius.alias("radius"))
+    span = lambda a, b, t: F.explode(F.sequence(at(F.least(a, b) - within, t), at(F.greatest(a, b) + within, t)))
+    e = e.withColumn("sx", span("ax", "bx", "tx")).withColumn("sy", span("ay", "by", "ty")).join(box, [*key, "sx", "sy"])
+    e = e.withColumn("d", segment_distance(*map(F.col, ("mx", "my", "ax", "ay", "bx", "by")))).filter(F.col("d") <= within + F.col("radius") + 1e-6)
+    least = e.groupBy(*key, "sx", "sy").agg(F.min("d").alias("least")).withColumnsRenamed({k: f"_{k}" for k in [*key, "sx", "sy"]})
+    same = F.lit(True)
+    for k in [*key, "sx", "sy"]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    e = e.join(least, same).filter(F.col("d") <= F.col("least") + 2 * F.col("radius") + 1e-6)
+    return few_c.unionByName(c), few_e.unionByName(e.select(few_e.columns))
+
+
 def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, block: int = BLOCK) -> DataFrame:
     """clicks(click_id, slice_index, orientation, px, py) with the ROI on the same slice and orientation whose edge is
     nearest, the smallest id on ties, null if none is within. A click goes to its square tile, an edge to the tiles that
-    it comes near. A tile's clicks and edges are dealt into counted blocks of about `block`, and every two of these meet
-    in a task of their own, so a hot slice or tile is spread; the best of the blocks wins."""
+    it comes near. A tile with more than `block` clicks or edges is cut into cells first, and an edge goes only to those of its
+    cells that it may be nearest in. A tile's or cell's clicks and edges are dealt into counted blocks of about `block`, and
+    every two of these meet in a task of their own, so a hot slice, tile or cell is spread; the best of the blocks wins."""
     side, w = 4.0 * within, float(within)
     tile = lambda c: F.floor(c / side).cast("int")
     low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
@@ -301,7 +331,13 @@ def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, blo
     c = clicks.select("click_id", "slice_index", "orientation", "px", "py").withColumn("tx", tile(F.col("px"))).withColumn("ty", tile(F.col("py")))
     key = ["slice_index", "orientation", "tx", "ty"]
     blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    plan = blocks(c, "cs").join(blocks(e, "es"), key)  # a row for each tile with both
+    shared_dir(clicks.sparkSession)
+    plan = blocks(c, "cs").join(blocks(e, "es"), key).checkpoint()  # a row for each tile with both
+    hot = plan.filter("cs > 1 OR es > 1").select(*key)
+    if not hot.isEmpty():
+        c, e = _in_cells(c, e, hot, side, w)
+        key = [*key, "sx", "sy"]
+        plan = blocks(c, "cs").join(blocks(e, "es"), key)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     e = e.select(*key, "roi_id", "edge_idx", "ax", "ay", "bx", "by").join(plan, key).withColumn("eb", F.pmod(F.xxhash64("roi_id", "edge_idx"), F.col("es")).cast("int")).withColumn("cb", every("cs"))
     c = c.join(plan, key).withColumn("cb", F.pmod(F.xxhash64("click_id"), F.col("cs")).cast("int")).withColumn("eb", every("es"))

@@ -183,3 +183,33 @@ def test_ranks(spark, n):
     rows, total = ranked(spark.range(n).select((F.col("id") * 7 % 1009).alias("key")).repartition(3), "key")
     got = sorted((r.key, r["rank"]) for r in rows.collect())
     assert total == n and got == [(k, i) for i, k in enumerate(sorted(i * 7 % 1009 for i in range(n)))]
+
+
+@pytest.mark.parametrize("block", [10, 60, 50_000])
+def test_nearest_region_in_a_hot_tile(spark, block):
+    """Most clicks and edges lie in one tile, some far out; blocks, cells and tiles change nothing, ties go to the smallest id."""
+    import random
+
+    r = random.Random(block)
+    place = lambda: (r.uniform(0, 30), r.uniform(0, 30)) if r.random() < 0.8 else (r.uniform(-60, 90), r.uniform(-60, 90))
+    edges = []
+    for i in range(150):
+        (x, y), (dx, dy) = place(), (r.uniform(-9, 9), r.choice([0.0, r.uniform(-9, 9)]))
+        edges.append((i, 1, 2, 0, x, y, x + dx, y + dy))
+    edges += [(900 + i, *e[1:]) for i, e in enumerate(edges[:40])] + [(500, 1, 1, 0, 5.0, 5.0, 6.0, 6.0)]
+    clicks = [(i, r.choice([1, 1, 2]), r.choice([2, 2, 1]), *place()) for i in range(200)] + [(1000 + i, 1, 2, 7.0, 7.0) for i in range(100)]
+    got = rois.nearest_roi(
+        spark.createDataFrame(clicks, "click_id long, slice_index int, orientation int, px double, py double"),
+        spark.createDataFrame(edges, "roi_id long, slice_index int, orientation int, edge_idx int, ax double, ay double, bx double, by double"), block=block,
+    )
+
+    def far(px, py, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        t = max(0.0, min(1.0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(px - ax - t * dx, py - ay - t * dy)
+
+    want = {}
+    for i, s, o, x, y in clicks:
+        near = sorted((round(d, 9), e[0]) for e in edges if (e[1], e[2]) == (s, o) and (d := far(x, y, *e[4:])) < 8)
+        want[i] = near[0][1] if near else None
+    assert {g.click_id: g.nearest for g in got.collect()} == want and any(want.values()) and None in want.values()
