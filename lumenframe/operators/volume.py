@@ -16,21 +16,24 @@ SCANLINES = "series_id int, k int, j int, vals array<double>"
 SLICE_ROWS = 4_096  # scanlines of a row group, about: what a reader passes over at once
 
 
-def ingest(blobs: DataFrame, decode: Callable[[bytes], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """blobs(series_id, content) -> scanlines, by the caller's decoder of (k, a slice as rows of values). A slice is a batch of
-    its own, whose values stay in Arrow's buffers: a task holds one slice beside the bytes it decodes. A failure becomes a row
-    with its error, after the slices that came before it."""
+def ingest(blobs: DataFrame, decode: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """blobs(series_id, content) -> scanlines, by the caller's decoder of (k, a slice as rows of values), or (k, rows, their js)
+    if they are not 0, 1, ...; masked values are null. A slice is a batch of its own, whose values stay in Arrow's buffers: a
+    task holds one slice beside the bytes it decodes. A failure becomes a row with its error, after the slices that came before
+    it."""
     schema = pa.schema([("series_id", pa.int32()), ("k", pa.int32()), ("j", pa.int32()), ("vals", pa.list_(pa.float64())), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for series, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    for k, rows in decode(content.as_buffer() if content.is_valid else b""):
-                        rows = np.ascontiguousarray(rows, dtype=np.float64)
+                    for k, rows, *js in decode(content.as_buffer() if content.is_valid else b""):
+                        null = np.ma.getmaskarray(rows).ravel() if np.ma.isMaskedArray(rows) else None
+                        rows = np.ascontiguousarray(np.ma.getdata(rows), dtype=np.float64)
                         ny, nx = rows.shape
-                        vals = pa.ListArray.from_arrays(pa.array(np.arange(0, (ny + 1) * nx, nx, dtype=np.int32)[: ny + 1] if nx else np.zeros(ny + 1, np.int32)), pa.array(rows.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.repeat(series, ny).cast(pa.int32()), pa.array(np.full(ny, k, np.int32)), pa.array(np.arange(ny, dtype=np.int32)), vals, pa.nulls(ny, pa.string())], schema=schema)
+                        j = np.asarray(js[0], np.int32) if js else np.arange(ny, dtype=np.int32)
+                        vals = pa.ListArray.from_arrays(pa.array(np.arange(0, (ny + 1) * nx, nx, dtype=np.int32)[: ny + 1] if nx else np.zeros(ny + 1, np.int32)), pa.array(rows.ravel(), mask=null))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(series, ny).cast(pa.int32()), pa.array(np.full(ny, k, np.int32)), pa.array(j), vals, pa.nulls(ny, pa.string())], schema=schema)
                 except Exception as e:  # noqa: BLE001  a decoder's own failure is data here
                     none = [pa.nulls(1, schema.field(c).type) for c in ("k", "j", "vals")]
                     yield pa.RecordBatch.from_arrays([pa.array([series.as_py()], pa.int32()), *none, pa.array([str(e)])], schema=schema)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,26 +139,35 @@ def series_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _floats(content: bytes):
-    """A toy volume codec: nx, ny, nz, then doubles, x fastest; a slice at a time."""
-    nx, ny, nz = struct.unpack_from("<3i", content)
-    for k in range(nz):
-        yield k, np.frombuffer(content, "<f8", nx * ny, 12 + 8 * k * nx * ny).reshape(ny, nx)
+    """A toy volume codec: runs of rows of one slice and length, each nx, k, the number of rows, their js, a byte for each value
+    (0: null), and doubles, x fastest; a run at a time."""
+    at = 0
+    while at < len(content):
+        nx, k, n = struct.unpack_from("<3i", content, at)
+        js = np.frombuffer(content, "<i4", n, at + 12)
+        there = np.frombuffer(content, "u1", n * nx, at + 12 + 4 * n)
+        rows = np.frombuffer(content, "<f8", n * nx, at + 12 + (4 + nx) * n).reshape(n, nx)
+        yield k, rows if there.all() else np.ma.array(rows, mask=there.reshape(n, nx) == 0), js
+        at += 12 + (4 + 9 * nx) * n
 
 
 def _volume_blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Whole volumes as bytes: what a folder of one series decodes from."""
-    import pandas as pd
-
-    lines = table(spark, d, "scanlines")
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "j"])
-        vals = [v for row in pdf["vals"] for v in row]
-        ny = int(pdf["j"].max()) + 1
-        head = struct.pack("<3i", len(pdf["vals"].iloc[0]), ny, len(pdf) // ny)
-        return pd.DataFrame({"series_id": [key[0]], "content": [head + struct.pack(f"<{len(vals)}d", *vals)]})
-
-    return lines.groupBy("series_id").applyInPandas(pack, "series_id int, content binary")
+    """Whole volumes as bytes: what a folder of one series decodes from. Slices and rows may be lacking, as in the last series."""
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("k", "ascending"), ("j", "ascending")]).combine_chunks()
+        k, j, vals = table["k"].to_numpy(), table["j"].to_numpy(), table["vals"].combine_chunks()
+        nx, flat = vals.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), vals.flatten()
+        there, data = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(nx)])
+        first = np.flatnonzero(np.r_[True, (np.diff(k) != 0) | (np.diff(nx) != 0)])
+        runs = []
+        for a, b in zip(first, [*first[1:], len(k)]):
+            own = slice(ends[a], ends[b])
+            runs += [struct.pack("<3i", nx[a], k[a], b - a), j[a:b].astype("<i4").tobytes(), there[own].astype("u1").tobytes(), data[own].astype("<f8").tobytes()]
+        return pa.table({"series_id": pa.array([key[0].as_py()], pa.int32()), "content": pa.array([b"".join(runs)], pa.binary())})
+
+    return table(spark, d, "scanlines").groupBy("series_id").applyInArrow(pack, "series_id int, content binary")
 
 
 _LONG = "SELECT series_id, k, j, generate_subscripts(vals, 1) - 1 AS i, unnest(vals) AS v FROM scanlines"
