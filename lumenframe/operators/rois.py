@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.shared import shared_dir
 
@@ -18,8 +19,8 @@ from lumenframe.functions.shared import shared_dir
 PALETTE = [(1.0, 0.2, 0.2), (0.2, 1.0, 0.2), (0.3, 0.6, 1.0), (1.0, 1.0, 0.2), (1.0, 0.5, 0.0), (0.8, 0.2, 1.0), (0.0, 1.0, 1.0), (1.0, 0.4, 0.7)]
 VERTEX, EDGE, FAR = 10.0, 8.0, 15.0  # distances, all strict
 SEGMENT = 16_384  # seqs of a long log that are counted together
-CELLS = 16  # along a side of a hot tile
-BLOCK = 50_000  # edges, or clicks, of a tile that meet in one task
+CELLS, HOT = 16, 4  # cells along a side of a hot tile; blocks of points beyond which a tile is hot
+BLOCK, TILES = 50_000, 200_000  # edges, or points, of a tile that meet in one task; tiles or cells that are broadcast
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
 
@@ -247,63 +248,81 @@ def nearest_edge(clicks: DataFrame, outline: DataFrame, within: float = EDGE) ->
     return clicks.join(best, "click_id", "left").select(*clicks.columns, F.col("m.edge_idx").alias("edge_idx"))
 
 
-def _distances(x, y, e: np.ndarray) -> np.ndarray:
-    """Of points x, y to segments e (rows ax, ay, bx, by), as segment_distance has them."""
-    ax, ay, bx, by = e
-    dx, dy = bx - ax, by - ay
+def _segments(e: np.ndarray) -> np.ndarray:
+    """Segments (rows ax, ay, bx, by) as rows ax, ay, dx, dy and squared length; ones without length go nowhere."""
+    ax, ay, dx, dy = e[0], e[1], e[2] - e[0], e[3] - e[1]
     l2 = dx * dx + dy * dy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.maximum(0.0, np.minimum(1.0, ((x - ax) * dx + (y - ay) * dy) / l2))
-    t = np.where(l2 < 1e-12, 0.0, t)
+    none = l2 < 1e-12
+    return np.stack([ax, ay, np.where(none, 0.0, dx), np.where(none, 0.0, dy), np.where(none, 1.0, l2)])
+
+
+def _distances(x, y, s: np.ndarray) -> np.ndarray:
+    """Of points x, y to segments, as segment_distance has them."""
+    ax, ay, dx, dy, l2 = s
+    t = np.maximum(0.0, np.minimum(1.0, ((x - ax) * dx + (y - ay) * dy) / l2))
     qx, qy = x - (ax + t * dx), y - (ay + t * dy)
     return np.sqrt(qx * qx + qy * qy)
 
 
+LEAF = 8  # points that are compared with every edge left
+
+
 def _nearest(x: np.ndarray, y: np.ndarray, e: np.ndarray, roi: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
     """For each point the least distance (inf: none within) and the smallest roi at it. The square around the points is
     quartered: an edge farther from a quarter's middle than the nearest one and the diagonal is not the nearest of any of
     its points."""
     best, own = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
-    todo = [(np.arange(len(x)), np.arange(len(roi)))]
+    todo = [(np.arange(len(x)), _segments(e), roi)]
     while todo:
-        points, edges = todo.pop()
+        points, s, of = todo.pop()
         cx, cy = (x[points].min() + x[points].max()) / 2, (y[points].min() + y[points].max()) / 2
         radius = np.hypot(x[points] - cx, y[points] - cy).max()
-        d = _distances(cx, cy, e[:, edges])
-        edges = edges[d <= min(d.min() + 2 * radius, within + radius) + 1e-6]
-        if not len(edges):
+        d = _distances(cx, cy, s)
+        left = np.flatnonzero(d <= min(d.min() + 2 * radius, within + radius) + 1e-6)
+        if not len(left):
             continue
-        if len(points) <= 4 or radius == 0:
-            for p in points:
-                d = _distances(x[p], y[p], e[:, edges])
-                if (least := d.min()) < within:
-                    best[p], own[p] = least, roi[edges[d == least]].min()
+        s, of = s[:, left], of[left]
+        if len(points) <= LEAF or radius == 0:
+            for some in np.array_split(points, -(-len(points) // LEAF)):
+                d = _distances(x[some, None], y[some, None], s)
+                least = d.min(axis=1)
+                first = np.where(d == least[:, None], of, np.iinfo(np.int64).max).min(axis=1)
+                near = least < within
+                best[some[near]], own[some[near]] = least[near], first[near]
             continue
         right, up = x[points] > cx, y[points] > cy
         for part in (right & up, right & ~up, ~right & up, ~right & ~up):
             if part.any():
-                todo.append((points[part], edges))
+                todo.append((points[part], s, of))
     return best, own
 
 
-def _in_cells(c: DataFrame, e: DataFrame, hot: DataFrame, side: float, within: float) -> tuple[DataFrame, DataFrame]:
-    """Clicks and edges of tiles with a cell, sx and sy; 0 in tiles that are not hot. In a hot one, a cell's clicks lie in a
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows, computed once; broadcast if few enough are counted."""
+    rows = rows.checkpoint()
+    return F.broadcast(rows) if rows.count() <= TILES else rows
+
+
+def _in_cells(c: DataFrame, e: DataFrame, hot: DataFrame, key: list[str], side: Column, within: float) -> tuple[DataFrame, DataFrame]:
+    """Points and edges of tiles with a cell, sx and sy; 0 in tiles that are not hot. In a hot one, a cell's points lie in a
     circle around the middle of their box; an edge farther from there than the nearest edge and the diameter is not the nearest
-    of any of them. The nearest edge's distance is a least value for each cell, so no task needs a cell's edges together."""
-    key, cell = ["slice_index", "orientation", "tx", "ty"], side / CELLS
+    of any of them. The nearest edge's distance is a least value for each cell, so no task needs a cell's edges together. Boxes
+    and least values are broadcast if they are few: then only the edges that are left are shuffled."""
+    cell = side / CELLS
     none = [F.lit(0).cast("long").alias(x) for x in ("sx", "sy")]
-    at = lambda v, t: F.least(F.greatest(F.floor(v / cell), F.col(t).cast("long") * CELLS), F.col(t).cast("long") * CELLS + CELLS - 1)  # noqa: E731  in the tile
+    at = lambda v, t: F.least(F.greatest(F.floor(v / cell), F.col(t) * CELLS), F.col(t) * CELLS + CELLS - 1)  # noqa: E731  in the tile
+    hot = _counted(hot)
     few_c, few_e = c.join(hot, key, "left_anti").select("*", *none), e.join(hot, key, "left_anti").select("*", *none)
     c, e = c.join(hot, key, "left_semi"), e.join(hot, key, "left_semi")
     c = c.select("*", at(F.col("px"), "tx").alias("sx"), at(F.col("py"), "ty").alias("sy"))
     box = c.groupBy(*key, "sx", "sy").agg(*(f(p).alias(f"{f.__name__}_{p}") for f in (F.min, F.max) for p in ("px", "py")))
     mx, my = (F.col("min_px") + F.col("max_px")) / 2, (F.col("min_py") + F.col("max_py")) / 2
     radius = F.sqrt(F.pow(F.col("max_px") - mx, 2) + F.pow(F.col("max_py") - my, 2))
-    box = box.select(*key, "sx", "sy", mx.alias("mx"), my.alias("my"), radius.alias("radius"))
+    box = _counted(box.select(*key, "sx", "sy", mx.alias("mx"), my.alias("my"), radius.alias("radius")))
     span = lambda a, b, t: F.explode(F.sequence(at(F.least(a, b) - within, t), at(F.greatest(a, b) + within, t)))
     e = e.withColumn("sx", span("ax", "bx", "tx")).withColumn("sy", span("ay", "by", "ty")).join(box, [*key, "sx", "sy"])
     e = e.withColumn("d", segment_distance(*map(F.col, ("mx", "my", "ax", "ay", "bx", "by")))).filter(F.col("d") <= within + F.col("radius") + 1e-6)
-    least = e.groupBy(*key, "sx", "sy").agg(F.min("d").alias("least")).withColumnsRenamed({k: f"_{k}" for k in [*key, "sx", "sy"]})
+    least = _counted(e.groupBy(*key, "sx", "sy").agg(F.min("d").alias("least")).withColumnsRenamed({k: f"_{k}" for k in [*key, "sx", "sy"]}))
     same = F.lit(True)
     for k in [*key, "sx", "sy"]:
         same = same & (F.col(k) == F.col(f"_{k}"))
@@ -313,14 +332,22 @@ def _in_cells(c: DataFrame, e: DataFrame, hot: DataFrame, side: float, within: f
 
 def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, block: int = BLOCK) -> DataFrame:
     """clicks(click_id, slice_index, orientation, px, py) with the ROI on the same slice and orientation whose edge is
-    nearest, the smallest id on ties, null if none is within. A click goes to its square tile, an edge to the tiles that
-    it comes near. A tile with more than `block` clicks or edges is cut into cells first, and an edge goes only to those of its
-    cells that it may be nearest in. A tile's or cell's clicks and edges are dealt into counted blocks of about `block`, and
-    every two of these meet in a task of their own, so a hot slice, tile or cell is spread; the best of the blocks wins."""
-    side, w = 4.0 * within, float(within)
-    tile = lambda c: F.floor(c / side).cast("int")
+    nearest, the smallest id on ties, null if none is within. Clicks at one place are one point. An edge goes to the square
+    tiles that it comes near, of a side of its own length at least (in levels, each twice the last), so to a few at most; a point
+    goes to its tile of each level. A tile's points and edges are dealt into counted blocks of about `block`, and every two of
+    these meet in a task of their own, so a hot slice or tile is spread; the best of the blocks wins. Edges are shuffled
+    once for each block of points; a tile with more than HOT such is cut into cells first, and an edge goes only to those of
+    its cells that it may be nearest in."""
+    w, place = float(within), ["slice_index", "orientation", "px", "py"]
+    side = F.pow(F.lit(2.0), F.col("level")) * (16.0 * w)
+    tile = lambda c: F.floor(c / side).cast("long")
+    finite = lambda c: F.abs(c) < float("inf")  # noqa: E731  the others are near nothing
     low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
-    e = outline.withColumn("tx", F.explode(F.sequence(tile(low - w), tile(high + w))))
+    e = outline.select("roi_id", "slice_index", "orientation", "edge_idx", *(F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")))
+    e = e.filter(finite("ax") & finite("ay") & finite("bx") & finite("by"))
+    length = F.greatest(high - low, F.abs(F.col("ay") - F.col("by")))
+    e = e.withColumn("level", F.when(length > 16.0 * w, F.ceil(F.log2(length / (16.0 * w)))).otherwise(0).cast("int"))
+    e = e.withColumn("tx", F.explode(F.sequence(tile(low - w), tile(high + w))))
     # the part of the edge over this column of tiles, wider by the distance on both sides
     slope = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
     at = lambda x: F.col("ay") + slope * (F.greatest(low, F.least(high, x)) - F.col("ax"))
@@ -328,32 +355,36 @@ def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, blo
     y0, y1 = F.coalesce(F.least(y0, y1), F.least("ay", "by")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "by"))
     y0, y1 = F.when(slope.isNull(), F.least("ay", "by")).otherwise(y0), F.when(slope.isNull(), F.greatest("ay", "by")).otherwise(y1)
     e = e.withColumn("ty", F.explode(F.sequence(tile(y0 - w - 1e-6), tile(y1 + w + 1e-6))))
-    c = clicks.select("click_id", "slice_index", "orientation", "px", "py").withColumn("tx", tile(F.col("px"))).withColumn("ty", tile(F.col("py")))
-    key = ["slice_index", "orientation", "tx", "ty"]
+    key = ["slice_index", "orientation", "level", "tx", "ty"]
     blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     shared_dir(clicks.sparkSession)
-    plan = blocks(c, "cs").join(blocks(e, "es"), key).checkpoint()  # a row for each tile with both
-    hot = plan.filter("cs > 1 OR es > 1").select(*key)
+    of_edges = blocks(e, "es").checkpoint()
+    levels = sorted(r["level"] for r in of_edges.select("level").distinct().collect())  # doublings of the length: few
+    c = clicks.select("slice_index", "orientation", *(F.col(p).cast("double").alias(p) for p in ("px", "py"))).filter(finite("px") & finite("py")).distinct()
+    c = c.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("tx", tile(F.col("px"))).withColumn("ty", tile(F.col("py")))
+    plan = _counted(blocks(c, "cs").join(of_edges, key))  # a row for each tile with both
+    hot = plan.filter(F.col("cs") > HOT).select(*key)
     if not hot.isEmpty():
-        c, e = _in_cells(c, e, hot, side, w)
+        c, e = _in_cells(c, e, hot, key, side, w)
         key = [*key, "sx", "sy"]
-        plan = blocks(c, "cs").join(blocks(e, "es"), key)
+        plan = _counted(blocks(c, "cs").join(blocks(e, "es"), key))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     e = e.select(*key, "roi_id", "edge_idx", "ax", "ay", "bx", "by").join(plan, key).withColumn("eb", F.pmod(F.xxhash64("roi_id", "edge_idx"), F.col("es")).cast("int")).withColumn("cb", every("cs"))
-    c = c.join(plan, key).withColumn("cb", F.pmod(F.xxhash64("click_id"), F.col("cs")).cast("int")).withColumn("eb", every("es"))
+    c = c.join(plan, key).withColumn("cb", F.pmod(F.xxhash64("px", "py"), F.col("cs")).cast("int")).withColumn("eb", every("es"))
     key = [*key, "cb", "eb"]
 
-    def near(clicks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(clicks) or not len(edges):
-            return pd.DataFrame({"click_id": [], "d": [], "roi_id": []})
-        xy = clicks[["px", "py"]].drop_duplicates()
-        d, roi = _nearest(xy["px"].to_numpy(float), xy["py"].to_numpy(float), edges[["ax", "ay", "bx", "by"]].to_numpy(float).T, edges["roi_id"].to_numpy(np.int64), w)
-        found = clicks.merge(xy.assign(d=d, roi_id=roi)[d < w], on=["px", "py"])
-        return found[["click_id", "d", "roi_id"]]
-
-    pairs = c.select(*key, "click_id", "px", "py").groupBy(key).cogroup(e.select(*key, "roi_id", "ax", "ay", "bx", "by").groupBy(key)).applyInPandas(near, "click_id long, d double, roi_id long")
-    best = pairs.groupBy("click_id").agg(F.min(F.struct("d", "roi_id")).alias("m"))
-    return clicks.join(best, "click_id", "left").select(*clicks.columns, F.col("m.roi_id").alias("nearest"))
+    def near(key: tuple, points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(edges):
+            return pd.DataFrame({x: [] for x in [*place, "d", "roi_id"]})
+        x, y = points["px"].to_numpy(float), points["py"].to_numpy(float)
+        d, roi = _nearest(x, y, edges[["ax", "ay", "bx", "by"]].to_numpy(float).T, edges["roi_id"].to_numpy(np.int64), w)
+        found = d < w
+        return pd.DataFrame({"slice_index": key[0], "orientation": key[1], "px": x[found], "py": y[found], "d": d[found], "roi_id": roi[found]})
+
+    kind = T.StructType([*c.select(*place).schema, T.StructField("d", T.DoubleType()), T.StructField("roi_id", T.LongType())])
+    pairs = c.select(*key, "px", "py").groupBy(key).cogroup(e.select(*key, "roi_id", "ax", "ay", "bx", "by").groupBy(key)).applyInPandas(near, kind)
+    best = pairs.groupBy(*place).agg(F.min(F.struct("d", "roi_id")).alias("m"))
+    return clicks.join(best, place, "left").select(*clicks.columns, F.col("m.roi_id").alias("nearest"))
 
 
 def edit_hit(clicks: DataFrame, vertices: DataFrame, outline: DataFrame) -> DataFrame:
