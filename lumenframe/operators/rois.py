@@ -7,6 +7,8 @@ are counted by segments, so that one session spreads over tasks too.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -430,10 +432,21 @@ def rectangle(x1: Column, y1: Column, x2: Column, y2: Column, z: Column) -> Colu
 
 
 def ellipse(x1: Column, y1: Column, z1: Column, x2: Column, y2: Column, z2: Column, n: int = 64) -> Column:
-    """n points around the box's middle, from the right, with half its sides as radii."""
+    """n points around the box's middle, from the right, with half its sides as radii; the angles' cosines and sines are
+    literals."""
     cx, cy, cz, rx, ry = (x1 + x2) / 2, (y1 + y2) / 2, (z1 + z2) / 2, F.abs(x2 - x1) / 2, F.abs(y2 - y1) / 2
-    angle = lambda i: F.lit(2 * 3.141592653589793) * i / n
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((cx + rx * F.cos(angle(i))).alias("x"), (cy + ry * F.sin(angle(i))).alias("y"), cz.alias("z")))
+    angles = [2 * math.pi * i / n for i in range(n)]
+    round_ = F.array(*(F.struct(F.lit(math.cos(a)).alias("c"), F.lit(math.sin(a)).alias("s")) for a in angles))
+    return F.transform(round_, lambda u: F.struct((cx + rx * u["c"]).alias("x"), (cy + ry * u["s"]).alias("y"), cz.alias("z")))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """value to so many places, halves away from 0, in doubles; F.round goes by a decimal for each value."""
+    v = value * 10.0**places
+    near = F.rint(v)
+    half = F.when(v - near == 0.5, 1.0).when(v - near == -0.5, -1.0).otherwise(0.0)
+    away = F.when((half != 0) & ((v > 0) == (half > 0)), near + half).otherwise(near)
+    return away / 10.0**places
 
 
 def visible(views: DataFrame, rois: DataFrame) -> DataFrame:
