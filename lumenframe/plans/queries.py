@@ -62,14 +62,26 @@ def mask_files(spark: SparkSession, d: str) -> DataFrame:
     return catalog.masks(table(spark, d, "files")).select("path", "file_id")
 
 
-def _in_folder(spark: SparkSession, rows: DataFrame, after: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
-    """rows(path, content) written as files below a new folder of the shared one; what `after` makes of the folder and the
-    sink's warnings, once it is computed. Then the folder goes."""
-    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+WAVE = 500_000  # files, about, that are on disk at once
+
+
+def _in_folder(spark: SparkSession, rows: DataFrame, after: Callable[[str], DataFrame], wave: int = WAVE) -> DataFrame:
+    """rows(path, content) written as files below new folders of the shared one; what `after` makes of each such root, in one.
+    Each file takes a block of the disk, so whole folders are dealt into waves: a wave's files go before the next one's come."""
+    top = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    n = -(-rows.count() // wave)
     try:
-        return after(root, files.drop(rows, root)).checkpoint()
+        if n > 1:
+            dealt = rows.withColumn("wave", F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(n)))
+            dealt.repartition("wave", F.pmod(F.xxhash64("path"), F.lit(8))).write.partitionBy("wave").parquet(f"{top}/_rows")
+        for i in range(n):
+            root = f"{top}/wave-{i}"
+            files.drop(rows if n == 1 else spark.read.schema(rows.schema).parquet(f"{top}/_rows/wave={i}").repartition(F.substring_index("path", "/", 1)), root)
+            after(root).write.parquet(f"{top}/_found/wave={i}")
+            files.remove(spark, root)
+        return (spark.read.parquet(f"{top}/_found").drop("wave") if n else after(f"{top}/none")).checkpoint()
     finally:
-        delete(spark, root)
+        delete(spark, top)
 
 
 def _archive(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +97,7 @@ def _listed(root: str, found: DataFrame) -> DataFrame:
 @query(f"{with_duck('files')} SELECT folder, name, CAST(length(CAST(file_id AS VARCHAR)) AS BIGINT) AS length FROM ({_VISIBLE})")
 def series_listing(spark: SparkSession, d: str) -> DataFrame:
     """The file table as real folders, listed by the data source."""
-    return _in_folder(spark, _archive(spark, d), lambda root, _: _listed(root, files.listing(spark, root=root)))
+    return _in_folder(spark, _archive(spark, d), lambda root: _listed(root, files.listing(spark, root=root)))
 
 
 @query(f"{with_duck('files')} SELECT folder, name, CAST(length(CAST(file_id AS VARCHAR)) AS BIGINT) AS length FROM ({_VISIBLE}) WHERE name LIKE '%.mat'")
@@ -95,7 +107,7 @@ def mask_listing(spark: SparkSession, d: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        return _in_folder(spark, _archive(spark, d), lambda root, _: _listed(root, files.listing(spark, root=root).filter("name LIKE '%.mat'")))
+        return _in_folder(spark, _archive(spark, d), lambda root: _listed(root, files.listing(spark, root=root).filter("name LIKE '%.mat'")))
     finally:
         spark.conf.set(key, before)
 
@@ -306,6 +318,7 @@ def session_restore(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WRITTEN = ORACLES["session_write"]
+SHARDS = 2_000  # folders that the documents are dealt into, so that tasks list, read and remove them
 
 
 @query(f"SELECT session_id, CASE WHEN session_id % 97 <> 5 THEN raw END AS raw, session_id % 97 = 5 AS warned FROM ({_WRITTEN})")
@@ -313,17 +326,20 @@ def session_files(spark: SparkSession, d: str) -> DataFrame:
     """The documents written as files and read again. Some have a file where their folder should be: a warning each."""
     docs = sessions.write(sessions.read(table(spark, d, "sessions")))
     blocked = F.col("session_id") % 97 == 5
-    path = F.concat(F.when(blocked, "blocked/").otherwise(""), F.col("session_id").cast("string"), F.lit("/settings.json"))
-    number = lambda p: F.element_at(F.split(p, "/"), -2).cast("long").alias("session_id")
+    shard = F.concat(F.lit("s"), F.pmod(F.xxhash64("session_id"), F.lit(SHARDS)).cast("string"), F.lit("/"))
+    path = F.concat(F.when(blocked, "blocked/").otherwise(shard), F.col("session_id").cast("string"), F.lit(".settings.json"))
+    number = lambda p: F.substring_index(F.substring_index(p, "/", -1), ".", 1).cast("long").alias("session_id")
 
     def back(root: str, warnings: DataFrame) -> DataFrame:
-        read = spark.read.option("wholetext", True).text(f"{root}/*/settings.json").select(number(F.col("_metadata.file_path")), F.col("value").alias("raw"), F.lit(False).alias("warned"))
-        return read.union(warnings.select(number(F.col("path")), F.lit(None).cast("string"), F.lit(True)))
+        read = files.contents(files.listing(spark, root=root)).select(number("path"), F.decode("content", "UTF-8").alias("raw"), F.lit(False).alias("warned"))
+        return read.union(warnings.select(number("path"), F.lit(None).cast("string"), F.lit(True)))
 
     root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     try:
         files.drop(spark.createDataFrame([("blocked", b"no folder")], "path string, content binary"), root)
-        return back(root, files.drop(docs.select(path.alias("path"), F.encode("raw", "UTF-8").alias("content")), root)).checkpoint()
+        out = back(root, files.drop(docs.select(path.alias("path"), F.encode("raw", "UTF-8").alias("content")), root)).checkpoint()
+        files.remove(spark, root)
+        return out
     finally:
         delete(spark, root)
 
@@ -681,7 +697,7 @@ round((y1 + y) / 2 + abs(y - y1) / 2 * sin(6.283185307179586 * pos / 64), 6) + 0
 def shape_ellipse(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of corners' 64 points."""
     p = _corners(spark, d).select("session_id", "seq", F.posexplode(rois.ellipse(*map(F.col, ("x1", "y1", "z1", "x", "y", "z")))).alias("pos", "p"))
-    return p.select("session_id", "seq", "pos", *((F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xy"), "p.z")
+    return p.select("session_id", "seq", "pos", *((rois.rounded(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xy"), "p.z")
 
 
 @query(f"""{_EDGES}, h AS (SELECT click_id, vertex_idx, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM picks JOIN roi_vertices USING (roi_id)), b AS (SELECT click_id, vertex_idx FROM h WHERE d < 10 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY d, vertex_idx) = 1)

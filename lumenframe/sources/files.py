@@ -29,10 +29,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
+from lumenframe.functions.shared import delete
+
 FOLDERS, SETTLE = 100, 2.0
 LISTING = "folder string, path string, name string, length long"
 
@@ -223,6 +226,41 @@ def drop(rows: DataFrame, root: str) -> DataFrame:
     return spark.read.schema("path string, reason string").json(str(at)) if found else spark.createDataFrame([], "path string, reason string")
 
 
+def contents(found: DataFrame) -> DataFrame:
+    """A listing's paths with the files' bytes, read in the tasks that list them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, out, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                system, at = _system(path)
+                with system.open_input_file(at) as f:
+                    out.append(f.readall())
+                paths.append(path)
+                held += len(out[-1])
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(out, pa.binary())})
+                    paths, out, held = [], [], 0
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(out, pa.binary())})
+
+    return found.select("path").mapInArrow(read, "path string, content binary")
+
+
+def remove(spark: SparkSession, root: str) -> None:
+    """Removes the folders directly in root with all they hold, dealt to tasks; then root."""
+    found = spark.createDataFrame([(f,) for f in _folders({"root": root})], "folder string")
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, at = _system(folder)
+                system.delete_dir(at)
+            yield batch
+
+    found.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(gone, found.schema).write.format("noop").mode("overwrite").save()
+    delete(spark, root)
+
+
 def mask_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and length of the *.mat files directly in folder, with their bytes; no rows if it is unset or not there."""
     schema = "path string, modificationTime timestamp, length long, content binary"
