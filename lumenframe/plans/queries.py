@@ -62,7 +62,7 @@ def mask_files(spark: SparkSession, d: str) -> DataFrame:
     return catalog.masks(table(spark, d, "files")).select("path", "file_id")
 
 
-WAVE = 500_000  # files, about, that are on disk at once
+WAVE = 1_000_000  # files, about, that are on disk at once
 
 
 def _in_folder(spark: SparkSession, rows: DataFrame, after: Callable[[str], DataFrame], wave: int = WAVE) -> DataFrame:
