@@ -389,15 +389,15 @@ def nearest_roi(clicks: DataFrame, outline: DataFrame, within: float = EDGE, blo
     return clicks.join(best, place, "left").select(*clicks.columns, F.col("m.roi_id").alias("nearest"))
 
 
-def edit_hit(clicks: DataFrame, vertices: DataFrame, outline: DataFrame) -> DataFrame:
+def edit_hit(clicks: DataFrame, vertices: DataFrame, outline: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """clicks(click_id, roi_id: the selected one, slice_index, orientation, px, py) -> action, target: its vertex, its
     whole outline, or else the selection of what is nearest (or nothing). The slice counts for the first two, not the
-    orientation."""
+    orientation. With others, all regions' outlines, vertices and outline may be of the selected regions only."""
     on = vertices.select("roi_id", F.col("slice_index").alias("_slice")).distinct()
     own = clicks.join(on, "roi_id").filter("slice_index = _slice").select("click_id", "roi_id", "px", "py")
     v = nearest_vertex(own, vertices).select("click_id", "vertex_idx")
     e = nearest_edge(own, outline).select("click_id", "edge_idx")
-    r = nearest_roi(clicks.select("click_id", "slice_index", "orientation", "px", "py"), outline).select("click_id", "nearest")
+    r = nearest_roi(clicks.select("click_id", "slice_index", "orientation", "px", "py"), outline if others is None else others).select("click_id", "nearest")
     j = clicks.join(v, "click_id", "left").join(e, "click_id", "left").join(r, "click_id", "left")
     action = F.when(F.col("vertex_idx").isNotNull(), "vertex").when(F.col("edge_idx").isNotNull(), "whole").otherwise("select")
     target = F.when(F.col("vertex_idx").isNotNull(), F.col("vertex_idx")).when(F.col("edge_idx").isNotNull(), F.col("roi_id")).otherwise(F.col("nearest"))

@@ -108,6 +108,9 @@ def with_duck(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({duck(n)})" for n in names)
 
 
-def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spark_table(spark: SparkSession, sf_dir: str, name: str, dealt_by: str | None = None) -> DataFrame:
+    """dealt_by: a column of the given table that its rows are dealt by first, before the contract widens them; windows and
+    groups by it, under its new name too, need no other shuffle."""
     table = re.search(r"\{(\w+)\}", CONTRACTS[name].replace("{{", "").replace("}}", ""))[1]
-    return spark.sql(CONTRACTS[name].replace("DOUBLES", "ARRAY<DOUBLE>"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(CONTRACTS[name].replace("DOUBLES", "ARRAY<DOUBLE>"), **{table: rows.repartition(dealt_by) if dealt_by else rows})

@@ -657,13 +657,18 @@ _DIST = """sqrt(qx * qx + qy * qy) AS d FROM (SELECT *, CASE WHEN l2 < 1e-12 THE
 (SELECT *, greatest(0.0, least(1.0, ((px - ax) * dx + (py - ay) * dy) / nullif(l2, 0))) AS t FROM (SELECT *, dx * dx + dy * dy AS l2 FROM (SELECT *, bx - ax AS dx, yb - ay AS dy FROM {}))))"""
 
 
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    """Each region with its points: one shuffle of the given rows."""
+    return rois.nested(table(spark, d, "roi_vertices", "l_orderkey"))
+
+
 def _outline(spark: SparkSession, d: str) -> DataFrame:
-    return rois.edges(rois.nested(table(spark, d, "roi_vertices")))
+    return rois.edges(_regions(spark, d))
 
 
-def _picks(spark: SparkSession, d: str) -> DataFrame:
+def _picks(spark: SparkSession, d: str, regions: DataFrame | None = None) -> DataFrame:
     """Each click with the region at the place that its number has modulo their count."""
-    regions, n = ranked(table(spark, d, "roi_vertices").select("roi_id").distinct(), "roi_id")
+    regions, n = ranked((table(spark, d, "roi_vertices") if regions is None else regions).select("roi_id").distinct(), "roi_id")
     return table(spark, d, "clicks").withColumn("rank", F.col("click_id") % max(1, n)).join(regions, "rank").drop("rank")
 
 
@@ -715,12 +720,27 @@ def nearest_edge(spark: SparkSession, d: str) -> DataFrame:
     return rois.nearest_edge(_picks(spark, d), _outline(spark, d)).select("click_id", "roi_id", "edge_idx")
 
 
+def _among_regions(spark: SparkSession, d: str, find: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """find(regions, keep) with the regions gathered once, as files of the shared folder that its jobs read in place of the given
+    rows; so are the rows that it gives to keep. The files go when all is found."""
+    root = f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(at := f"{root}/{uuid.uuid4().hex}")
+        return spark.read.schema(rows.schema).parquet(at)
+
+    try:
+        return find(keep(_regions(spark, d)), keep).checkpoint()
+    finally:
+        delete(spark, root)
+
+
 _NEAR = f"near AS (SELECT click_id, roi_id FROM (SELECT *, {_DIST.format('(SELECT click_id, px, py, e.roi_id, edge_idx, ax, ay, bx, yb FROM clicks c JOIN edges e USING (slice_index, orientation))')}) WHERE d < 8 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY d, roi_id) = 1)"
 
 
 @query(f"{_EDGES}, {_NEAR} SELECT c.click_id, n.roi_id AS nearest FROM clicks c LEFT JOIN near n USING (click_id)")
 def nearest_roi(spark: SparkSession, d: str) -> DataFrame:
-    return rois.nearest_roi(table(spark, d, "clicks"), _outline(spark, d)).select("click_id", "nearest")
+    return _among_regions(spark, d, lambda regions, _: rois.nearest_roi(table(spark, d, "clicks"), rois.edges(regions)).select("click_id", "nearest"))
 
 
 @query(f"""{_EDGES}, {_NEAR}, own AS (SELECT DISTINCT p.* FROM picks p JOIN roi_vertices v ON v.roi_id = p.roi_id AND v.slice_index = p.slice_index),
@@ -729,7 +749,12 @@ e AS (SELECT DISTINCT click_id FROM (SELECT *, {_DIST.format('(SELECT click_id,
 SELECT p.click_id, CASE WHEN v.click_id IS NOT NULL THEN 'vertex' WHEN e.click_id IS NOT NULL THEN 'whole' ELSE 'select' END AS action, CAST(CASE WHEN v.click_id IS NOT NULL THEN v.vertex_idx WHEN e.click_id IS NOT NULL THEN p.roi_id ELSE near.roi_id END AS BIGINT) AS target
 FROM picks p LEFT JOIN v USING (click_id) LEFT JOIN e USING (click_id) LEFT JOIN near USING (click_id)""")
 def edit_hit(spark: SparkSession, d: str) -> DataFrame:
-    return rois.edit_hit(_picks(spark, d), table(spark, d, "roi_vertices"), _outline(spark, d))
+    def hits(regions: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        picks = keep(_picks(spark, d, regions))
+        picked = keep(regions.join(picks.select("roi_id").distinct(), "roi_id", "left_semi"))
+        return rois.edit_hit(picks, rois.vertex_rows(picked), rois.edges(picked), rois.edges(regions))
+
+    return _among_regions(spark, d, hits)
 
 
 @query(f"""{_EDGES}, {_EDGE_HIT} SELECT click_id, roi_id, 'insert' AS op, CAST(edge_idx AS INT) AS idx, px AS ex, py AS ey FROM h WHERE d < 15 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY d, edge_idx) = 1""")

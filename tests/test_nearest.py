@@ -1,6 +1,10 @@
 import random
 
+import pytest
+
 from lumenframe.operators import rois
+from lumenframe.plans.queries import QUERIES
+from tests.twins import DATA
 
 CLICKS = "click_id long, slice_index int, orientation int, px double, py double"
 EDGES = "roi_id long, slice_index int, orientation int, edge_idx int, ax double, ay double, bx double, by double"
@@ -29,3 +33,11 @@ def test_edges_and_clicks_that_are_nowhere_hide_no_others(spark):
     clicks = [(1, 1, 2, 2.0, 1.25), (2, 1, 2, nan, 1.0), (3, 1, 2, 2.0, inf), (4, 1, 2, None, 1.0), (5, 1, 2, 500.0, 3.0), (6, 1, 2, 2.0, 1.25)]
     got = rois.nearest_roi(spark.createDataFrame(clicks, CLICKS), spark.createDataFrame(edges, EDGES))
     assert sorted((c.click_id, c.nearest) for c in got.collect()) == [(1, 1), (2, None), (3, None), (4, None), (5, 4), (6, 1)]
+
+
+@pytest.mark.parametrize(("query", "times"), [("edit_hit", 4), ("nearest_roi", 2.5)])
+def test_the_given_rows_are_shuffled_once(spark, query, times):
+    """And the edges once more, to their tiles; edit_hit's clicks and picked regions come on top."""
+    before = _shuffled(spark)
+    QUERIES[query](spark, DATA).collect()
+    assert _shuffled(spark) - before < times * spark.read.parquet(f"{DATA}/lineitem.parquet").count()
