@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lumenframe.operators import catalog, rois
@@ -241,3 +242,41 @@ def test_series_stream_equals_batch(spark, tmp_path):
     want = catalog.deduped(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(str, found)) == sorted(str((x.session_id, x.seq, x.epoch, x.folder)) for x in want)
     assert [(x.session_id, x.seq) for x in spark.read.parquet(str(tmp_path / "late")).collect()] == [(1, 3)]
+
+
+class Store:
+    """A session's state in memory; each call of it is a round trip from a worker."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, []
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def iterator(self):
+        return iter([])
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+@pytest.mark.parametrize("job", ["gestures", "series"])
+def test_a_session_is_read_and_written_once_and_without_data_frames(job):
+    store, processor = Store(), gestures.DrawingProcessor() if job == "gestures" else series_log.LoadProcessor()
+    processor.init(store)
+    press = lambda i, kind, x: Row(session_id=1, seq=i, kind=kind, tool="rectangle", x=x, y=x, z=0.0, slice_index=0, orientation=2)
+    add = lambda i, folder: Row(session_id=1, seq=i, op="add", folder=folder)
+    rows = [press(3, "left_release", 4.0), press(1, "tool", None), press(2, "left_press", 1.0)] if job == "gestures" else [add(2, "b"), add(1, "a"), add(3, "a")]
+    out = list(processor.handleInputRows((1,), iter(rows), None))
+    assert [(r.seq, r.event) for r in out] == ([(3, "roi")] if job == "gestures" else [(1, "added"), (2, "added")])
+    assert store.calls == ["get", "update"]
