@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenframe.streaming.idle import Idle
 
 OUT = "session_id long, seq long, event string, epoch long, folder string"
-_COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
+_OUT = Row(*(c.split(" ")[0] for c in OUT.split(", ")))
 
 
 class LoadProcessor(StatefulProcessor):
@@ -29,16 +28,16 @@ class LoadProcessor(StatefulProcessor):
         self.head = handle.getValueState("head", "epoch long, seq long")
         self.idle.init(handle)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         epoch, last, out = 0, None, []
         if self.idle.over(timerValues):
             self.held.clear()
-        elif self.head.exists():
-            epoch, last = self.head.get()
+        elif (head := self.head.get()) is not None:
+            epoch, last = head
         held = {k[0] for k, _ in self.held.iterator()} if last is not None else set()
         new: dict[str, int] = {}
         cleared = False
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
+        for r in sorted(rows, key=lambda r: r.seq):
             if last is not None and r.seq <= last:
                 out.append((int(key[0]), r.seq, "late", None, r.folder))
                 continue
@@ -55,9 +54,9 @@ class LoadProcessor(StatefulProcessor):
             self.held.updateValue((folder,), (seq,))
         self.head.update((epoch, last))
         self.idle.seen(timerValues)
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"epoch": "Int64"})
+        return (_OUT(*r) for r in out)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if self.idle.over(timerValues):
             self.held.clear()
             self.head.clear()
@@ -71,4 +70,4 @@ class LoadProcessor(StatefulProcessor):
 def stream(loads: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """loads(session_id, seq, op, folder) as a stream -> OUT; needs the RocksDB state store. For idle_ms see `gestures.stream`."""
     rows = loads.select("session_id", "seq", "op", "folder")
-    return rows.groupBy("session_id").transformWithStateInPandas(LoadProcessor(idle_ms), OUT, "Append", "ProcessingTime" if idle_ms else "None")
+    return rows.groupBy("session_id").transformWithState(LoadProcessor(idle_ms), OUT, "Append", "ProcessingTime" if idle_ms else "None")
