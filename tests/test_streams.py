@@ -1,3 +1,4 @@
+import json
 import random
 import time
 
@@ -280,3 +281,30 @@ def test_a_session_is_read_and_written_once_and_without_data_frames(job):
     out = list(processor.handleInputRows((1,), iter(rows), None))
     assert [(r.seq, r.event) for r in out] == ([(3, "roi")] if job == "gestures" else [(1, "added"), (2, "added")])
     assert store.calls == ["get", "update"]
+
+
+def test_edits_reach_a_session_as_text_and_its_rois_are_kept_in_parts():
+    """Not a cell for each column, a row for each event, an entry for each ROI."""
+    store, processor = Store(), roi_log.LogProcessor()
+    processor.init(store)
+    edit = lambda i: {"seq": i, "op": "add", "roi_type": "polygon", "has_color": 0, "xs": [1.5, None], "ys": [2.0, "NaN"], "zs": [0.0, 0.0]}
+    rows = [Row(session_id=1, edit=json.dumps(edit(i))) for i in range(1_000, 0, -1)]
+    told = [r.told for r in processor.handleInputRows((1,), iter(rows), None)]
+    assert [len(t) for t in told] == [1_000, 1_000, 1_000]  # added, changed and the ROI itself
+    assert [(e[1], e[3], e[4]) for e in told[0][:3]] == [(1, "added", 1), (1, "changed", None), (2, "added", 2)]
+    assert told[2][-1][1:7] == (1_000, 9, "row", 1_000, "polygon", "Polygon 1000") and told[2][-1][8] == [1.5, None]
+    assert store.calls == ["get", "update"] and sorted(store.map) == [(part,) for part in range(1_000 // roi_log.LIVE + 1)]
+
+
+def test_log_stream_takes_odd_values_as_the_batch_does(spark, tmp_path):
+    """Nulls, numbers that are none, ids beyond 2^53 among nulls, text that JSON escapes: in three micro-batches."""
+    r = random.Random(8)
+    odd = {"roi_id": [None, 2**53 + 1], "has_color": [None], "tool": [None], "name": [None, ' "q\\ué\n\u2028😀 '], "ex": [None, float("nan"), float("inf"), 0.1 + 0.2], "ey": [None, -0.0, 1e-300], "idx": [None]}
+    names = [c.split(" ")[0] for c in LOG.split(", ")][:11]
+    rows = [tuple(r.choice(odd[c]) if c in odd and r.random() < 0.2 else v for c, v in zip(names, row)) + row[11:] for row in random_log(12, 90)]
+    rows = [(*row[:11], row[11] and [(None, 2.0, 1.0), *row[11]]) for row in rows]
+    log, got = spark.createDataFrame(rows, LOG), lambda df: sorted(map(str, df.collect()))
+    feed = play(spark, rows, LOG, tmp_path, roi_log.changes)
+    want, whole = rois.changes(log), rois.table(log)
+    assert got(roi_log.listeners(feed).select(*want.columns)) == got(want)
+    assert got(roi_log.current(feed).select(*whole.columns)) == got(whole) and whole.count() > 3
