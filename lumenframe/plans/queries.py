@@ -62,23 +62,26 @@ def mask_files(spark: SparkSession, d: str) -> DataFrame:
     return catalog.masks(table(spark, d, "files")).select("path", "file_id")
 
 
-WAVE = 1_000_000  # files, about, that are on disk at once
+WAVE = 250_000  # files, about, that are on disk at once: gone again before the system writes their blocks
 
 
 def _in_folder(spark: SparkSession, rows: DataFrame, after: Callable[[str], DataFrame], wave: int = WAVE) -> DataFrame:
     """rows(path, content) written as files below new folders of the shared one; what `after` makes of each such root, in one.
-    Each file takes a block of the disk, so whole folders are dealt into waves: a wave's files go before the next one's come."""
+    Each file takes a block of the disk, so whole folders are dealt into waves: a wave's files go before the next one's come.
+    All waves share a root: a file system that goes on from where its last folder went doesn't search what was just freed."""
     top = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    root, folder, cores = f"{top}/files", F.substring_index("path", "/", 1), max(1, spark.sparkContext.defaultParallelism)
     n = -(-rows.count() // wave)
     try:
         if n > 1:
-            dealt = rows.withColumn("wave", F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(n)))
+            dealt = rows.withColumn("wave", F.pmod(F.xxhash64(folder), F.lit(n)))
             dealt.repartition("wave", F.pmod(F.xxhash64("path"), F.lit(8))).write.partitionBy("wave").parquet(f"{top}/_rows")
+            dealt = spark.read.parquet(f"{top}/_rows")
         for i in range(n):
-            root = f"{top}/wave-{i}"
-            files.drop(rows if n == 1 else spark.read.schema(rows.schema).parquet(f"{top}/_rows/wave={i}").repartition(F.substring_index("path", "/", 1)), root)
-            after(root).write.parquet(f"{top}/_found/wave={i}")
-            files.remove(spark, root)
+            due = rows if n == 1 else dealt.filter(F.col("wave") == i).drop("wave")  # may have none
+            files.drop(due.repartition(cores, folder).sortWithinPartitions("path"), root)
+            after(root).coalesce(2 * cores).write.parquet(f"{top}/_found/wave={i}")
+            files.clear(spark, root)
         return (spark.read.parquet(f"{top}/_found").drop("wave") if n else after(f"{top}/none")).checkpoint()
     finally:
         delete(spark, top)

@@ -246,8 +246,8 @@ def contents(found: DataFrame) -> DataFrame:
     return found.select("path").mapInArrow(read, "path string, content binary")
 
 
-def remove(spark: SparkSession, root: str) -> None:
-    """Removes the folders directly in root with all they hold, dealt to tasks; then root."""
+def clear(spark: SparkSession, root: str) -> None:
+    """Removes the folders directly in root with all they hold, dealt to tasks."""
     found = spark.createDataFrame([(f,) for f in _folders({"root": root})], "folder string")
 
     def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +258,11 @@ def remove(spark: SparkSession, root: str) -> None:
             yield batch
 
     found.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(gone, found.schema).write.format("noop").mode("overwrite").save()
+
+
+def remove(spark: SparkSession, root: str) -> None:
+    """Removes root, its folders in tasks."""
+    clear(spark, root)
     delete(spark, root)
 
 

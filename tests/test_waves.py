@@ -1,5 +1,7 @@
 import os
+from itertools import groupby
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions.shared import shared_dir
@@ -24,6 +26,30 @@ def test_folders_are_written_in_waves(spark):
     assert not [x for x in os.listdir(shared_dir(spark)) if x.startswith("files-")]
 
 
+@pytest.mark.parametrize("wave", [1000, 30])
+def test_a_wave_is_written_by_all_cores_folder_by_folder(spark, monkeypatch, wave):
+    """However few tasks the rows come in, and all waves below one root."""
+    rows = spark.range(120).select(F.concat(F.lit("c"), (F.col("id") % 24).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path"), F.lit(b"12").alias("content")).coalesce(1)
+    roots, seen, drop = set(), [], files.drop
+
+    def kept(due, root):
+        roots.add(root)
+        parts = due.select(F.substring_index("path", "/", 1).alias("folder")).rdd.glom().collect()
+        assert len(parts) == spark.sparkContext.defaultParallelism
+        seen.extend(folder for part in parts for folder, _ in groupby(r.folder for r in part))
+        return drop(due, root)
+
+    monkeypatch.setattr(files, "drop", kept)
+    assert queries._in_folder(spark, rows, lambda root: files.listing(spark, root=root).select("name"), wave=wave).count() == 120
+    assert sorted(seen) == sorted(f"c{i}" for i in range(24)) and len(roots) == 1
+
+
+def test_a_folder_larger_than_a_wave(spark):
+    """Leaves waves without files."""
+    rows = spark.range(100).select(F.concat(F.lit("c/f"), F.col("id").cast("string")).alias("path"), F.lit(b"12").alias("content"))
+    assert queries._in_folder(spark, rows, lambda root: files.listing(spark, root=root).select("name"), wave=30).count() == 100
+
+
 def test_contents_are_read_where_they_are_listed(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"d{i}").mkdir()
