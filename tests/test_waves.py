@@ -58,3 +58,17 @@ def test_contents_are_read_where_they_are_listed(spark, tmp_path):
     assert sorted((r.path[-4:], bytes(r.content)) for r in found) == [(f"d{i}/x", b"\x00" * i) for i in range(3)]
     files.remove(spark, str(tmp_path))
     assert not tmp_path.exists()
+
+
+def test_mask_listing_writes_on_all_cores(spark, monkeypatch):
+    """Its table comes as one task; a wave of it does not, and the other names are left out after they are written."""
+    written, drop = [], files.drop
+
+    def kept(due, root):
+        written.append([len(part) for part in due.select("path").rdd.glom().collect()])
+        return drop(due, root)
+
+    monkeypatch.setattr(files, "drop", kept)
+    found = queries.QUERIES["mask_listing"](spark, "/root/testdata/sf0.001")
+    assert 0 < found.count() < sum(written[0]) and all(r.name.endswith(".mat") for r in found.collect())
+    assert len(written) == 1 and sum(n > 0 for n in written[0]) == spark.sparkContext.defaultParallelism
